@@ -271,3 +271,18 @@ def _verify(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, pe
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under a similarity of 0.85 of their sets of four words."""
     return join(shared.table(spark, sf_dir, "documents"))
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """One row of each component, of the document with the smallest id, with the columns of docs. Rows
+    with a null id are only dropped if they equal a kept document's set; of repeated rows one stays."""
+    found = shared.materialize(join(docs, percent, width), "components")
+    gone = shared.materialize(found.filter("component_id < doc_id").select("doc_id").distinct(), "gone")
+    small = gone.count() <= SEND  # else both sides shuffle
+    kept = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")
+    again = kept.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id")
+    again = shared.materialize(again, "repeated")
+    if again.limit(1).count():
+        twice = F.broadcast(again) if again.count() <= SEND else again
+        kept = kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept
