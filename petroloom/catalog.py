@@ -1,17 +1,435 @@
-"""The named queries of this library over the driver's tables, and SQL for the same rows."""
+"""The named queries of this library over the driver's tables, and SQL for the same rows.
+
+The tables hold no images, so each query binds an operator to columns that stand in for its own:
+`events` is the frame stream (user_id a video, (ts, event_id) its order, value a sharpness or a position),
+`embeddings` the frame descriptors (vec_id a keyframe, label its segment, 1000 times elements 1 and 2 its
+place). Doubles are rounded to 6 places, ties are broken by id."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from petroloom.functions import geometry as g
+from petroloom.operators import fitting, frames, graph, linking, matching, spatial, tracking
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query by its name, with SQL for the same rows if SQL can express it."""
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+# Streams
+
+FRAMES = "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_index FROM events"
+
+
+def stream(spark: SparkSession, d: str) -> DataFrame:
+    events = spark.read.parquet(f"{d}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
+    return frames.indexed(events, "user_id", ["ts", "event_id"]).drop("ts")
+
+
+@query(f"SELECT user_id, event_id, CAST(frame_index AS BIGINT) AS frame_index FROM ({FRAMES}) WHERE frame_index % 3 = 0")
+def sample_step(spark, d):
+    """Every third frame of each video."""
+    return frames.sample_step(stream(spark, d), frames.analysis_step(30, 10)).select("user_id", "event_id", "frame_index")
+
+
+@query(f"""WITH f AS ({FRAMES}), t AS (SELECT user_id, count(*) AS total FROM f GROUP BY user_id),
+k AS (SELECT user_id, k, CAST(floor(k * (total - 1) / 14) AS BIGINT) AS frame_index FROM t, range(15) r(k))
+SELECT k.user_id, CAST(k.k AS INTEGER) AS k, k.frame_index, f.event_id FROM k JOIN f USING (user_id, frame_index)""")
+def sample_even(spark, d):
+    """15 frames evenly spaced over each video."""
+    return frames.sample_even(stream(spark, d), "user_id", 15).select("user_id", "k", "frame_index", "event_id")
+
+
+@query("""SELECT user_id, arg_min(event_id, (ts, event_id)) AS first_event, count(*) AS frames, round(count(*) / 30.0::DOUBLE, 6) AS duration_s FROM events GROUP BY user_id""")
+def stream_extent(spark, d):
+    """First frame and duration of each video at 30 frames a second."""
+    return stream(spark, d).groupBy("user_id").agg(F.min_by("event_id", "frame_index").alias("first_event"), F.count("*").alias("frames"), r6(F.count("*") / F.lit(30.0)).alias("duration_s"))
+
+
+MEDIAN = f"SELECT *, median(value) OVER (PARTITION BY user_id ORDER BY frame_index ROWS BETWEEN 30 PRECEDING AND CURRENT ROW) AS med FROM ({FRAMES})"
+
+
+def filtered(spark: SparkSession, d: str) -> DataFrame:
+    return frames.blur_filter(stream(spark, d), "user_id", "value")
+
+
+@query(f"SELECT user_id, event_id, CAST(frame_index AS BIGINT) AS frame_index, value, round(med, 6) AS median FROM ({MEDIAN}) WHERE NOT (value < 0.6 * med)")
+def blur_filter(spark, d):
+    """Frames that are sharp enough beside the last 31."""
+    return filtered(spark, d).filter(~F.col("blurred")).select("user_id", "event_id", "frame_index", "value", r6("median").alias("median"))
+
+
+@query(f"SELECT user_id, count(*) AS analysed, count(*) FILTER (value < 0.6 * med) AS blurred, count(*) FILTER (NOT value < 0.6 * med) AS usable FROM ({MEDIAN}) GROUP BY user_id")
+def track_stats(spark, d):
+    """Counters of the blur filter."""
+    return frames.track_stats(filtered(spark, d), "user_id")
+
+
+@query(f"""WITH RECURSIVE f AS ({FRAMES}), k AS (
+SELECT user_id, frame_index, value AS last, TRUE AS kept FROM f WHERE frame_index = 0
+UNION ALL SELECT f.user_id, f.frame_index, CASE WHEN abs(f.value - k.last) >= 40 THEN f.value ELSE k.last END, abs(f.value - k.last) >= 40 FROM k JOIN f ON f.user_id = k.user_id AND f.frame_index = k.frame_index + 1)
+SELECT user_id, CAST(frame_index AS BIGINT) AS frame_index FROM k WHERE kept""")
+def keyframe_gate(spark, d):
+    """Frames that have moved far enough from the last keyframe."""
+    return tracking.keyframe_gate(stream(spark, d), "user_id", "value", 40.0)
+
+
+@query(f"""WITH f AS (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY frame_index) AS before, count(*) OVER (PARTITION BY user_id) AS n FROM ({FRAMES}))
+SELECT user_id, count(*) AS frames, round(coalesce(sum((value - before) * pow(0.5, n - frame_index)), 0), 6) AS velocity FROM f GROUP BY user_id""")
+def velocity_ema(spark, d):
+    """Exponential mean of the shifts of each video."""
+    return tracking.velocity(stream(spark, d), "user_id", "value").withColumn("velocity", r6("velocity"))
+
+
+@query(f"""WITH f AS (SELECT *, value < 8 AS bad, frame_index - row_number() OVER (PARTITION BY user_id, value < 8 ORDER BY frame_index) AS island FROM ({FRAMES})),
+r AS (SELECT user_id, bad, island, count(*) AS n FROM f GROUP BY ALL)
+SELECT user_id, CAST(coalesce(sum(n) FILTER (bad), 0) AS BIGINT) AS failed, CAST(1 + coalesce(sum(n // 3) FILTER (bad), 0) AS BIGINT) AS segments FROM r GROUP BY user_id""")
+def lost_segments(spark, d):
+    """Tracking segments: a new one after three failures in a row."""
+    return tracking.lost_segments(stream(spark, d), "user_id", "value", 8.0)
+
+
+@query(f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY frame_index DESC) AS back FROM ({FRAMES})),
+e AS (SELECT user_id, count(*) AS n, arg_max(value, frame_index) AS p1, arg_min(value, frame_index) AS p0, max(frame_index) - min(frame_index) AS di FROM f WHERE back <= 4 GROUP BY user_id)
+SELECT user_id, round(CASE WHEN n > 1 THEN (p1 - p0) / (di / 30.0::DOUBLE) ELSE 0 END, 6) AS velocity FROM e""")
+def gap_velocity(spark, d):
+    """Motion over the last four frames of each video."""
+    return tracking.tail_velocity(stream(spark, d), "user_id", "value").withColumn("velocity", r6("velocity"))
+
+
+# Matches
+
+CENTRED = "SELECT vec_id, label, [x::DOUBLE - list_avg([e::DOUBLE for e in embedding]) for x in embedding] AS c, embedding FROM embeddings"
+NCC = "round(list_dot_product(a.c, b.c) / sqrt(list_dot_product(a.c, a.c) * list_dot_product(b.c, b.c)), 6)"
+PAIRS = f"SELECT a.vec_id AS i, b.vec_id AS j, {NCC} AS ncc FROM ({CENTRED}) a JOIN ({CENTRED}) b ON a.label = b.label AND b.vec_id > a.vec_id AND b.vec_id - a.vec_id <= 60"
+
+
+def descriptors(spark: SparkSession, d: str) -> DataFrame:
+    return matching.normalised(spark.read.parquet(f"{d}/embeddings.parquet"), "embedding", "c")
+
+
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    left, right = ({"vec_id": v, "c": x, "c_len": f"{x}_len"} for v, x in (("i", "a"), ("j", "b")))
+    pairs = matching.band_pairs(descriptors(spark, d), "vec_id", 60, ["label"], left, right)
+    return pairs.select("i", "j", r6(matching.ncc("a", "b")).alias("ncc"))
+
+
+@query(PAIRS)
+def pair_ncc(spark, d):
+    """Correlation of the descriptors of nearby keyframes of a segment."""
+    return scored(spark, d)
+
+
+BOTH = f"SELECT i AS k, ncc FROM ({PAIRS}) UNION ALL SELECT j, ncc FROM ({PAIRS})"
+TOP2 = f"""SELECT k AS vec_id, max(ncc) AS peak, greatest(coalesce(max(ncc) FILTER (r = 2), 0), 0) AS second
+FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ncc DESC) AS r FROM ({BOTH})) WHERE r <= 2 GROUP BY k"""
+
+
+@query(f"SELECT vec_id, peak, second, peak >= 0.2 * 1.5 AND second <= 0.9 * 0.9 * peak AS strict FROM ({TOP2}) WHERE peak >= 0.2 AND second <= 0.9 * peak")
+def peak_ratio(spark, d):
+    """Keyframes whose best match stands out from the second best, by the plain and the strict rule."""
+    s = scored(spark, d)
+    both = s.select(F.explode(F.array("i", "j")).alias("vec_id"), "ncc")
+    return matching.peak_ratio(both, "vec_id", "ncc")
+
+
+SAMPLES = "SELECT vec_id FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS r, count(*) OVER () AS n FROM embeddings WHERE label = 0) WHERE r IN (SELECT CAST(floor(k * (n - 1) / 11) AS BIGINT) FROM range(12) t(k))"
+CANDIDATES = f"""SELECT * FROM (SELECT a.vec_id AS s, b.vec_id AS m, {NCC} AS ncc, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY {NCC} DESC, b.vec_id) AS INTEGER) AS rank
+FROM ({CENTRED}) a JOIN ({CENTRED}) b ON a.vec_id IN ({SAMPLES}) AND b.label = 1) WHERE rank <= 3"""
+
+
+def candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Twelve samples of segment 0 against all of segment 1. The samples are twelve rows by construction."""
+    e = descriptors(spark, d)
+    order = frames.indexed(e.filter("label = 0").select("vec_id", "label"), "label", ["vec_id"])
+    samples = frames.sample_even(order, "label", 12).select("vec_id").distinct()
+    s = F.broadcast(e.join(F.broadcast(samples), "vec_id").select(F.col("vec_id").alias("s"), F.col("c").alias("a"), F.col("c_len").alias("a_len")))
+    m = e.filter("label = 1").select(F.col("vec_id").alias("m"), F.col("c").alias("b"), F.col("c_len").alias("b_len"))
+    pairs = m.join(s, F.col("s") != F.col("m")).select("s", "m", r6(matching.ncc("a", "b")).alias("ncc"))
+    return matching.top_per(pairs, "s", [F.desc("ncc"), F.col("m")], 3)
+
+
+@query(f"SELECT s, m, ncc, rank FROM ({CANDIDATES})")
+def top_candidates(spark, d):
+    """The three best matches of each sample."""
+    return candidates(spark, d).select("s", "m", "ncc", "rank")
+
+
+# Places, radius joins and graphs
+
+POINTS = "SELECT vec_id AS id, label, 1000 * embedding[1]::DOUBLE AS x, 1000 * embedding[2]::DOUBLE AS y FROM embeddings"
+RADIUS = 20.0
+NEAR = f"SELECT a.id AS i, b.id AS j, a.x AS xi, a.y AS yi, b.x AS xj, b.y AS yj, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS distance, a.label AS li, b.label AS lj FROM ({POINTS}) a JOIN ({POINTS}) b ON a.id < b.id WHERE sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) < {RADIUS}"
+
+
+def points(spark: SparkSession, d: str) -> DataFrame:
+    at = lambda k: F.lit(1000) * F.element_at("embedding", k).cast("double")
+    return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), "label", at(1).alias("x"), at(2).alias("y"))
+
+
+def near(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.radius_pairs(points(spark, d), RADIUS)
+
+
+@query(f"SELECT i, j, round(distance, 6) AS distance FROM ({NEAR})")
+def radius_pairs(spark, d):
+    """Keyframes nearer than a radius."""
+    return near(spark, d).select("i", "j", r6("distance").alias("distance"))
+
+
+@query(f"SELECT i, j, round(distance, 6) AS distance FROM ({NEAR}) WHERE li <> lj")
+def untested_pairs(spark, d):
+    """Near pairs but for those already tested: all of one segment."""
+    p = points(spark, d).select("id", "label")
+    pairs = near(spark, d)
+    tested = pairs.join(p.select(F.col("id").alias("i"), F.col("label").alias("li")), "i").join(p.select(F.col("id").alias("j"), F.col("label").alias("lj")), "j").filter("li = lj")
+    return spatial.untested(pairs, tested).select("i", "j", r6("distance").alias("distance"))
+
+
+LABELS = f"""WITH RECURSIVE e AS (SELECT i, j FROM ({NEAR}) UNION ALL SELECT j, i FROM ({NEAR})),
+reach AS (SELECT vec_id AS id, vec_id AS r FROM embeddings UNION SELECT e.j, reach.r FROM reach JOIN e ON e.i = reach.id)
+SELECT id, min(r) AS label FROM reach GROUP BY id"""
+
+
+def labels(spark: SparkSession, d: str) -> DataFrame:
+    return graph.components(points(spark, d), near(spark, d))
+
+
+@query(LABELS)
+def components(spark, d):
+    """Connected components of near keyframes."""
+    return labels(spark, d)
+
+
+RANKED = f"""WITH l AS ({LABELS}), z AS (SELECT label, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, label) - 1 AS r FROM l GROUP BY label)
+SELECT id, label, CAST(CASE WHEN r = 0 OR size >= 3 THEN r ELSE -1 END AS INTEGER) AS component FROM l JOIN z USING (label)"""
+
+
+@query(RANKED)
+def component_rank(spark, d):
+    """Components by size: the main one, others of three or more, and what is dropped."""
+    return graph.ranked(labels(spark, d))
+
+
+@query(f"SELECT id, CASE WHEN component = 0 THEN 'used' WHEN component > 0 THEN 'unlinked' ELSE 'dropped' END AS status FROM ({RANKED})")
+def frame_status(spark, d):
+    """The report's status of each keyframe."""
+    return graph.ranked(labels(spark, d)).select("id", graph.status().alias("status"))
+
+
+EDGES = f"SELECT i, j, xj - xi + ((i * 7 + j * 13) % 11 - 5) * 0.4::DOUBLE AS dx, yj - yi + ((i * 5 + j * 3) % 7 - 3) * 0.4::DOUBLE AS dy, 1 / (1 + distance) AS quality FROM ({NEAR})"
+POSES = f"SELECT id, x, y, 0.001 * (id % 10)::DOUBLE AS theta FROM ({POINTS})"
+RESIDUAL = f"""SELECT i, j, quality, sqrt(pow(b.x - a.x - (cos(a.theta) * dx - sin(a.theta) * dy), 2) + pow(b.y - a.y - (sin(a.theta) * dx + cos(a.theta) * dy), 2)) AS residual
+FROM ({EDGES}) e JOIN ({POSES}) a ON a.id = e.i JOIN ({POSES}) b ON b.id = e.j"""
+
+
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    off = lambda a, b, m, h: ((F.col("i") * a + F.col("j") * b) % m - h) * F.lit(0.4)
+    return near(spark, d).select("i", "j", (F.col("xj") - F.col("xi") + off(7, 13, 11, 5)).alias("dx"), (F.col("yj") - F.col("yi") + off(5, 3, 7, 3)).alias("dy"), (1 / (1 + F.col("distance"))).alias("quality"))
+
+
+def with_residuals(spark: SparkSession, d: str) -> DataFrame:
+    poses = points(spark, d).withColumn("theta", F.lit(0.001) * (F.col("id") % 10))
+    return graph.residuals(edges(spark, d), poses)
+
+
+@query(f"SELECT i, j, round(residual, 6) AS residual FROM ({RESIDUAL})")
+def edge_residual(spark, d):
+    """How far edges are from the poses of their ends."""
+    return with_residuals(spark, d).select("i", "j", r6("residual").alias("residual"))
+
+
+@query(f"WITH r AS ({RESIDUAL}) SELECT i, j, round(residual, 6) AS residual, (SELECT max(residual) FROM r) > 1 AND residual > greatest(1, (SELECT max(residual) FROM r) / 2) AS outlier FROM r")
+def outlier_round(spark, d):
+    """One round of outlier removal."""
+    return graph.outlier_round(with_residuals(spark, d), 1.0).select("i", "j", r6("residual").alias("residual"), "outlier")
+
+
+@query(f"""WITH e AS (SELECT i AS id, quality FROM ({EDGES}) UNION ALL SELECT j, quality FROM ({EDGES})), q AS (SELECT id, avg(quality) AS quality, count(*) AS n FROM e GROUP BY id)
+SELECT p.id, round(coalesce(q.quality, 0), 6) AS quality, coalesce(n, 0) AS n_links FROM ({POINTS}) p LEFT JOIN q USING (id)""")
+def frame_quality(spark, d):
+    """Mean quality and number of links of each keyframe."""
+    return graph.frame_quality(points(spark, d), edges(spark, d)).withColumn("quality", r6("quality"))
+
+
+@query("""WITH e AS (SELECT label, vec_id AS j, 50 * embedding[3]::DOUBLE AS dx, 50 * embedding[4]::DOUBLE AS dy, 0.1 * embedding[5]::DOUBLE AS phi FROM embeddings),
+t AS (SELECT *, sum(phi) OVER w AS theta FROM e WINDOW w AS (PARTITION BY label ORDER BY j)), s AS (SELECT *, theta - phi AS b FROM t)
+SELECT label, j AS id, round(sum(cos(b) * dx - sin(b) * dy) OVER w, 6) AS x, round(sum(sin(b) * dx + cos(b) * dy) OVER w, 6) AS y, round(theta, 6) AS theta FROM s WINDOW w AS (PARTITION BY label ORDER BY j)""")
+def integrate_poses(spark, d):
+    """Poses along the sequence of each segment."""
+    e = lambda k, by: (F.lit(by) * F.element_at("embedding", k).cast("double"))
+    seq = spark.read.parquet(f"{d}/embeddings.parquet").select("label", F.col("vec_id").alias("j"), e(3, 50).alias("dx"), e(4, 50).alias("dy"), e(5, 0.1).alias("phi"))
+    out = graph.chain(seq, "label")
+    return out.select("label", "id", *[r6(c).alias(c) for c in ("x", "y", "theta")])
+
+
+# Linking
+
+LINK = f"""SELECT c.s, c.m, c.ncc AS quality, pm.x AS xm, pm.y AS ym, 0.001 * (c.m % 10)::DOUBLE AS tm, ps.x AS xs, ps.y AS ys, 0.001 * (c.s % 10)::DOUBLE AS ts,
+5 * c.rank::DOUBLE AS dx, 3 * c.rank::DOUBLE AS dy, 0.0005 * c.rank::DOUBLE AS phi FROM ({CANDIDATES}) c JOIN ({POINTS}) pm ON pm.id = c.m JOIN ({POINTS}) ps ON ps.id = c.s"""
+TURNED = f"SELECT *, tm + phi - ts AS theta, xm + cos(tm) * dx - sin(tm) * dy AS ox, ym + sin(tm) * dx + cos(tm) * dy AS oy FROM ({LINK})"
+IMPLIED = f"SELECT *, ox - (cos(theta) * xs - sin(theta) * ys) AS tx, oy - (sin(theta) * xs + cos(theta) * ys) AS ty FROM ({TURNED})"
+
+
+def links(spark: SparkSession, d: str) -> DataFrame:
+    p = points(spark, d)
+    pose = lambda x: p.select(F.col("id").alias(x), F.col("x").alias(f"x{x}"), F.col("y").alias(f"y{x}"), (F.lit(0.001) * (F.col("id") % 10)).alias(f"t{x}"))
+    c = candidates(spark, d).join(pose("m"), "m").join(pose("s"), "s")
+    k = F.col("rank").cast("double")
+    c = c.select("s", "m", F.col("ncc").alias("quality"), "xm", "ym", "tm", "xs", "ys", "ts", (5 * k).alias("dx"), (3 * k).alias("dy"), (F.lit(0.0005) * k).alias("phi"))
+    tx, ty, theta = g.implied(tuple(map(F.col, ("xm", "ym", "tm"))), tuple(map(F.col, ("xs", "ys", "ts"))), F.col("dx"), F.col("dy"), F.col("phi"))
+    return c.withColumn("theta", theta).withColumn("tx", tx).withColumn("ty", ty)
+
+
+@query(f"SELECT s, m, round(tx, 6) AS tx, round(ty, 6) AS ty, round(theta, 6) AS theta FROM ({IMPLIED})")
+def implied_transform(spark, d):
+    """The transform from segment to main frame that each candidate implies."""
+    return links(spark, d).select("s", "m", *[r6(c).alias(c) for c in ("tx", "ty", "theta")])
+
+
+MAPPED = f"SELECT s, m, s * 1000000 + m AS k, quality, theta, cos(theta) * 10 - sin(theta) * 20 + tx AS mx, sin(theta) * 10 + cos(theta) * 20 + ty AS my FROM ({IMPLIED})"
+AGREE = f"SELECT a.k, b.m, b.s, b.quality FROM ({MAPPED}) a JOIN ({MAPPED}) b ON abs(a.theta - b.theta) < radians(1) AND sqrt(pow(a.mx - b.mx, 2) + pow(a.my - b.my, 2)) < 150"
+APART = "SELECT k, CAST(sum((n + 1) // 2) AS INTEGER) AS n FROM (SELECT k, island, count(*) AS n FROM (SELECT k, id - row_number() OVER (PARTITION BY k ORDER BY id) AS island FROM (SELECT DISTINCT k, {0} AS id FROM a)) GROUP BY k, island) GROUP BY k"
+
+
+@query(f"""WITH a AS ({AGREE}), t AS (SELECT k, count(*) AS agree, round(sum(quality), 6) AS quality FROM a GROUP BY k), m AS ({APART.format("m")}), s AS ({APART.format("s")})
+SELECT t.k, t.agree, t.quality, least(m.n, s.n) AS support FROM t JOIN m USING (k) JOIN s USING (k)""")
+def consensus(spark, d):
+    """For each candidate those that agree with it, and how many of them are independent."""
+    x, y = linking.mapped(F.col("theta"), F.col("tx"), F.col("ty"), F.lit(10.0), F.lit(20.0))
+    c = links(spark, d).select(F.lit(0).alias("attempt"), "s", "m", (F.col("s") * 1000000 + F.col("m")).alias("k"), "quality", "theta", x.alias("mx"), y.alias("my"))
+    return linking.agreeing(c, "attempt", 150.0).select("k", "agree", r6("quality").alias("quality"), "support")
+
+
+@query("""WITH a AS (SELECT user_id AS k, CAST(floor(value) AS BIGINT) AS id FROM events),
+i AS (SELECT k, id - row_number() OVER (PARTITION BY k ORDER BY id) AS island FROM (SELECT DISTINCT k, id FROM a))
+SELECT k AS user_id, CAST(sum((n + 1) // 2) AS INTEGER) AS support FROM (SELECT k, island, count(*) AS n FROM i GROUP BY k, island) GROUP BY k""")
+def independent_support(spark, d):
+    """How many ids of each group lie two or more apart."""
+    ids = stream(spark, d).groupBy("user_id").agg(F.collect_set(F.floor("value").cast("long")).alias("ids"))
+    return ids.select("user_id", linking.apart("ids").alias("support"))
+
+
+@query(f"""SELECT s, m, status, CAST(row_number() OVER (ORDER BY s % 3, CASE status WHEN 'accepted' THEN 0 WHEN 'outlier' THEN 1 ELSE 2 END, quality DESC, s, m) AS INTEGER) AS line
+FROM (SELECT *, CASE WHEN quality > 0.3 THEN 'accepted' WHEN quality > 0.25 THEN 'outlier' ELSE 'rejected' END AS status FROM ({LINK}))""")
+def diagnostics_order(spark, d):
+    """Link records in the order of the diagnostics file: some dozens of rows."""
+    q = F.col("quality")
+    named = links(spark, d).withColumn("status", F.when(q > 0.3, "accepted").when(q > 0.25, "outlier").otherwise("rejected"))
+    rank = F.when(F.col("status") == "accepted", 0).when(F.col("status") == "outlier", 1).otherwise(2)
+    line = F.row_number().over(Window.orderBy(F.col("s") % 3, rank, F.desc("quality"), "s", "m"))
+    return named.select("s", "m", "status", line.alias("line"))
+
+
+# Tiles
+
+BOX, TILE = 60.0, 64.0
+COVER = f"SELECT p.id, p.x, p.y, tx AS tile_x, ty AS tile_y FROM ({POINTS}) p, LATERAL (SELECT unnest(generate_series(CAST(floor(p.x / {TILE}) AS BIGINT), CAST(ceil((p.x + {BOX}) / {TILE}) - 1 AS BIGINT))) AS tx), LATERAL (SELECT unnest(generate_series(CAST(floor(p.y / {TILE}) AS BIGINT), CAST(ceil((p.y + {BOX}) / {TILE}) - 1 AS BIGINT))) AS ty)"
+WEIGHT = f"1 / (1 + sqrt(pow(x + {BOX / 2} - (tile_x + 0.5) * {TILE}, 2) + pow(y + {BOX / 2} - (tile_y + 0.5) * {TILE}, 2)))"
+
+
+def cover(spark: SparkSession, d: str) -> DataFrame:
+    p = points(spark, d)
+    boxes = p.select("id", "label", "x", "y", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + BOX).alias("x1"), (F.col("y") + BOX).alias("y1"))
+    return spatial.covered_tiles(boxes, TILE)
+
+
+def weight() -> Column:
+    middle = lambda c, t: F.col(c) + BOX / 2 - (F.col(t) + 0.5) * TILE
+    return 1 / (1 + F.sqrt(F.pow(middle("x", "tile_x"), 2) + F.pow(middle("y", "tile_y"), 2)))
+
+
+@query(f"SELECT tile_x, tile_y, count(*) AS frames, min(id) AS first_id FROM ({COVER}) GROUP BY tile_x, tile_y")
+def tile_cover(spark, d):
+    """The frames that each tile of the mosaic needs."""
+    return cover(spark, d).groupBy("tile_x", "tile_y").agg(F.count("*").alias("frames"), F.min("id").alias("first_id"))
+
+
+@query(f"SELECT tile_x, tile_y, arg_max(id, (w, -id)) AS winner FROM (SELECT *, {WEIGHT} AS w FROM ({COVER})) GROUP BY tile_x, tile_y")
+def winner_cell(spark, d):
+    """The frame of largest weight in each cell."""
+    return spatial.winner(cover(spark, d), ["tile_x", "tile_y"], weight(), "id", "id").select("tile_x", "tile_y", "winner")
+
+
+@query(f"SELECT tile_x, tile_y, round(sum(pow(w, 1.5) * id) / sum(pow(w, 1.5)), 6) AS value FROM (SELECT *, {WEIGHT} AS w FROM ({COVER})) GROUP BY tile_x, tile_y")
+def feather_cell(spark, d):
+    """The weighted mean of each cell."""
+    return spatial.feather(cover(spark, d), ["tile_x", "tile_y"], weight(), "id").withColumn("value", r6("value"))
+
+
+# Fits
+
+@query(f"""WITH p AS (SELECT label, x - avg(x) OVER w AS u, y - avg(y) OVER w AS v, avg(x) OVER w AS mx, avg(y) OVER w AS my FROM ({POINTS}) WINDOW w AS (PARTITION BY label)),
+s AS (SELECT label, count(*) AS n, any_value(mx) AS mx, any_value(my) AS my, sum(u * u) AS uu, sum(v * v) AS vv, sum(u * v) AS uv, sum(u * (u * u + v * v)) AS uz, sum(v * (u * u + v * v)) AS vz FROM p GROUP BY label),
+c AS (SELECT *, (uz * vv - vz * uv) / (uu * vv - uv * uv) / 2 AS a, (vz * uu - uz * uv) / (uu * vv - uv * uv) / 2 AS b FROM s)
+SELECT label, round(a + mx, 6) AS cx, round(b + my, 6) AS cy, round(sqrt(a * a + b * b + (uu + vv) / n), 6) AS radius FROM c""")
+def circle_fit(spark, d):
+    """Least squares circles of the places of each segment."""
+    return fitting.circle(points(spark, d), ["label"]).select("label", *[r6(c).alias(c) for c in ("cx", "cy", "radius")])
+
+
+@query("""WITH h AS (SELECT CAST(least(floor(value), 255) AS INTEGER) AS level, count(*) AS n FROM events GROUP BY 1),
+c AS (SELECT level, CAST(sum(n) OVER (ORDER BY level) AS DOUBLE) AS w0, CAST(sum(n * level) OVER (ORDER BY level) AS DOUBLE) AS s0, CAST(sum(n) OVER () AS DOUBLE) AS w, CAST(sum(n * level) OVER () AS DOUBLE) AS s FROM h)
+SELECT arg_max(level, (w0 * (w - w0) * (s0 / w0 - (s - s0) / (w - w0)) * (s0 / w0 - (s - s0) / (w - w0)), -level)) AS level FROM c WHERE w > w0""")
+def otsu(spark, d):
+    """The threshold that parts values into dark and bright."""
+    return fitting.otsu(stream(spark, d).select(F.least(F.floor("value"), F.lit(255)).alias("level")), "level")
+
+
+@query("SELECT user_id, event_type, count(*) AS n, round(median(value), 6) AS median FROM events GROUP BY user_id, event_type HAVING count(*) >= 5")
+def flat_median(spark, d):
+    """Medians of cells with enough samples, as the flat field takes them for each pixel."""
+    return stream(spark, d).groupBy("user_id", "event_type").agg(F.count("*").alias("n"), r6(F.percentile("value", 0.5)).alias("median")).filter("n >= 5")
+
+
+@query(f"""WITH p AS (SELECT label, x AS ux, y AS uy, cos(0.02) * x - sin(0.02) * y + label + (id % 3) AS vx, sin(0.02) * x + cos(0.02) * y - label + (id % 5) AS vy FROM ({POINTS})),
+d AS (SELECT label, ux - avg(ux) OVER w AS ax, uy - avg(uy) OVER w AS ay, vx - avg(vx) OVER w AS bx, vy - avg(vy) OVER w AS "by", avg(ux) OVER w AS mux, avg(uy) OVER w AS muy, avg(vx) OVER w AS mvx, avg(vy) OVER w AS mvy FROM p WINDOW w AS (PARTITION BY label)),
+t AS (SELECT label, any_value(mux) AS mux, any_value(muy) AS muy, any_value(mvx) AS mvx, any_value(mvy) AS mvy, atan2(sum(ax * "by" - ay * bx), sum(ax * bx + ay * "by")) AS theta FROM d GROUP BY label)
+SELECT label, round(theta, 6) AS theta, round(mvx - (cos(theta) * mux - sin(theta) * muy), 6) AS tx, round(mvy - (sin(theta) * mux + cos(theta) * muy), 6) AS ty FROM t""")
+def rigid_points(spark, d):
+    """Rigid motions from point pairs."""
+    c, s, x, y = math.cos(0.02), math.sin(0.02), F.col("x"), F.col("y")
+    pairs = points(spark, d).select("label", x.alias("ux"), y.alias("uy"), (c * x - s * y + F.col("label") + F.col("id") % 3).alias("vx"), (s * x + c * y - F.col("label") + F.col("id") % 5).alias("vy"))
+    return fitting.rigid(pairs, ["label"]).select("label", *[r6(k).alias(k) for k in ("theta", "tx", "ty")])
+
+
+@query(f"SELECT i, j, round((2 * 225 * acos(distance / 30) - 0.5 * distance * sqrt(900 - distance * distance)) / (pi() * 225), 6) AS share FROM ({NEAR})")
+def lens_fraction(spark, d):
+    """Shared area of the fields of view of near keyframes."""
+    return near(spark, d).select("i", "j", r6(g.lens_fraction(F.col("distance"), 15.0)).alias("share"))
+
+
+@query()
+def capped_neighbours(spark, d):
+    """Near pairs, nearest first, while neither keyframe has its fill; one task for each component."""
+    pairs = near(spark, d)
+    of = labels(spark, d)
+    grouped = pairs.join(of.select(F.col("id").alias("i"), F.col("label").alias("component")), "i")
+    return spatial.capped(grouped, by="component").select("i", "j", r6("distance").alias("distance"))
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

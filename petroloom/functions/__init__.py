@@ -1 +1 @@
-"""."""
+"""Column expressions and numpy kernels."""

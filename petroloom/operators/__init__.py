@@ -1 +1 @@
-"""."""
+"""Relational operators over frames, matches, graphs and tiles."""

@@ -1 +1 @@
-"""."""
+"""Whole programs: pose-graph optimisation and mosaics."""

@@ -1 +1 @@
-"""."""
+"""Keyframe selection over unbounded streams."""
