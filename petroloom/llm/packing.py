@@ -38,36 +38,58 @@ _PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+"
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-įı-ſ]+")
 
 
+def _byte_letters() -> list[str]:
+    """The letter by which a byte-level vocabulary writes each byte: printable bytes stand for
+    themselves, the others follow from 256 on, in order."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
 class _Words(dict):
     """Ids of white-space separated chunks, as little-endian bytes. Chunks are composed from
-    their pieces, and only pieces not met before reach the tokenizer. Both tables are emptied
-    when full, so a worker's memory is bounded."""
+    their pieces, and only pieces not met before reach the tokenizer's model. Either table starts
+    anew when full, and what is still asked for moves over from the one before, so a worker's
+    memory is bounded."""
 
-    def __init__(self, path: str, chunks: int = 200_000, pieces: int = 500_000) -> None:
+    def __init__(self, path: str, chunks: int = 250_000, pieces: int = 450_000) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.chunks, self.pieces = Tokenizer.from_file(path), chunks, pieces
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.old: dict[str, bytes] = {}
         self.seen: dict[str, bytes] = {}
+        self.old_seen: dict[str, bytes] = {}
         self.split = re.compile(_PIECE).findall
 
     def _encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        ids = self.old_seen.get(piece)
+        if ids is None:
+            word = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+            ids = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        if len(self.seen) >= self.pieces:
+            self.old_seen, self.seen = self.seen, {}
+        self.seen[piece] = ids
+        return ids
+
     def __missing__(self, chunk: str) -> bytes:
-        if len(chunk) > 48 or "<|" in chunk or not _PLAIN.fullmatch(chunk):
-            return self._encode(chunk)
-        seen, out = self.seen, []
-        for piece in self.split(chunk.lower()):
-            ids = seen.get(piece)
-            if ids is None:
-                if len(seen) >= self.pieces:
-                    seen.clear()
-                ids = seen[piece] = self._encode(piece)
-            out.append(ids)
+        ids = self.old.get(chunk)
+        if ids is None:
+            if len(chunk) > 48 or "<|" in chunk or not _PLAIN.fullmatch(chunk):
+                return self._encode(chunk)
+            seen, lower = self.seen, chunk.lower()
+            if lower.isalpha():
+                ids = seen.get(lower) or self._piece(lower)
+            else:
+                ids = b"".join([seen.get(x) or self._piece(x) for x in self.split(lower)])
         if len(self) >= self.chunks:
+            self.old = dict(self)
             self.clear()
-        ids = self[chunk] = b"".join(out)
+        self[chunk] = ids
         return ids
 
     def ids(self, text: str) -> Iterator[bytes]:
