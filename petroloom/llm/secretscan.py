@@ -87,12 +87,13 @@ class Model:
             self.table += [round(SCALE * (math.log(rows[1][b] / totals[1]) - math.log(rows[0][b] / totals[0]))) for b in range(n)]
 
     def ratio(self, token: str) -> str:
-        """SQL: the log-likelihood ratio of a string of the alphabet, times SCALE."""
+        """SQL: the log-likelihood ratio of a string of the alphabet, times SCALE. Each transition counts
+        once, so that a string that repeats itself does not look random by its length."""
         if self.empty:
             return f"cast(-{10**9} AS bigint)"
         table = f"cast(split('{','.join(map(str, self.table))}', ',') AS array<int>)"
-        n = len(ALPHABET)
-        return f"aggregate({_codes(token)}, struct({START} AS at, 0L AS sum), (a, c) -> struct(c AS at, a.sum + element_at({table}, a.at * {n} + c + 1) AS sum), a -> a.sum)"
+        steps = f"array_distinct(zip_with(concat(array({START}), slice(u, 1, size(u) - 1)), u, (a, b) -> a * {len(ALPHABET)} + b))"
+        return f"element_at(transform(array({_codes(token)}), u -> aggregate({steps}, 0L, (sum, k) -> sum + element_at({table}, k + 1))), 1)"
 
 
 def train(samples: DataFrame) -> Model:
