@@ -1,22 +1,22 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The global order of n-grams puts rare ones first: by hash, those of a frequent cell of a count sketch
-last. Two sets whose similarity reaches the threshold must share one of the first n-grams of both
-(their prefixes), so a shared prefix n-gram makes a candidate pair. The order is cut into
-fragments; each set has a segment in each; the overlap of a pair is counted in each fragment by
-itself and summed for each pair. Equal sets are one node from the start.
+The global order of n-grams puts rare ones first: by a table of the most frequent ones' counts, then by
+hash. Two sets whose similarity reaches the threshold must share one of the first n-grams of both
+(their prefixes), so a shared prefix n-gram makes a candidate pair. Of the candidates, parity bitmaps
+rule out those whose sets differ in more elements than a linked pair's can. The order is cut into
+fragments; each set has a segment in each; the overlap of a remaining pair is counted in each
+fragment by itself and summed for each pair. Equal sets are one node from the start.
 
 Families of near copies share whole prefixes, and all their pairs would grow with the square of a
-family. So an n-gram's sets are first compared with one hub; verified links join them into
-components, and a later round compares only sets of different components that still share a
-prefix n-gram, with other hubs while that is more than a few pairs for each posting, and finally
-all that are left. A pair is left out only if its two sets are already in one component, so the
-components are those of all links.
+family. So an n-gram's sets are first compared with one hub, and verified links join them into
+components; after HUB_ROUNDS such rounds only sets outside their n-gram's largest component are
+compared with those of other components. A pair is left out only if its two sets are already in one
+component or differ too much, so the components are those of all links.
 
 Nulls: a null text, or one without words, has no set and is linked with nothing; its component is
 its own id. Equal texts are linked if they have a word. Repeated rows stay rows. Null ids do not
 name a component. An empty table gives no rows. Other columns play no part. Words and n-grams are
-compared by 64-bit hashes.
+compared by 64-bit hashes. The table of counts only orders n-grams: its bound costs no links.
 """
 
 from __future__ import annotations
@@ -32,9 +32,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from petroloom.llm import shared
 
 PERCENT, WIDTH = 85, 4
-CELLS = 1 << 16
+FREQUENT = 1 << 18  # n-grams whose counts order prefixes, at most: 4 MB
 FRAGMENTS = 8  # the last holds the frequent n-grams
-ROUNDS = 6
+HUB_ROUNDS = 2
+WORDS = 8  # of 64 bits, of a set's parity bitmap
 SEND = 1_000_000  # ids of candidates that may be broadcast: 8 MB
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
@@ -88,38 +89,64 @@ def _docs(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.empty_if_null().cast("binary").alias("text"))
 
 
+def _bitmap(grams: np.ndarray) -> list[int]:
+    """For each of 64 * WORDS cells whether it holds an odd number of n-grams: two sets differ in at
+    least as many elements as their bitmaps do in bits."""
+    odd = np.bincount((grams >> np.uint64(7)).astype(np.int64) & 64 * WORDS - 1, minlength=64 * WORDS).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64).tolist()
+
+
 def _nodes(width: int) -> shared.Mapper:
-    """For each document its set's size and hash; for each task its counts of n-grams by cell."""
+    """For each document its set's size, hash and bitmap; for each task the n-grams that several of its
+    sets have, with their counts."""
+    names = ["doc_id", "n_shingles", "node", *[f"b{k}" for k in range(WORDS)], "gram", "count"]
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        grams, counts = np.unique(np.concatenate(held), return_counts=True)
+        grams, counts = grams[counts > 1], counts[counts > 1]
+        return pa.RecordBatch.from_arrays([*(pa.nulls(len(grams), pa.int64()) for _ in range(3 + WORDS)), pa.array(grams.view(np.int64)), pa.array(counts.astype(np.int64))], names=names)
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams_of, counts, held = Shingles(width), np.zeros(CELLS, np.int64), []
+        grams_of, held, n, seen = Shingles(width), [], 0, set()
         for batch in rows:
-            sizes, nodes = [], []
+            sizes, nodes, maps = [], [], []
             for text in batch.column(1):
                 grams = grams_of.of(text.as_py())
+                node = _node(grams) if len(grams) else None
                 sizes.append(len(grams))
-                nodes.append(_node(grams) if len(grams) else None)
-                held.append((grams & np.uint64(CELLS - 1)).astype(np.int64))
-                if sum(map(len, held[-64:])) > 1 << 18 or len(held) > 512:
-                    counts += np.bincount(np.concatenate(held), minlength=CELLS)
-                    held = []
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), *(pa.nulls(n, t) for t in (pa.string(), pa.int32(), pa.int32(), pa.binary()))], names=["doc_id", "n_shingles", "node", "name", "slice", "fan", "counts"])
+                nodes.append(node)
+                maps.append(_bitmap(grams))
+                if node is not None and node not in seen:
+                    if len(seen) < 1_000_000:
+                        seen.add(node)
+                    held.append(grams)
+                    n += len(grams)
+                    if n > 1 << 22:
+                        yield counted(held)
+                        held, n = [], 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), *(pa.array([m[k] for m in maps], pa.int64()) for k in range(WORDS)), *(pa.nulls(len(sizes), pa.int64()) for _ in range(2))], names=names)
         if held:
-            counts += np.bincount(np.concatenate(held), minlength=CELLS)
-        for v in shared.vector_rows({"cells": counts}):
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(v.num_rows, pa.int64()) for _ in range(3)), *v.columns], names=["doc_id", "n_shingles", "node", *v.schema.names])
+            yield counted(held)
 
     return run
 
 
-def _classes(cells: np.ndarray) -> np.ndarray:
-    """0 for a cell of ordinary n-grams, and more for those that are frequent even among all that
-    share it: each doubling beyond twice the mean is a class, so hot passages come last."""
-    ratio = cells / max(1.0, cells.mean())
-    return np.maximum(0, np.floor(np.log2(np.maximum(ratio, 1e-9)))).astype(np.uint8)
+class Order:
+    """The global order: by count among the frequent n-grams, others before them, then by hash."""
+
+    def __init__(self, counts: dict[int, int]) -> None:
+        self.grams = np.array(sorted(np.array(list(counts), np.int64).view(np.uint64).tolist()), np.uint64)
+        self.counts = np.array([counts[g] for g in self.grams.view(np.int64).tolist()], np.int64)
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        """The counts of sorted n-grams, 0 for those that are not frequent."""
+        if not len(self.grams):
+            return np.zeros(len(grams), np.int64)
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        return np.where(self.grams[at] == grams, self.counts[at], 0)
 
 
-def _prefixes(width: int, percent: int, classes: np.ndarray) -> shared.Mapper:
+def _prefixes(width: int, percent: int, order: Order) -> shared.Mapper:
     """The first n-grams of each set in the global order."""
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams_of, seen = Shingles(width), set()
@@ -132,7 +159,7 @@ def _prefixes(width: int, percent: int, classes: np.ndarray) -> shared.Mapper:
                 if len(seen) < 1_000_000:
                     seen.add(node)
                 keep = len(grams) - -(-percent * len(grams) // 100) + 1
-                rank = classes[(grams & np.uint64(CELLS - 1)).astype(np.int64)]
+                rank = order.of(grams)
                 first = grams[np.argsort(rank, kind="stable")[:keep]] if rank.any() else grams[:keep]
                 out.append(first)
                 nodes.append(node)
@@ -144,7 +171,7 @@ def _prefixes(width: int, percent: int, classes: np.ndarray) -> shared.Mapper:
     return run
 
 
-def _segments(width: int, classes: np.ndarray) -> shared.Mapper:
+def _segments(width: int, order: Order) -> shared.Mapper:
     """The segments of each wanted node's set: its n-grams of each fragment of the order."""
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams_of = Shingles(width)
@@ -154,8 +181,7 @@ def _segments(width: int, classes: np.ndarray) -> shared.Mapper:
                 grams = grams_of.of(text.as_py())
                 if _node(grams) != want:
                     continue
-                hot = classes[(grams & np.uint64(CELLS - 1)).astype(np.int64)] > 0
-                part = np.where(hot, FRAGMENTS - 1, (grams >> np.uint64(32)) % np.uint64(FRAGMENTS - 1)).astype(np.int64)
+                part = np.where(order.of(grams) > 0, FRAGMENTS - 1, (grams >> np.uint64(32)) % np.uint64(FRAGMENTS - 1)).astype(np.int64)
                 out += [(want, f, grams[part == f].tobytes()) for f in np.unique(part).tolist()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], names=["node", "fragment", "grams"])
@@ -166,9 +192,9 @@ def _segments(width: int, classes: np.ndarray) -> shared.Mapper:
 def _overlaps(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The partial overlap of each pair in one fragment."""
     for batch in rows:
-        left, right = batch.column(4), batch.column(5)
+        left, right = batch.column(5), batch.column(6)
         n = [len(np.intersect1d(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64), assume_unique=True)) for a, b in zip(left, right, strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n, pa.int64())], names=[*batch.schema.names[:4], "n"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(n, pa.int64())], names=[*batch.schema.names[:5], "n"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -194,59 +220,63 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
     spark = docs.sparkSession
     shared.arrow_rows(spark)
     texts = _docs(docs)
-    found = shared.materialize(texts.mapInArrow(_nodes(width), f"doc_id long, n_shingles long, node long, {shared.VECTORS}"), "sets")
-    cells = shared.sum_vectors(found.filter("name IS NOT NULL").select("name", "slice", "fan", "counts"), {"cells": CELLS})["cells"]
-    sets = found.filter("name IS NULL").select("doc_id", "n_shingles", "node")
-    nodes = shared.materialize(sets.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
-    classes = _classes(cells)
-
-    postings = shared.materialize(texts.mapInArrow(_prefixes(width, percent, classes), "gram long, node long, size int"), "postings")
+    maps = [f"b{k}" for k in range(WORDS)]
+    found = shared.materialize(texts.mapInArrow(_nodes(width), ", ".join(f"{c} long" for c in ("doc_id", "n_shingles", "node", *maps, "gram", "count"))), "sets")
+    frequent = found.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "gram").limit(FREQUENT)
+    order = Order({r["gram"]: r["count"] for r in frequent.collect()})
+    sets = found.filter("gram IS NULL").select("doc_id", "n_shingles", "node")
+    nodes = found.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), *[F.first(b).alias(b) for b in maps])
+    nodes = shared.materialize(nodes, "nodes")
+
+    postings = shared.materialize(texts.mapInArrow(_prefixes(width, percent, order), "gram long, node long, size int"), "postings")
     grams = postings.groupBy("gram").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
     grams = shared.materialize(grams.select("gram", "n"), "grams")
     total = postings.count()
-    postings = shared.materialize(shared.hot_join(postings, grams.select("gram"), "gram", grams, total), "postings")
-
-    similar = (F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent) & (F.col("a") != F.col("b"))
-    verified = edges = labels = None
-    for turn in range(ROUNDS + 1):
-        at = postings
+    postings = shared.hot_join(postings, grams.select("gram"), "gram", grams, total).distinct()
+    postings = shared.materialize(postings.join(nodes.select("node", *maps), "node"), "postings")
+
+    # elements that two linked sets may differ in: all of both, less twice the least overlap
+    both = F.col("size_a") + F.col("size_b")
+    differ = both - 2 * F.ceil(both * percent / (100 + percent))
+    bits = sum((F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in maps), F.lit(0))
+    similar = (F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent) & (bits <= differ) & (F.col("a") != F.col("b"))
+    named = lambda df, x: df.select("gram", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", "label", *maps)])
+    labels = edges = verified = None
+    for turn in range(HUB_ROUNDS + 1):
+        at = postings.withColumn("label", F.col("node"))
         if labels is not None:
-            at = shared.materialize(postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "postings")
-            by = at.groupBy("gram", "label").agg(F.count("*").alias("k")).groupBy("gram").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count("*").alias("labels")).filter("labels > 1")
-            by = shared.materialize(by, "grams")
-            r = by.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
-            if not r["rows"]:
-                break
-            at = shared.hot_join(at, by.select("gram"), "gram", by.select("gram", "n"), int(r["rows"]))
-            last = turn == ROUNDS or r["pairs"] <= 4 * r["rows"] + 100_000
-        else:
-            at, last, by = at.withColumn("label", F.col("node")), False, grams
-        if last:
-            one, two = (at.select("gram", F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("label").alias(f"label_{x}")) for x in "ab")
-            pairs = one.join(two, "gram").filter(similar & (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")))
-        else:
+            at = postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            at = shared.materialize(at, "postings")
+        by = at.groupBy("gram", "label").agg(F.count("*").alias("k")).groupBy("gram").agg(F.sum("k").alias("n"), F.max_by("label", F.struct("k", "label")).alias("largest"), F.count("*").alias("labels"))
+        by = shared.materialize(by.filter("labels > 1").select("gram", "n", "largest"), "grams")
+        n = by.agg(F.sum("n")).first()[0]
+        if not n:
+            break
+        at = shared.materialize(shared.hot_join(at, by.select("gram", "largest"), "gram", by.select("gram", "n"), int(n)), "postings")
+        if turn < HUB_ROUNDS:
             # a hub for each n-gram, of another component each time
-            hub = F.min(F.struct(F.xxhash64(F.lit(turn), "label").alias("by"), F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))).alias("hub")
-            hubs = at.groupBy("gram").agg(hub).select("gram", "hub.b", "hub.size_b", "hub.label_b")
-            one = at.select("gram", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("label").alias("label_a"))
-            pairs = shared.hot_join(one, hubs, "gram", by.select("gram", "n"), total).filter(similar & (F.col("label_a") != F.col("label_b")))
-            pairs = pairs.withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b"), "size_a": F.when(F.col("a") < F.col("b"), F.col("size_a")).otherwise(F.col("size_b")), "size_b": F.when(F.col("a") < F.col("b"), F.col("size_b")).otherwise(F.col("size_a"))})
-        pairs = pairs.select("a", "b", "size_a", "size_b").distinct()
+            hubs = at.groupBy("gram").agg(F.min_by(F.struct("node", "size", "label", *maps), F.struct(F.xxhash64(F.lit(turn), "label"), "node")).alias("h")).select("gram", "h.*")
+            pairs = shared.hot_join(named(at, "a"), named(hubs, "b"), "gram", by.select("gram", "n"), int(n)).filter(similar & (F.col("label_a") != F.col("label_b")))
+        else:
+            # what is outside its n-gram's largest component, against all of other components
+            outside = named(at.filter("label != largest"), "a")
+            everyone = at.select("gram", "largest", F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("size", "label", *maps)])
+            pairs = outside.join(everyone, (outside["gram"] == everyone["gram"]) & (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("largest")) | (F.col("a") < F.col("b"))) & similar)
+        first = F.col("a") < F.col("b")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(first, F.col("size_a")).otherwise(F.col("size_b")).alias("size_a"), F.when(first, F.col("size_b")).otherwise(F.col("size_a")).alias("size_b")).distinct()
         if verified is not None:
             pairs = pairs.join(verified, ["a", "b"], "left_anti")
         pairs = shared.materialize(pairs, "pairs")
-        links = shared.materialize(_verify(texts, nodes, pairs, width, percent, classes), "links")
+        links = shared.materialize(_verify(texts, nodes, pairs, width, percent, order), "links")
         seen = pairs.select("a", "b")
         verified = seen if verified is None else verified.unionByName(seen)
         edges = links if edges is None else edges.unionByName(links)
         if links.limit(1).count():
             labels = components(edges)
-        elif labels is None:
-            labels = shared.materialize(nodes.select("node", F.col("node").alias("label")).limit(0), "labels")
-        if last:
-            break
+    if labels is None:
+        labels = nodes.select("node", F.col("node").alias("label")).limit(0)
 
-    of = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of = nodes.select("node", "least", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     of = shared.materialize(of, "nodes")
     least = of.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     members = shared.hot_join(of.select("node", "label"), least.select("label", "component_id"), "label", least.select("label", "n"), nodes.count()).select("node", "component_id")
@@ -255,16 +285,17 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
     return linked.select("doc_id", "n_shingles", "component_id").unionByName(alone.select("doc_id", "n_shingles", "component_id"))
 
 
-def _verify(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int, classes: np.ndarray) -> DataFrame:
+def _verify(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int, order: Order) -> DataFrame:
     """The pairs (a, b) that are linked: overlaps counted fragment by fragment, summed by pair."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = shared.materialize(nodes.join(wanted, "node", "left_semi").select("node", F.col("least").alias("doc_id")), "wanted")
+    wanted = shared.materialize(nodes.select("node", F.col("least").alias("doc_id")).join(wanted, "node", "left_semi"), "wanted")
     small = wanted.count() <= SEND  # else both sides shuffle
-    segments = texts.join(F.broadcast(wanted) if small else wanted, "doc_id").select("text", "node").mapInArrow(_segments(width, classes), "node long, fragment int, grams binary")
-    segments = shared.materialize(segments.dropDuplicates(["node", "fragment"]), "segments")
+    segments = texts.join(F.broadcast(wanted) if small else wanted, "doc_id").select("text", "node").mapInArrow(_segments(width, order), "node long, fragment int, grams binary")
+    segments = shared.materialize(segments, "segments")
     one, two = (segments.select(F.col("node").alias(x), "fragment", F.col("grams").alias(f"grams_{x}")) for x in "ab")
-    met = pairs.join(one, "a").join(two, ["b", "fragment"]).select("a", "b", "size_a", "size_b", "grams_a", "grams_b")
-    sums = met.mapInArrow(_overlaps, "a long, b long, size_a int, size_b int, n long").groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"))
+    met = pairs.join(one, "a").join(two, ["b", "fragment"]).select("a", "b", "size_a", "size_b", "fragment", "grams_a", "grams_b")
+    parts = met.mapInArrow(_overlaps, "a long, b long, size_a int, size_b int, fragment int, n long").groupBy("a", "b", "size_a", "size_b", "fragment").agg(F.max("n").alias("n"))
+    sums = parts.groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"))
     return sums.filter(F.col("n") * 100 >= (F.col("size_a") + F.col("size_b") - F.col("n")) * percent).select("a", "b")
 
 
