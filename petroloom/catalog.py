@@ -427,6 +427,73 @@ def capped_neighbours(spark, d):
     return spatial.capped(grouped, by="component").select("i", "j", r6("distance").alias("distance"))
 
 
+# Streams and kernels, on events and on synthetic frames: no SQL says these
+
+@query(f"""WITH RECURSIVE f AS ({FRAMES}), k AS (
+SELECT user_id, frame_index, value AS last, TRUE AS kept FROM f WHERE frame_index = 0
+UNION ALL SELECT f.user_id, f.frame_index, CASE WHEN abs(f.value - k.last) >= 40 THEN f.value ELSE k.last END, abs(f.value - k.last) >= 40 FROM k JOIN f ON f.user_id = k.user_id AND f.frame_index = k.frame_index + 1)
+SELECT user_id, CAST(frame_index AS BIGINT) AS frame_index FROM k WHERE kept""")
+def stream_keyframes(spark, d):
+    """The keyframe gate as a stateful stream over the event frames, run until all are read."""
+    import uuid
+
+    from petroloom.operators.graph import shared_folder
+    from petroloom.streaming import keyframes
+
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    source = stream(spark, d).select("user_id", "frame_index", "value")
+    source.write.parquet(f"{at}/in")
+    live = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{at}/in")
+    writer = keyframes.gate(live, "user_id", "value", 40.0).writeStream.format("parquet").outputMode("append")
+    writer.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    return spark.read.schema("user_id long, frame_index long, late long").parquet(f"{at}/out").select("user_id", "frame_index")
+
+
+@query()
+def pose_solve(spark, d):
+    """Robust poses of each component of near keyframes, one task for each component."""
+    import pandas as pd
+
+    from petroloom.functions import posegraph as pg
+
+    of = labels(spark, d)
+    e = edges(spark, d).withColumn("phi", F.lit(0.0)).join(of.select(F.col("id").alias("i"), F.col("label").alias("component")), "i")
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = sorted(set(pdf["i"]) | set(pdf["j"]))
+        number = {v: k for k, v in enumerate(ids)}
+        mine = pdf.assign(i=pdf["i"].map(number), j=pdf["j"].map(number)).sort_values(["i", "j"])
+        p = pg.solve(pg.integrate(len(ids), mine, 0), mine, 100.0, False)
+        return pd.DataFrame({"component": pdf["component"].iloc[0], "id": ids, "x": p[:, 0].round(4), "y": p[:, 1].round(4)})
+
+    return e.groupBy("component").applyInPandas(solve, "component long, id long, x double, y double")
+
+
+@query()
+def frame_registration(spark, d):
+    """Masked correlation and refinement of pairs of synthetic frames: found and true shifts."""
+    import pandas as pd
+
+    def run(pdfs):
+        from petroloom.functions.fov import FieldOfView
+        from petroloom.functions.registration import Registrar
+        from petroloom.settings import Settings
+        from petroloom.sources import synthetic
+
+        img, fov = synthetic.specimen(500, 400, 1, 150), FieldOfView(120.3, 90.1, 80, 240, 180)
+        reg = Registrar(fov, Settings(work_diameter=160, coarse_diameter=80))
+        for pdf in pdfs:
+            out = []
+            for k in pdf["id"]:
+                dx, dy = 10.0 + 7.3 * k, 4.0 * k - 9.5
+                a, b = (reg.prepare(fov.crop(synthetic.view(img, fov, x, y, seed=int(s)))) for x, y, s in ((200, 180, k), (200 + dx, 180 + dy, 99 + k)))
+                _, pose = reg.register(a, b)
+                out.append((k, dx, dy, *((round(pose.dx, 3), round(pose.dy, 3), round(pose.quality, 4)) if pose else (None, None, None))))
+            yield pd.DataFrame(out, columns=["id", "true_dx", "true_dy", "dx", "dy", "quality"])
+
+    return spark.range(8).repartition(4).mapInPandas(run, "id long, true_dx double, true_dy double, dx double, dy double, quality double")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

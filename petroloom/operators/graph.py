@@ -4,16 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from petroloom.functions import geometry as g
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local session without one gets its own."""
+    context = spark.sparkContext
+    if named := spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir():
+        return named
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="petroloom-"))
+    return context.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Ends df's lineage in the shared checkpoint folder; a local session without one gets its own."""
-    context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="petroloom-"))
+    """Ends df's lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
