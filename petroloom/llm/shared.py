@@ -59,7 +59,8 @@ def arrow_rows(spark: SparkSession, rows: int = 512) -> None:
 
 def batches(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `most` bytes of a string column each, one row at least."""
-    lengths = np.diff(np.frombuffer(batch.column(column).cast(pa.large_string()).buffers()[1], dtype=np.int64)[batch.column(column).offset :][: batch.num_rows + 1]) if batch.num_rows else np.zeros(0)
+    texts = batch.column(column).cast(pa.large_string())
+    lengths = np.diff(np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]) if len(texts) else []
     start, held = 0, 0
     for i, n in enumerate(lengths):
         if held and held + n > most:
