@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from petroloom.llm import shared
 
 PERCENT, WIDTH = 85, 4
-FREQUENT = 1 << 18  # n-grams whose counts order prefixes, at most: 4 MB
-FRAGMENTS = 8  # the last holds the frequent n-grams
+FREQUENT = 1 << 17  # n-grams whose counts order prefixes, at most: 2 MB
+FRAGMENTS = 4  # the last holds the frequent n-grams
 HUB_ROUNDS = 2
 WORDS = 8  # of 64 bits, of a set's parity bitmap
 SEND = 1_000_000  # ids of candidates that may be broadcast: 8 MB
@@ -134,9 +134,9 @@ def _nodes(width: int) -> shared.Mapper:
 class Order:
     """The global order: by count among the frequent n-grams, others before them, then by hash."""
 
-    def __init__(self, counts: dict[int, int]) -> None:
-        self.grams = np.array(sorted(np.array(list(counts), np.int64).view(np.uint64).tolist()), np.uint64)
-        self.counts = np.array([counts[g] for g in self.grams.view(np.int64).tolist()], np.int64)
+    def __init__(self, grams: np.ndarray, counts: np.ndarray) -> None:
+        at = np.argsort(grams.view(np.uint64))
+        self.grams, self.counts = grams.view(np.uint64)[at], counts[at]
 
     def of(self, grams: np.ndarray) -> np.ndarray:
         """The counts of sorted n-grams, 0 for those that are not frequent."""
@@ -151,7 +151,7 @@ def _prefixes(width: int, percent: int, order: Order) -> shared.Mapper:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams_of, seen = Shingles(width), set()
         for batch in rows:
-            out, nodes, sizes, counts = [], [], [], []
+            out, nodes, counts = [], [], []
             for text in batch.column(1):
                 grams = grams_of.of(text.as_py())
                 if not len(grams) or (node := _node(grams)) in seen:
@@ -163,10 +163,9 @@ def _prefixes(width: int, percent: int, order: Order) -> shared.Mapper:
                 first = grams[np.argsort(rank, kind="stable")[:keep]] if rank.any() else grams[:keep]
                 out.append(first)
                 nodes.append(node)
-                sizes.append(len(grams))
                 counts.append(len(first))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int32), counts))], names=["gram", "node", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), counts))], names=["gram", "node"])
 
     return run
 
@@ -223,30 +222,29 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
     maps = [f"b{k}" for k in range(WORDS)]
     found = shared.materialize(texts.mapInArrow(_nodes(width), ", ".join(f"{c} long" for c in ("doc_id", "n_shingles", "node", *maps, "gram", "count"))), "sets")
     frequent = found.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "gram").limit(FREQUENT)
-    order = Order({r["gram"]: r["count"] for r in frequent.collect()})
+    frequent = frequent.toArrow()  # bounded by FREQUENT
+    order = Order(frequent["gram"].to_numpy(), frequent["count"].to_numpy())
     sets = found.filter("gram IS NULL").select("doc_id", "n_shingles", "node")
-    nodes = found.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), *[F.first(b).alias(b) for b in maps])
+    nodes = found.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("n_shingles").alias("size"), *[F.first(b).alias(b) for b in maps])
     nodes = shared.materialize(nodes, "nodes")
 
-    postings = shared.materialize(texts.mapInArrow(_prefixes(width, percent, order), "gram long, node long, size int"), "postings")
+    postings = shared.materialize(texts.mapInArrow(_prefixes(width, percent, order), "gram long, node long"), "postings")
     grams = postings.groupBy("gram").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
     grams = shared.materialize(grams.select("gram", "n"), "grams")
     total = postings.count()
-    postings = shared.hot_join(postings, grams.select("gram"), "gram", grams, total).distinct()
-    postings = shared.materialize(postings.join(nodes.select("node", *maps), "node"), "postings")
+    postings = shared.materialize(shared.hot_join(postings, grams.select("gram"), "gram", grams, total).distinct(), "postings")
 
     # elements that two linked sets may differ in: all of both, less twice the least overlap
     both = F.col("size_a") + F.col("size_b")
     differ = both - 2 * F.ceil(both * percent / (100 + percent))
     bits = sum((F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in maps), F.lit(0))
     similar = (F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent) & (bits <= differ) & (F.col("a") != F.col("b"))
-    named = lambda df, x: df.select("gram", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", "label", *maps)])
+    described = lambda x: nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", *maps)])
     labels = edges = verified = None
     for turn in range(HUB_ROUNDS + 1):
         at = postings.withColumn("label", F.col("node"))
         if labels is not None:
-            at = postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            at = shared.materialize(at, "postings")
+            at = shared.materialize(postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "postings")
         by = at.groupBy("gram", "label").agg(F.count("*").alias("k")).groupBy("gram").agg(F.sum("k").alias("n"), F.max_by("label", F.struct("k", "label")).alias("largest"), F.count("*").alias("labels"))
         by = shared.materialize(by.filter("labels > 1").select("gram", "n", "largest"), "grams")
         n = by.agg(F.sum("n")).first()[0]
@@ -254,16 +252,20 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
             break
         at = shared.materialize(shared.hot_join(at, by.select("gram", "largest"), "gram", by.select("gram", "n"), int(n)), "postings")
         if turn < HUB_ROUNDS:
-            # a hub for each n-gram, of another component each time
-            hubs = at.groupBy("gram").agg(F.min_by(F.struct("node", "size", "label", *maps), F.struct(F.xxhash64(F.lit(turn), "label"), "node")).alias("h")).select("gram", "h.*")
-            pairs = shared.hot_join(named(at, "a"), named(hubs, "b"), "gram", by.select("gram", "n"), int(n)).filter(similar & (F.col("label_a") != F.col("label_b")))
+            # one hub for each n-gram; a set has many n-grams, so it meets many hubs
+            hubs = at.groupBy("gram").agg(F.min_by(F.struct("node", "label"), F.xxhash64(F.lit(turn), "gram", "node")).alias("h")).select("gram", F.col("h.node").alias("b"), F.col("h.label").alias("label_b"))
+            met = shared.hot_join(at.select("gram", F.col("node").alias("a"), "label"), hubs, "gram", by.select("gram", "n"), int(n)).filter("label != label_b")
+            met = shared.materialize(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+            pairs = met.join(described("a"), "a").join(described("b"), "b").filter(similar)
         else:
             # what is outside its n-gram's largest component, against all of other components
-            outside = named(at.filter("label != largest"), "a")
-            everyone = at.select("gram", "largest", F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("size", "label", *maps)])
+            whole = at.join(nodes.select("node", "size", *maps), "node")
+            named = lambda df, x: df.select("gram", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", "label", *maps)])
+            outside = named(whole.filter("label != largest"), "a")
+            everyone = whole.select("gram", "largest", F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("size", "label", *maps)])
             pairs = outside.join(everyone, (outside["gram"] == everyone["gram"]) & (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("largest")) | (F.col("a") < F.col("b"))) & similar)
         first = F.col("a") < F.col("b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(first, F.col("size_a")).otherwise(F.col("size_b")).alias("size_a"), F.when(first, F.col("size_b")).otherwise(F.col("size_a")).alias("size_b")).distinct()
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(first, F.col("size_a")).otherwise(F.col("size_b")).cast("int").alias("size_a"), F.when(first, F.col("size_b")).otherwise(F.col("size_a")).cast("int").alias("size_b")).distinct()
         if verified is not None:
             pairs = pairs.join(verified, ["a", "b"], "left_anti")
         pairs = shared.materialize(pairs, "pairs")
