@@ -33,19 +33,25 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def materialize(df: DataFrame, label: str = "step") -> DataFrame:
+def materialize(df: DataFrame, label: str = "step", hold: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here, so a lost
-    executor costs a read and not the work before it."""
+    executor costs a read and not the work before it. Tables to hold are not those of written()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    if not hold:
+        _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: Iterable[str] = ()) -> None:
-    """Deletes the tables that materialize() has written so far. Frames over them end here."""
-    for path in [p for p in _written if p not in set(keep)]:
+def written() -> list[str]:
+    """The tables that materialize() has written so far, in order."""
+    return list(_written)
+
+
+def release(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes tables of written(). Frames that read them end here."""
+    for path in set(paths) & set(_written):
         with contextlib.suppress(Exception):
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -412,7 +412,7 @@ def test_pipeline(spark, sf):
     seen, columns = [docs.count()], docs.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = docs
-        docs = shared.materialize(stage(spark, docs, sf))
+        docs = shared.materialize(stage(spark, docs, sf), hold=True)
         assert docs.columns == columns, name
         seen.append(docs.count())
         if name.startswith("n-gram"):
@@ -424,3 +424,14 @@ def test_pipeline(spark, sf):
     rows = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     check_packing(rows, 4096)
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_stages_on_odd_and_empty_input(spark, sf, odd, empty):
+    import corpus_pipeline
+
+    for docs in (odd, empty):
+        columns = docs.columns
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = shared.materialize(stage(spark, docs, sf), hold=True)
+            assert docs.columns == columns
+        check_packing(corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect(), 4096)
