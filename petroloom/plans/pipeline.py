@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from petroloom.functions import blend, fov as fv, imaging as im
+from petroloom.functions import blend, draw, fov as fv, imaging as im
 from petroloom.operators.graph import cut
 from petroloom.plans import keyframes as kf, mosaic
 from petroloom.plans.matching import SparkMatcher
@@ -110,6 +110,10 @@ def run(frames: DataFrame, out: str, settings: Settings = Settings(), fov: fv.Fi
 
     os.makedirs(out, exist_ok=True)
     fov = fov or detect_fov(frames, settings.mask_margin)
+    first = frames.orderBy("frame_index").limit(1).collect()
+    if not first:
+        raise ValueError("no frames")
+    mosaic.jpeg(frames.sparkSession, draw.field_of_view(kf.image(first[0]["data"], first[0]["width"], first[0]["height"]), fov), f"{out}/fov.jpg", settings.jpeg_quality)
     tell(0.05, "tracking")
     events = cut(kf.select(frames, fov, settings, fps))
     keyframes = events.filter("event = 'keyframe'").select("id", "frame_index", "time_s", "segment", "sharpness").orderBy("id").toPandas()
@@ -135,6 +139,7 @@ def run(frames: DataFrame, out: str, settings: Settings = Settings(), fov: fv.Fi
         records = graph.link_records().rename(columns={"i": "main_kf", "j": "seg_kf", "second": "second_peak", "residual": "residual_px"})
         if "theta" in records:
             records["rot_deg"] = np.degrees(records["theta"].astype(float))
+        previews(records, crops, fov, out)
         records.reindex(columns=LINKS).to_csv(f"{out}/segment_links.csv", index=False, float_format="%.4f")
     if settings.keep_merge_data:
         save_state(result, crops, table.assign(quality=quality, n_links=links), settings, gain)
@@ -144,6 +149,21 @@ def run(frames: DataFrame, out: str, settings: Settings = Settings(), fov: fv.Fi
     return result
 
 
+def previews(records: pd.DataFrame, crops: DataFrame, fov: fv.FieldOfView, out: str, most: int = 120) -> None:
+    """Pictures of the first `most` link records, named in their `preview`."""
+    if not len(records):
+        return
+    records["preview"] = ""
+    some = records.head(most)
+    ids = sorted({int(x) for c in ("main_kf", "seg_kf") for x in some[c]})
+    img = {r["id"]: kf.image(r["data"], r["width"], r["height"]) for r in crops.filter(F.col("id").isin(ids)).collect()}
+    os.makedirs(f"{out}/links", exist_ok=True)
+    for k, r in some.iterrows():
+        name = f"links/{int(r['attempt']):03d}_{int(r['main_kf'])}_{int(r['seg_kf'])}_{r['status']}.jpg"
+        mosaic.jpeg(crops.sparkSession, draw.overlay(img[int(r["main_kf"])], img[int(r["seg_kf"])], fov, r["dx"], r["dy"], r["phi"]), f"{out}/{name}")
+        records.loc[k, "preview"] = name
+
+
 def render_component(result: Result, crops: DataFrame, table: pd.DataFrame, c: int, settings: Settings, gain: np.ndarray | None) -> None:
     mine = table[table["component"] == c]
     name = "mosaic" if c == 0 else f"unlinked_{c}"

@@ -61,11 +61,18 @@ def test_files(result):
     assert pixels.shape[1::-1] == result.mosaics[0]["size"]
     assert (pixels.sum(axis=2) > 0).mean() > 0.5
     assert open(f"{result.out}/mosaic_preview.jpg", "rb").read(2) == b"\xff\xd8"
+    assert open(f"{result.out}/fov.jpg", "rb").read(2) == b"\xff\xd8"
     report = pd.read_csv(f"{result.out}/frame_positions.csv")
     assert list(report.columns) == pipeline.POSITIONS and (report["status"] == "used").all() and report["x"].min() > 0
     assert list(pd.read_csv(f"{result.out}/segment_links.csv").columns) == pipeline.LINKS
 
 
+def test_link_previews(spark, result, tmp_path):
+    records = pd.DataFrame({"attempt": [1], "main_kf": [0], "seg_kf": [1], "status": ["accepted"], "dx": [20.0], "dy": [0.0], "phi": [0.0]})
+    pipeline.previews(records, spark.read.parquet(f"{result.out}/merge/crops.parquet"), FOV, str(tmp_path))
+    assert open(tmp_path / records["preview"][0], "rb").read(2) == b"\xff\xd8"
+
+
 def test_attaching_by_hand(spark, result):
     """Cuts the result's graph in two by its state and puts it together again."""
     session = merge.MergeSession(spark, result.out)
@@ -96,6 +103,17 @@ def test_attaching_by_hand(spark, result):
         again.merge(1, got)
 
 
+def test_pictures():
+    from petroloom.functions import draw
+
+    img = synthetic.specimen(400, 300, 3, 80)
+    a, b = (synthetic.view(img, FOV, x, 150, noise=0) for x in (190, 210))
+    out = draw.overlay(FOV.crop(a), FOV.crop(b), FOV, 20.0, 0.0, 0.0)
+    inner = out[80:120, 90:120].astype(int)
+    assert np.abs(inner[..., 0] - inner[..., 1]).mean() < 8
+    assert (draw.field_of_view(a, FOV) == (0, 255, 0)).all(axis=2).any()
+
+
 def test_points():
     t = (120.0, -40.0, math.radians(2.0))
     u = np.array([(0, 0), (500, 30), (100, 400)], float)
