@@ -157,17 +157,29 @@ CANDIDATES = f"""SELECT * FROM (SELECT a.vec_id AS s, b.vec_id AS m, {NCC} AS nc
 FROM ({CENTRED}) a JOIN ({CENTRED}) b ON a.vec_id IN ({SAMPLES}) AND b.label = 1) WHERE rank <= 3"""
 
 
-def candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Twelve samples of segment 0 against all of segment 1. The samples are twelve rows by construction."""
-    e = descriptors(spark, d)
-    order = frames.indexed(e.filter("label = 0").select("vec_id", "label"), "label", ["vec_id"])
+def matched(e: DataFrame, segments: DataFrame, main: DataFrame) -> DataFrame:
+    """The three best matches in main of twelve samples of each segment."""
+    order = frames.indexed(segments.select("vec_id", "label"), "label", ["vec_id"])
     samples = frames.sample_even(order, "label", 12).select("vec_id").distinct()
-    s = F.broadcast(e.join(F.broadcast(samples), "vec_id").select(F.col("vec_id").alias("s"), F.col("c").alias("a"), F.col("c_len").alias("a_len")))
-    m = e.filter("label = 1").select(F.col("vec_id").alias("m"), F.col("c").alias("b"), F.col("c_len").alias("b_len"))
-    pairs = m.join(s, F.col("s") != F.col("m")).select("s", "m", r6(matching.ncc("a", "b")).alias("ncc"))
+    s = F.broadcast(e.join(F.broadcast(samples), "vec_id").select(F.col("label").alias("segment"), F.col("vec_id").alias("s"), F.col("c").alias("a"), F.col("c_len").alias("a_len")))
+    m = main.select(F.col("vec_id").alias("m"), F.col("c").alias("b"), F.col("c_len").alias("b_len"))
+    pairs = m.join(s, F.col("s") != F.col("m")).select("segment", "s", "m", r6(matching.ncc("a", "b")).alias("ncc"))
     return matching.top_per(pairs, "s", [F.desc("ncc"), F.col("m")], 3)
 
 
+def candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Twelve samples of segment 0 against all of segment 1, as the SQL has it; segment_candidates takes all."""
+    e = descriptors(spark, d)
+    return matched(e, e.filter("label = 0"), e.filter("label = 1"))
+
+
+def all_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Twelve samples of each segment but the largest, against all of the largest."""
+    e = descriptors(spark, d)
+    main = F.broadcast(e.groupBy("label").count().orderBy(F.desc("count"), "label").limit(1).select("label"))
+    return matched(e, e.join(main, "label", "left_anti"), e.join(main, "label", "left_semi"))
+
+
 @query(f"SELECT s, m, ncc, rank FROM ({CANDIDATES})")
 def top_candidates(spark, d):
     """The three best matches of each sample."""
@@ -290,12 +302,12 @@ TURNED = f"SELECT *, tm + phi - ts AS theta, xm + cos(tm) * dx - sin(tm) * dy AS
 IMPLIED = f"SELECT *, ox - (cos(theta) * xs - sin(theta) * ys) AS tx, oy - (sin(theta) * xs + cos(theta) * ys) AS ty FROM ({TURNED})"
 
 
-def links(spark: SparkSession, d: str) -> DataFrame:
+def links(spark: SparkSession, d: str, of: Query = candidates) -> DataFrame:
     p = points(spark, d)
     pose = lambda x: p.select(F.col("id").alias(x), F.col("x").alias(f"x{x}"), F.col("y").alias(f"y{x}"), (F.lit(0.001) * (F.col("id") % 10)).alias(f"t{x}"))
-    c = candidates(spark, d).join(pose("m"), "m").join(pose("s"), "s")
+    c = of(spark, d).join(pose("m"), "m").join(pose("s"), "s")
     k = F.col("rank").cast("double")
-    c = c.select("s", "m", F.col("ncc").alias("quality"), "xm", "ym", "tm", "xs", "ys", "ts", (5 * k).alias("dx"), (3 * k).alias("dy"), (F.lit(0.0005) * k).alias("phi"))
+    c = c.select("segment", "s", "m", F.col("ncc").alias("quality"), "xm", "ym", "tm", "xs", "ys", "ts", (5 * k).alias("dx"), (3 * k).alias("dy"), (F.lit(0.0005) * k).alias("phi"))
     tx, ty, theta = g.implied(tuple(map(F.col, ("xm", "ym", "tm"))), tuple(map(F.col, ("xs", "ys", "ts"))), F.col("dx"), F.col("dy"), F.col("phi"))
     return c.withColumn("theta", theta).withColumn("tx", tx).withColumn("ty", ty)
 
@@ -340,6 +352,50 @@ def diagnostics_order(spark, d):
     return named.select("s", "m", "status", line.alias("line"))
 
 
+# Linking of every segment: the four queries above, not of segments 0 and 1 only
+
+MAIN = "(SELECT label FROM embeddings GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)"
+ALL_SAMPLES = f"SELECT vec_id FROM (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings WHERE label <> {MAIN}) WHERE r IN (SELECT CAST(floor(k * (n - 1) / 11) AS BIGINT) FROM range(12) t(k))"
+ALL_CANDIDATES = f"""SELECT * FROM (SELECT a.label AS segment, a.vec_id AS s, b.vec_id AS m, {NCC} AS ncc, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY {NCC} DESC, b.vec_id) AS INTEGER) AS rank
+FROM ({CENTRED}) a JOIN ({CENTRED}) b ON a.vec_id IN ({ALL_SAMPLES}) AND b.label = {MAIN}) WHERE rank <= 3"""
+ALL_LINK = LINK.replace(CANDIDATES, ALL_CANDIDATES).replace("SELECT c.s,", "SELECT c.segment, c.s,", 1)
+ALL_IMPLIED = IMPLIED.replace(LINK, ALL_LINK)
+ALL_MAPPED = MAPPED.replace(IMPLIED, ALL_IMPLIED).replace("SELECT s,", "SELECT segment, s,", 1)
+ALL_AGREE = f"{AGREE.replace(MAPPED, ALL_MAPPED)} AND a.segment = b.segment"
+
+
+@query(f"SELECT segment, s, m, ncc, rank FROM ({ALL_CANDIDATES})")
+def segment_candidates(spark, d):
+    """The three best matches in the largest segment of each sample of every other one."""
+    return all_candidates(spark, d).select("segment", "s", "m", "ncc", "rank")
+
+
+@query(f"SELECT segment, s, m, round(tx, 6) AS tx, round(ty, 6) AS ty, round(theta, 6) AS theta FROM ({ALL_IMPLIED})")
+def segment_transforms(spark, d):
+    """The transform to the largest segment that each candidate of every other one implies."""
+    return links(spark, d, all_candidates).select("segment", "s", "m", *[r6(c).alias(c) for c in ("tx", "ty", "theta")])
+
+
+@query(f"""WITH a AS ({ALL_AGREE}), t AS (SELECT k, count(*) AS agree, round(sum(quality), 6) AS quality FROM a GROUP BY k), m AS ({APART.format("m")}), s AS ({APART.format("s")})
+SELECT e.label AS segment, t.k, t.agree, t.quality, least(m.n, s.n) AS support FROM t JOIN m USING (k) JOIN s USING (k) JOIN embeddings e ON e.vec_id = t.k // 1000000""")
+def segment_consensus(spark, d):
+    """For each candidate of every segment those of its segment that agree with it; a segment is an attempt."""
+    x, y = linking.mapped(F.col("theta"), F.col("tx"), F.col("ty"), F.lit(10.0), F.lit(20.0))
+    c = links(spark, d, all_candidates).select("segment", "s", "m", (F.col("s") * 1000000 + F.col("m")).alias("k"), "quality", "theta", x.alias("mx"), y.alias("my"))
+    return linking.agreeing(c, "segment", 150.0).select("segment", "k", "agree", r6("quality").alias("quality"), "support")
+
+
+@query(f"""SELECT segment, s, m, status, CAST(row_number() OVER (ORDER BY segment, CASE status WHEN 'accepted' THEN 0 WHEN 'outlier' THEN 1 ELSE 2 END, quality DESC, s, m) AS INTEGER) AS line
+FROM (SELECT *, CASE WHEN quality > 0.3 THEN 'accepted' WHEN quality > 0.25 THEN 'outlier' ELSE 'rejected' END AS status FROM ({ALL_LINK}))""")
+def segment_diagnostics(spark, d):
+    """Link records of every segment in the order of the diagnostics file: 36 rows at most of each."""
+    q = F.col("quality")
+    named = links(spark, d, all_candidates).withColumn("status", F.when(q > 0.3, "accepted").when(q > 0.25, "outlier").otherwise("rejected"))
+    rank = F.when(F.col("status") == "accepted", 0).when(F.col("status") == "outlier", 1).otherwise(2)
+    line = F.row_number().over(Window.orderBy("segment", rank, F.desc("quality"), "s", "m"))
+    return named.select("segment", "s", "m", "status", line.alias("line"))
+
+
 # Tiles
 
 BOX, TILE = 60.0, 64.0
