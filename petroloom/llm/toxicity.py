@@ -3,7 +3,8 @@
 A noisy channel may have written letters as look-alikes, repeated them or set them apart. For a word
 that shows any of this a lattice is built, of the letters that each run of characters may stand for,
 and the Viterbi path under a character trigram model of the whole corpus is the restored word; any
-other word's lattice has one path, the word itself. Restored words are then scored: features (the
+other word's lattice has one path, the word itself. A doubled letter may stay, at no cost, or stand
+for one. Restored words are then scored: features (the
 word and its beginnings) that occur far more often in labelled toxic documents carry weights, and
 a logistic function of a document's sum over distinct words, fitted on the same rows, gives the score.
 
@@ -41,11 +42,13 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[97:123] = _SYMBOL[65:91] = np.arange(1, 27)
 _SYMBOL[128:] = 27
+_SYMBOLS_OF = bytes(_SYMBOL.tolist())
 SYMBOLS = 28
 _CELLS = SYMBOLS**3
 
-_SPACED = re.compile(r"(?<!\w)[^\W_](?:[ .\-_*·]+[^\W_]){2,}(?!\w)")
-_ODD = re.compile(r"[0-9@$!|+(€£]|(.)\1\1|[^\W_][.\-_*·]+[^\W_]")
+_PART = rf"\w{re.escape(''.join(c for c in LOOKALIKES if not c.isalnum()))}"  # what may be a letter, once _ is replaced
+_SPACED = re.compile(rf"(?<![{_PART}])[{_PART}](?:[^{_PART}]+[{_PART}]){{2,}}(?![{_PART}])")
+_ODD = re.compile(r"[0-9@$!|+(€£]|([^\W\d_])\1|(.)\2\2|[^\W_][.\-_*·]+[^\W_]")
 _EDGES = ".,;:!?\"'()[]{}<>«»“”‘’*#%&|~`^=-_/\\"
 
 
@@ -69,7 +72,7 @@ class Decoder:
         pair = cube.sum(axis=0)
         backed = (pair + 0.1) / (pair + 0.1).sum(axis=1, keepdims=True)
         seen = cube + 5.0 * backed[None]
-        self.cost = -np.log(seen / seen.sum(axis=2, keepdims=True))
+        self.cost = (-np.log(seen / seen.sum(axis=2, keepdims=True))).tolist()
         self.known: dict[str, str] = {}
 
     @staticmethod
@@ -99,13 +102,13 @@ class Decoder:
             for (p, q), (cost, path) in states.items():
                 for text, channel in options:
                     a, b, c = p, q, cost + channel
-                    for s in _SYMBOL[list(text.encode())].tolist():
-                        c += self.cost[a, b, s]
+                    for s in text.encode().translate(_SYMBOLS_OF):
+                        c += self.cost[a][b][s]
                         a, b = b, s
                     if (a, b) not in now or c < now[a, b][0]:
                         now[a, b] = (c, (path, text))
             states = now
-        path = min(((c + self.cost[p, q, 0], t) for (p, q), (c, t) in states.items()), key=lambda x: x[0])[1]
+        path = min(((c + self.cost[p][q][0], t) for (p, q), (c, t) in states.items()), key=lambda x: x[0])[1]
         parts = []
         while path:
             path, text = path
@@ -126,20 +129,12 @@ class Decoder:
             if len(self.known) > 100_000:
                 self.known.clear()
             # punctuation at the end may be a letter or not: the cheaper reading by symbol wins
-            found = self.known[inner] = min((self.decode(inner), self.decode(word)), key=self._mean)
+            found = self.known[inner] = min({self.decode(x): 0 for x in dict.fromkeys((inner, word))}, key=self._mean)
         return found
 
     def _mean(self, word: str) -> float:
-        s = [0, 0, *_SYMBOL[list(word.encode())].tolist(), 0]
-        return sum(self.cost[a, b, c] for a, b, c in zip(s, s[1:], s[2:], strict=False)) / len(s)
-
-
-def _spaced(data: np.ndarray) -> bool:
-    """Are there single letters set apart, three in a row?"""
-    letter = (_SYMBOL[data] > 0) | ((data >= 48) & (data <= 57))
-    edge = np.concatenate([[False], letter, [False]])
-    lone = edge[1:-1] & ~edge[:-2] & ~edge[2:]
-    return len(lone) > 4 and bool((lone[:-4] & lone[2:-2] & lone[4:]).any()) or len(lone) > 6 and bool((lone[:-6] & lone[3:-3] & lone[6:]).any())
+        s = [0, 0, *word.encode().translate(_SYMBOLS_OF), 0]
+        return sum(self.cost[a][b][c] for a, b, c in zip(s, s[1:], s[2:], strict=False)) / len(s)
 
 
 def features(word: str) -> list[int]:
@@ -163,12 +158,12 @@ class Words(dict):
         return value
 
     def values_of(self, text: bytes) -> list:
-        """One value for each distinct chunk and each run of letters set apart."""
+        """One value for each distinct chunk and each run of letters and look-alikes set apart by anything else."""
         chunks = text.decode("utf-8", "replace").lower()
         out = list(map(self.__getitem__, set(chunks.split())))
-        if _spaced(np.frombuffer(text, np.uint8)):
-            for run in {m[0] for m in _SPACED.finditer(chunks)}:
-                out += [self.of(self.decoder.decode(w)) for w in {re.sub(r"[ .\-_*·]+", "", part) for part in [run, *re.split(r" {2,}", run)]} if len(w) > 2]
+        for run in {m[0] for m in _SPACED.finditer(chunks.replace("_", "-"))}:
+            parts = {re.sub(rf"[^{_PART}]+", "", part) for part in [run, *re.split(r"\s{2,}", run)]}
+            out += [self.of((self.decoder.restore if any(c.isalpha() for c in w) else self.decoder.decode)(w)) for w in parts if len(w) > 2]
         return out
 
 

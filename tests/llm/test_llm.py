@@ -305,6 +305,18 @@ def test_decoder():
     assert "idiot" in found
 
 
+def test_decoder_of_doubled_and_spread_letters():
+    words = "the idiot and the stupid loser said that this is a test of the idiot stupid loser trash words fall ball "
+    counts = np.zeros(toxicity._CELLS, np.int64)
+    s = np.concatenate([[0, 0], toxicity._SYMBOL[np.frombuffer((words * 20).encode(), np.uint8)], [0, 0]])
+    np.add.at(counts, (s[:-2] * 28 + s[1:-1]) * 28 + s[2:], 1)
+    decoder = toxicity.Decoder(counts)
+    for written, meant in (("iidiot", "idiot"), ("sttupid", "stupid"), ("looser", "loser"), ("ball", "ball")):
+        assert decoder.restore(written) == meant, written
+    for written, meant in ((b"l o $ e r", "loser"), (b"t r @ s h", "trash"), (b"$ t u p 1 d", "stupid"), (b"i . d . i . o . t", "idiot"), (b"i   d   i   o   t", "idiot"), (b"i/d/i/o/t", "idiot"), (b"i _ d _ i _ o _ t", "idiot")):
+        assert meant in toxicity.Words(decoder, lambda w: w).values_of(b"you " + written + b" now"), written
+
+
 def test_toxicity(spark, sf, odd, empty):
     rows = toxicity.op2_toxicity(spark, sf).collect()
     assert all(0 <= r["score"] <= 1 and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
