@@ -18,17 +18,31 @@ def flat_field(thumbs: list[np.ndarray], mask: np.ndarray, dark: float = 25.0) -
     """Gains that even the lighting out, from medians of many frames' pixels; None if too few are usable."""
     if len(thumbs) < 8:
         return None
-    stack = np.stack(thumbs).astype(np.float32)
-    g = np.stack([im.gray(t) for t in thumbs])
-    level = np.maximum(dark, 0.3 * np.percentile(g[:, mask], 95, axis=1))[:, None, None]
-    seen = (g >= level) & mask
-    n = seen.sum(axis=0)
-    valid = (n >= max(5, 0.3 * len(thumbs))) & mask
+    levels = np.array([least_level(t, mask, dark) for t in thumbs])
+    return gain_of(*middles(np.stack(thumbs).reshape(len(thumbs), -1, 3), levels, mask.ravel()), mask)
+
+
+def least_level(thumb: np.ndarray, mask: np.ndarray, dark: float) -> float:
+    """The gray below which a pixel of a frame is background."""
+    return max(dark, 0.3 * float(np.percentile(im.gray(thumb)[mask], 95)))
+
+
+def middles(pixels: np.ndarray, levels: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of some pixels (frame, pixel, 3) of all frames: which are seen often enough, and their medians (0 for others)."""
+    seen = (im.gray(pixels) >= levels[:, None]) & mask
+    valid = (seen.sum(axis=0) >= max(5, 0.3 * len(pixels))) & mask
+    out = np.zeros((len(valid), 3))
+    if valid.any():
+        out[valid] = np.nanmedian(np.where(seen[:, valid, None], pixels[:, valid].astype(np.float32), np.nan), axis=0)
+    return valid, out
+
+
+def gain_of(valid: np.ndarray, middle: np.ndarray, mask: np.ndarray) -> np.ndarray | None:
+    """Gains from the medians of all pixels; None if too few pixels have one."""
     if valid.sum() < 0.5 * mask.sum():
         return None
-    middle = np.nanmedian(np.where((seen & valid)[..., None], stack, np.nan)[:, valid], axis=0)
     terms = _terms(mask.shape[1], mask.shape[0])
-    fit = terms @ np.linalg.lstsq(terms[valid.ravel()], middle, rcond=None)[0]
+    fit = terms @ np.linalg.lstsq(terms[valid], middle[valid], rcond=None)[0]
     light = fit.reshape(*mask.shape, 3)
     light /= light[mask].mean(axis=0)
     return (1 / np.clip(light, 0.3, 3)).astype(np.float32)

@@ -63,15 +63,29 @@ def crops_of(frames: DataFrame, ids: pd.DataFrame, fov: fv.FieldOfView) -> DataF
     return frames.join(F.broadcast(named), "frame_index").select("id", "width", "height", "data").mapInPandas(run, "id long, width int, height int, data binary")
 
 
-def thumbs(crops: DataFrame, most: int = 160, n: int = 400) -> list[np.ndarray]:
-    """Small copies of at most n crops."""
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def flat_field(crops: DataFrame, ids: list[int], mask: np.ndarray, dark: float, most: int = 160, block: int = 512) -> np.ndarray | None:
+    """blend.flat_field of small copies of the crops of all ids, by blocks of pixels: no task holds all copies."""
+    if len(ids) < 8:
+        return None
+
+    def cut_up(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
-            parts = [np.rint(im.resize(kf.image(d, w, h), min(1.0, most / max(w, h)))).astype(np.uint8) for d, w, h in zip(pdf["data"], pdf["width"], pdf["height"], strict=True)]
-            yield pd.DataFrame({"id": pdf["id"], "w": [p.shape[1] for p in parts], "h": [p.shape[0] for p in parts], "t": [p.tobytes() for p in parts]})
+            for d, w, h in zip(pdf["data"], pdf["width"], pdf["height"], strict=True):
+                t = np.rint(im.resize(kf.image(d, w, h), min(1.0, most / max(w, h)))).astype(np.uint8)
+                flat = t.reshape(-1, 3)
+                at = range(0, len(flat), block)
+                yield pd.DataFrame({"block": [x // block for x in at], "level": blend.least_level(t, mask, dark), "pixels": [flat[x : x + block].tobytes() for x in at]})
+
+    def middle(pdf: pd.DataFrame) -> pd.DataFrame:
+        k = int(pdf["block"].iloc[0])
+        pixels = np.stack([np.frombuffer(x, np.uint8).reshape(-1, 3) for x in pdf["pixels"]])
+        valid, out = blend.middles(pixels, pdf["level"].to_numpy(), mask.ravel()[k * block : (k + 1) * block])
+        return pd.DataFrame({"block": [k], "valid": [valid.tobytes()], "middle": [out.tobytes()]})
 
-    rows = crops.orderBy("id").limit(n).mapInPandas(run, "id long, w int, h int, t binary").collect()
-    return [np.frombuffer(r["t"], np.uint8).reshape(r["h"], r["w"], 3) for r in sorted(rows, key=lambda r: r["id"])]
+    kept = crops.sparkSession.createDataFrame([(int(x),) for x in ids], "id long")
+    blocks = crops.join(F.broadcast(kept), "id", "left_semi").mapInPandas(cut_up, "block int, level double, pixels binary")
+    rows = sorted(blocks.groupBy("block").applyInPandas(middle, "block int, valid binary, middle binary").collect(), key=lambda r: r["block"])
+    return blend.gain_of(np.concatenate([np.frombuffer(r["valid"], bool) for r in rows]), np.concatenate([np.frombuffer(r["middle"]).reshape(-1, 3) for r in rows]), mask)
 
 
 def levelled(poses: np.ndarray, component: np.ndarray) -> np.ndarray:
@@ -126,7 +140,8 @@ def run(frames: DataFrame, out: str, settings: Settings = Settings(), fov: fv.Fi
     if not (graph.component == 0).any():
         raise ValueError("no frame could be placed")
     poses = levelled(graph.poses, graph.component)
-    gain = blend.flat_field(thumbs(crops), im.resize(fov.mask().astype(np.float32), min(1.0, 160 / max(fov.size()))) > 0.5, settings.link_dark_level) if settings.flat_field else None
+    placed = keyframes["id"][graph.component >= 0].tolist()
+    gain = flat_field(crops, placed, im.resize(fov.mask().astype(np.float32), min(1.0, 160 / max(fov.size()))) > 0.5, settings.link_dark_level) if settings.flat_field else None
     result = Result(out, fov, keyframes, poses, graph.component, {}, graph.log, graph.warnings)
     tell(0.6, "rendering")
     table = keyframes.assign(x=poses[:, 0], y=poses[:, 1], theta=poses[:, 2], component=graph.component)

@@ -155,6 +155,19 @@ def test_flat_field():
     assert even.std() / even.mean() < 0.05 and blend.flat_field(thumbs[:5], mask) is None
 
 
+def test_flat_field_of_all_kept_keyframes(spark):
+    rng = np.random.default_rng(0)
+    y, x = np.mgrid[:24, :30]
+    mask = (x - 15) ** 2 + (y - 12) ** 2 < 130
+    light = 1 - 0.4 * ((x - 15) ** 2 + (y - 12) ** 2) / 300
+    imgs = [np.full((24, 30, 3), 3, np.uint8)] * 400 + [np.clip(rng.uniform(100, 200, (24, 30, 3)) * light[..., None], 0, 255).astype(np.uint8) for _ in range(300)]
+    crops = spark.createDataFrame([(k, 30, 24, bytearray(i.tobytes())) for k, i in enumerate(imgs)], "id long, width int, height int, data binary").repartition(3)
+    gain = pipeline.flat_field(crops, list(range(700)), mask, 25.0)
+    assert gain is not None and np.array_equal(gain, blend.flat_field(imgs, mask))
+    assert np.array_equal(pipeline.flat_field(crops, list(range(390, 700)), mask, 25.0), blend.flat_field(imgs[390:], mask))
+    assert pipeline.flat_field(crops, list(range(400)), mask, 25.0) is None  # the beginning alone gives nothing
+
+
 @pytest.mark.parametrize("big", [False, True])
 def test_tiff(big):
     img = np.random.default_rng(1).integers(0, 256, (70, 100, 3)).astype(np.uint8)
