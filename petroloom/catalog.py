@@ -152,6 +152,24 @@ def peak_ratio(spark, d):
     return matching.peak_ratio(both, "vec_id", "ncc")
 
 
+# All pairs of a segment: the two queries above, of nearby ids only, without that window
+
+ALL_PAIRS = PAIRS.replace(" AND b.vec_id - a.vec_id <= 60", "")
+
+
+@query(ALL_PAIRS)
+def segment_pair_ncc(spark, d):
+    """Correlation of all pairs of descriptors of a segment; the rows grow with the square of a segment."""
+    return matching.all_pairs(descriptors(spark, d), "vec_id", "c", "label").withColumn("ncc", r6("ncc"))
+
+
+@query(f"SELECT vec_id, peak, second, peak >= 0.2 * 1.5 AND second <= 0.9 * 0.9 * peak AS strict FROM ({TOP2.replace(PAIRS, ALL_PAIRS)}) WHERE peak >= 0.2 AND second <= 0.9 * peak")
+def segment_peak_ratio(spark, d):
+    """peak_ratio with the best and second best among all of a keyframe's segment."""
+    best = matching.best_two(descriptors(spark, d), "vec_id", "c", "label").withColumn("ncc", r6("ncc"))
+    return matching.peak_ratio(best, "vec_id", "ncc")
+
+
 SAMPLES = "SELECT vec_id FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS r, count(*) OVER () AS n FROM embeddings WHERE label = 0) WHERE r IN (SELECT CAST(floor(k * (n - 1) / 11) AS BIGINT) FROM range(12) t(k))"
 CANDIDATES = f"""SELECT * FROM (SELECT a.vec_id AS s, b.vec_id AS m, {NCC} AS ncc, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY {NCC} DESC, b.vec_id) AS INTEGER) AS rank
 FROM ({CENTRED}) a JOIN ({CENTRED}) b ON a.vec_id IN ({SAMPLES}) AND b.label = 1) WHERE rank <= 3"""
