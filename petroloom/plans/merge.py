@@ -12,7 +12,6 @@ from pyspark.sql import SparkSession
 
 from petroloom.functions import posegraph as pg
 from petroloom.functions.fov import FieldOfView
-from petroloom.functions.geometry import max_distance
 from petroloom.plans import pipeline
 from petroloom.plans.matching import SparkMatcher
 from petroloom.plans.posegraph import Candidates
@@ -85,7 +84,7 @@ class MergeSession:
         """A better transform from registrations near the given one, wide and then narrow; with how many
         matches agree, and how many there were. None if too few agree."""
         st, d, matched, group = self.settings, self.fov.diameter, 0, []
-        for r, far in ((radius, (0.85 + radius) * d), (max(0.03, 0.02), max_distance(d, 1.5 * st.min_overlap_area))):
+        for r, far in ((radius, (0.85 + radius) * d), (max(st.link_tolerance, 0.02), 0.85 * d)):
             pairs = self.pairs(c, t, far)
             found = SparkMatcher(self.crops, self.fov, st).local(pairs, r) if len(pairs) else pairs
             if not len(found):

@@ -73,6 +73,17 @@ def test_link_previews(spark, result, tmp_path):
     assert open(tmp_path / records["preview"][0], "rb").read(2) == b"\xff\xd8"
 
 
+def test_confirming_round(spark, result, monkeypatch):
+    session, far, near = merge.MergeSession(spark, result.out), [], []
+    session.table.loc[len(session.table) // 2 :, "component"] = 1
+    session.settings = SETTINGS.replace(link_tolerance=0.05)
+    pairs, local = session.pairs, merge.SparkMatcher.local
+    monkeypatch.setattr(session, "pairs", lambda c, t, d: far.append(d) or pairs(c, t, d))
+    monkeypatch.setattr(merge.SparkMatcher, "local", lambda self, p, r: near.append(r) or local(self, p, r))
+    session.refine(1, (0.0, 0.0, 0.0), 0.2)
+    assert far == pytest.approx([1.05 * session.fov.diameter, 0.85 * session.fov.diameter]) and near == [0.2, 0.05]
+
+
 def test_attaching_by_hand(spark, result):
     """Cuts the result's graph in two by its state and puts it together again."""
     session = merge.MergeSession(spark, result.out)
