@@ -217,7 +217,7 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
     """docs (doc_id, text): doc_id, n_shingles and component_id, where two documents are linked if
     the Jaccard similarity of their sets of word n-grams is at least percent / 100."""
     spark = docs.sparkSession
-    shared.arrow_rows(spark)
+    shared.bound_batches(spark)
     texts = _docs(docs)
     maps = [f"b{k}" for k in range(WORDS)]
     found = shared.materialize(texts.mapInArrow(_nodes(width), ", ".join(f"{c} long" for c in ("doc_id", "n_shingles", "node", *maps, "gram", "count"))), "sets")

@@ -226,7 +226,7 @@ def _label(net: Network | None) -> shared.Mapper:
 
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     """docs (doc_id, text): doc_id, lang_pred, score."""
-    shared.arrow_rows(docs.sparkSession)
+    shared.bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.empty_if_null().alias("text")).mapInArrow(_label(net), "doc_id long, lang_pred string, score double")
 
 

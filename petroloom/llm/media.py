@@ -462,7 +462,7 @@ def store(docs: DataFrame) -> DataFrame:
                 media = encode([padded(t) for t in texts])
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    shared.arrow_rows(docs.sparkSession)
+    shared.bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), shared.empty_if_null().alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
@@ -498,7 +498,7 @@ def digests(docs: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in DIGEST.split(", ")])
 
-    shared.arrow_rows(docs.sparkSession)
+    shared.bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), shared.empty_if_null().alias("text")).mapInArrow(run, DIGEST)
 
 

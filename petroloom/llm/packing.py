@@ -251,7 +251,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     """Packs docs (doc_id, text) into sequences of at most `capacity` tokens: a row for each
     piece of a document. Only documents that are longer than a sequence are cut."""
     spark = docs.sparkSession
-    shared.arrow_rows(spark)
+    shared.bound_batches(spark)
     pieces = shared.materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pieces(tokenizer_path, capacity, end_id), PIECES), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for r in pieces.groupBy("length").count().collect():  # a row for each length

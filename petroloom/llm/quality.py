@@ -1,24 +1,32 @@
 """Quality by importance resampling.
 
-Two generative models of hashed n-grams (of bytes, and of marks that tell whether a word repeats the
-one before), one of target text (labelled as good) and one of the raw corpus, give each document a
-log weight: the mean, over its n-grams, of the log ratio of the models, scaled to a nominal length, so
-that a slight shift between the models does not add up over long documents. Adding Gumbel noise to the log weights and taking the k largest draws k documents without
-replacement in proportion to their weights (Gumbel top-k). The raw model counts every n-gram of every
-document; the target model those of at most SAMPLE labelled rows (a bound on labels only). k is the
-number of documents whose weight reaches a cut that separates the labelled rows best, unless the
-caller names k.
+Generative models of hashed n-grams, one of target text (labelled as good) and one of the raw corpus,
+give each document a log weight. There is a model for each kind of n-gram: of two bytes, of four bytes,
+and of marks that tell whether a word repeats the one before. A document's rate is the mean, over its
+n-grams of a kind, of the log ratio of target to raw, summed over the kinds; its log weight is
+TEMPERED times that rate, the log ratio of a passage of so many n-grams written as the document is.
+Plain sums would grow with a document's length and bury the noise. At 32 the weights of good text
+spread by less than the noise, while those of junk lie far below.
+
+Gumbel noise added to the log weights and the k largest taken draws k documents without replacement
+with chances in proportion to exp(weight) (Gumbel top-k). k is the caller's; by default it is the share
+of labelled rows that are good, of all rows. The raw model counts every n-gram of every document; the
+target model those of at most SAMPLE labelled rows (a bound on labels only).
 
 Weights and noise are whole numbers (1 / 65536), so a document's key is the same wherever it is
-computed. Ties at the k-th place go to the smaller id. Nulls: a null or very short text has no n-grams
-and weight 0; null ids are drawn like any other. Repeated rows share an id's noise. Without labels
-both models agree, all weights are 0 and every document stays. An empty table gives no rows. Other
-columns are kept as they are; names of this module's own columns start with `_q_`.
+computed. Ties at the k-th place go to the smaller id, nulls first; rows alike in key and id are drawn
+together. Nulls: a null or very short text has no n-grams and weight 0; null ids are drawn like any
+other. Repeated rows share an id's noise. Ids labelled twice count as good if one label says so. Without
+good and poor labels every document stays. An empty table gives no rows. Long texts are read in pieces
+of PIECE bytes. Other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
 
+import operator
+import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,93 +35,100 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from petroloom.llm import shared
 
 ORDERS = (2, 4, 0)  # bytes of an n-gram; 0: marks of words that repeat the word before, three in a row
-NOMINAL = 256  # n-grams that a document's mean log ratio is scaled to
-BUCKETS = 1 << 14
-SAMPLE = 10_000  # labelled rows that models and cut are fitted on, at most
+TEMPERED = 32  # n-grams that a document's log weight stands for
+BUCKETS = {2: 1 << 14, 4: 1 << 14, 0: 8}
+SAMPLE = 10_000  # labelled rows that the target model is fitted on, at most
+PIECE = 1 << 18
 UNIT = 65536.0
 SMOOTH = 0.5
-SHARE = {0: 8}  # a word has about so many n-grams of bytes
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a binary column end to end, and each row's start, the end last."""
-    column = column.cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string or binary column end to end, and each row's start, the end last."""
+    column = column.cast(pa.large_string() if pa.types.is_string(column.type) else pa.large_binary() if pa.types.is_binary(column.type) else column.type)
+    offsets = np.frombuffer(column.buffers()[1] or bytes(8), np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     return data, offsets - offsets[0]
 
 
-_ODD = np.uint64(0xD6E8FEB86659FD93)
-_POWERS = np.cumprod(np.full(1 << 20, _ODD, np.uint64))
-_INVERSES = np.cumprod(np.full(1 << 20, np.uint64(pow(int(_ODD), -1, 2**64)), np.uint64))
-
-
-def _power(table: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Powers at positions of any size, from a table of the first 2^20."""
-    high = table[-1]
-    low = table[n & (len(table) - 1)]
-    if len(n) and int(n[-1]) >= len(table):
-        low = low * np.power(high, (n >> 20).astype(np.uint64))
-    return low
-
-
-def _marks(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each word: does it repeat the word before, do the two before it (3 bits); and where it
-    starts. Words are compared by a polynomial hash of their bytes."""
-    edge = np.zeros(len(data) + 1, bool)
-    edge[:-1] = data <= 32
-    first = np.flatnonzero(~edge[:-1] & np.concatenate([[True], edge[:-2]])) if len(data) else np.zeros(0, np.int64)
-    inner = starts[1:-1][(starts[1:-1] < len(data))]
-    first = np.union1d(first, inner[~edge[inner]])
-    if not len(first):
-        return np.zeros(0, np.int32), first
-    place = np.arange(len(data))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.where(edge[:-1], 0, data).astype(np.uint64) * _power(_POWERS, place))])
-    after = np.append(first[1:], len(data))
-    words = (sums[after] - sums[first]) * _power(_INVERSES, first)
-    row = np.searchsorted(starts, first, "right")
-    same = np.zeros(len(first) + 2, np.int32)
-    same[3:] = (words[1:] == words[:-1]) & (row[1:] == row[:-1])
-    return same[2:] | same[1:-1] << 1 | same[:-2] << 2, first
-
-
-def _grams(data: np.ndarray, starts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each n-gram, and where it starts; none runs over the end of a row."""
-    if order == 0:
-        return _marks(data, starts)
-    n = max(0, len(data) - order + 1)
-    code = np.zeros(n, np.uint64)
-    for k in range(order):
-        code |= data[k : k + n].astype(np.uint64) << np.uint64(8 * k)
-    within = np.ones(n, bool)
-    for k in range(1, order):
-        at = starts[1:-1] - k
-        within[at[(at >= 0) & (at < n)]] = False
-    return (code * _MIX >> np.uint64(64 - 14)).astype(np.int32)[within], np.flatnonzero(within)
-
-
-def _pieces(data: np.ndarray, starts: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray, slice]]:
-    """Rows in groups of about `most` bytes, one row at least."""
-    i, n = 0, len(starts) - 1
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(starts, starts[i] + most, "right")) - 1)
-        yield data[starts[i] : starts[j]], starts[i : j + 1] - starts[i], slice(i, j)
-        i = j
+def _blocks(data: np.ndarray, starts: np.ndarray, order: int, piece: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Pieces of the buckets of all n-grams of `order` bytes: the first one's place, the buckets, and
+    the places (from there) of those that run over the end of a row."""
+    crossing = np.unique((starts[1:-1, None] - np.arange(1, order)).ravel()) if len(starts) > 2 else np.zeros(0, np.int64)
+    for at in range(0, max(0, len(data) - order + 1), piece):
+        block = data[at : at + piece + order - 1]
+        n = len(block) - order + 1
+        code = block[:n].astype(np.uint32)
+        for k in range(1, order):
+            code |= block[k : k + n].astype(np.uint32) << np.uint32(8 * k)
+        code *= np.uint32(0x9E3779B1)
+        code >>= np.uint32(18)
+        lo, hi = np.searchsorted(crossing, (at, at + n))
+        yield at, code, crossing[lo:hi] - at
+
+
+def _counts(data: np.ndarray, starts: np.ndarray, order: int, piece: int = PIECE) -> np.ndarray:
+    """How often each bucket occurs in all rows."""
+    total = np.zeros(BUCKETS[order], np.int64)
+    for _, code, crossing in _blocks(data, starts, order, piece):
+        total += np.bincount(code, minlength=len(total))
+        total -= np.bincount(code[crossing], minlength=len(total))
+    return total
+
+
+def _sums(data: np.ndarray, starts: np.ndarray, order: int, values: np.ndarray, piece: int = PIECE) -> np.ndarray:
+    """The sum of its n-grams' values for each row."""
+    total = np.zeros(len(starts) - 1, np.int64)
+    for at, code, crossing in _blocks(data, starts, order, piece):
+        found = values[code]
+        found[crossing] = 0
+        ends = np.concatenate([[0], np.cumsum(found)])
+        total += np.diff(ends[np.clip(starts - at, 0, len(found))])
+    return total
+
+
+def _words(data: np.ndarray, piece: int = PIECE) -> Iterator[list[bytes]]:
+    """The words of a text, in lists of about `piece` bytes; a word is never cut."""
+    at = 0
+    while at < len(data):
+        end = at + piece
+        while end < len(data):
+            if (gap := _SPACE[data[end : end + 4096]]).any():
+                end += int(gap.argmax())
+                break
+            end += 4096
+        yield data[at:end].tobytes().split()
+        at = end
+
+
+def marks(data: np.ndarray, piece: int = PIECE) -> np.ndarray:
+    """Counts of the 8 marks: does a word repeat the one before it, do the two before it."""
+    total, last, before = np.zeros(8, np.int64), None, np.zeros(2, np.uint8)
+    for words in _words(data, piece):
+        if words:
+            same = np.concatenate([before, np.fromiter(map(operator.eq, words, chain((last,), words)), np.uint8, len(words))])
+            total += np.bincount(same[2:] | same[1:-1] << 1 | same[:-2] << 2, minlength=8)
+            last, before = words[-1], same[-2:]
+    return total
 
 
 def _count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of one task: raw text, and that of rows labelled good."""
-    found = {f"{kind}{o}": np.zeros(BUCKETS, np.int64) for kind in ("raw", "good") for o in ORDERS}
+    found = {f"{kind}{o}": np.zeros(BUCKETS[o], np.int64) for kind in ("raw", "good") for o in ORDERS}
     for batch in rows:
-        good = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        for data, starts, some in _pieces(*_joined(batch.column(0))):
-            is_good = np.repeat(good[some], np.diff(starts))
-            for o in ORDERS:
-                code, at = _grams(data, starts, o)
-                found[f"raw{o}"] += np.bincount(code, minlength=BUCKETS)
-                if is_good.any():
-                    found[f"good{o}"] += np.bincount(code[is_good[at]], minlength=BUCKETS)
+        good = np.flatnonzero(batch.column(1).to_numpy(zero_copy_only=False).astype(bool))
+        data, starts = joined(batch.column(0))
+        for o in ORDERS:
+            if o:
+                found[f"raw{o}"] += _counts(data, starts, o)
+                for i in good:
+                    found[f"good{o}"] += _counts(data[starts[i] : starts[i + 1]], np.zeros(0, np.int64), o)
+            else:
+                each = [marks(data[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
+                found["raw0"] += sum(each, np.zeros(8, np.int64))
+                found["good0"] += sum((each[i] for i in good), np.zeros(8, np.int64))
     yield from shared.vector_rows(found)
 
 
@@ -127,93 +142,100 @@ class Ratios:
             # a target model from few rows leans on the raw one
             good = good + raw * (0.02 * good.sum() / raw.sum())
             ratio = np.log(good / good.sum()) - np.log(raw / raw.sum())
-            self.by_order[o] = np.rint(ratio * UNIT).astype(np.int64) if counts[f"good{o}"].any() else np.zeros(BUCKETS, np.int64)
-
-    def weights(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The weight of each row, and its number of n-grams."""
-        total, n = np.zeros(len(column), np.int64), np.zeros(len(column), np.int64)
-        for data, starts, some in _pieces(*_joined(column)):
-            for o, ratio in self.by_order.items():
-                code, at = _grams(data, starts, o)
-                sums = np.concatenate([[0], np.cumsum(ratio[code])])
-                edges = np.searchsorted(at, starts)
-                total[some] += np.diff(sums[edges]) * SHARE.get(o, 1)
-                n[some] += np.diff(edges)
-        return total * NOMINAL // np.maximum(n, 1), n
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Ratios, DataFrame]:
-    """The models, and the labelled sample (doc_id, _q_label). labels: doc_id, quality (1 is good)."""
+            self.by_order[o] = np.rint(ratio * UNIT).astype(np.int64) if counts[f"good{o}"].any() else np.zeros(BUCKETS[o], np.int64)
+
+    def weights(self, column: pa.Array, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+        """The log weight of each row, and its number of n-grams."""
+        data, starts = joined(column)
+        lengths = np.diff(starts)
+        weight, grams = np.zeros(len(column), np.int64), np.zeros(len(column), np.int64)
+        for o, ratio in self.by_order.items():
+            if o:
+                total, n = _sums(data, starts, o, ratio, piece), np.maximum(lengths - o + 1, 0)
+            else:
+                each = np.array([marks(data[a:b], piece) for a, b in zip(starts, starts[1:], strict=False)], np.int64).reshape(-1, 8)
+                total, n = each @ ratio, each.sum(axis=1)
+            weight += total * TEMPERED // np.maximum(n, 1)
+            grams += n
+        return weight, grams
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Ratios, float]:
+    """The models, and the share of labelled rows that are good. labels: doc_id, quality (1 is good)."""
     spark = docs.sparkSession
-    shared.arrow_rows(spark)
-    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("_q_label"))
-    few = spark.createDataFrame([tuple(r) for r in shared.bounded_rows(known, "doc_id", sample).collect()], "doc_id long, _q_label int")
-    marked = docs.select("doc_id", shared.empty_if_null().cast("binary").alias("text")).join(F.broadcast(few), "doc_id", "left").select("text", (F.coalesce("_q_label", F.lit(0)) == 1).alias("good"))
-    counts = shared.sum_vectors(marked.mapInArrow(_count, shared.VECTORS), {f"{k}{o}": BUCKETS for k in ("raw", "good") for o in ORDERS})
-    return Ratios(counts), few
+    shared.bound_batches(spark)
+    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("label"))
+    few = [(int(r["doc_id"]), int(r["label"])) for r in shared.bounded_rows(known, "doc_id", sample).collect()]
+    good = sum(q == 1 for _, q in few)
+    if not 0 < good < len(few):
+        return Ratios({f"{k}{o}": np.zeros(BUCKETS[o], np.int64) for k in ("raw", "good") for o in ORDERS}), 1.0
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.empty_if_null().cast("binary").alias("text"))
+    marked = marked.join(F.broadcast(spark.createDataFrame(few, "doc_id long, label int")), "doc_id", "left")
+    marked = marked.select("text", (F.coalesce("label", F.lit(0)) == 1).alias("good"))
+    counts = shared.sum_vectors(marked.mapInArrow(_count, shared.VECTORS), {f"{k}{o}": BUCKETS[o] for k in ("raw", "good") for o in ORDERS})
+    return Ratios(counts), good / len(few)
+
+
+class Names:
+    """Names of added columns that no column of the input has."""
 
+    def __init__(self, docs: DataFrame) -> None:
+        tag = "" if not any(c.lower().startswith("_q_") for c in docs.columns) else uuid.uuid4().hex[:12]
+        self.weight, self.grams, self.key = (f"_q_{tag}{c}" for c in ("weight", "grams", "key"))
 
-def weigh(docs: DataFrame, ratios: Ratios, seed: int = 0) -> DataFrame:
-    """docs with _q_weight, _q_grams and the noisy key _q_key."""
-    extra = T.StructType([*docs.schema.fields, T.StructField("_q_weight", T.LongType()), T.StructField("_q_grams", T.LongType())])
+
+def weigh(docs: DataFrame, ratios: Ratios, seed: int = 0, names: Names | None = None) -> DataFrame:
+    """docs with log weight, number of n-grams and the noisy key."""
+    names = names or Names(docs)
+    at = docs.columns.index("text")
+    extra = T.StructType([*docs.schema.fields, T.StructField(names.weight, T.LongType()), T.StructField(names.grams, T.LongType())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            text = batch.column(batch.num_columns - 1)
-            weight, n = ratios.weights(text)
-            kept = batch.columns[:-1]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(weight), pa.array(n)], names=[*batch.schema.names[:-1], "_q_weight", "_q_grams"])
+            weight, n = ratios.weights(batch.column(at))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weight), pa.array(n)], names=[*batch.schema.names, names.weight, names.grams])
 
-    shared.arrow_rows(docs.sparkSession)
-    weighed = docs.select("*", shared.empty_if_null().cast("binary").alias("_q_text")).mapInArrow(run, extra)
-    return weighed.withColumn("_q_key", F.col("_q_weight") + _noise(seed))
+    shared.bound_batches(docs.sparkSession)
+    return docs.mapInArrow(run, extra).withColumn(names.key, F.col(names.weight) + noise(seed))
 
 
-def _noise(seed: int) -> Column:
-    u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(2**52)) + 0.5) / float(2**52)
+def noise(seed: int) -> Column:
+    """Gumbel noise of an id under a seed, in units of 1 / 65536."""
+    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), F.lit(2**52)) + 0.5) / float(2**52)
     return F.floor(-F.log(-F.log(u)) * UNIT)
 
 
-def _cut(scored: list[tuple[int, int]]) -> int:
-    """The weight that separates good from poor rows best, each class weighing the same; the middle
-    of the gap it lies in."""
-    if len({q for _, q in scored}) < 2:
-        return -(2**62)
-    scored = sorted(scored)
-    w, good = np.array([x for x, _ in scored], np.int64), np.array([q == 1 for _, q in scored])
-    # cut before position i: poor rows below it and good ones from it on are right
-    right = np.concatenate([[0], np.cumsum(~good)]) / (~good).sum() + (good.sum() - np.concatenate([[0], np.cumsum(good)])) / good.sum()
-    right[1:-1][w[1:] == w[:-1]] = -1
-    best = np.flatnonzero(right >= right.max() - 1e-12)
-    i = int(best[0])
-    return int(w[0]) - 1 if i == 0 else int(w[-1]) + 1 if i == len(w) else int((w[i - 1] + w[i]) // 2)
-
-
-def draw(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 0, sample: int = SAMPLE) -> tuple[DataFrame, Column, Ratios]:
-    """Scores (doc_id, _q_weight, _q_grams, _q_key) of all documents, the condition under which a
-    scored row is drawn, and the models."""
-    ratios, few = fit(docs, labels, sample)
-    scores = shared.materialize(weigh(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ratios, seed).drop("text"), "scores")
-    if k is None:
-        known = scores.join(F.broadcast(few), "doc_id").select("_q_weight", "_q_label").limit(4 * sample).collect()
-        k = scores.filter(F.col("_q_weight") >= _cut([tuple(r) for r in known])).count()
-    ranked, total = shared.running_totals(scores.select("doc_id", "_q_key", (-F.col("_q_key")).alias("_q_down"), F.lit(1).cast("long").alias("_q_one")), ["_q_down", "doc_id"], "_q_one", "scores")
+def top_k(weighed: DataFrame, names: Names, k: int | None, share: float) -> Column:
+    """The condition under which a row of a table made by weigh() is among the k largest keys."""
+    key, doc = F.col(names.key), F.col("doc_id").cast("long")
+    ranked, total = shared.running_totals(weighed.select((-key).alias("down"), doc.alias("doc_id"), F.lit(1).cast("long").alias("one")), ["down", "doc_id"], "one", "ranked")
+    k = round(share * total) if k is None else k
     if k >= total:
-        return scores, F.lit(True), ratios
+        return F.lit(True)
     if k <= 0:
-        return scores, F.lit(False), ratios
-    at = ranked.filter(F.col("_before") == k - 1).select("_q_key", "doc_id").first()
-    tie = F.col("doc_id").isNull() if at["doc_id"] is None else F.coalesce(F.col("doc_id") <= at["doc_id"], F.lit(True))
-    return scores, (F.col("_q_key") > at["_q_key"]) | ((F.col("_q_key") == at["_q_key"]) & tie), ratios
+        return F.lit(False)
+    at = ranked.filter(F.col("_before") == k - 1).select("down", "doc_id").first()
+    tie = doc.isNull() if at["doc_id"] is None else F.coalesce(doc <= at["doc_id"], F.lit(True))
+    return (-key < at["down"]) | ((-key == at["down"]) & tie)
+
+
+def draw(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 0, sample: int = SAMPLE) -> tuple[DataFrame, Names]:
+    """The documents that are drawn, with log weight, number of n-grams and key."""
+    ratios, share = fit(docs, labels, sample)
+    names = Names(docs)
+    weighed = shared.materialize(weigh(docs, ratios, seed, names), "weighed")
+    return weighed.filter(top_k(weighed, names, k, share)), names
 
 
 def keep(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 0) -> DataFrame:
     """The documents that are drawn, with the columns of docs."""
-    _, drawn, ratios = draw(docs, labels, k, seed)
-    return weigh(docs, ratios, seed).filter(drawn).select(*docs.columns)
+    return draw(docs, labels, k, seed)[0].select(*docs.columns)
 
 
 def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that are drawn, with their weights."""
-    scores, drawn, _ = draw(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels"))
-    return scores.filter(drawn).select("doc_id", F.col("_q_grams").alias("n_grams"), (F.col("_q_weight") / UNIT).alias("log_weight"), (F.col("_q_key") / UNIT).alias("noisy_weight"))
+    docs, labels = shared.table(spark, sf_dir, "documents").select("doc_id", "text"), shared.table(spark, sf_dir, "labels")
+    ratios, share = fit(docs, labels)
+    names = Names(docs)
+    scores = shared.materialize(weigh(docs, ratios, names=names).drop("text"), "scores")
+    return scores.filter(top_k(scores, names, None, share)).select("doc_id", F.col(names.grams).alias("n_grams"), (F.col(names.weight) / UNIT).alias("log_weight"), (F.col(names.key) / UNIT).alias("noisy_weight"))

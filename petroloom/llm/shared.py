@@ -6,6 +6,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -58,9 +59,15 @@ def release(spark: SparkSession, paths: Iterable[str]) -> None:
         _written.remove(path)
 
 
-def arrow_rows(spark: SparkSession, rows: int = 512) -> None:
-    """Texts may be long, so batches for Python stay small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+BATCH = 8 << 20  # bytes of a batch for Python, at most, but for a row that is longer by itself
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Texts may be long, so batches for Python are bounded by bytes. The bound is only ever lowered,
+    and never changes a result."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, str(2**31 - 1))) > BATCH:
+        spark.conf.set(key, str(BATCH))
 
 
 def batches(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
@@ -112,44 +119,52 @@ def running_totals(df: DataFrame, order: list[str], value: str, label: str = "ra
     return dealt.join(F.broadcast(offsets), "_part").withColumn("_before", F.col("_local") + F.col("_start")).drop("_part", "_local", "_start"), total
 
 
-SLICE = 4096
+SLICE = 1 << 16
 FAN = 16
+VECTORS = "name string, slice int, fan int, counts binary"
+_WIDTHS = (np.uint8, np.uint16, np.uint32, np.int64)
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Whole numbers of 0 and above in the narrowest type that holds them, compressed."""
+    kind = next(k for k, t in enumerate(_WIDTHS) if int(counts.max()) <= np.iinfo(t).max)
+    return bytes([kind]) + zlib.compress(counts.astype(_WIDTHS[kind]).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), _WIDTHS[data[0]])
+
+
+def _vector_batch(rows: list[tuple[str, int, int, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["name", "slice", "fan", "counts"])
 
 
 def vector_rows(vectors: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Rows (name, slice, fan, counts) for sum_vectors(): what one task has counted."""
-    fan, rows = TaskContext.get().partitionId() % FAN, []
+    """Rows (name, slice, fan, counts) for sum_vectors(): what one task has counted, none below 0."""
+    fan = TaskContext.get().partitionId() // 64 % FAN
     for name, v in vectors.items():
         for k in range(0, len(v), SLICE):
             if (part := v[k : k + SLICE]).any():
-                rows.append((name, k // SLICE, fan, part.astype(np.int64).tobytes()))
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.binary())], names=["name", "slice", "fan", "counts"])
-
-
-VECTORS = "name string, slice int, fan int, counts binary"
+                yield _vector_batch([(name, k // SLICE, fan, _packed(part))])
 
 
 def sum_vectors(df: DataFrame, sizes: dict[str, int]) -> dict[str, np.ndarray]:
-    """Adds up the rows of vector_rows() in two levels. The sums, of fixed size, come to the driver."""
-    def add(rows: Iterable[bytes]) -> bytes:
-        total = None
-        for r in rows:
-            v = np.frombuffer(r, np.int64)
-            total = v.copy() if total is None else total + v
-        return total.tobytes()
-
-    def merge(pdf):
-        return pdf.iloc[:1].assign(counts=[add(pdf["counts"])])
-
-    def merge_all(pdf):
-        return pdf.iloc[:1].assign(counts=[add(pdf["counts"])], fan=[0])
-
-    schema = VECTORS
-    first = df.groupBy("name", "slice", "fan").applyInPandas(merge, schema)
+    """Adds up the rows of vector_rows() in two levels. A task holds one running sum for each slice it
+    gets. The sums, of fixed size, come to the driver."""
+    def add_up(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], np.ndarray] = {}
+        for batch in rows:
+            for name, part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), strict=True):
+                v = _unpacked(counts.as_py())
+                held[name, part] = held[name, part] + v if (name, part) in held else v.astype(np.int64)
+        for (name, part), v in held.items():
+            yield _vector_batch([(name, part, 0, _packed(v))])
+
     out = {k: np.zeros(n, np.int64) for k, n in sizes.items()}
-    for r in first.groupBy("name", "slice").applyInPandas(merge_all, schema).collect():
-        v = np.frombuffer(r["counts"], np.int64)
+    first = df.repartition("name", "slice", "fan").mapInArrow(add_up, VECTORS)
+    for r in first.repartition("name", "slice").mapInArrow(add_up, VECTORS).collect():
+        v = _unpacked(bytes(r["counts"]))
         out[r["name"]][r["slice"] * SLICE : r["slice"] * SLICE + len(v)] = v
     return out
 

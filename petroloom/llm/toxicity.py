@@ -39,7 +39,7 @@ PREDICT = 0.7
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "l", "+": "t", "(": "c", "€": "e", "£": "l"}
 
 #: Symbols of the character model: 0 for what is no letter, 1 to 26 for a to z, 27 for a byte of any other letter.
-_SYMBOL = np.zeros(256, np.int64)
+_SYMBOL = np.zeros(256, np.uint8)
 _SYMBOL[97:123] = _SYMBOL[65:91] = np.arange(1, 27)
 _SYMBOL[128:] = 27
 _SYMBOLS_OF = bytes(_SYMBOL.tolist())
@@ -53,14 +53,16 @@ _EDGES = ".,;:!?\"'()[]{}<>«»“”‘’*#%&|~`^=-_/\\"
 
 
 def _trigrams(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of one task's character trigrams."""
-    from petroloom.llm.quality import _joined, _pieces
+    """Counts of one task's character trigrams; two blanks stand before every text and after the last."""
+    from petroloom.llm.quality import PIECE, joined
 
     counts = np.zeros(_CELLS, np.int64)
     for batch in rows:
-        for data, _, _ in _pieces(*_joined(batch.column(0))):
-            s = np.concatenate([[0, 0], _SYMBOL[data], [0, 0]])
-            counts += np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], minlength=_CELLS)
+        data, starts = joined(batch.column(0))
+        s = np.append(np.insert(_SYMBOL[data], np.repeat(starts[:-1], 2), 0), np.zeros(2, np.uint8))
+        for at in range(0, len(s) - 2, PIECE):
+            x = s[at : at + PIECE + 2].astype(np.int32)
+            counts += np.bincount((x[:-2] * SYMBOLS + x[1:-1]) * SYMBOLS + x[2:], minlength=_CELLS)
     yield from shared.vector_rows({"trigrams": counts})
 
 
@@ -217,7 +219,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs (doc_id, text) with scores in 0 to 1, by labels (doc_id, toxic): doc_id, evidence, score."""
     spark = docs.sparkSession
-    shared.arrow_rows(spark)
+    shared.bound_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.empty_if_null().cast("binary").alias("text"))
     counts = shared.sum_vectors(texts.select("text").mapInArrow(_trigrams, shared.VECTORS), {"trigrams": _CELLS})["trigrams"]
     decoder = Decoder(counts)

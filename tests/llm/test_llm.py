@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from petroloom.llm import jaccard, langid, media, mixing, packing, quality, secretscan, shared, sharding, topk, toxicity
 
@@ -281,13 +282,99 @@ def test_quality(spark, sf, odd, empty):
     assert np.mean([d in drawn for d, q in known.items() if q == 0]) < 0.3
     assert quality.keep(odd, labels.limit(0)).count() == odd.count()
     assert quality.keep(empty, labels).count() == 0
-    assert quality.keep(odd, labels, k=5).count() >= 5
+    assert quality.keep(odd, labels, k=5).count() >= 5  # rows of one id and text are drawn together
+    clash = odd.withColumn("_q_key", F.lit(1)).withColumn("_Q_weight", F.lit("x"))
+    assert quality.keep(clash, labels).columns == clash.columns
+
+
+def grams_of(text: bytes, order: int) -> list[int]:
+    """Buckets of a text's n-grams, one at a time."""
+    if order:
+        return [(int.from_bytes(text[i : i + order], "little") * 0x9E3779B1 & 0xFFFFFFFF) >> 18 for i in range(len(text) - order + 1)]
+    words = text.split()
+    same = [i > 0 and words[i] == words[i - 1] for i in range(len(words))]
+    return [sum(same[i - k] << k for k in range(3) if i >= k) for i in range(len(words))]
+
+
+def test_quality_against_plain_models(spark, odd):
+    """Counts, ratios, weights and the drawn rows, one document at a time."""
+    rng = np.random.default_rng(6)
+    texts = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "é", "zz zz zz"], int(rng.integers(1, 40))))) for i in range(60)]
+    texts += [(60 + i, t) for i, t in enumerate(ODD)] + [(90, "alpha " * 70_000)]
+    labels = [(i, int(i % 3 > 0), 0) for i in range(40)] + [(5, 0, 0), (None, 1, 0), (50, None, 0)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    good = {d for d, q, _ in labels if q == 1 and d is not None}
+    weight = {}
+    for o in quality.ORDERS:
+        raw, target = np.full(quality.BUCKETS[o], 0.5), np.full(quality.BUCKETS[o], 0.5)
+        each = {d: grams_of((t or "").encode(), o) for d, t in texts}
+        for d, found in each.items():
+            np.add.at(raw, found, 1)
+            if d in good:
+                np.add.at(target, found, 1)
+        target = target + raw * (0.02 * target.sum() / raw.sum())
+        ratio = np.rint((np.log(target / target.sum()) - np.log(raw / raw.sum())) * 65536).astype(int).tolist()
+        for d, found in each.items():
+            weight[d] = weight.get(d, 0) + sum(ratio[x] for x in found) * quality.TEMPERED // max(1, len(found))
+    ratios, share = quality.fit(docs, known)
+    names = quality.Names(docs)
+    rows = quality.weigh(docs, ratios, 9, names).withColumn("noise", quality.noise(9)).collect()
+    assert {r["doc_id"]: r[names.weight] for r in rows} == weight
+    assert share == len(good) / 40
+    for k in (0, 1, 7, 30, 1000):
+        want = sorted(rows, key=lambda r: (-(weight[r["doc_id"]] + r["noise"]), r["doc_id"]))[:k]
+        assert {r["doc_id"] for r in quality.keep(docs, known, k, 9).collect()} == {r["doc_id"] for r in want}
+    assert quality.keep(docs, known).count() == round(share * len(texts))
+
+
+def test_draws_follow_the_weights(spark):
+    """Over many seeds documents are drawn as often as by a plain Gumbel top-k, or by one draw after another."""
+    weights = np.array([0.0, 0.5, 1.0, 1.5, 2.0, -1.0, -2.0, 3.0])
+    docs = spark.createDataFrame([(i, int(w * 65536)) for i, w in enumerate(weights)], "doc_id long, w long")
+    keys = docs.select("doc_id", *[(F.col("w") + quality.noise(seed)).alias(f"k{seed}") for seed in range(400)]).toPandas().set_index("doc_id")
+    taken = np.zeros(8)
+    for c in keys.columns:
+        taken[keys[c].nlargest(3).index] += 1
+    rng, plain = np.random.default_rng(7), np.zeros(8)
+    for _ in range(20_000):  # without replacement, each draw in proportion to exp(weight)
+        plain[rng.choice(8, 3, replace=False, p=np.exp(weights) / np.exp(weights).sum())] += 1
+    assert np.abs(taken / 400 - plain / 20_000).max() < 0.08
+
+
+def test_noise_counts_among_good_texts(spark, sf):
+    labels, docs = shared.table(spark, sf, "labels"), shared.table(spark, sf, "documents")
+    one, two = ({r["doc_id"] for r in quality.keep(docs, labels, 60, seed).collect()} for seed in (1, 2))
+    assert len(one) == len(two) == 60 and 5 < len(one & two) < 50
+    poor = {r["doc_id"] for r in labels.filter("quality = 0").collect()}
+    assert len((one | two) & poor) <= 2
+
+
+def test_pieces_change_nothing_and_bound_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    counts = {f"{k}{o}": rng.integers(0, 99, quality.BUCKETS[o]) for k in ("raw", "good") for o in quality.ORDERS}
+    ratios = quality.Ratios(counts)
+    texts = [(t or "").encode() for t in ODD] + [b"a a a " * 50, b"", b"x" * 700, "é".encode() * 99]
+    column = pa.array(texts, pa.binary())
+    want = [x.tolist() for x in ratios.weights(column)]
+    for piece in (1, 2, 3, 64, 1000):
+        assert [x.tolist() for x in ratios.weights(column, piece)] == want
+    long = pa.array([b"some words of a text " * 900_000], pa.large_binary())
+    tracemalloc.start()
+    ratios.weights(long)
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
 
 
 def test_repeat_marks():
-    text = b"a a a b" + b"b c c"
-    marks, at = quality._marks(np.frombuffer(text, np.uint8), np.array([0, 7, 12]))
-    assert marks.tolist() == [0, 1, 3, 6, 4, 0, 1] and at.tolist() == [0, 2, 4, 6, 7, 9, 11]
+    count = lambda text, piece=9: quality.marks(np.frombuffer(text, np.uint8), piece).tolist()
+    for text in (b"a a a b", b"b c c", b"x x x x x x y", b"", b"   "):
+        want = np.bincount(grams_of(text, 0), minlength=8).tolist() if text.split() else [0] * 8
+        assert [count(text, p) for p in (1, 2, 9, 100)] == [want] * 4
 
 
 # Toxicity
