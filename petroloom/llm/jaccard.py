@@ -1,22 +1,26 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The global order of n-grams puts rare ones first: by a table of the most frequent ones' counts, then by
-hash. Two sets whose similarity reaches the threshold must share one of the first n-grams of both
-(their prefixes), so a shared prefix n-gram makes a candidate pair. Of the candidates, parity bitmaps
-rule out those whose sets differ in more elements than a linked pair's can. The order is cut into
-fragments; each set has a segment in each; the overlap of a remaining pair is counted in each
-fragment by itself and summed for each pair. Equal sets are one node from the start.
+One global order of all n-grams puts rare ones first: by the level of their cell in a sketch that counts
+all n-grams of all sets, then by hash. The order is cut into fragments of about equal weight, and each
+set into a segment for each fragment. The overlap of two sets is counted in each fragment by itself,
+and the partial overlaps are summed for each pair.
+
+Which pairs are counted at all follows from the same order. Two sets whose similarity reaches the
+threshold share one of the first n-grams of both (their prefixes), and the first they share leaves both
+enough n-grams behind it. N-grams of up to SHORT sets make pairs of all of them; of the rest, sizes,
+places and parity bitmaps rule out those that differ too much. Equal sets are one node from the start.
 
 Families of near copies share whole prefixes, and all their pairs would grow with the square of a
-family. So an n-gram's sets are first compared with one hub, and verified links join them into
-components; after HUB_ROUNDS such rounds only sets outside their n-gram's largest component are
-compared with those of other components. A pair is left out only if its two sets are already in one
-component or differ too much, so the components are those of all links.
+family. So an n-gram of more sets names a hub, each set meets the hub it shares most with, and verified
+links join sets into components; after HUB_ROUNDS such rounds, only sets outside their n-gram's largest
+component are compared with those of other components. A pair is left out only if its two sets are
+already in one component or differ too much, so the components are those of all links.
 
 Nulls: a null text, or one without words, has no set and is linked with nothing; its component is
-its own id. Equal texts are linked if they have a word. Repeated rows stay rows. Null ids do not
-name a component. An empty table gives no rows. Other columns play no part. Words and n-grams are
-compared by 64-bit hashes. The table of counts only orders n-grams: its bound costs no links.
+its own id. Equal texts are linked if they have a word. Repeated rows stay rows. Null ids link other
+documents as any text does, but do not name a component; one of null ids alone has none. An empty table
+gives no rows. Other columns play no part. Words and n-grams are compared by 64-bit hashes, sets by
+128-bit ones. The sketch only orders n-grams: its size costs no links. Long texts are read in pieces.
 """
 
 from __future__ import annotations
@@ -32,8 +36,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from petroloom.llm import shared
 
 PERCENT, WIDTH = 85, 4
-FREQUENT = 1 << 17  # n-grams whose counts order prefixes, at most: 2 MB
-FRAGMENTS = 4  # the last holds the frequent n-grams
+CELLS = 1 << 22  # of the sketch that orders n-grams
+FRAGMENTS = 4
+SHORT = 16  # sets of one n-gram that are all compared with each other
+HOT = 100_000  # rows of one n-gram in a task; those of more are dealt over several
+BITS = 64  # of the 128 that stand for a set, those that name it in joins; clashes are told apart
+SEEN = 200_000  # sets that a task remembers, to pass over copies
 HUB_ROUNDS = 2
 WORDS = 8  # of 64 bits, of a set's parity bitmap
 SEND = 1_000_000  # ids of candidates that may be broadcast: 8 MB
@@ -43,7 +51,7 @@ _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 class Shingles(dict):
     """Sets of hashed word n-grams of texts as UTF-8."""
 
-    def __init__(self, width: int = WIDTH, most: int = 400_000) -> None:
+    def __init__(self, width: int = WIDTH, most: int = 200_000) -> None:
         super().__init__()
         self.width, self.most = width, most
         self.factors = np.array([_FACTORS[k % 8] + np.uint64(2 * (k // 8)) for k in range(width)], np.uint64)
@@ -81,12 +89,24 @@ class Shingles(dict):
         return np.unique(h)
 
 
-def _node(grams: np.ndarray) -> int:
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes())).view(np.int64)))
+def _node(grams: np.ndarray, bits: int) -> tuple[int, int]:
+    """128 bits that stand for a set; of the first 64 the upper `bits`."""
+    found = xxhash.xxh3_128_digest(grams.tobytes())
+    return int.from_bytes(found[:8], "little", signed=True) >> 64 - bits, int.from_bytes(found[8:], "little", signed=True)
+
 
+def _ident(node: tuple[int, int], clashes: frozenset[int]) -> int:
+    """A set's name in joins: the first 64 bits, or a mix of all 128 where other sets share those."""
+    if node[0] not in clashes:
+        return node[0]
+    mixed = xxhash.xxh64_digest(b"".join(x.to_bytes(8, "little", signed=True) for x in node))
+    return int.from_bytes(mixed, "little", signed=True)
 
-def _docs(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.empty_if_null().cast("binary").alias("text"))
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text as bytes, and a key by which a row's text is found again."""
+    text = shared.empty_if_null()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("key"), text.cast("binary").alias("text"))
 
 
 def _bitmap(grams: np.ndarray) -> list[int]:
@@ -96,81 +116,158 @@ def _bitmap(grams: np.ndarray) -> list[int]:
     return np.packbits(odd).view(np.int64).tolist()
 
 
-def _nodes(width: int) -> shared.Mapper:
-    """For each document its set's size, hash and bitmap; for each task the n-grams that several of its
-    sets have, with their counts."""
-    names = ["doc_id", "n_shingles", "node", *[f"b{k}" for k in range(WORDS)], "gram", "count"]
+_CELL = np.uint64(64 - CELLS.bit_length() + 1)
+_MAPS = [f"b{k}" for k in range(WORDS)]
+_SETS = ["doc_id", "key", "n_shingles", "high", "low", *_MAPS]
+
 
-    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        grams, counts = np.unique(np.concatenate(held), return_counts=True)
-        grams, counts = grams[counts > 1], counts[counts > 1]
-        return pa.RecordBatch.from_arrays([*(pa.nulls(len(grams), pa.int64()) for _ in range(3 + WORDS)), pa.array(grams.view(np.int64)), pa.array(counts.astype(np.int64))], names=names)
+def _sets(width: int, bits: int) -> shared.Mapper:
+    """For each document its set's size, hash and bitmap; for each task the sketch of its sets, as rows
+    for shared.sum_vectors()."""
+    names = [*_SETS, "name", "slice", "fan", "counts"]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams_of, held, n, seen = Shingles(width), [], 0, set()
+        grams_of, sketch, held, n, seen = Shingles(width), np.zeros(CELLS, np.int32), [], 0, set()
         for batch in rows:
-            sizes, nodes, maps = [], [], []
-            for text in batch.column(1):
+            found: list[list] = [[] for _ in range(3 + WORDS)]
+            for text in batch.column(2):
                 grams = grams_of.of(text.as_py())
-                node = _node(grams) if len(grams) else None
-                sizes.append(len(grams))
-                nodes.append(node)
-                maps.append(_bitmap(grams))
-                if node is not None and node not in seen:
-                    if len(seen) < 1_000_000:
+                node = _node(grams, bits) if len(grams) else (None, None)
+                for column, x in zip(found, (len(grams), *node, *_bitmap(grams)), strict=True):
+                    column.append(x)
+                if node[0] is not None and node not in seen:
+                    if len(seen) < SEEN:
                         seen.add(node)
                     held.append(grams)
                     n += len(grams)
-                    if n > 1 << 22:
-                        yield counted(held)
+                    if n > 1 << 21:
+                        sketch += np.bincount((np.concatenate(held) >> _CELL).astype(np.int64), minlength=CELLS).astype(np.int32)
                         held, n = [], 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), *(pa.array([m[k] for m in maps], pa.int64()) for k in range(WORDS)), *(pa.nulls(len(sizes), pa.int64()) for _ in range(2))], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, pa.int64()) for c in found), *(pa.nulls(batch.num_rows, t) for t in (pa.string(), pa.int32(), pa.int32(), pa.binary()))], names=names)
         if held:
-            yield counted(held)
+            sketch += np.bincount((np.concatenate(held) >> _CELL).astype(np.int64), minlength=CELLS).astype(np.int32)
+        for counted in shared.vector_rows({"sketch": sketch}):
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(counted.num_rows, pa.int64()) for _ in _SETS), *counted.columns], names=names)
 
     return run
 
 
 class Order:
-    """The global order: by count among the frequent n-grams, others before them, then by hash."""
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray) -> None:
-        at = np.argsort(grams.view(np.uint64))
-        self.grams, self.counts = grams.view(np.uint64)[at], counts[at]
+    """The global order, from the sketch: by level (an eighth of a doubling of the cell's count), then by
+    hash. cuts: the first n-gram (level, hash) of each fragment but the first."""
+
+    def __init__(self, sketch: np.ndarray, hot: int) -> None:
+        self.levels = np.floor(8 * np.log2(np.maximum(sketch, 1))).astype(np.uint8)
+        by_level = np.bincount(self.levels, weights=sketch, minlength=256)
+        # cells that hold far more than the mean are those of frequent n-grams
+        self.hot = max(float(hot), 4 * float(sketch.sum()) / len(sketch))
+        upto = np.cumsum(by_level) / max(1.0, by_level.sum())
+        self.cuts = []
+        for share in np.arange(1, FRAGMENTS) / FRAGMENTS:
+            level = min(255, int(np.searchsorted(upto, share)))
+            before = upto[level - 1] if level else 0.0
+            inside = (share - before) / max(upto[level] - before, 1e-12)
+            self.cuts.append((level, min(int(inside * 2**64), 2**64 - 1)))
 
     def of(self, grams: np.ndarray) -> np.ndarray:
-        """The counts of sorted n-grams, 0 for those that are not frequent."""
-        if not len(self.grams):
-            return np.zeros(len(grams), np.int64)
-        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
-        return np.where(self.grams[at] == grams, self.counts[at], 0)
+        """The levels of n-grams."""
+        return self.levels[(grams >> _CELL).astype(np.int64)]
+
+    def fragment(self, grams: np.ndarray) -> np.ndarray:
+        levels, found = self.of(grams), np.zeros(len(grams), np.int64)
+        for level, at in self.cuts:
+            found += (levels > level) | ((levels == level) & (grams >= np.uint64(at)))
+        return found
+
+    def parts(self, levels: np.ndarray) -> np.ndarray:
+        """Over how many tasks the sets of n-grams of these levels are dealt."""
+        return np.ceil(np.exp2((levels.astype(np.float64) + 1) / 8) / self.hot).astype(np.int64)
 
 
-def _prefixes(width: int, percent: int, order: Order) -> shared.Mapper:
-    """The first n-grams of each set in the global order."""
+def _prefixes(width: int, percent: int, order: Order, clashes: frozenset[int], bits: int) -> shared.Mapper:
+    """The first n-grams of each set in the global order, with their places. part: -1, or to which part
+    of a hot n-gram the row goes."""
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams_of, seen = Shingles(width), set()
         for batch in rows:
-            out, nodes, counts = [], [], []
-            for text in batch.column(1):
+            out, nodes, sizes, counts = [], [], [], []
+            for text in batch.column(0):
                 grams = grams_of.of(text.as_py())
-                if not len(grams) or (node := _node(grams)) in seen:
+                if not len(grams) or (node := _node(grams, bits)) in seen:
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < SEEN:
                     seen.add(node)
                 keep = len(grams) - -(-percent * len(grams) // 100) + 1
-                rank = order.of(grams)
-                first = grams[np.argsort(rank, kind="stable")[:keep]] if rank.any() else grams[:keep]
-                out.append(first)
-                nodes.append(node)
-                counts.append(len(first))
+                out.append(grams[np.argsort(order.of(grams), kind="stable")[:keep]])
+                nodes.append(_ident(node, clashes))
+                sizes.append(len(grams))
+                counts.append(len(out[-1]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), counts))], names=["gram", "node"])
+                grams, node = np.concatenate(out), np.repeat(np.array(nodes, np.int64), counts)
+                parts = order.parts(order.of(grams))
+                part = np.where(parts > 1, (node.view(np.uint64) >> np.uint64(20)).astype(np.int64) % np.maximum(parts, 1), -1)
+                at = np.concatenate([np.arange(n) for n in counts])
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(part.astype(np.int32)), pa.array(node), pa.array(np.repeat(np.array(sizes, np.int32), counts)), pa.array(at.astype(np.int32))], names=["gram", "part", "node", "size", "at"])
+
+    return run
+
+
+def _possible(size_a: np.ndarray, at_a: np.ndarray, size_b: np.ndarray, at_b: np.ndarray, percent: int) -> np.ndarray:
+    """Could two sets be linked whose first common n-gram has these places?"""
+    both = size_a + size_b
+    need = -(-percent * both // (100 + percent))
+    return (np.minimum(size_a, size_b) * 100 >= np.maximum(size_a, size_b) * percent) & (np.minimum(size_a - at_a, size_b - at_b) >= need)
+
+
+def _runs(percent: int, short: int) -> shared.Mapper:
+    """From rows sorted by n-gram, part and node: all possible pairs (a, b) of an n-gram of up to `short`
+    sets, and the rows of others (gram, a, size, at), with a hub as b. Of rows of one n-gram only, none."""
+    names = ["gram", "a", "b", "size", "at"]
+
+    def made(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        gram, part, node, size, at = x
+        starts = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])]))
+        lengths = np.diff(np.append(starts, len(gram)))
+        whole = part[starts] < 0
+        for n in range(2, short + 1):
+            if len(first := starts[(lengths == n) & whole]):
+                i, j = np.triu_indices(n, 1)
+                i, j = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
+                ok = _possible(size[i], at[i], size[j], at[j], percent)
+                i, j = i[ok], j[ok]
+                none = pa.nulls(len(i), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, pa.array(node[i]), pa.array(node[j]), none, none], names=names)
+        long = (lengths > short) | ~whole
+        pick, hub = np.repeat(long, lengths), np.repeat(node[starts], lengths)
+        if pick.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[pick]) for c in (gram, node, hub, size, at)], names=names)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in rows:
+            if not batch.num_rows:
+                continue
+            x = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])
+            # copies of one set in several tasks
+            fresh = np.concatenate([[True], (x[:3, 1:] != x[:3, :-1]).any(axis=0)])
+            if held and (held[-1][:3, -1] == x[:3, 0]).all():
+                fresh[0] = False
+            x = x[:, fresh]
+            if not x.shape[1]:
+                continue
+            last = x[:2, -1]
+            tail = int(np.flatnonzero((x[:2] != last[:, None]).any(axis=0))[-1]) + 1 if (x[:2, 0] != last).any() else 0
+            if tail or (held and (held[-1][:2, -1] != x[:2, 0]).any()):
+                yield from made(np.concatenate([*held, x[:, :tail]], axis=1))
+                held = []
+            held.append(x[:, tail:])
+        if held:
+            yield from made(np.concatenate(held, axis=1))
 
     return run
 
 
-def _segments(width: int, order: Order) -> shared.Mapper:
+def _segments(width: int, order: Order, clashes: frozenset[int], bits: int) -> shared.Mapper:
     """The segments of each wanted node's set: its n-grams of each fragment of the order."""
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams_of = Shingles(width)
@@ -178,9 +275,9 @@ def _segments(width: int, order: Order) -> shared.Mapper:
             out = []
             for text, want in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 grams = grams_of.of(text.as_py())
-                if _node(grams) != want:
+                if not len(grams) or _ident(_node(grams, bits), clashes) != want:
                     continue
-                part = np.where(order.of(grams) > 0, FRAGMENTS - 1, (grams >> np.uint64(32)) % np.uint64(FRAGMENTS - 1)).astype(np.int64)
+                part = order.fragment(grams)
                 out += [(want, f, grams[part == f].tobytes()) for f in np.unique(part).tolist()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], names=["node", "fragment", "grams"])
@@ -201,99 +298,134 @@ def components(edges: DataFrame) -> DataFrame:
     its component. Labels spread to neighbours and then jump to their label's label, so the
     number of rounds grows with the logarithm of a path's length."""
     both = shared.materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    degrees = shared.materialize(both.groupBy("b").agg(F.count("*").alias("n")), "degrees")
+    links = both.count()
     labels = shared.materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    nodes = labels.count()
     while True:
-        sent = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("heard"))
-        heard = labels.join(sent, labels["node"] == sent["a"]).select("node", F.col("label").alias("was"), F.least("label", "heard").alias("near"))
+        # a hub's links, and the rows of a large component's label, are joined as hot keys
+        sent = shared.hot_join(both, labels.select(F.col("node").alias("b"), "label"), "b", degrees, links).groupBy("a").agg(F.min("label").alias("heard"))
+        near = labels.join(sent, labels["node"] == sent["a"]).select("node", F.col("label").alias("was"), F.least("label", "heard").alias("near"))
+        near = shared.materialize(near, "labels")
         far = labels.select(F.col("node").alias("near"), F.col("label").alias("far"))
-        now = shared.materialize(heard.join(far, "near", "left").select("node", "was", F.least("near", "far").alias("label")), "labels")
+        now = shared.hot_join(near, far, "near", near.groupBy("near").agg(F.count("*").alias("n")), nodes)
+        now = shared.materialize(now.select("node", "was", F.least("near", "far").alias("label")), "labels")
         done = not now.filter(F.col("was") != F.col("label")).limit(1).count()
         labels = now.drop("was")
         if done:
             return labels
 
 
-def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """docs (doc_id, text): doc_id, n_shingles and component_id, where two documents are linked if
-    the Jaccard similarity of their sets of word n-grams is at least percent / 100."""
+def _members(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """For each row of docs: doc_id, key, n_shingles and label, its component's name; without a set, null."""
     spark = docs.sparkSession
     shared.bound_batches(spark)
-    texts = _docs(docs)
-    maps = [f"b{k}" for k in range(WORDS)]
-    found = shared.materialize(texts.mapInArrow(_nodes(width), ", ".join(f"{c} long" for c in ("doc_id", "n_shingles", "node", *maps, "gram", "count"))), "sets")
-    frequent = found.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "gram").limit(FREQUENT)
-    frequent = frequent.toArrow()  # bounded by FREQUENT
-    order = Order(frequent["gram"].to_numpy(), frequent["count"].to_numpy())
-    sets = found.filter("gram IS NULL").select("doc_id", "n_shingles", "node")
-    nodes = found.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("n_shingles").alias("size"), *[F.first(b).alias(b) for b in maps])
-    nodes = shared.materialize(nodes, "nodes")
-
-    postings = shared.materialize(texts.mapInArrow(_prefixes(width, percent, order), "gram long, node long"), "postings")
-    grams = postings.groupBy("gram").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
-    grams = shared.materialize(grams.select("gram", "n"), "grams")
-    total = postings.count()
-    postings = shared.materialize(shared.hot_join(postings, grams.select("gram"), "gram", grams, total).distinct(), "postings")
+    with shared.working(spark):
+        texts = _texts(docs)
+        kinds = ", ".join(f"{c} long" for c in _SETS) + ", " + shared.VECTORS
+        found = shared.materialize(texts.mapInArrow(_sets(width, BITS), kinds), "sets")
+        order = Order(shared.sum_vectors(found.filter("counts IS NOT NULL").select("name", "slice", "fan", "counts"), {"sketch": CELLS})["sketch"], HOT)
+        sets = found.filter("counts IS NULL")
+        nodes = shared.materialize(sets.filter("high IS NOT NULL").groupBy("high", "low").agg(F.min("key").alias("key"), F.count("*").alias("n"), F.first("n_shingles").alias("size"), *[F.first(b).alias(b) for b in _MAPS]), "nodes")
+        # sets that differ but share 64 bits: N * N / 2^65 are expected of N, some hundred of 1e11
+        clashes = frozenset(r["high"] for r in nodes.groupBy("high").agg(F.count("*").alias("n")).filter("n > 1").collect())
+        if clashes:
+            named = F.udf(lambda high, low: _ident((high, low), clashes), "long")
+            nodes = nodes.withColumn("node", F.when(F.col("high").isin(*clashes), named("high", "low")).otherwise(F.col("high")))
+            sets = sets.withColumn("node", F.when(F.col("high").isin(*clashes), named("high", "low")).otherwise(F.col("high")))
+        else:
+            nodes, sets = nodes.withColumn("node", F.col("high")), sets.withColumn("node", F.col("high"))
+        labels = _labels(texts, nodes, percent, width, order, clashes)
+        if labels is None:
+            labels = nodes.select("node", F.col("node").alias("label")).limit(0)
+        members = shared.hot_join(sets.filter("node IS NOT NULL").select("doc_id", "key", "n_shingles", "node"), nodes.select("node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "node", nodes.select("node", "n"), sets.count())
+        alone = sets.filter("node IS NULL").withColumn("label", F.lit(None).cast("long"))
+        columns = ["doc_id", "key", "n_shingles", "label"]
+        return shared.materialize(members.select(*columns).unionByName(alone.select(*columns)), "members", hold=True)
+
+
+def _labels(texts: DataFrame, nodes: DataFrame, percent: int, width: int, order: Order, clashes: frozenset[int]) -> DataFrame | None:
+    """(node, label) of all nodes that are linked; None if there are none."""
+    postings = texts.select("text").mapInArrow(_prefixes(width, percent, order, clashes, BITS), "gram long, part int, node long, size int, at int")
+    runs = postings.repartition("gram", "part").sortWithinPartitions("gram", "part", "node").mapInArrow(_runs(percent, SHORT), "gram long, a long, b long, size long, at long")
+    runs = shared.materialize(runs, "runs")
+    rows = shared.materialize(runs.filter("gram IS NOT NULL").select("gram", F.col("a").alias("node"), F.col("b").alias("hub"), "size", "at"), "postings")
+    pairs = runs.filter("gram IS NULL").select("a", "b").unionByName(_met(rows.select("node", "hub")))
 
     # elements that two linked sets may differ in: all of both, less twice the least overlap
     both = F.col("size_a") + F.col("size_b")
     differ = both - 2 * F.ceil(both * percent / (100 + percent))
-    bits = sum((F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in maps), F.lit(0))
-    similar = (F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent) & (bits <= differ) & (F.col("a") != F.col("b"))
-    described = lambda x: nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", *maps)])
+    bits = sum((F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in _MAPS), F.lit(0))
+    close = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
+    described = lambda x: nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", *_MAPS)])
+    held = Segments(texts, nodes, width, order, clashes)
     labels = edges = verified = None
-    for turn in range(HUB_ROUNDS + 1):
-        at = postings.withColumn("label", F.col("node"))
-        if labels is not None:
-            at = shared.materialize(postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "postings")
-        by = at.groupBy("gram", "label").agg(F.count("*").alias("k")).groupBy("gram").agg(F.sum("k").alias("n"), F.max_by("label", F.struct("k", "label")).alias("largest"), F.count("*").alias("labels"))
-        by = shared.materialize(by.filter("labels > 1").select("gram", "n", "largest"), "grams")
-        n = by.agg(F.sum("n")).first()[0]
-        if not n:
-            break
-        at = shared.materialize(shared.hot_join(at, by.select("gram", "largest"), "gram", by.select("gram", "n"), int(n)), "postings")
-        if turn < HUB_ROUNDS:
-            # one hub for each n-gram; a set has many n-grams, so it meets many hubs
-            hubs = at.groupBy("gram").agg(F.min_by(F.struct("node", "label"), F.xxhash64(F.lit(turn), "gram", "node")).alias("h")).select("gram", F.col("h.node").alias("b"), F.col("h.label").alias("label_b"))
-            met = shared.hot_join(at.select("gram", F.col("node").alias("a"), "label"), hubs, "gram", by.select("gram", "n"), int(n)).filter("label != label_b")
-            met = shared.materialize(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-            pairs = met.join(described("a"), "a").join(described("b"), "b").filter(similar)
-        else:
-            # what is outside its n-gram's largest component, against all of other components
-            whole = at.join(nodes.select("node", "size", *maps), "node")
-            named = lambda df, x: df.select("gram", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", "label", *maps)])
-            outside = named(whole.filter("label != largest"), "a")
-            everyone = whole.select("gram", "largest", F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("size", "label", *maps)])
-            pairs = outside.join(everyone, (outside["gram"] == everyone["gram"]) & (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("largest")) | (F.col("a") < F.col("b"))) & similar)
-        first = F.col("a") < F.col("b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(first, F.col("size_a")).otherwise(F.col("size_b")).cast("int").alias("size_a"), F.when(first, F.col("size_b")).otherwise(F.col("size_a")).cast("int").alias("size_b")).distinct()
-        if verified is not None:
-            pairs = pairs.join(verified, ["a", "b"], "left_anti")
-        pairs = shared.materialize(pairs, "pairs")
-        links = shared.materialize(_verify(texts, nodes, pairs, width, percent, order), "links")
+    for turn in range(HUB_ROUNDS + 2):
+        if turn:
+            at = rows.drop("hub")
+            at = at.withColumn("label", F.col("node")) if labels is None else at.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            at = shared.materialize(at, "postings")
+            by = at.groupBy("gram", "label").agg(F.count("*").alias("k"), F.min("node").alias("hub")).groupBy("gram").agg(F.sum("k").alias("n"), F.max_by(F.struct("label", "hub"), F.struct("k", "label")).alias("of"), F.count("*").alias("labels"))
+            by = shared.materialize(by.filter("labels > 1").select("gram", "n", F.col("of.label").alias("largest"), "of.hub"), "grams")
+            n = by.agg(F.sum("n")).first()[0]
+            if not n:
+                break
+            rows = shared.materialize(shared.hot_join(at, by.select("gram", "largest", "hub"), "gram", by.select("gram", "n"), int(n)), "postings")
+            outside = rows.filter("label != largest")
+            if turn <= HUB_ROUNDS:
+                pairs = _met(outside.select("node", "hub"))
+            else:
+                # what is outside its n-gram's largest component, against all of other components
+                one, two = (df.select("gram", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "size", "at")], *others) for df, x, others in ((outside, "a", []), (rows, "b", ["largest"])))
+                left = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+                possible = close & (left >= F.ceil(both * percent / (100 + percent)))
+                pairs = one.join(two, (one["gram"] == two["gram"]) & (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("largest")) | (F.col("node_a") < F.col("node_b"))) & possible)
+                pairs = pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+            rows = rows.select("gram", "node", "size", "at", "hub")
+        pairs = pairs.distinct() if verified is None else pairs.distinct().join(verified, ["a", "b"], "left_anti")
+        pairs = pairs.join(described("a"), "a").join(described("b"), "b").filter(close & (bits <= differ))
+        pairs = shared.materialize(pairs.select("a", "b", F.col("size_a").cast("int"), F.col("size_b").cast("int")), "pairs")
+        links = shared.materialize(_verify(pairs, held.of(pairs), percent), "links")
         seen = pairs.select("a", "b")
         verified = seen if verified is None else verified.unionByName(seen)
         edges = links if edges is None else edges.unionByName(links)
         if links.limit(1).count():
             labels = components(edges)
-    if labels is None:
-        labels = nodes.select("node", F.col("node").alias("label")).limit(0)
+    return labels
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """rows (node, hub): each node's pair (a, b) with the hub that it shares most n-grams with."""
+    shares = rows.filter("node != hub").groupBy("node", "hub").agg(F.count("*").alias("k"))
+    best = shares.groupBy("node").agg(F.max_by("hub", F.struct("k", "hub")).alias("hub"))
+    return best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
 
-    of = nodes.select("node", "least", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    of = shared.materialize(of, "nodes")
-    least = of.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    members = shared.hot_join(of.select("node", "label"), least.select("label", "component_id"), "label", least.select("label", "n"), nodes.count()).select("node", "component_id")
-    linked = shared.hot_join(sets.filter("node IS NOT NULL"), members, "node", nodes.select("node", "n"), sets.count())
-    alone = sets.filter("node IS NULL").withColumn("component_id", F.col("doc_id"))
-    return linked.select("doc_id", "n_shingles", "component_id").unionByName(alone.select("doc_id", "n_shingles", "component_id"))
 
+class Segments:
+    """The segments (node, fragment, grams) of sets that pairs have asked for, each cut once."""
 
-def _verify(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int, order: Order) -> DataFrame:
+    def __init__(self, texts: DataFrame, nodes: DataFrame, width: int, order: Order, clashes: frozenset[int]) -> None:
+        self.texts, self.nodes, self.cut = texts, nodes, _segments(width, order, clashes, BITS)
+        self.fetched = self.table = None
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """Those of all sets that pairs (a, b) name, and maybe more."""
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        if self.fetched is not None:
+            wanted = wanted.join(self.fetched, "node", "left_anti")
+        wanted = shared.materialize(self.nodes.select("node", "key").join(wanted, "node", "left_semi"), "wanted")
+        n = wanted.count()
+        if n or self.table is None:
+            small = n <= SEND  # else both sides shuffle
+            found = self.texts.join(F.broadcast(wanted) if small else wanted, "key").select("text", "node").mapInArrow(self.cut, "node long, fragment int, grams binary")
+            found = shared.materialize(found, "segments")
+            self.table = found if self.table is None else self.table.unionByName(found)
+            self.fetched = wanted.select("node") if self.fetched is None else self.fetched.unionByName(wanted.select("node"))
+        return self.table
+
+
+def _verify(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked: overlaps counted fragment by fragment, summed by pair."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = shared.materialize(nodes.select("node", F.col("least").alias("doc_id")).join(wanted, "node", "left_semi"), "wanted")
-    small = wanted.count() <= SEND  # else both sides shuffle
-    segments = texts.join(F.broadcast(wanted) if small else wanted, "doc_id").select("text", "node").mapInArrow(_segments(width, order), "node long, fragment int, grams binary")
-    segments = shared.materialize(segments, "segments")
     one, two = (segments.select(F.col("node").alias(x), "fragment", F.col("grams").alias(f"grams_{x}")) for x in "ab")
     met = pairs.join(one, "a").join(two, ["b", "fragment"]).select("a", "b", "size_a", "size_b", "fragment", "grams_a", "grams_b")
     parts = met.mapInArrow(_overlaps, "a long, b long, size_a int, size_b int, fragment int, n long").groupBy("a", "b", "size_a", "size_b", "fragment").agg(F.max("n").alias("n"))
@@ -301,21 +433,46 @@ def _verify(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, pe
     return sums.filter(F.col("n") * 100 >= (F.col("size_a") + F.col("size_b") - F.col("n")) * percent).select("a", "b")
 
 
+def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """docs (doc_id, text): doc_id, n_shingles and component_id, where two documents are linked if
+    the Jaccard similarity of their sets of word n-grams is at least percent / 100."""
+    members = _members(docs, percent, width)
+    linked = members.filter("label IS NOT NULL")
+    least = shared.materialize(linked.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")), "least")
+    named = shared.hot_join(linked, least.select("label", "component_id"), "label", least.select("label", "n"), linked.count())
+    alone = members.filter("label IS NULL").withColumn("component_id", F.col("doc_id"))
+    return named.select("doc_id", "n_shingles", "component_id").unionByName(alone.select("doc_id", "n_shingles", "component_id"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under a similarity of 0.85 of their sets of four words."""
     return join(shared.table(spark, sf_dir, "documents"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """One row of each component, of the document with the smallest id, with the columns of docs. Rows
-    with a null id are only dropped if they equal a kept document's set; of repeated rows one stays."""
-    found = shared.materialize(join(docs, percent, width), "components")
-    gone = shared.materialize(found.filter("component_id < doc_id").select("doc_id").distinct(), "gone")
-    small = gone.count() <= SEND  # else both sides shuffle
-    kept = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")
-    again = kept.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id")
-    again = shared.materialize(again, "repeated")
+    """One row of each component, with the columns of docs: the one with the smallest id (a null id only
+    where no other is), and of several texts under that id the one with the smallest hash; of repeated
+    rows one stays. Rows without a set are linked with nothing and all stay."""
+    key = "_j_key"
+    while key in {c.lower() for c in docs.columns}:
+        key += "_"
+    members = _members(docs, percent, width).filter("label IS NOT NULL")
+    with shared.working(docs.sparkSession):
+        rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
+        best = members.groupBy("label").agg(F.min(rank).alias("best"), F.count("*").alias("n"))
+        best = shared.materialize(best.select("label", "best.*", "n"), "best")
+        ranked = shared.hot_join(members, best.select("label", F.col("doc_id").alias("best_id"), F.col("key").alias("best_key")), "label", best.select("label", "n"), members.count())
+        is_best = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("key") == F.col("best_key"))
+        gone = shared.materialize(ranked.filter(~is_best).select("doc_id", "key").distinct(), "gone", hold=True)
+        again = shared.materialize(ranked.filter(is_best).groupBy("doc_id", "key").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "key"), "again", hold=True)
+    marked = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), shared.empty_if_null()))
+
+    def split(df: DataFrame, by: DataFrame, how: str) -> DataFrame:
+        by = by.select(F.col("doc_id").alias("_j_id"), F.col("key").alias("_j_of"))
+        by = F.broadcast(by) if by.count() <= SEND else by  # else both sides shuffle
+        return df.join(by, (F.col(key) == by["_j_of"]) & df["doc_id"].cast("long").eqNullSafe(by["_j_id"]), how)
+
+    kept = split(marked, gone, "left_anti")
     if again.limit(1).count():
-        twice = F.broadcast(again) if again.count() <= SEND else again
-        kept = kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept
+        kept = split(kept, again, "left_anti").unionByName(split(kept, again, "left_semi").dropDuplicates(["doc_id", key]))
+    return kept.select(*docs.columns)

@@ -8,13 +8,16 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from contextvars import ContextVar
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-_written: list[str] = []
+_working: ContextVar[tuple[list[str], ...]] = ContextVar("working", default=())  # tables of each open working()
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,27 +39,43 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, label: str = "step", hold: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here, so a lost
-    executor costs a read and not the work before it. Tables to hold are not those of written()."""
+    executor costs a read and not the work before it. A table to hold outlives the innermost
+    working(), which deletes the others."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not hold:
-        _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    open_now = _working.get()
+    if len(open_now) > hold:
+        open_now[-1 - hold].append(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    _paths[made] = path
+    return made
 
 
-def written() -> list[str]:
-    """The tables that materialize() has written so far, in order."""
-    return list(_written)
+def path_of(made: DataFrame) -> str:
+    """Where materialize() has written a frame that it returned."""
+    return _paths[made]
+
+
+@contextlib.contextmanager
+def working(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that materialize() wrote inside, but for those to hold. What is
+    returned from inside must read held tables only."""
+    tables: list[str] = []
+    token = _working.set((*_working.get(), tables))
+    try:
+        yield
+    finally:
+        _working.reset(token)
+        release(spark, tables)
 
 
 def release(spark: SparkSession, paths: Iterable[str]) -> None:
-    """Deletes tables of written(). Frames that read them end here."""
-    for path in set(paths) & set(_written):
+    """Deletes tables of the shared folder. Frames that read them end here."""
+    for path in paths:
         with contextlib.suppress(Exception):
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        _written.remove(path)
 
 
 BATCH = 8 << 20  # bytes of a batch for Python, at most, but for a row that is longer by itself

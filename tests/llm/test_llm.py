@@ -494,12 +494,49 @@ def test_jaccard(spark, percent, width):
     assert got == brute_components(texts, percent, width)
 
 
+@pytest.mark.parametrize("small", [{"SHORT": 3}, {"SHORT": 2, "HOT": 4}, {"BITS": 4}, {"SEEN": 2, "SEND": 0}])
+def test_jaccard_by_other_ways(spark, monkeypatch, small):
+    """Hubs, n-grams dealt over several tasks, sets that share a name's bits, forgetful tasks and shuffled texts."""
+    for name, value in small.items():
+        monkeypatch.setattr(jaccard, name, value)
+    texts = family(9)
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    assert {tuple(r) for r in jaccard.join(docs).collect()} == brute_components(texts, 85, 4)
+
+
+def test_null_ids_bridge_components(spark):
+    words = [f"w{i}" for i in range(500)]
+    a, n, b = list(words), list(words), list(words)
+    n[100:109], b[100:109], b[300:309] = (["x"] * 9, ["x"] * 9, ["y"] * 9)
+    j = lambda x, y: len(set(zip(x, x[1:], x[2:], x[3:])) & set(zip(y, y[1:], y[2:], y[3:]))) / len(set(zip(x, x[1:], x[2:], x[3:])) | set(zip(y, y[1:], y[2:], y[3:])))
+    percent = 95
+    assert j(a, n) >= percent / 100 <= j(n, b) and j(a, b) < percent / 100
+    docs = spark.createDataFrame([(2, " ".join(a)), (None, " ".join(n)), (1, " ".join(b)), (None, "alone at last"), (None, None)], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["component_id"]) for r in jaccard.join(docs, percent).collect() if r["component_id"]) == [(0, 1), (1, 1), (2, 1)]
+    assert sorted(r["doc_id"] or 0 for r in jaccard.keep_one(docs, percent).collect()) == [0, 0, 1]
+
+
+def test_fragments_are_cuts_of_the_order():
+    rng = np.random.default_rng(10)
+    grams = np.unique(rng.integers(0, 2**64, 20_000, np.uint64))
+    sketch = np.bincount((grams >> jaccard._CELL).astype(np.int64), minlength=jaccard.CELLS)
+    sketch[(grams[::4] >> jaccard._CELL).astype(np.int64)] += 9
+    order = jaccard.Order(sketch, jaccard.HOT)
+    ranked = grams[np.lexsort((grams, order.of(grams)))]
+    found = order.fragment(ranked)
+    assert (np.diff(found) >= 0).all() and set(found.tolist()) == set(range(jaccard.FRAGMENTS))
+
+
 def test_jaccard_of_odd_texts(spark, odd, empty):
     rows = jaccard.join(odd).collect()
     assert len(rows) == odd.count() and jaccard.join(empty).count() == 0
     assert {r["component_id"] for r in rows if r["doc_id"] in (8, 100)} == {8}
     kept = jaccard.keep_one(odd)
     assert kept.columns == odd.columns and kept.filter("doc_id = 8").count() == 1 and kept.filter("doc_id = 100").count() == 0
+    assert jaccard.keep_one(empty).count() == 0
+    # of an id with two texts in two components both stay, of an equal text without an id none
+    docs = spark.createDataFrame([(1, "a b c d e f", 0), (1, "g h i j k l", 1), (None, "a b c d e f", 2), (2, "", 3), (2, "", 4)], "doc_id long, text string, _j_key int")
+    assert sorted(r["_j_key"] for r in jaccard.keep_one(docs).collect()) == [0, 1, 3, 4]
 
 
 # Pipeline
