@@ -7,8 +7,9 @@ and the partial overlaps are summed for each pair.
 
 Which pairs are counted at all follows from the same order. Two sets whose similarity reaches the
 threshold share one of the first n-grams of both (their prefixes), and the first they share leaves both
-enough n-grams behind it. N-grams of up to SHORT sets make pairs of all of them; of the rest, sizes,
-places and parity bitmaps rule out those that differ too much. Equal sets are one node from the start.
+enough n-grams behind it; of sets alike in size the prefixes even share several. N-grams of up to SHORT
+sets make pairs of all of them. Of the pairs, sizes, places, the number of shared n-grams and parity
+bitmaps rule out those that differ too much. Equal sets are one node from the start.
 
 Families of near copies share whole prefixes, and all their pairs would grow with the square of a
 family. So an n-gram of more sets names a hub, each set meets the hub it shares most with, and verified
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from petroloom.llm import shared
 
@@ -43,6 +44,8 @@ HOT = 100_000  # rows of one n-gram in a task; those of more are dealt over seve
 BITS = 64  # of the 128 that stand for a set, those that name it in joins; clashes are told apart
 SEEN = 200_000  # sets that a task remembers, to pass over copies
 HUB_ROUNDS = 2
+SHARED = 4  # n-grams that prefixes must share, at most
+BEFORE = 16  # n-grams before a place that are looked at, to make a pair once
 WORDS = 8  # of 64 bits, of a set's parity bitmap
 SEND = 1_000_000  # ids of candidates that may be broadcast: 8 MB
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
@@ -127,7 +130,7 @@ def _sets(width: int, bits: int) -> shared.Mapper:
     names = [*_SETS, "name", "slice", "fan", "counts"]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams_of, sketch, held, n, seen = Shingles(width), np.zeros(CELLS, np.int32), [], 0, set()
+        grams_of, sketch, seen = Shingles(width), np.zeros(CELLS, np.int32), set()
         for batch in rows:
             found: list[list] = [[] for _ in range(3 + WORDS)]
             for text in batch.column(2):
@@ -138,14 +141,8 @@ def _sets(width: int, bits: int) -> shared.Mapper:
                 if node[0] is not None and node not in seen:
                     if len(seen) < SEEN:
                         seen.add(node)
-                    held.append(grams)
-                    n += len(grams)
-                    if n > 1 << 21:
-                        sketch += np.bincount((np.concatenate(held) >> _CELL).astype(np.int64), minlength=CELLS).astype(np.int32)
-                        held, n = [], 0
+                    np.add.at(sketch, (grams >> _CELL).astype(np.int32), 1)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, pa.int64()) for c in found), *(pa.nulls(batch.num_rows, t) for t in (pa.string(), pa.int32(), pa.int32(), pa.binary()))], names=names)
-        if held:
-            sketch += np.bincount((np.concatenate(held) >> _CELL).astype(np.int64), minlength=CELLS).astype(np.int32)
         for counted in shared.vector_rows({"sketch": sketch}):
             yield pa.RecordBatch.from_arrays([*(pa.nulls(counted.num_rows, pa.int64()) for _ in _SETS), *counted.columns], names=names)
 
@@ -157,8 +154,11 @@ class Order:
     hash. cuts: the first n-gram (level, hash) of each fragment but the first."""
 
     def __init__(self, sketch: np.ndarray, hot: int) -> None:
-        self.levels = np.floor(8 * np.log2(np.maximum(sketch, 1))).astype(np.uint8)
-        by_level = np.bincount(self.levels, weights=sketch, minlength=256)
+        self.levels, by_level = np.empty(len(sketch), np.uint8), np.zeros(256)
+        for at in range(0, len(sketch), 1 << 16):
+            some = sketch[at : at + (1 << 16)]
+            self.levels[at : at + len(some)] = levels = np.floor(8 * np.log2(np.maximum(some, 1)))
+            by_level += np.bincount(levels.astype(np.uint8), weights=some, minlength=256)
         # cells that hold far more than the mean are those of frequent n-grams
         self.hot = max(float(hot), 4 * float(sketch.sum()) / len(sketch))
         upto = np.cumsum(by_level) / max(1.0, by_level.sum())
@@ -213,10 +213,10 @@ def _prefixes(width: int, percent: int, order: Order, clashes: frozenset[int], b
 
 
 def _possible(size_a: np.ndarray, at_a: np.ndarray, size_b: np.ndarray, at_b: np.ndarray, percent: int) -> np.ndarray:
-    """Could two sets be linked whose first common n-gram has these places?"""
+    """Could two sets be linked of whose common n-grams one of the first SHARED has these places?"""
     both = size_a + size_b
     need = -(-percent * both // (100 + percent))
-    return (np.minimum(size_a, size_b) * 100 >= np.maximum(size_a, size_b) * percent) & (np.minimum(size_a - at_a, size_b - at_b) >= need)
+    return (np.minimum(size_a, size_b) * 100 >= np.maximum(size_a, size_b) * percent) & (np.minimum(size_a - at_a, size_b - at_b) + SHARED - 1 >= need)
 
 
 def _runs(percent: int, short: int) -> shared.Mapper:
@@ -298,17 +298,16 @@ def components(edges: DataFrame) -> DataFrame:
     its component. Labels spread to neighbours and then jump to their label's label, so the
     number of rounds grows with the logarithm of a path's length."""
     both = shared.materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    degrees = shared.materialize(both.groupBy("b").agg(F.count("*").alias("n")), "degrees")
-    links = both.count()
+    hubs = shared.hot_keys(both.groupBy("b").agg(F.count("*").alias("n")), "b", both.count())
     labels = shared.materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     nodes = labels.count()
     while True:
         # a hub's links, and the rows of a large component's label, are joined as hot keys
-        sent = shared.hot_join(both, labels.select(F.col("node").alias("b"), "label"), "b", degrees, links).groupBy("a").agg(F.min("label").alias("heard"))
+        sent = shared.hot_join(both, labels.select(F.col("node").alias("b"), "label"), "b", hubs).groupBy("a").agg(F.min("label").alias("heard"))
         near = labels.join(sent, labels["node"] == sent["a"]).select("node", F.col("label").alias("was"), F.least("label", "heard").alias("near"))
         near = shared.materialize(near, "labels")
         far = labels.select(F.col("node").alias("near"), F.col("label").alias("far"))
-        now = shared.hot_join(near, far, "near", near.groupBy("near").agg(F.count("*").alias("n")), nodes)
+        now = shared.hot_join(near, far, "near", shared.hot_keys(near.groupBy("near").agg(F.count("*").alias("n")), "near", nodes))
         now = shared.materialize(now.select("node", "was", F.least("near", "far").alias("label")), "labels")
         done = not now.filter(F.col("was") != F.col("label")).limit(1).count()
         labels = now.drop("was")
@@ -338,7 +337,7 @@ def _members(docs: DataFrame, percent: int, width: int) -> DataFrame:
         labels = _labels(texts, nodes, percent, width, order, clashes)
         if labels is None:
             labels = nodes.select("node", F.col("node").alias("label")).limit(0)
-        members = shared.hot_join(sets.filter("node IS NOT NULL").select("doc_id", "key", "n_shingles", "node"), nodes.select("node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "node", nodes.select("node", "n"), sets.count())
+        members = shared.hot_join(sets.filter("node IS NOT NULL").select("doc_id", "key", "n_shingles", "node"), nodes.select("node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "node", shared.hot_keys(nodes, "node", sets.count()))
         alone = sets.filter("node IS NULL").withColumn("label", F.lit(None).cast("long"))
         columns = ["doc_id", "key", "n_shingles", "label"]
         return shared.materialize(members.select(*columns).unionByName(alone.select(*columns)), "members", hold=True)
@@ -350,13 +349,21 @@ def _labels(texts: DataFrame, nodes: DataFrame, percent: int, width: int, order:
     runs = postings.repartition("gram", "part").sortWithinPartitions("gram", "part", "node").mapInArrow(_runs(percent, SHORT), "gram long, a long, b long, size long, at long")
     runs = shared.materialize(runs, "runs")
     rows = shared.materialize(runs.filter("gram IS NOT NULL").select("gram", F.col("a").alias("node"), F.col("b").alias("hub"), "size", "at"), "postings")
-    pairs = runs.filter("gram IS NULL").select("a", "b").unionByName(_met(rows.select("node", "hub")))
+    # how many n-grams of short lists two sets share, and at most how many of long ones
+    long = rows.groupBy("node").agg(F.count("*").alias("k"))
+    short = runs.filter("gram IS NULL").groupBy("a", "b").agg(F.count("*").alias("k"))
+    short = short.join(long.select(F.col("node").alias("a"), F.col("k").alias("k_a")), "a", "left").join(long.select(F.col("node").alias("b"), F.col("k").alias("k_b")), "b", "left")
+    pairs = short.select("a", "b", (F.col("k") + F.coalesce(F.least("k_a", "k_b", F.when(F.col("k_a").isNull() | F.col("k_b").isNull(), 0)), F.lit(0))).alias("k"))
+    pairs = pairs.unionByName(_met(rows.select("node", "hub")))
 
     # elements that two linked sets may differ in: all of both, less twice the least overlap
     both = F.col("size_a") + F.col("size_b")
-    differ = both - 2 * F.ceil(both * percent / (100 + percent))
+    need = F.ceil(both * percent / (100 + percent))
     bits = sum((F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in _MAPS), F.lit(0))
-    close = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
+    close = (F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent) & (bits <= both - 2 * need)
+    # of a linked pair's common n-grams the first ones, so many, lie in both prefixes
+    prefix = lambda x: F.col(x) - F.ceil(F.col(x) * percent / 100) + 1
+    first = F.greatest(F.lit(1), F.least(F.lit(SHARED), *[prefix(x) - (F.col(x) - need) for x in ("size_a", "size_b")]))
     described = lambda x: nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", *_MAPS)])
     held = Segments(texts, nodes, width, order, clashes)
     labels = edges = verified = None
@@ -370,20 +377,17 @@ def _labels(texts: DataFrame, nodes: DataFrame, percent: int, width: int, order:
             n = by.agg(F.sum("n")).first()[0]
             if not n:
                 break
-            rows = shared.materialize(shared.hot_join(at, by.select("gram", "largest", "hub"), "gram", by.select("gram", "n"), int(n)), "postings")
-            outside = rows.filter("label != largest")
+            hot = shared.hot_keys(by, "gram", int(n))
+            rows = shared.materialize(shared.hot_join(at, by.select("gram", "largest", "hub"), "gram", hot), "postings")
             if turn <= HUB_ROUNDS:
-                pairs = _met(outside.select("node", "hub"))
+                pairs = _met(rows.filter("label != largest").select("node", "hub"))
             else:
-                # what is outside its n-gram's largest component, against all of other components
-                one, two = (df.select("gram", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "size", "at")], *others) for df, x, others in ((outside, "a", []), (rows, "b", ["largest"])))
-                left = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
-                possible = close & (left >= F.ceil(both * percent / (100 + percent)))
-                pairs = one.join(two, (one["gram"] == two["gram"]) & (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("largest")) | (F.col("node_a") < F.col("node_b"))) & possible)
-                pairs = pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+                pairs = _outside(rows, described, close, need)
             rows = rows.select("gram", "node", "size", "at", "hub")
-        pairs = pairs.distinct() if verified is None else pairs.distinct().join(verified, ["a", "b"], "left_anti")
-        pairs = pairs.join(described("a"), "a").join(described("b"), "b").filter(close & (bits <= differ))
+        pairs = pairs.groupBy("a", "b").agg(F.max("k").alias("k"))
+        if verified is not None:
+            pairs = pairs.join(verified, ["a", "b"], "left_anti")
+        pairs = pairs.join(described("a"), "a").join(described("b"), "b").filter(close & (F.col("k") >= first))
         pairs = shared.materialize(pairs.select("a", "b", F.col("size_a").cast("int"), F.col("size_b").cast("int")), "pairs")
         links = shared.materialize(_verify(pairs, held.of(pairs), percent), "links")
         seen = pairs.select("a", "b")
@@ -394,11 +398,24 @@ def _labels(texts: DataFrame, nodes: DataFrame, percent: int, width: int, order:
     return labels
 
 
+def _outside(rows: DataFrame, described, close: Column, need: Column) -> DataFrame:
+    """What is outside its n-gram's largest component, with all of other components: pairs (a, b) that may
+    be linked. A pair is made at the first n-gram it shares, as far as the BEFORE n-grams before tell."""
+    before = F.collect_list("gram").over(Window.partitionBy("node").orderBy("at", "gram").rowsBetween(-BEFORE, -1))
+    rows = shared.materialize(rows.withColumn("before", before), "postings")
+    whole = lambda df, x: df.withColumnsRenamed({c: f"{c}_{x}" for c in ("node", "label", "at", "before")}).drop("size", "hub").withColumnRenamed(f"node_{x}", x).join(described(x), x)
+    one, two = whole(rows.filter("label != largest"), "a").drop("largest"), whole(rows, "b")
+    apart = (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("largest")) | (F.col("a") < F.col("b")))
+    reach = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= need
+    met = one.join(two, (one["gram"] == two["gram"]) & apart & reach & close & ~F.arrays_overlap("before_a", "before_b"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(SHARED).cast("long").alias("k"))
+
+
 def _met(rows: DataFrame) -> DataFrame:
     """rows (node, hub): each node's pair (a, b) with the hub that it shares most n-grams with."""
     shares = rows.filter("node != hub").groupBy("node", "hub").agg(F.count("*").alias("k"))
     best = shares.groupBy("node").agg(F.max_by("hub", F.struct("k", "hub")).alias("hub"))
-    return best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    return best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), F.lit(SHARED).cast("long").alias("k"))
 
 
 class Segments:
@@ -409,19 +426,18 @@ class Segments:
         self.fetched = self.table = None
 
     def of(self, pairs: DataFrame) -> DataFrame:
-        """Those of all sets that pairs (a, b) name, and maybe more."""
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        if self.fetched is not None:
-            wanted = wanted.join(self.fetched, "node", "left_anti")
-        wanted = shared.materialize(self.nodes.select("node", "key").join(wanted, "node", "left_semi"), "wanted")
+        """Those of all sets that pairs (a, b) name."""
+        named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        named = shared.materialize(self.nodes.select("node", "key").join(named, "node", "left_semi"), "named")
+        wanted = named if self.fetched is None else shared.materialize(named.join(self.fetched, "node", "left_anti"), "wanted")
         n = wanted.count()
         if n or self.table is None:
-            small = n <= SEND  # else both sides shuffle
-            found = self.texts.join(F.broadcast(wanted) if small else wanted, "key").select("text", "node").mapInArrow(self.cut, "node long, fragment int, grams binary")
-            found = shared.materialize(found, "segments")
+            by = F.broadcast(wanted) if n <= SEND else wanted  # else both sides shuffle
+            found = shared.materialize(self.texts.join(by, "key").select("text", "node").mapInArrow(self.cut, "node long, fragment int, grams binary"), "segments")
             self.table = found if self.table is None else self.table.unionByName(found)
             self.fetched = wanted.select("node") if self.fetched is None else self.fetched.unionByName(wanted.select("node"))
-        return self.table
+        named = named.select("node")
+        return self.table.join(F.broadcast(named) if named.count() <= SEND else named, "node", "left_semi")
 
 
 def _verify(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
@@ -439,7 +455,7 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
     members = _members(docs, percent, width)
     linked = members.filter("label IS NOT NULL")
     least = shared.materialize(linked.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")), "least")
-    named = shared.hot_join(linked, least.select("label", "component_id"), "label", least.select("label", "n"), linked.count())
+    named = shared.hot_join(linked, least.select("label", "component_id"), "label", shared.hot_keys(least, "label", linked.count()))
     alone = members.filter("label IS NULL").withColumn("component_id", F.col("doc_id"))
     return named.select("doc_id", "n_shingles", "component_id").unionByName(alone.select("doc_id", "n_shingles", "component_id"))
 
@@ -461,7 +477,7 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> Dat
         rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
         best = members.groupBy("label").agg(F.min(rank).alias("best"), F.count("*").alias("n"))
         best = shared.materialize(best.select("label", "best.*", "n"), "best")
-        ranked = shared.hot_join(members, best.select("label", F.col("doc_id").alias("best_id"), F.col("key").alias("best_key")), "label", best.select("label", "n"), members.count())
+        ranked = shared.hot_join(members, best.select("label", F.col("doc_id").alias("best_id"), F.col("key").alias("best_key")), "label", shared.hot_keys(best, "label", members.count()))
         is_best = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("key") == F.col("best_key"))
         gone = shared.materialize(ranked.filter(~is_best).select("doc_id", "key").distinct(), "gone", hold=True)
         again = shared.materialize(ranked.filter(is_best).groupBy("doc_id", "key").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "key"), "again", hold=True)

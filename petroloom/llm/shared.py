@@ -208,15 +208,20 @@ def empty_if_null(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, of: int, share: int = 1000) -> DataFrame:
+def hot_keys(counts: DataFrame, key: str, of: int, share: int = 1000) -> list:
+    """The keys with more than 1 / `share` of all `of` rows, `share` at most. counts: (key, n)."""
+    return [r[0] for r in counts.filter(F.col("n") > max(64, of // share)).select(key).collect()]
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, hot: list) -> DataFrame:
     """left join right on `key` (inner), where right has one row for each key, and left may hold
-    a third of its rows in one. Keys with more than 1 / `share` of all `of` rows are `share` at
-    most; their rows of `right` are broadcast. The others shuffle evenly.
-    counts: (key, n), the rows of left by key."""
-    edge = max(64, of // share)
-    hot = F.broadcast(counts.filter(F.col("n") > edge).select(key))  # at most `share` keys
-    cold_left, hot_left = left.join(hot, key, "left_anti"), left.join(hot, key, "left_semi")
-    return cold_left.join(right.join(hot, key, "left_anti"), key).unionByName(hot_left.join(F.broadcast(right.join(hot, key, "left_semi")), key))
+    a third of its rows in one. The rows of `right` with one of the keys of hot_keys() are broadcast;
+    the others shuffle evenly."""
+    if not hot:
+        return left.join(right, key)
+    few = F.broadcast(left.sparkSession.createDataFrame([(k,) for k in hot], f"{key} {left.schema[key].dataType.simpleString()}"))
+    cold = left.join(few, key, "left_anti").join(right, key)  # no row of a hot key reaches the shuffle
+    return cold.unionByName(left.join(few, key, "left_semi").join(F.broadcast(right.join(few, key, "left_semi")), key))
 
 
 Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
