@@ -12,8 +12,8 @@ sets make pairs of all of them. Of the pairs, sizes, places, the number of share
 bitmaps rule out those that differ too much. Equal sets are one node from the start.
 
 Families of near copies share whole prefixes, and all their pairs would grow with the square of a
-family. So an n-gram of more sets names a hub, each set meets the hub it shares most with, and verified
-links join sets into components; after HUB_ROUNDS such rounds, only sets outside their n-gram's largest
+family. So an n-gram of more sets names a hub, the set with the fewest n-grams before it, which is the least
+altered copy; each set meets the HUBS hubs it shares most with, and verified links join sets into components; after HUB_ROUNDS such rounds, only sets outside their n-gram's largest
 component are compared with those of other components. A pair is left out only if its two sets are
 already in one component or differ too much, so the components are those of all links.
 
@@ -44,6 +44,7 @@ HOT = 100_000  # rows of one n-gram in a task; those of more are dealt over seve
 BITS = 64  # of the 128 that stand for a set, those that name it in joins; clashes are told apart
 SEEN = 200_000  # sets that a task remembers, to pass over copies
 HUB_ROUNDS = 2
+HUBS = 3  # that a set meets in a round
 SHARED = 4  # n-grams that prefixes must share, at most
 BEFORE = 16  # n-grams before a place that are looked at, to make a pair once
 WORDS = 8  # of 64 bits, of a set's parity bitmap
@@ -220,7 +221,7 @@ def _possible(size_a: np.ndarray, at_a: np.ndarray, size_b: np.ndarray, at_b: np
 
 
 def _runs(percent: int, short: int) -> shared.Mapper:
-    """From rows sorted by n-gram, part and node: all possible pairs (a, b) of an n-gram of up to `short`
+    """From rows sorted by n-gram, part, place and node: all possible pairs (a, b) of an n-gram of up to `short`
     sets, and the rows of others (gram, a, size, at), with a hub as b. Of rows of one n-gram only, none."""
     names = ["gram", "a", "b", "size", "at"]
 
@@ -236,7 +237,7 @@ def _runs(percent: int, short: int) -> shared.Mapper:
                 ok = _possible(size[i], at[i], size[j], at[j], percent)
                 i, j = i[ok], j[ok]
                 none = pa.nulls(len(i), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, pa.array(node[i]), pa.array(node[j]), none, none], names=names)
+                yield pa.RecordBatch.from_arrays([none, pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), none, none], names=names)
         long = (lengths > short) | ~whole
         pick, hub = np.repeat(long, lengths), np.repeat(node[starts], lengths)
         if pick.any():
@@ -346,7 +347,7 @@ def _members(docs: DataFrame, percent: int, width: int) -> DataFrame:
 def _labels(texts: DataFrame, nodes: DataFrame, percent: int, width: int, order: Order, clashes: frozenset[int]) -> DataFrame | None:
     """(node, label) of all nodes that are linked; None if there are none."""
     postings = texts.select("text").mapInArrow(_prefixes(width, percent, order, clashes, BITS), "gram long, part int, node long, size int, at int")
-    runs = postings.repartition("gram", "part").sortWithinPartitions("gram", "part", "node").mapInArrow(_runs(percent, SHORT), "gram long, a long, b long, size long, at long")
+    runs = postings.repartition("gram", "part").sortWithinPartitions("gram", "part", "at", "node").mapInArrow(_runs(percent, SHORT), "gram long, a long, b long, size long, at long")
     runs = shared.materialize(runs, "runs")
     rows = shared.materialize(runs.filter("gram IS NOT NULL").select("gram", F.col("a").alias("node"), F.col("b").alias("hub"), "size", "at"), "postings")
     # how many n-grams of short lists two sets share, and at most how many of long ones
@@ -372,7 +373,8 @@ def _labels(texts: DataFrame, nodes: DataFrame, percent: int, width: int, order:
             at = rows.drop("hub")
             at = at.withColumn("label", F.col("node")) if labels is None else at.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
             at = shared.materialize(at, "postings")
-            by = at.groupBy("gram", "label").agg(F.count("*").alias("k"), F.min("node").alias("hub")).groupBy("gram").agg(F.sum("k").alias("n"), F.max_by(F.struct("label", "hub"), F.struct("k", "label")).alias("of"), F.count("*").alias("labels"))
+            first_of = ("at", "node") if turn == 1 else (F.xxhash64(F.lit(turn), "gram", "node"),)
+            by = at.groupBy("gram", "label").agg(F.count("*").alias("k"), F.min_by("node", F.struct(*first_of)).alias("hub")).groupBy("gram").agg(F.sum("k").alias("n"), F.max_by(F.struct("label", "hub"), F.struct("k", "label")).alias("of"), F.count("*").alias("labels"))
             by = shared.materialize(by.filter("labels > 1").select("gram", "n", F.col("of.label").alias("largest"), "of.hub"), "grams")
             n = by.agg(F.sum("n")).first()[0]
             if not n:
@@ -412,9 +414,10 @@ def _outside(rows: DataFrame, described, close: Column, need: Column) -> DataFra
 
 
 def _met(rows: DataFrame) -> DataFrame:
-    """rows (node, hub): each node's pair (a, b) with the hub that it shares most n-grams with."""
+    """rows (node, hub): each node's pairs (a, b) with the hubs that it shares most n-grams with."""
     shares = rows.filter("node != hub").groupBy("node", "hub").agg(F.count("*").alias("k"))
-    best = shares.groupBy("node").agg(F.max_by("hub", F.struct("k", "hub")).alias("hub"))
+    best = shares.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "hub")), False), 1, HUBS).alias("best"))
+    best = best.select("node", F.explode("best.hub").alias("hub"))
     return best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), F.lit(SHARED).cast("long").alias("k"))
 
 
