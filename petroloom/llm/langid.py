@@ -163,9 +163,10 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 0) ->
     """At most `per_language` ids of each language, by a seeded hash: doc_id, lang."""
     spark = docs.sparkSession
     known = docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "lang")
+    known = known.groupBy("doc_id").agg(F.min("lang").alias("lang"))
     counts = known.groupBy("lang").agg(F.count("*").alias("_n"))  # a row for each language
     u = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(2**52)) / float(2**52)
-    near = known.join(F.broadcast(counts), "lang").withColumn("_u", u).filter(F.col("_u") < 1.5 * per_language / F.col("_n") + 0.0001).collect()
+    near = known.join(F.broadcast(counts), "lang").withColumn("_u", u).filter(F.col("_u") * F.col("_n") < 1.5 * per_language + 50).collect()  # about that many of each
     by: dict[str, list] = {}
     for r in sorted(near, key=lambda r: (r["_u"], r["doc_id"])):
         if len(by.setdefault(r["lang"], [])) < per_language:
@@ -184,8 +185,9 @@ def _windows_of(count: int, steps: int) -> shared.Mapper:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = _bytes(text.as_py())
                 n = -(-len(data) // steps)
+                mixed = xxhash.xxh64_digest(data)
                 for k in range(min(count, n)):
-                    i = xxhash.xxh64_intdigest(data[:4096], seed=k) % n if n > count else k
+                    i = xxhash.xxh64_intdigest(mixed, seed=k) % n if n > count else k
                     out.append((lang, data[i * steps : (i + 1) * steps].ljust(steps, b"\0")))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.binary())], names=["lang", "bytes"])
 
@@ -196,7 +198,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 0) -> Net
     """A network trained on documents with a language; None if there are none."""
     chosen = sample(docs, per_language, seed)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.empty_if_null().cast("binary").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("lang", "text").mapInArrow(_windows_of(WINDOWS, STEPS), "lang string, bytes binary").collect()  # bounded by languages x per_language x WINDOWS
+    once = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # of rows with one id, the least text
+    rows = once.select("lang", "text").mapInArrow(_windows_of(WINDOWS, STEPS), "lang string, bytes binary").collect()  # bounded by languages x per_language x WINDOWS
     rows = sorted((r["lang"], bytes(r["bytes"])) for r in rows)
     labels = sorted({lang for lang, _ in rows})
     if not labels:

@@ -2,7 +2,9 @@
 
 Three rules find assignments, access keys and hexadecimal runs. Two character Markov models, of random
 strings and of ordinary identifiers, trained on labelled samples, add the strings of other shapes: a
-run of key characters is a secret if its log-likelihood ratio under the two reaches a margin.
+run of key characters is a secret if its log-likelihood ratio under the two, summed over all its
+transitions, reaches a margin. labelled() makes samples of a corpus itself: what the rules find, and the
+identifiers of the texts around it.
 
 Where a match lies follows from splitting the text by the rule: a match starts after all pieces and
 matches before it. Their lengths are summed in blocks, so the work grows with a text's length and its
@@ -35,7 +37,9 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 START = len(ALPHABET)  # the state before the first character
 MARGIN = 12.0  # log-likelihood ratio from which a run is a secret
 SCALE = 1000
-SAMPLE = 2000  # documents whose words make ordinary identifiers, and random strings, at most
+SAMPLE = 2000  # documents with finds of the rules, and others, that the models are trained on, at most
+BACKED = 20.0
+LEAST_NAME = 5  # characters of an ordinary identifier
 REDACTED = "<secret>"
 _BLOCK = 256
 _SPANS = "array<struct<s:bigint,e:bigint>>"
@@ -75,24 +79,32 @@ def _codes(token: str) -> str:
 
 
 class Model:
-    """table[a * n + b]: the log ratio of random to ordinary for character b after a, times SCALE."""
+    """table[a * n + b]: the log ratio of random to ordinary for character b after a, times SCALE. counts:
+    transitions by (label, a, b). What follows a character leans on what is frequent at all, as if it had
+    been seen BACKED times, since samples are small."""
 
     def __init__(self, counts: dict[tuple[int, int, int], int]) -> None:
         n = len(ALPHABET)
         self.empty = len({label for label, _, _ in counts}) < 2
-        self.table = []
-        for a in range(n + 1):
-            rows = [[counts.get((label, a, b), 0) + 0.5 for b in range(n)] for label in (0, 1)]
-            totals = [sum(r) for r in rows]
-            self.table += [round(SCALE * (math.log(rows[1][b] / totals[1]) - math.log(rows[0][b] / totals[0]))) for b in range(n)]
+        chances = []
+        for label in (0, 1):
+            single = [0.5] * n
+            follow = [[0.0] * n for _ in range(n + 1)]
+            for (k, a, b), times in counts.items():
+                if k == label:
+                    single[b] += times
+                    follow[a][b] += times
+            share = [x / sum(single) for x in single]
+            chances.append([(row[b] + BACKED * share[b]) / (sum(row) + BACKED) for row in follow for b in range(n)])
+        self.table = [round(SCALE * (math.log(y) - math.log(x))) for x, y in zip(*chances, strict=True)]
 
     def ratio(self, token: str) -> str:
-        """SQL: the log-likelihood ratio of a string of the alphabet, times SCALE. Each transition counts
-        once, so that a string that repeats itself does not look random by its length."""
+        """SQL: the log-likelihood ratio of a string of the alphabet, times SCALE: the sum over all its
+        transitions, the one from the start included."""
         if self.empty:
             return f"cast(-{10**9} AS bigint)"
         table = f"cast(split('{','.join(map(str, self.table))}', ',') AS array<int>)"
-        steps = f"array_distinct(zip_with(concat(array({START}), slice(u, 1, size(u) - 1)), u, (a, b) -> a * {len(ALPHABET)} + b))"
+        steps = f"zip_with(concat(array({START}), slice(u, 1, size(u) - 1)), u, (a, b) -> a * {len(ALPHABET)} + b)"
         return f"element_at(transform(array({_codes(token)}), u -> aggregate({steps}, 0L, (sum, k) -> sum + element_at({table}, k + 1))), 1)"
 
 
@@ -106,20 +118,23 @@ def train(samples: DataFrame) -> Model:
 
 
 def labelled(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Samples to train on: ordinary identifiers, of neighbouring words of at most `sample` documents
-    joined in the ways of names, and as many random strings of several alphabets."""
-    few = shared.bounded_rows(docs.select("doc_id").distinct(), "doc_id", sample)
-    words = docs.join(F.broadcast(few), "doc_id").select(F.expr("filter(split(text, '[^A-Za-z]+'), w -> w != '')").alias("w")).filter("size(w) > 1")
-    named = words.select(F.explode(F.expr("zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> struct(a, b))")).alias("x"))
-    n = F.pmod(F.xxhash64("x.a", "x.b"), F.lit(8))
-    join = F.concat_ws("_", "x.a", "x.b"), F.concat_ws("-", "x.a", "x.b"), F.concat_ws("/", F.lower("x.a"), "x.b"), F.concat(F.lower("x.a"), F.initcap("x.b")), F.upper(F.concat_ws("_", "x.a", "x.b")), F.concat_ws("=", "x.a", "x.b"), F.concat("x.a", n.cast("string")), F.concat("x.a", "x.b")
-    ordinary = F.lit(None).cast("string")
-    for k, j in enumerate(join):
-        ordinary = F.when(n == k, j).otherwise(ordinary)
-    i = F.col("id").cast("string")
-    hashed = F.sha2(i, 256)
-    made = docs.sparkSession.range(4 * sample).select(F.lit(1).alias("label"), F.when(F.col("id") % 4 < 2, F.base64(F.unhex(hashed))).when(F.col("id") % 4 == 2, hashed).otherwise(F.translate(F.upper(F.base64(F.unhex(hashed))), "+/=", "357")).alias("token"))
-    return named.select(F.lit(0).alias("label"), ordinary.alias("token")).unionByName(made)
+    """Samples to train on: what the rules find in at most `sample` documents, as secrets, and the
+    identifiers in the rest of these and of as many other documents, as ordinary."""
+    texts = docs.select("doc_id", F.col("text").alias("_s_text"))
+    held = F.contains("_s_text", F.lit("=")) | F.contains("_s_text", F.lit(":"))
+    has = (held & F.col("_s_text").rlike(ASSIGN)) | (F.contains("_s_text", F.lit("AKIA")) & F.col("_s_text").rlike(ACCESS)) | F.col("_s_text").rlike(HEX)
+    ids = shared.materialize(texts.filter("doc_id IS NOT NULL AND _s_text IS NOT NULL").groupBy("doc_id").agg(F.max(has).alias("has")), "found")
+    few = [shared.bounded_rows(ids.filter(f), "doc_id", sample).select("doc_id") for f in ("has", "NOT has")]
+    few = shared.materialize(few[0].unionByName(few[1]), "few")
+    df = texts.join(F.broadcast(few), "doc_id").filter("_s_text IS NOT NULL")
+    for kind, rule, value in (("assign", ASSIGN, 2), ("access", ACCESS, 0), ("hex", HEX, 0)):
+        df = _matches(df, kind, rule, value)
+    found = df.select(F.lit(1).alias("label"), F.explode(F.concat(F.filter("_s_assign_text", lambda v: F.length(v) >= LEAST_VALUE), "_s_access_text", "_s_hex_text")).alias("token"))
+    rest = F.col("_s_text")
+    for rule in (ASSIGN, ACCESS, HEX):
+        rest = F.regexp_replace(rest, rule, " ")
+    names = df.select(F.lit(0).alias("label"), F.explode(F.filter(F.split(rest, "[^A-Za-z0-9+/_=-]+"), lambda w: F.length(w) >= LEAST_NAME)).alias("token"))
+    return found.unionByName(names)
 
 
 def scan(docs: DataFrame, model: Model, margin: float = MARGIN) -> DataFrame:

@@ -22,8 +22,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from petroloom.llm import shared
 
 SHARDS = 24
+#: The order of a string's first six bytes, as a number.
+_ORDER = "cast(conv(rpad(substr(hex(cast({0} AS binary)), 1, 12), 12, '0'), 16, 10) AS double)"
 #: Metadata dimensions: a number for each row, as SQL over the input's columns.
-DIMENSIONS = {"d_bytes": "log2(size)", "d_source": "pmod(xxhash64(source), 4096)", "d_lang": "pmod(xxhash64(lang), 4096)", "d_id": "doc_id"}
+DIMENSIONS = {"d_bytes": "log2(size)", "d_source": _ORDER.format("source"), "d_lang": _ORDER.format("lang"), "d_id": "doc_id"}
 
 
 def _widest(nodes: DataFrame, dims: list[str]) -> dict[int, str]:
@@ -41,38 +43,32 @@ def kd_shards(rows: DataFrame, shards: int | None = SHARDS, target_bytes: int |
     """rows: (doc_id, size, ...and the columns that dimensions name). Adds shard (0 on) and slot
     (0 on within each shard, without gaps)."""
     dims = list(dimensions)
+    table = rows.sparkSession.createDataFrame  # of a row for each node: as many as shards
     extra = [c for c in rows.columns if c not in (*dims, "_node", "_tie", "shard", "slot")]
     nodes = rows.select(*extra, *[F.coalesce(F.expr(e).cast("double"), F.lit(-1.0)).alias(d) for d, e in dimensions.items()], F.xxhash64("doc_id", "size").alias("_tie"), F.lit(0).alias("_node"))
     nodes = shared.materialize(nodes, "kd")
     if shards is None:
         total = nodes.agg(F.sum("size")).first()[0] or 0
         shards = max(1, -(-total // max(1, target_bytes or 1)))
-    parts, done = {0: shards}, {}  # node: the shards it becomes; leaves: node to shard
+    parts = {0: shards}  # node: the shards it becomes
     while any(m > 1 for m in parts.values()):
         widest = _widest(nodes, dims)
-        along = F.lit(0.0)
-        for node, d in widest.items():
-            along = F.when(F.col("_node") == node, F.col(d)).otherwise(along)
-        keyed = nodes.withColumn("_along", along)
+        along = table([(node, dims.index(d) + 1) for node, d in widest.items()], "_node int, _d int")
+        keyed = nodes.join(F.broadcast(along), "_node").withColumn("_along", F.element_at(F.array(*dims), F.col("_d"))).drop("_d")
         ordered, _ = shared.running_totals(shared.materialize(keyed, "kd"), ["_node", "_along", "_tie", "doc_id"], "size", "kd")
         sums = {r["_node"]: (r["first"], r["total"]) for r in ordered.groupBy("_node").agg(F.min("_before").alias("first"), F.sum("size").alias("total")).collect()}
-        # the middle of a row decides on which side of the cut it lies
-        middle = F.col("_before") + F.col("size") / 2
-        to, after = F.col("_node"), {}
+        cuts, after = [], {}
         for node, m in parts.items():
-            if m == 1:
-                after[2 * node + 1] = 1
-                to = F.when(F.col("_node") == node, F.lit(2 * node + 1)).otherwise(to)
-                continue
             first, total = sums.get(node, (0, 0))
-            cut = first + total * (m // 2) / m
-            after |= {2 * node + 1: m // 2, 2 * node + 2: m - m // 2}
-            to = F.when(F.col("_node") == node, F.when(middle < cut, F.lit(2 * node + 1)).otherwise(F.lit(2 * node + 2))).otherwise(to)
-        nodes, parts = ordered.withColumn("_node", to).drop("_before", "_along"), after
-    shard = F.lit(0)
-    for k, node in enumerate(sorted(parts)):
-        shard = F.when(F.col("_node") == node, F.lit(k)).otherwise(shard)
-    leaves = nodes.select(*extra, "_tie", shard.alias("shard"), F.lit(1).cast("long").alias("_one"))
+            cuts.append((node, float(first + total * (m // 2) / m) if m > 1 else float("inf")))
+            after |= {2 * node + 1: max(1, m // 2)} | ({2 * node + 2: m - m // 2} if m > 1 else {})
+        # the middle of a row decides on which side of the cut it lies
+        side = F.when(F.col("_before") + F.col("size") / 2 < F.col("_cut"), 1).otherwise(2)
+        cut = ordered.join(F.broadcast(table(cuts, "_node int, _cut double")), "_node").withColumn("_node", (2 * F.col("_node") + side).cast("int"))
+        nodes, parts = shared.materialize(cut.drop("_before", "_along", "_cut"), "kd"), after
+    named = table([(node, k) for k, node in enumerate(sorted(parts))], "_node int, shard int")
+    nodes = nodes.join(F.broadcast(named), "_node")
+    leaves = nodes.select(*extra, "_tie", "shard", F.lit(1).cast("long").alias("_one"))
     ranked, _ = shared.running_totals(shared.materialize(leaves, "kd"), ["shard", "_tie", "doc_id"], "_one", "kd")
     firsts = ranked.groupBy("shard").agg(F.min("_before").alias("_first"))  # a row for each shard
     return ranked.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("_before") - F.col("_first")).drop("_before", "_first", "_one", "_tie")

@@ -112,9 +112,9 @@ def running_totals(df: DataFrame, order: list[str], value: str, label: str = "ra
     (nulls first), and the sum over all rows.
 
     A range shuffle sorts the rows, each partition adds up its own, and only the partitions'
-    sums meet on the driver. A value that many rows share in the first columns is still dealt
-    over many partitions if later columns of `order` tell the rows apart. `value` must be long.
-    df is read twice (the range bounds come from a sample): pass a table, not a computation."""
+    sums meet on the driver. Rows that are alike in all of `order` are told apart by their place in df, so
+    they too are dealt over many partitions. `value` must be long. df is read twice (the range bounds
+    come from a sample): pass a table, not a computation."""
     from pyspark.sql import types as T
 
     spark = df.sparkSession
@@ -128,7 +128,8 @@ def running_totals(df: DataFrame, order: list[str], value: str, label: str = "ra
             total = int(ends[-1]) if len(ends) else total
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(values), part, np.int32)), pa.array(ends - values)], names=[*batch.schema.names, "_part", "_local"])
 
-    dealt = materialize(df.repartitionByRange(part_count(spark), *order).sortWithinPartitions(*order).mapInArrow(add_up, schema), label)
+    placed = df.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(part_count(spark), *order, "_place").sortWithinPartitions(*order, "_place")
+    dealt = materialize(placed.drop("_place").mapInArrow(add_up, schema), label)
     sums = sorted((r["_part"], r["s"]) for r in dealt.groupBy("_part").agg(F.sum(value).alias("s")).collect())
     starts, total = [], 0
     for part, s in sums:

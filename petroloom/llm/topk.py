@@ -8,8 +8,8 @@ vector whose id is divisible by `every`) and meets all rows in blocks, so no row
 often than there are blocks on the other side.
 
 Vectors that are null, or hold null or non-finite components, take no part, and vectors of different
-lengths do not meet. Equal rows (same id, same vector) count once; rows with a query's own id
-are never its results. Scores are exact: products run in doubles while they are below 2^53, else in
+lengths do not meet. Every row is a candidate, repeated rows too; rows with a query's own id are never
+its results. Rows that share an id divisible by `every` are one query, whose scores are those of any of them. Scores are exact: products run in doubles while they are below 2^53, else in
 whole numbers of any size (held to the range of a long). Ties go to the smaller id. An empty table
 gives no rows.
 """
@@ -32,11 +32,11 @@ FOUND = "query_id long, vec_id long, score long, shard int"
 
 
 def _unpack(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and whole-number vectors, by id, equal rows once."""
-    pdf = pdf.assign(key=[v.tobytes() for v in (np.asarray(x, np.float64) for x in pdf["v"])]).drop_duplicates(["vec_id", "key"]).sort_values(["vec_id", "key"])
+    """Ids and whole-number vectors, by id."""
+    pdf = pdf.sort_values("vec_id", kind="stable")
     if not len(pdf):
         return np.zeros(0, np.int64), np.zeros((0, 0))
-    return pdf["vec_id"].to_numpy(np.int64), np.stack([np.frombuffer(k, np.float64) for k in pdf["key"]])
+    return pdf["vec_id"].to_numpy(np.int64), np.stack([np.asarray(x, np.float64) for x in pdf["v"]])
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -105,13 +105,18 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, block: int = BLOCK
     return best(found, "query_id").select("query_id", "rank", "vec_id", "score")
 
 
+def whole_vectors(embeddings: DataFrame, scale: float = SCALE) -> DataFrame:
+    """embeddings (vec_id, embedding): (vec_id, v), v the components times `scale`, rounded down. Null ids,
+    and vectors that are null or hold null or non-finite components, take no part."""
+    good = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double"))
+    return embeddings.filter(F.coalesce(good, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v"))
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest of all vectors, by inner product of scaled whole numbers, for every
     hundredth id."""
-    good = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("double"))
-    vectors = shared.table(spark, sf_dir, "embeddings").filter(F.coalesce(good, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v"))
-    return top_k(vectors)
+    return top_k(whole_vectors(shared.table(spark, sf_dir, "embeddings")))
 
 
 SQL = """

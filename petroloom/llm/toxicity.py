@@ -4,12 +4,12 @@ A noisy channel may have written letters as look-alikes, repeated them or set th
 that shows any of this a lattice is built, of the letters that each run of characters may stand for,
 and the Viterbi path under a character trigram model of the whole corpus is the restored word; any
 other word's lattice has one path, the word itself. A doubled letter may stay, at no cost, or stand
-for one. Restored words are then scored: features (the
+for one. What lies between letters that are set apart may be skipped or end a word. Restored words are then scored: features (the
 word and its beginnings) that occur far more often in labelled toxic documents carry weights, and
 a logistic function of a document's sum over distinct words, fitted on the same rows, gives the score.
 
-The trigram model counts all documents. Labels come from at most SAMPLE rows, of the training
-fold only; ids, languages and sources are never looked at for a score. Nulls: a null or empty text has
+The trigram model counts all documents. Labels come from at most SAMPLE ids, of the training
+fold only, and of rows with one id the least text is read; ids, languages and sources are never looked at for a score. Nulls: a null or empty text has
 no evidence and the score that goes with none. Equal texts have equal scores, repeated rows each have a row.
 Without labels of both classes the score is the toxic share of the sample, or 0. An empty table
 gives no rows. Other columns play no part.
@@ -30,7 +30,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from petroloom.llm import shared
 
 SAMPLE = 12_000  # labelled rows that weights are fitted on, at most
-FEATURES = 50_000  # weights, at most: those with the most documents
 LEAST_DOCS, LEAST_RATIO = 4, 3.0  # a feature counts from so many toxic documents, and this log ratio, on
 UNIT = 1024
 PREDICT = 0.7
@@ -92,8 +91,13 @@ class Decoder:
                 out.append([(x * k, 1.0 + (k - 1) * 0.5) for x in LOOKALIKES[c] for k in ((1,) if run == 1 else (1, 2))])
                 if c in "!|+(":
                     out[-1].append(("", 2.0))
-            else:
+            elif c in "'-" and run == 1:
                 out.append([("", 0.5)])
+            else:
+                # a separator is skipped or ends a word; several blanks do the one as easily as the other
+                while i < len(word) and not (word[i].isalnum() or word[i] in LOOKALIKES):
+                    i, run = i + 1, run + 1
+                out.append([("", 0.5), (" ", 1.5 if run == 1 else 0.5)])
         return out
 
     def decode(self, word: str) -> str:
@@ -125,13 +129,13 @@ class Decoder:
         inner = chunk.strip(_EDGES.translate({ord(c): None for c in LOOKALIKES}))
         if not any(c.isalpha() for c in inner) or not _ODD.search(inner):
             return word
-        if len(inner) > 64:
-            return self.decode(inner)
         if (found := self.known.get(inner)) is None:
-            if len(self.known) > 100_000:
-                self.known.clear()
             # punctuation at the end may be a letter or not: the cheaper reading by symbol wins
-            found = self.known[inner] = min({self.decode(x): 0 for x in dict.fromkeys((inner, word))}, key=self._mean)
+            found = min({self.decode(x): 0 for x in dict.fromkeys((inner, word))}, key=self._mean)
+            if len(inner) <= 64:  # longer ones are not kept
+                if len(self.known) > 50_000:
+                    self.known.clear()
+                self.known[inner] = found
         return found
 
     def _mean(self, word: str) -> float:
@@ -147,7 +151,7 @@ def features(word: str) -> list[int]:
 class Words(dict):
     """Value of each chunk of lower-case text, by the restored word, as made by `of`."""
 
-    def __init__(self, decoder: Decoder, of, most: int = 500_000) -> None:
+    def __init__(self, decoder: Decoder, of, most: int = 200_000) -> None:
         super().__init__()
         self.decoder, self.of, self.most = decoder, of, most
 
@@ -164,8 +168,7 @@ class Words(dict):
         chunks = text.decode("utf-8", "replace").lower()
         out = list(map(self.__getitem__, set(chunks.split())))
         for run in {m[0] for m in _SPACED.finditer(chunks.replace("_", "-"))}:
-            parts = {re.sub(rf"[^{_PART}]+", "", part) for part in [run, *re.split(r"\s{2,}", run)]}
-            out += [self.of((self.decoder.restore if any(c.isalpha() for c in w) else self.decoder.decode)(w)) for w in parts if len(w) > 2]
+            out += [self.of(w) for w in set(self.decoder.decode(run).split()) if len(w) > 2]
         return out
 
 
@@ -225,7 +228,8 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     decoder = Decoder(counts)
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     few = spark.createDataFrame([tuple(r) for r in shared.bounded_rows(known, "doc_id", sample).collect()], "doc_id long, toxic int")
-    marked = shared.materialize(texts.join(F.broadcast(few), "doc_id").select("toxic", "text"), "labelled")
+    once = texts.join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    marked = shared.materialize(once.select("toxic", "text"), "labelled")
     n = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     clean, toxic = n.get(0, 0), n.get(1, 0)
     weights: dict[int, int] = {}
@@ -234,7 +238,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
         by = marked.mapInArrow(_counted(decoder), "feature long, toxic int, docs long").groupBy("feature").agg(F.sum(F.col("docs") * F.col("toxic")).alias("t"), F.sum(F.col("docs") * (1 - F.col("toxic"))).alias("c"))
         ratio = F.log((F.col("t") + 0.1) / toxic) - F.log((F.col("c") + 0.5) / clean)
         told = by.withColumn("ratio", ratio).filter((F.col("t") >= LEAST_DOCS) & (F.col("ratio") >= LEAST_RATIO))
-        weights = {r["feature"]: int(r["ratio"] * UNIT) for r in told.orderBy(F.desc("t"), "feature").limit(FEATURES).collect()}
+        weights = {r["feature"]: int(r["ratio"] * UNIT) for r in told.collect()}
         fitted = marked.select(F.col("toxic").cast("long").alias("doc_id"), "text").mapInArrow(_evidence(decoder, weights), "doc_id long, evidence long").collect()  # a row for each of the sample
         slope, intercept = logistic(np.array([r["evidence"] / UNIT for r in fitted]), np.array([r["doc_id"] for r in fitted], float))
     found = texts.mapInArrow(_evidence(decoder, weights), "doc_id long, evidence long")
