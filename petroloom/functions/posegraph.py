@@ -5,6 +5,7 @@ Edges are a pandas frame (i, j, dx, dy, phi, quality, ...), poses an array of (x
 from __future__ import annotations
 
 from collections import deque
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -56,11 +57,59 @@ def integrate(n: int, edges: pd.DataFrame, root: int, known: np.ndarray | None =
     return poses
 
 
+class Blocks:
+    """A symmetric positive system with a k x k block for each node and each linked pair. Nodes are
+    eliminated in order of fewest neighbours, so work and memory follow the fill of the graph, not the
+    square of its nodes."""
+
+    def __init__(self, diagonal: np.ndarray, i: np.ndarray, j: np.ndarray, off: np.ndarray) -> None:
+        """off[e]: the block in row i[e] and column j[e]; blocks of one pair add up."""
+        self.diagonal = diagonal.copy()
+        self.beside: list[dict[int, np.ndarray]] = [{} for _ in diagonal]
+        for a, b, block in zip(i.tolist(), j.tolist(), off, strict=True):
+            if a != b:
+                self.beside[a][b] = self.beside[a].get(b, 0.0) + block
+                self.beside[b][a] = self.beside[a][b].T
+
+    def solve(self, right: np.ndarray) -> np.ndarray:
+        """right: (nodes, k). The blocks are used up."""
+        beside, diagonal, right, steps = self.beside, self.diagonal, right.copy(), []
+        waiting = [(len(x), v) for v, x in enumerate(beside)]
+        heapify(waiting)
+        gone = np.zeros(len(diagonal), bool)
+        while waiting:
+            degree, v = heappop(waiting)
+            if gone[v] or degree != len(beside[v]):
+                continue  # an entry of before its neighbours went
+            gone[v] = True
+            inverse, names = np.linalg.inv(diagonal[v]), list(beside[v])
+            if names:
+                blocks = np.stack([beside[v][u] for u in names])
+                factors = np.swapaxes(blocks, 1, 2) @ inverse
+                right[names] -= factors @ right[v]
+                fill = factors[:, None] @ blocks[None]
+                for x, u in enumerate(names):
+                    row = beside[u]
+                    del row[v]
+                    diagonal[u] -= fill[x, x]
+                    for y, w in enumerate(names):
+                        if x != y:
+                            row[w] = row[w] - fill[x, y] if w in row else -fill[x, y]
+                    heappush(waiting, (len(row), u))
+                steps.append((v, inverse, names, blocks))
+            else:
+                steps.append((v, inverse, names, None))
+        out = np.zeros_like(right)
+        for v, inverse, names, blocks in reversed(steps):
+            out[v] = inverse @ (right[v] - (blocks @ out[names][:, :, None]).sum(axis=0)[:, 0] if names else right[v])
+        return out
+
+
 def solve(start: np.ndarray, edges: pd.DataFrame, diameter: float, rotate: bool, rounds: int = 60) -> np.ndarray:
     """Poses that fit the edges best under a soft L1 loss on each scalar residual; the first pose stays.
 
-    Reweighted least squares: each round solves the linearised normal equations, residuals weighted
-    by the loss's slope, and halves its step until the loss falls. Edges' ids are rows of start."""
+    Reweighted least squares: each round solves the linearised normal equations, which have blocks for
+    edges only, residuals weighted by the loss's slope, and halves its step until the loss falls. Edges' ids are rows of start."""
     n, k = len(start), 3 if rotate else 2
     i, j = (edges[c].to_numpy(np.int64) for c in ("i", "j"))
     d, phi = edges[["dx", "dy"]].to_numpy(float), edges["phi"].to_numpy(float)
@@ -81,24 +130,28 @@ def solve(start: np.ndarray, edges: pd.DataFrame, diameter: float, rotate: bool,
     def loss(r: np.ndarray) -> float:
         return float((np.sqrt(1 + (r / scale) ** 2) - 1).sum())
 
-    free = np.arange(k, n * k)
     r, moved = residuals(p)
     now = loss(r)
     for _ in range(rounds):
         slope = w[:, None] ** 2 / np.sqrt(1 + (r / scale) ** 2)
-        rows = [(0, j, 0, np.ones(len(w))), (0, i, 0, -np.ones(len(w))), (1, j, 1, np.ones(len(w))), (1, i, 1, -np.ones(len(w)))]
+        # derivatives of the unweighted residuals by the pose at either end of an edge
+        ends = np.zeros((2, len(w), k, k))
+        ends[0, :, [0, 1], [0, 1]], ends[1, :, [0, 1], [0, 1]] = -1.0, 1.0
         if rotate:
-            rows += [(0, i, 2, moved[:, 1]), (1, i, 2, -moved[:, 0]), (2, j, 2, np.full(len(w), diameter / 2)), (2, i, 2, np.full(len(w), -diameter / 2))]
-        normal, right = np.zeros((n * k, n * k)), np.zeros(n * k)
-        for a, node, column, value in rows:
-            np.add.at(right, node * k + column, -slope[:, a] * value * r[:, a] / w)
-            for b, other, at, factor in rows:
-                if a == b:
-                    np.add.at(normal, (node * k + column, other * k + at), slope[:, a] * value * factor)
-        step = np.zeros(n * k)
-        step[free] = np.linalg.lstsq(normal[np.ix_(free, free)] + 1e-9 * np.eye(len(free)), right[free], rcond=None)[0]
+            ends[0, :, 0, 2], ends[0, :, 1, 2] = moved[:, 1], -moved[:, 0]
+            ends[0, :, 2, 2], ends[1, :, 2, 2] = -diameter / 2, diameter / 2
+        weighed = np.swapaxes(ends * slope[None, :, :, None], 2, 3)
+        diagonal, right = np.zeros((n, k, k)), np.zeros((n, k))
+        for x, node in ((0, i), (1, j)):
+            np.add.at(diagonal, node, weighed[x] @ ends[x])
+            np.add.at(right, node, -(weighed[x] @ (r / w[:, None])[:, :, None])[:, :, 0])
+        # the first pose stays: its node is no part of the system
+        inner = (i > 0) & (j > 0)
+        system = Blocks(diagonal[1:] + 1e-9 * np.eye(k), i[inner] - 1, j[inner] - 1, (weighed[0] @ ends[1])[inner])
+        step = np.zeros((n, k))
+        step[1:] = system.solve(right[1:])
         move = np.zeros((n, 3))
-        move[:, :k] = step.reshape(n, k)
+        move[:, :k] = step
         for _ in range(12):
             r2, moved2 = residuals(p + move)
             if loss(r2) <= now:

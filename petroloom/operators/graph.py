@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from petroloom.functions import geometry as g
 
 
+IN_ONE = 1_000_000  # edges, 16 MB
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local session without one gets its own."""
     context = spark.sparkContext
@@ -26,9 +32,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, label): the smallest id that each node can reach. Labels move to neighbours and then on to
-    their labels' labels, so rounds grow with the logarithm of a path."""
+def _reach(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, label) of the nodes of all edges, which one task holds."""
+    held = [np.stack([c.to_numpy() for c in batch.columns]) for batch in rows]
+    if not held:
+        return
+    ids, ends = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+    i, j = ends.reshape(2, -1)
+    label = np.arange(len(ids))
+    while True:
+        low, new = np.minimum(label[i], label[j]), label.copy()
+        np.minimum.at(new, label[i], low)
+        np.minimum.at(new, label[j], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label])], names=["id", "label"])
+
+
+def components(nodes: DataFrame, edges: DataFrame, most: int = IN_ONE) -> DataFrame:
+    """(id, label): the smallest id that each node can reach. Up to `most` edges fit one task. Of more,
+    labels move to neighbours and then on to their labels' labels, so rounds grow with the logarithm
+    of a path. Labels are the same either way."""
+    edges = cut(edges.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")))
+    if edges.count() <= most:
+        found = edges.coalesce(1).mapInArrow(_reach, "id long, label long")
+        kind = nodes.schema["id"].dataType
+        return nodes.select("id").join(found, "id", "left").select("id", F.coalesce(F.col("label").cast(kind), F.col("id")).alias("label"))
     both = cut(edges.select("i", "j").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct())
     labels = cut(nodes.select("id", F.col("id").alias("label")))
     while True:

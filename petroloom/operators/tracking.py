@@ -1,19 +1,15 @@
 """Keyframe selection over ordered streams: the folds that depend on what was selected before.
 
-A video is folded by one task, its frames in order; videos are spread over the cluster. Folds whose state
-is a few numbers run inside the JVM as aggregate(); those that emit frames run in batches."""
+Videos are spread over the cluster. What windows can express runs in the JVM, which spills; the one fold
+that cannot streams over frames sorted within partitions and keeps one number."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-
-def in_order(*columns: str) -> Column:
-    """The frames of a group as an array in order of their index."""
-    return F.array_sort(F.collect_list(F.struct("frame_index", *columns)))
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 class Gate:
@@ -32,36 +28,35 @@ class Gate:
 
 def keyframe_gate(frames: DataFrame, video: str, position: str, least: float) -> DataFrame:
     """(video, frame_index) of the keyframes."""
-    def select(pdf: pd.DataFrame) -> pd.DataFrame:
-        gate = Gate(least)
-        pdf = pdf.sort_values("frame_index")
-        return pdf.loc[[gate.keep(p) for p in pdf[position]], [video, "frame_index"]]
+    def select(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gate, of = Gate(least), None
+        for batch in rows:
+            keep = np.zeros(batch.num_rows, bool)
+            for k, (v, p) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if v != of or gate is None:
+                    gate, of = Gate(least), v
+                keep[k] = gate.keep(p)
+            yield batch.select([0, 1]).filter(pa.array(keep))
 
-    kinds = dict(frames.dtypes)
-    return frames.select(video, "frame_index", position).groupBy(video).applyInPandas(select, f"{video} {kinds[video]}, frame_index long")
+    ordered = frames.select(video, F.col("frame_index").cast("long").alias("frame_index"), F.col(position).cast("double")).repartition(video).sortWithinPartitions(video, "frame_index")
+    return ordered.mapInArrow(select, f"{video} {dict(frames.dtypes)[video]}, frame_index long")
 
 
 def velocity(frames: DataFrame, video: str, position: str, share: float = 0.5) -> DataFrame:
-    """The last velocity of each video: an exponential mean of the shifts between frames."""
-    fold = F.aggregate(
-        in_order(position), F.struct(F.lit(None).cast("double").alias("last"), F.lit(0.0).alias("v")),
-        lambda a, x: F.struct(x[position].alias("last"), F.when(a["last"].isNull(), a["v"]).otherwise(share * (x[position] - a["last"]) + (1 - share) * a["v"]).alias("v")),
-        lambda a: a["v"])
-    return frames.groupBy(video).agg(F.count("*").alias("frames"), fold.alias("velocity"))
+    """The last velocity of each video: an exponential mean of the shifts between frames, which weighs a
+    shift by (1 - share) to the number of later ones."""
+    forth, back = Window.partitionBy(video).orderBy("frame_index"), Window.partitionBy(video).orderBy(F.desc("frame_index"))
+    shifts = frames.withColumn("_shift", F.col(position) - F.lag(position).over(forth)).withColumn("_later", F.row_number().over(back) - 1)
+    weighed = F.col("_shift") * share * F.pow(F.lit(1.0 - share), F.col("_later"))
+    return shifts.groupBy(video).agg(F.count("*").alias("frames"), F.coalesce(F.sum(weighed), F.lit(0.0)).alias("velocity"))
 
 
 def lost_segments(frames: DataFrame, video: str, value: str, least: float, patience: int = 3) -> DataFrame:
     """Tracking fails on frames below `least`; after `patience` failures in a row a new segment starts."""
-    zero = F.struct(F.lit(0).alias("failed"), F.lit(0).alias("streak"), F.lit(1).alias("segments"))
-
-    def step(a: Column, x: Column) -> Column:
-        bad = x[value] < least
-        streak = F.when(bad, a["streak"] + 1).otherwise(0)
-        cut = streak >= patience
-        return F.struct((a["failed"] + bad.cast("int")).alias("failed"), F.when(cut, 0).otherwise(streak).alias("streak"), (a["segments"] + cut.cast("int")).alias("segments"))
-
-    folded = frames.groupBy(video).agg(F.aggregate(in_order(value), zero, step).alias("f"))
-    return folded.select(video, F.col("f.failed").cast("long").alias("failed"), F.col("f.segments").cast("long").alias("segments"))
+    good = F.when(F.col(value) < least, 0).otherwise(1)
+    islands = frames.withColumn("_bad", 1 - good).withColumn("_island", F.sum(good).over(Window.partitionBy(video).orderBy("frame_index")))
+    runs = islands.groupBy(video, "_island").agg(F.sum("_bad").alias("failed"))
+    return runs.groupBy(video).agg(F.sum("failed").cast("long").alias("failed"), (1 + F.sum(F.floor(F.col("failed") / patience))).cast("long").alias("segments"))
 
 
 def tail_velocity(frames: DataFrame, video: str, position: str, fps: float = 30.0, last: int = 4) -> DataFrame:
@@ -71,7 +66,3 @@ def tail_velocity(frames: DataFrame, video: str, position: str, fps: float = 30.
     ends = tail.groupBy(video).agg(F.count("*").alias("n"), F.max_by(position, "frame_index").alias("p1"), F.min_by(position, "frame_index").alias("p0"), F.max("frame_index").alias("i1"), F.min("frame_index").alias("i0"))
     return ends.select(video, F.when(F.col("n") > 1, (F.col("p1") - F.col("p0")) / ((F.col("i1") - F.col("i0")) / fps)).otherwise(0.0).alias("velocity"))
 
-
-def kept(frames: Iterator[tuple[int, float]], gate: Gate) -> list[int]:
-    """Indices that a gate keeps, for callers with frames at hand."""
-    return [i for i, p in frames if gate.keep(p)]
