@@ -58,7 +58,7 @@ def edge_weight(mask: np.ndarray) -> np.ndarray:
     return np.where(mask, np.minimum(np.clip(1 - np.hypot(xs - cx, ys - cy) / r, 1e-3, 1), edges), 0).astype(np.float32)
 
 
-def warp(img: np.ndarray, weight: np.ndarray, pose: tuple[float, float, float], centre: tuple[float, float], x0: int, y0: int, w: int, h: int, cubic: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def warp(img: np.ndarray, weight: np.ndarray, pose: tuple[float, float, float], centre: tuple[float, float], x0: int, y0: int, w: int, h: int, kernel: str = "cubic") -> tuple[np.ndarray, np.ndarray]:
     """A frame's crop and weight over the tile [x0, x0 + w) x [y0, y0 + h) of the mosaic."""
     xs, ys = np.meshgrid(np.arange(x0, x0 + w) - pose[0], np.arange(y0, y0 + h) - pose[1])
     c, s = np.cos(pose[2]), np.sin(pose[2])
@@ -67,25 +67,37 @@ def warp(img: np.ndarray, weight: np.ndarray, pose: tuple[float, float, float],
     out = np.zeros((h, w, 3), np.float32)
     seen = wt > 0
     if seen.any():
-        out[seen] = (_cubic if cubic else im.sample)(img.astype(np.float32), u[seen], v[seen])
+        out[seen] = (im.sample if kernel == "linear" else _sampled)(img.astype(np.float32), u[seen], v[seen], *(() if kernel == "linear" else (TAPS[kernel],)))
     return out, wt.astype(np.float32)
 
 
-def _cubic(img: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Cubic convolution (Keys 1981) with a = -3/4."""
-    def taps(t: np.ndarray) -> list[np.ndarray]:
-        a = -0.75
-        far = lambda d: a * (d**3 - 5 * d**2 + 8 * d - 4)
-        near = lambda d: (a + 2) * d**3 - (a + 3) * d**2 + 1
-        return [far(1 + t), near(t), near(1 - t), far(2 - t)]
+def _cubic(t: np.ndarray) -> list[np.ndarray]:
+    """Weights of the four pixels around: cubic convolution (Keys 1981) with a = -3/4."""
+    a = -0.75
+    far = lambda d: a * (d**3 - 5 * d**2 + 8 * d - 4)
+    near = lambda d: (a + 2) * d**3 - (a + 3) * d**2 + 1
+    return [far(1 + t), near(t), near(1 - t), far(2 - t)]
 
+
+def _lanczos(t: np.ndarray) -> list[np.ndarray]:
+    """Weights of the eight pixels around: a sinc under a window four pixels wide on either side."""
+    found = [np.sinc(t + k) * np.sinc((t + k) / 4) for k in range(3, -5, -1)]
+    total = sum(found)
+    return [x / total for x in found]
+
+
+TAPS = {"cubic": _cubic, "lanczos": _lanczos}
+
+
+def _sampled(img: np.ndarray, x: np.ndarray, y: np.ndarray, taps) -> np.ndarray:
+    """Samples by separable weights of the pixels around; beyond the edge the last pixel repeats."""
     x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
     wx, wy = taps(x - x0), taps(y - y0)
-    h, w = img.shape[:2]
+    (h, w), first = img.shape[:2], 1 - len(wx) // 2
     out = 0.0
     for j, b in enumerate(wy):
-        row = np.clip(y0 + j - 1, 0, h - 1)
-        line = sum(a[:, None] * img[row, np.clip(x0 + i - 1, 0, w - 1)] for i, a in enumerate(wx))
+        row = np.clip(y0 + j + first, 0, h - 1)
+        line = sum(a[:, None] * img[row, np.clip(x0 + i + first, 0, w - 1)] for i, a in enumerate(wx))
         out = out + b[:, None] * line
     return out
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
+from itertools import combinations
 
 import numpy as np
 
@@ -102,39 +103,82 @@ def brightest(frames: Iterable[np.ndarray]) -> np.ndarray | None:
     return most
 
 
+def enclosing(points: np.ndarray) -> tuple[float, float, float]:
+    """The smallest circle that holds all points: the smallest of those on two or three corners that do."""
+    p = hull(*points.T) if len(points) > 2 else points
+    if len(p) < 2:
+        return float(p[0, 0]), float(p[0, 1]), 0.0
+    far = np.linalg.norm(p[:, None] - p[None], axis=2)
+    i, j = np.unravel_index(int(far.argmax()), far.shape)
+    centre, r = (p[i] + p[j]) / 2, float(far[i, j]) / 2
+    held = [i, j]
+    while True:  # the farthest point outside joins the circle, which only grows
+        away = np.linalg.norm(p - centre, axis=1)
+        k = int(away.argmax())
+        if away[k] <= r + 1e-9:
+            return float(centre[0]), float(centre[1]), r
+        held = [*held, k]
+        found = []
+        for m in (2, 3):
+            for some in combinations(held, m):
+                q = p[list(some)]
+                if m == 2:
+                    c = q.mean(axis=0)
+                else:
+                    sides = 2 * (q[1:] - q[0])
+                    if abs(np.linalg.det(sides)) < 1e-9:
+                        continue
+                    c = np.linalg.solve(sides, (q[1:] ** 2).sum(axis=1) - (q[0] ** 2).sum())
+                radius = float(np.linalg.norm(q[0] - c))
+                if (np.linalg.norm(p[held] - c, axis=1) <= radius + 1e-9).all():
+                    found.append((radius, some, c))
+        r, held, centre = min(found, key=lambda x: x[0])
+        held = list(held)
+
+
+def rim(blob: np.ndarray, reach: float = 1.5) -> tuple[np.ndarray, np.ndarray]:
+    """Points (x, y) of a blob's outline: the ends of its rows and columns, but for those that lie deeper
+    than `reach` inside its hull; and the hull's corners."""
+    ends = []
+    for lines in (blob, blob.T):
+        at = np.flatnonzero(lines.any(axis=1))
+        first, last = lines[at].argmax(axis=1), lines.shape[1] - 1 - lines[at, ::-1].argmax(axis=1)
+        both = np.stack([np.concatenate([first, last]), np.concatenate([at, at])], axis=1)
+        ends.append(both if lines is blob else both[:, ::-1])
+    points = np.unique(np.concatenate(ends), axis=0).astype(float)
+    corners = hull(*points.T)
+    if len(corners) < 3:
+        return points, corners
+    side = np.roll(corners, -1, axis=0) - corners
+    normal = np.stack([-side[:, 1], side[:, 0]], axis=1) / np.linalg.norm(side, axis=1, keepdims=True)
+    depth = np.abs(np.einsum("pck,ck->pc", points[:, None] - corners[None], normal))
+    return points[depth.min(axis=1) <= reach], corners
+
+
 def detect(most: np.ndarray, margin: float = 0.04, working: int = 800) -> FieldOfView:
     """The circle of a brightest image; the circle around the frame if none stands out."""
     h, w = most.shape
-    whole = FieldOfView((w - 1) / 2, (h - 1) / 2, float(np.hypot(w, h) / 2), w, h, margin)
+    whole = FieldOfView(w / 2, h / 2, float(np.hypot(w, h) / 2), w, h, margin)
     scale = min(1.0, working / max(h, w))
     small = im.resize(most, scale)
-    level = max(otsu(small), 0)
-    if level <= max(12.0, float(np.percentile(small, 5)) + 8):
-        level = int(max(12.0, float(np.percentile(small, 5)) + 8))
-    m = small > level
+    m = small > max(otsu(small), 12.0, float(np.percentile(small, 5)) + 8)
     m = im.dilate(im.erode(m, 4), 4)
     m = im.erode(im.dilate(m, 4), 4)
     label, sizes = im.blobs(m)
     if len(sizes) < 2:
         return whole
-    y, x = np.nonzero(label == 1 + int(np.argmax(sizes[1:])))
-    ends = np.unique(y)
-    lows, highs = np.full(small.shape[0], small.shape[1]), np.full(small.shape[0], -1)
-    np.minimum.at(lows, y, x)
-    np.maximum.at(highs, y, x)
-    corners = hull(np.concatenate([lows[ends], highs[ends]]), np.concatenate([ends, ends]))
+    points, corners = rim(label == 1 + int(np.argmax(sizes[1:])))
     if len(corners) < 3:
         return whole
-    dense = []
-    for a, b in zip(corners, np.roll(corners, -1, axis=0), strict=True):
-        dense.append(a + (b - a) * np.arange(0, 1, 1 / max(1.0, np.hypot(*(b - a))))[:, None])
-    p = np.concatenate(dense)
-    p = p[(p > 3).all(axis=1) & (p[:, 0] < small.shape[1] - 4) & (p[:, 1] < small.shape[0] - 4)]
-    if len(p) < 20:
-        return whole
-    cx, cy, r = kasa(*p.T)
-    off = np.abs(np.hypot(p[:, 0] - cx, p[:, 1] - cy) - r)
-    near = p[off < max(2.0, 3 * float(np.median(off)))]
-    if len(near) >= 20:
-        cx, cy, r = kasa(*near.T)
-    return replace(whole, cx=(cx + 0.5) / scale - 0.5, cy=(cy + 0.5) / scale - 0.5, radius=(r + 0.5) / scale)
+    # the frame's edge is no rim
+    inside = (points > 3).all(axis=1) & (points[:, 0] < small.shape[1] - 4) & (points[:, 1] < small.shape[0] - 4)
+    free = points[inside]
+    if len(free) >= 20:
+        cx, cy, r = kasa(*free.T)
+        off = np.abs(np.hypot(free[:, 0] - cx, free[:, 1] - cy) - r)
+        near = free[off < max(2.0, 3 * float(np.median(off)))]
+        if len(near) >= 20:
+            cx, cy, r = kasa(*near.T)
+    else:
+        cx, cy, r = enclosing(corners)
+    return replace(whole, cx=(cx + 0.5) / scale - 0.5, cy=(cy + 0.5) / scale - 0.5, radius=r / scale)

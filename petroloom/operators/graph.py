@@ -116,3 +116,11 @@ def chain(edges: DataFrame, segment: str) -> DataFrame:
     x, y = g.rotate(F.col("_before"), F.col("dx"), F.col("dy"))
     turned = turned.withColumn("_x", x).withColumn("_y", y)
     return turned.select(segment, F.col("j").alias("id"), F.sum("_x").over(w).alias("x"), F.sum("_y").over(w).alias("y"), "theta")
+
+
+def levelled(poses: DataFrame, key: str) -> DataFrame:
+    """Poses (key, id, x, y, theta), each key's turned by its mean angle so that it stands upright."""
+    mean = poses.groupBy(key).agg(F.avg("theta").alias("_mean"))
+    p = poses.join(mean, key)
+    x, y = g.unrotate(F.col("_mean"), F.col("x"), F.col("y"))
+    return p.select(key, "id", x.alias("x"), y.alias("y"), (F.col("theta") - F.col("_mean")).alias("theta"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Window, Column, DataFrame, functions as F
 
 
 def radius_pairs(points: DataFrame, radius: float, key: str = "id") -> DataFrame:
@@ -56,3 +56,12 @@ def feather(df: DataFrame, cell: list[str], weight: Column, value: str, power: f
     """The mean by weight ** power; 0 where there is no weight."""
     w = F.pow(weight, power)
     return df.groupBy(*cell).agg(F.when(F.sum(w) > 0, F.sum(w * F.col(value)) / F.sum(w)).otherwise(0.0).alias("value"))
+
+
+def attachable(pairs: DataFrame, key: str, most: int = 12) -> DataFrame:
+    """pairs (key, s, m, distance): for each s its nearest m, each m once, the nearest first, `most` for a
+    key. Since an s has one m only, an m goes to the nearest s that wants it."""
+    nearest = pairs.groupBy(key, "s").agg(F.min(F.struct("distance", "m")).alias("_n")).select(key, "s", "_n.*")
+    once = nearest.groupBy(key, "m").agg(F.min(F.struct("distance", "s")).alias("_n")).select(key, "m", "_n.*")
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("distance", "m", "s"))
+    return once.withColumn("rank", rank).filter(F.col("rank") <= most)

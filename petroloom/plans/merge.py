@@ -113,7 +113,7 @@ class MergeSession:
             world = self.world().assign(component=0)
             result.mosaics = {}
             mosaic_out = pipeline.mosaic.tiles(self.crops, world, self.fov, self.settings, self.gain)
-            pipeline.mosaic.save(mosaic_out, f"{self.out}/mosaic_merged.tif.part", self.settings, f"{self.out}/mosaic_merged_preview.jpg")
+            pipeline.mosaic.save(mosaic_out, f"{self.out}/mosaic_merged.tif.part", self.settings, f"{self.out}/preview_merged.jpg")
         except BaseException:
             self.state["merges"].pop()
             raise

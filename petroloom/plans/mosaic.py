@@ -49,7 +49,7 @@ def tiles(crops: DataFrame, poses: pd.DataFrame, fov: FieldOfView, settings: Set
             if gain is not None:
                 g = np.stack([im.sample(gain[..., k], *np.meshgrid(*((np.arange(n) + 0.5) * m / n - 0.5 for n, m in ((f.width, gain.shape[1]), (f.height, gain.shape[0])))), 1.0) for k in range(3)], axis=2)
                 img = np.clip(img * g, 0, 255)
-            layers.append(blend.warp(img, weight, (f.x - ox, f.y - oy, f.theta), centre, tx - pad, ty - pad, w + 2 * pad, h + 2 * pad, settings.interpolation != "linear"))
+            layers.append(blend.warp(img, weight, (f.x - ox, f.y - oy, f.theta), centre, tx - pad, ty - pad, w + 2 * pad, h + 2 * pad, settings.interpolation))
         if settings.blending == "multiband":
             out = blend.multiband(layers, settings.blend_levels)
         else:

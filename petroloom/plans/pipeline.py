@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import os
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from petroloom.functions import blend, draw, fov as fv, imaging as im
-from petroloom.operators.graph import cut
+from petroloom.operators.graph import cut, shared_folder
 from petroloom.plans import keyframes as kf, mosaic
 from petroloom.plans.matching import SparkMatcher
 from petroloom.plans.posegraph import MATCH, PoseGraph
@@ -63,6 +64,20 @@ def crops_of(frames: DataFrame, ids: pd.DataFrame, fov: fv.FieldOfView) -> DataF
     return frames.join(F.broadcast(named), "frame_index").select("id", "width", "height", "data").mapInPandas(run, "id long, width int, height int, data binary")
 
 
+def cached(crops: DataFrame, settings: Settings) -> tuple[DataFrame, str]:
+    """The crops as a table that the later stages read: in cache_dir, which stays, or else in the shared
+    folder, from where it goes at the end unless keep_cache is set."""
+    spark = crops.sparkSession
+    at = f"{settings.cache_dir or shared_folder(spark)}/crops-{uuid.uuid4().hex}"
+    crops.write.parquet(at)
+    return spark.read.schema(crops.schema).parquet(at), at
+
+
+def dropped(spark, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def flat_field(crops: DataFrame, ids: list[int], mask: np.ndarray, dark: float, most: int = 160, block: int = 512) -> np.ndarray | None:
     """blend.flat_field of small copies of the crops of all ids, by blocks of pixels: no task holds all copies."""
     if len(ids) < 8:
@@ -134,32 +149,36 @@ def run(frames: DataFrame, out: str, settings: Settings = Settings(), fov: fv.Fi
     if not len(keyframes):
         raise ValueError("no usable frame")
     edges = events.filter("event = 'edge'").select(*[c for c in MATCH if c != "second"], F.lit("seq").alias("kind")).orderBy("j").toPandas()
-    crops = cut(crops_of(frames, keyframes, fov))
-    tell(0.45, "pose graph")
-    graph = PoseGraph(keyframes, edges, SparkMatcher(crops, fov, settings), settings, fov.diameter).run()
-    if not (graph.component == 0).any():
-        raise ValueError("no frame could be placed")
-    poses = levelled(graph.poses, graph.component)
-    placed = keyframes["id"][graph.component >= 0].tolist()
-    gain = flat_field(crops, placed, im.resize(fov.mask().astype(np.float32), min(1.0, 160 / max(fov.size()))) > 0.5, settings.link_dark_level) if settings.flat_field else None
-    result = Result(out, fov, keyframes, poses, graph.component, {}, graph.log, graph.warnings)
-    tell(0.6, "rendering")
-    table = keyframes.assign(x=poses[:, 0], y=poses[:, 1], theta=poses[:, 2], component=graph.component)
-    for c in sorted(set(graph.component[graph.component >= 0].tolist())):
-        render_component(result, crops, table, int(c), settings, gain)
-    quality, links = graph.frame_quality()
-    origins = {c: m["origin"] for c, m in result.mosaics.items()}
-    positions(keyframes, poses, graph.component, quality, links, origins).to_csv(f"{out}/frame_positions.csv", index=False)
-    if settings.link_diagnostics:
-        records = graph.link_records().rename(columns={"i": "main_kf", "j": "seg_kf", "second": "second_peak", "residual": "residual_px"})
-        if "theta" in records:
-            records["rot_deg"] = np.degrees(records["theta"].astype(float))
-        previews(records, crops, fov, out)
-        records.reindex(columns=LINKS).to_csv(f"{out}/segment_links.csv", index=False, float_format="%.4f")
-    if settings.keep_merge_data:
-        save_state(result, crops, table.assign(quality=quality, n_links=links), settings, gain)
-    with open(f"{out}/log.txt", "w") as f:
-        f.write("\n".join([*result.log, *result.warnings, settings.to_json()]) + "\n")
+    crops, cache = cached(crops_of(frames, keyframes, fov), settings)
+    try:
+        tell(0.45, "pose graph")
+        graph = PoseGraph(keyframes, edges, SparkMatcher(crops, fov, settings), settings, fov.diameter).run()
+        if not (graph.component == 0).any():
+            raise ValueError("no frame could be placed")
+        poses = levelled(graph.poses, graph.component)
+        placed = keyframes["id"][graph.component >= 0].tolist()
+        gain = flat_field(crops, placed, im.resize(fov.mask().astype(np.float32), min(1.0, 160 / max(fov.size()))) > 0.5, settings.link_dark_level) if settings.flat_field else None
+        result = Result(out, fov, keyframes, poses, graph.component, {}, graph.log, graph.warnings)
+        tell(0.6, "rendering")
+        table = keyframes.assign(x=poses[:, 0], y=poses[:, 1], theta=poses[:, 2], component=graph.component)
+        for c in sorted(set(graph.component[graph.component >= 0].tolist())):
+            render_component(result, crops, table, int(c), settings, gain)
+        quality, links = graph.frame_quality()
+        origins = {c: m["origin"] for c, m in result.mosaics.items()}
+        positions(keyframes, poses, graph.component, quality, links, origins).to_csv(f"{out}/frame_positions.csv", index=False)
+        if settings.link_diagnostics:
+            records = graph.link_records().rename(columns={"i": "main_kf", "j": "seg_kf", "second": "second_peak", "residual": "residual_px"})
+            if "theta" in records:
+                records["rot_deg"] = np.degrees(records["theta"].astype(float))
+            previews(records, crops, fov, out)
+            records.reindex(columns=LINKS).to_csv(f"{out}/segment_links.csv", index=False, float_format="%.4f")
+        if settings.keep_merge_data:
+            save_state(result, crops, table.assign(quality=quality, n_links=links), settings, gain)
+        with open(f"{out}/log.txt", "w") as f:
+            f.write("\n".join([*result.log, *result.warnings, settings.to_json()]) + "\n")
+    finally:
+        if not settings.keep_cache and not settings.cache_dir:
+            dropped(frames.sparkSession, cache)
     tell(1.0, "done")
     return result
 
@@ -181,9 +200,10 @@ def previews(records: pd.DataFrame, crops: DataFrame, fov: fv.FieldOfView, out:
 
 def render_component(result: Result, crops: DataFrame, table: pd.DataFrame, c: int, settings: Settings, gain: np.ndarray | None) -> None:
     mine = table[table["component"] == c]
-    name = "mosaic" if c == 0 else f"unlinked_{c}"
+    name, preview = ("mosaic", "preview.jpg") if c == 0 else (f"unlinked/component_{c:02d}", f"unlinked/component_{c:02d}_preview.jpg")
+    os.makedirs(os.path.dirname(f"{result.out}/{name}"), exist_ok=True)
     ox, oy, *_ = mosaic.extent(mine, result.fov)
-    size = mosaic.save(mosaic.tiles(crops, mine, result.fov, settings, gain), f"{result.out}/{name}.tif.part", settings, f"{result.out}/{name}_preview.jpg")
+    size = mosaic.save(mosaic.tiles(crops, mine, result.fov, settings, gain), f"{result.out}/{name}.tif.part", settings, f"{result.out}/{preview}")
     os.replace(f"{result.out}/{name}.tif.part", f"{result.out}/{name}.tif")
     result.mosaics[c] = {"tiff": f"{name}.tif", "origin": (ox, oy), "size": size}
 

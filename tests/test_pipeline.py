@@ -60,7 +60,7 @@ def test_files(result):
     pixels = tiff.read(data)
     assert pixels.shape[1::-1] == result.mosaics[0]["size"]
     assert (pixels.sum(axis=2) > 0).mean() > 0.5
-    assert open(f"{result.out}/mosaic_preview.jpg", "rb").read(2) == b"\xff\xd8"
+    assert open(f"{result.out}/preview.jpg", "rb").read(2) == b"\xff\xd8"
     assert open(f"{result.out}/fov.jpg", "rb").read(2) == b"\xff\xd8"
     report = pd.read_csv(f"{result.out}/frame_positions.csv")
     assert list(report.columns) == pipeline.POSITIONS and (report["status"] == "used").all() and report["x"].min() > 0
