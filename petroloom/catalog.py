@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from petroloom.functions import geometry as g
-from petroloom.operators import fitting, frames, graph, linking, matching, spatial, tracking
+from petroloom.operators import fitting, frames, graph, linking, matching, pixels, spatial, tracking
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -492,7 +492,14 @@ def lens_fraction(spark, d):
     return near(spark, d).select("i", "j", r6(g.lens_fraction(F.col("distance"), 15.0)).alias("share"))
 
 
-@query()
+MET = "len(list_filter(acc, lambda x: x.close = (p.j - p.i <= 3) AND (x.i = {0} OR x.j = {0})))"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT i, j, distance, row_number() OVER (ORDER BY distance, i, j) AS r FROM ({NEAR})),
+g AS (SELECT 0::BIGINT AS r, []::STRUCT(i BIGINT, j BIGINT, close BOOLEAN)[] AS acc UNION ALL
+SELECT p.r, CASE WHEN greatest({MET.format("p.i")}, {MET.format("p.j")}) < CASE WHEN p.j - p.i <= 3 THEN 2 ELSE 8 END THEN list_append(acc, {{'i': p.i, 'j': p.j, 'close': p.j - p.i <= 3}}) ELSE acc END FROM g JOIN p ON p.r = g.r + 1),
+k AS (SELECT unnest(acc, recursive := true) FROM (SELECT acc FROM g ORDER BY r DESC LIMIT 1))
+SELECT p.i, p.j, round(p.distance, 6) AS distance FROM p JOIN k ON k.i = p.i AND k.j = p.j""")
 def capped_neighbours(spark, d):
     """Near pairs, nearest first, while neither keyframe has its fill; one task for each component."""
     pairs = near(spark, d)
@@ -501,6 +508,215 @@ def capped_neighbours(spark, d):
     return spatial.capped(grouped, by="component").select("i", "j", r6("distance").alias("distance"))
 
 
+# Images: each vector of embeddings is a picture of 8 x 8 pixels, its segment a video
+
+SIDE = 8
+PIXELS = f"SELECT vec_id, label, CAST((k - 1) % {SIDE} AS INTEGER) AS px, CAST((k - 1) // {SIDE} AS INTEGER) AS py, embedding[k]::DOUBLE AS level FROM embeddings, range(1, {SIDE * SIDE + 1}) t(k)"
+VIDEOS = "SELECT label, count(*) AS n FROM embeddings GROUP BY label"
+
+
+def pictures(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", "embedding")
+
+
+@query(f"SELECT label, py, px, round(max(level), 6) AS level FROM ({PIXELS}) GROUP BY label, py, px")
+def brightest_pixels(spark, d):
+    """The brightest image of each video, from which its field of view is detected."""
+    return pixels.brightest(pixels.exploded(pictures(spark, d), "embedding", SIDE, "label"), "label").withColumn("level", r6("level"))
+
+
+@query(f"""WITH l AS (SELECT e.vec_id, e.embedding[k - {SIDE}]::DOUBLE + e.embedding[k + {SIDE}]::DOUBLE + e.embedding[k - 1]::DOUBLE + e.embedding[k + 1]::DOUBLE - 4 * e.embedding[k]::DOUBLE AS v
+FROM embeddings e, (SELECT y * {SIDE} + x + 1 AS k FROM range(1, {SIDE - 1}) a(y), range(1, {SIDE - 1}) b(x))) SELECT vec_id, round(var_pop(v), 6) AS sharpness FROM l GROUP BY vec_id""")
+def laplacian_sharpness(spark, d):
+    """The sharpness of each picture: the variance of its Laplacian."""
+    return pictures(spark, d).select("vec_id", r6(pixels.laplacian_variance("embedding", SIDE, SIDE)).alias("sharpness"))
+
+
+@query(f"""SELECT label, py, px, n, round(middle, 6) AS middle FROM (SELECT label, py, px, count(*) AS n, median(level) AS middle FROM ({PIXELS}) WHERE level >= 0 GROUP BY label, py, px) p
+JOIN ({VIDEOS}) v(label, total) USING (label) WHERE n >= greatest(5, 0.3 * total)""")
+def flat_field_pixels(spark, d):
+    """Medians of each video's pixels without background, where enough frames show one."""
+    p = pictures(spark, d)
+    found = pixels.middles(pixels.exploded(p, "embedding", SIDE, "label"), p, 0.0, "label")
+    return found.select("label", "py", "px", "n", r6("middle").alias("middle"))
+
+
+FINE = COVER.replace(f"/ {TILE}", "/ 16.0")
+FINE_WEIGHT = WEIGHT.replace(f"* {TILE}", "* 16.0")
+
+
+@query(f"SELECT winner AS id, count(*) AS cells FROM (SELECT tile_x, tile_y, arg_max(id, (w, -id)) AS winner FROM (SELECT *, {FINE_WEIGHT} AS w FROM ({FINE})) GROUP BY tile_x, tile_y) GROUP BY winner")
+def winner_mask(spark, d):
+    """How many cells of a fine grid each frame wins, as the masks of multiband blending have it."""
+    p = points(spark, d)
+    boxes = p.select("id", "x", "y", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + BOX).alias("x1"), (F.col("y") + BOX).alias("y1"))
+    middle = lambda c, t: F.col(c) + BOX / 2 - (F.col(t) + 0.5) * 16.0
+    near_centre = 1 / (1 + F.sqrt(F.pow(middle("x", "tile_x"), 2) + F.pow(middle("y", "tile_y"), 2)))
+    won = spatial.winner(spatial.covered_tiles(boxes, 16.0), ["tile_x", "tile_y"], near_centre, "id", "id")
+    return won.groupBy(F.col("winner").alias("id")).agg(F.count("*").alias("cells"))
+
+
+# Geometry of crops, scales, extents and tiles
+
+CROP = f"SELECT id, 320 + 0.2::DOUBLE * x AS cx, 240 + 0.2::DOUBLE * y AS cy, 150 + 40 * (id % 5)::DOUBLE AS r FROM ({POINTS})"
+
+
+@query(f"""WITH b AS (SELECT id, cx, cy, r, greatest(0, CAST(floor(cx - r) AS INTEGER)) AS x0, greatest(0, CAST(floor(cy - r) AS INTEGER)) AS y0, least(640, CAST(ceil(cx + r) AS INTEGER) + 1) AS x1, least(480, CAST(ceil(cy + r) AS INTEGER) + 1) AS y1 FROM ({CROP}))
+SELECT id, x0, y0, x1, y1, round((cx - x0 + 0.5) * 0.4 - 0.5, 6) AS scaled_cx, CAST(round_even((x1 - x0) * 0.4, 0) AS INTEGER) AS scaled_w FROM b""")
+def crop_geometry(spark, d):
+    """Crop boxes within the frame, and centre and width of the crop at a scale."""
+    p = points(spark, d).select("id", (320 + F.lit(0.2) * F.col("x")).alias("cx"), (240 + F.lit(0.2) * F.col("y")).alias("cy"), (150 + 40 * (F.col("id") % 5)).cast("double").alias("r"))
+    x0, y0, x1, y1 = g.crop_box(F.col("cx"), F.col("cy"), F.col("r"), 640, 480)
+    return p.select("id", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"), r6(g.scaled(F.col("cx") - x0, 0.4)).alias("scaled_cx"), F.bround((x1 - x0) * F.lit(0.4)).cast("int").alias("scaled_w"))
+
+
+@query("""WITH v AS (SELECT label, 200 + 150 * label::DOUBLE AS diameter FROM (SELECT DISTINCT label FROM embeddings)), s AS (SELECT *, least(1, 640 / diameter) AS work FROM v)
+SELECT label, round(work, 6) AS work, round(least(work, 256 / diameter), 6) AS coarse, round(greatest(2, diameter * work / 40), 6) AS work_sigma, round(greatest(1.5, diameter * least(work, 256 / diameter) / 40), 6) AS coarse_sigma FROM s""")
+def working_scales(spark, d):
+    """The scales of registration, and their blurs, by the diameter of the field of view."""
+    v = pictures(spark, d).select("label").distinct().withColumn("diameter", (200 + 150 * F.col("label")).cast("double"))
+    work, coarse, fine, rough = g.scales(F.col("diameter"))
+    return v.select("label", r6(work).alias("work"), r6(coarse).alias("coarse"), r6(fine).alias("work_sigma"), r6(rough).alias("coarse_sigma"))
+
+
+HALVED = "(low + high) / 2"
+SHARED_AREA = f"(2 * r * r * acos({HALVED} / (2 * r)) - 0.5 * {HALVED} * sqrt(greatest(4 * r * r - {HALVED} * {HALVED}, 0))) / (pi() * r * r)"
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT label, 50 + 10 * label::DOUBLE AS r, (1 + label) / 20::DOUBLE AS share FROM (SELECT DISTINCT label FROM embeddings)),
+b AS (SELECT label, r, share, 0 AS k, 0::DOUBLE AS low, 2 * r AS high FROM s
+UNION ALL SELECT label, r, share, k + 1, CASE WHEN {SHARED_AREA} >= share THEN {HALVED} ELSE low END, CASE WHEN {SHARED_AREA} >= share THEN high ELSE {HALVED} END FROM b WHERE k < 50)
+SELECT label, round(low, 6) AS distance FROM b WHERE k = 50""")
+def overlap_distance(spark, d):
+    """The largest distance at which fields of view still share some of their area, by bisection."""
+    v = pictures(spark, d).select("label").distinct()
+    r, share = (50 + 10 * F.col("label")).cast("double"), (1 + F.col("label")) / F.lit(20.0)
+    return v.select("label", r6(g.overlap_distance(r, share)).alias("distance"))
+
+
+@query(f"""SELECT label, CAST(floor(min(x) - 30.5) AS BIGINT) AS x0, CAST(floor(min(y) - 30.5) AS BIGINT) AS y0, CAST(ceil(max(x) + 30.5) - floor(min(x) - 30.5) + 1 AS BIGINT) AS width,
+CAST(ceil(max(y) + 30.5) - floor(min(y) - 30.5) + 1 AS BIGINT) AS height FROM ({POINTS}) GROUP BY label""")
+def mosaic_extent(spark, d):
+    """Corner and size of each segment's mosaic."""
+    return spatial.extents(points(spark, d), ["label"], 30.5)
+
+
+@query(f"""SELECT id, tile_x, tile_y, round(greatest(x, tile_x * {TILE}), 6) AS x0, round(greatest(y, tile_y * {TILE}), 6) AS y0, round(least(x + {BOX}, (tile_x + 1) * {TILE}), 6) AS x1, round(least(y + {BOX}, (tile_y + 1) * {TILE}), 6) AS y1 FROM ({COVER})""")
+def tile_regions(spark, d):
+    """The part of each frame's box that lies in each tile it touches."""
+    low = lambda c, t: r6(F.greatest(F.col(c), F.col(t) * TILE))
+    high = lambda c, t: r6(F.least(F.col(c) + BOX, (F.col(t) + 1) * TILE))
+    return cover(spark, d).select("id", "tile_x", "tile_y", low("x", "tile_x").alias("x0"), low("y", "tile_y").alias("y0"), high("x", "tile_x").alias("x1"), high("y", "tile_y").alias("y1"))
+
+
+@query(f"""WITH m AS (SELECT label, avg(theta) AS mean FROM (SELECT label, 0.001 * (id % 10)::DOUBLE AS theta FROM ({POINTS})) GROUP BY label)
+SELECT label, id, round(cos(mean) * x + sin(mean) * y, 6) AS x, round(cos(mean) * y - sin(mean) * x, 6) AS y, round(0.001 * (id % 10)::DOUBLE - mean, 6) AS theta FROM ({POINTS}) JOIN m USING (label)""")
+def levelled_poses(spark, d):
+    """Poses with each segment turned upright."""
+    p = points(spark, d).withColumn("theta", F.lit(0.001) * (F.col("id") % 10))
+    return graph.levelled(p, "label").select("label", "id", *[r6(c).alias(c) for c in ("x", "y", "theta")])
+
+
+CIRCLE = SQL["circle_fit"]
+
+
+@query(f"""WITH f AS ({CIRCLE}), q AS (SELECT p.label, p.x, p.y, abs(sqrt(pow(p.x - f.cx, 2) + pow(p.y - f.cy, 2)) - f.radius) AS off FROM ({POINTS}) p JOIN f USING (label)),
+l AS (SELECT label, greatest(2, 1.5 * median(off)) AS most FROM q GROUP BY label), k AS (SELECT q.* FROM q JOIN l USING (label) WHERE off < most)
+SELECT label, count(*) AS points, round(avg(off), 2) AS mean_off FROM k GROUP BY label""")
+def circle_inliers(spark, d):
+    """The points that the second circle fit of a segment is made on: those near the first, by the median."""
+    near_first = fitting.inliers(points(spark, d), ["label"], 2.0, 1.5)
+    return near_first.groupBy("label").agg(F.count("*").alias("points"), F.round(F.avg("_r"), 2).alias("mean_off"))
+
+
+# Attachment by hand
+
+ATTACHED = f"SELECT label, id, cos(0.02 * label) * x - sin(0.02 * label) * y + 10 * label AS x, sin(0.02 * label) * x + cos(0.02 * label) * y - 5 * label AS y FROM ({POINTS})"
+
+
+def attached(spark: SparkSession, d: str) -> DataFrame:
+    x, y = g.rotate(F.lit(0.02) * F.col("label"), F.col("x"), F.col("y"))
+    return points(spark, d).select("label", "id", (x + 10 * F.col("label")).alias("x"), (y - 5 * F.col("label")).alias("y"))
+
+
+@query(f"""SELECT label, round(a.cx, 6) AS cx, round(a.cy, 6) AS cy, round(sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2)), 6) AS moved
+FROM (SELECT label, avg(x) AS cx, avg(y) AS cy FROM ({ATTACHED}) GROUP BY label) a JOIN (SELECT label, avg(x) AS cx, avg(y) AS cy FROM ({POINTS}) GROUP BY label) b USING (label)""")
+def attached_centres(spark, d):
+    """The centre of each component under a transform, and how far it went."""
+    mean = lambda df, x, y: df.groupBy("label").agg(F.avg("x").alias(x), F.avg("y").alias(y))
+    both = mean(attached(spark, d), "cx", "cy").join(mean(points(spark, d), "bx", "by"), "label")
+    return both.select("label", r6("cx").alias("cx"), r6("cy").alias("cy"), r6(F.hypot(F.col("cx") - F.col("bx"), F.col("cy") - F.col("by"))).alias("moved"))
+
+
+REACH = 60.0
+BESIDE = f"""SELECT a.label AS component, a.id AS s, b.id AS m, sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) AS distance FROM ({ATTACHED}) a JOIN ({ATTACHED}) b ON b.label = {MAIN} AND a.label <> {MAIN} AND sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) < {REACH}"""
+
+
+@query(f"""WITH n AS (SELECT component, s, m, distance FROM ({BESIDE}) QUALIFY row_number() OVER (PARTITION BY component, s ORDER BY distance, m) = 1),
+o AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY component, m ORDER BY distance, s) = 1)
+SELECT component, s, m, round(distance, 6) AS distance, CAST(row_number() OVER (PARTITION BY component ORDER BY distance, m, s) AS INTEGER) AS rank FROM o QUALIFY rank <= 12""")
+def attachment_pairs(spark, d):
+    """For each component the pairs with the main one that confirm an attachment: nearest first, each frame once."""
+    p = attached(spark, d)
+    main = p.groupBy("label").count().orderBy(F.desc("count"), "label").limit(1).select(F.col("label").alias("main"))
+    either = spatial.radius_pairs(p, REACH).select("i", "j", "distance")
+    both = either.unionByName(either.select(F.col("j").alias("i"), F.col("i").alias("j"), "distance"))
+    of = p.select("id", "label").join(F.broadcast(main), F.lit(True))
+    s = of.filter("label != main").select(F.col("id").alias("i"), F.col("label").alias("component"))
+    m = of.filter("label = main").select(F.col("id").alias("j"))
+    pairs = both.join(s, "i").join(m, "j").select("component", F.col("i").alias("s"), F.col("j").alias("m"), "distance")
+    return spatial.attachable(pairs, "component").select("component", "s", "m", r6("distance").alias("distance"), "rank")
+
+
+@query(f"""SELECT id AS keyframe, CASE WHEN component < 0 THEN '' ELSE printf('%.1f', x) END AS x, CASE WHEN component < 0 THEN '' ELSE CAST(component AS VARCHAR) END AS component,
+CASE WHEN component = 0 THEN 'used' WHEN component = 1 THEN 'merged' WHEN component = 2 THEN 'merged-manual' WHEN component > 0 THEN 'unlinked' ELSE 'dropped' END AS status FROM ({RANKED}) JOIN (SELECT id, floor(x) AS x FROM ({POINTS})) USING (id)""")
+def merged_positions(spark, d):
+    """Rows of the report after components 1 and 2 were attached, one by registration and one by hand."""
+    ranked = graph.ranked(labels(spark, d)).join(points(spark, d).select("id", F.floor("x").cast("double").alias("x")), "id")
+    c = F.col("component")
+    named = lambda there: F.when(c < 0, "").otherwise(there)
+    return ranked.select(F.col("id").alias("keyframe"), named(F.format_string("%.1f", "x")).alias("x"), named(c.cast("string")).alias("component"), graph.status(merged={1: "merged", 2: "merged-manual"}).alias("status"))
+
+
+@query(f"""SELECT segment, s, m, CAST(row_number() OVER (PARTITION BY segment ORDER BY ncc * greatest(ncc, 0.01) DESC, s, m) AS INTEGER) AS place FROM ({ALL_CANDIDATES}) QUALIFY place <= 6""")
+def link_anchors(spark, d):
+    """The six best candidates of each segment, by which it is tried to be linked alone."""
+    worth = F.col("ncc") * F.greatest("ncc", F.lit(0.01))
+    return matching.top_per(all_candidates(spark, d).drop("rank"), "segment", [F.desc(worth), F.col("s"), F.col("m")], 6).select("segment", "s", "m", F.col("rank").alias("place"))
+
+
+ANCHOR = f"SELECT segment, s AS s0, m AS m0, theta, tx, ty FROM ({ALL_IMPLIED}) QUALIFY row_number() OVER (PARTITION BY segment ORDER BY quality DESC, s, m) = 1"
+CONFIRM = f"""WITH a AS ({ANCHOR}), n AS (SELECT a.*, p.id AS s, abs(p.id - s0) AS gap, cos(theta) * p.x - sin(theta) * p.y + tx AS x, sin(theta) * p.x + cos(theta) * p.y + ty AS y
+FROM a JOIN ({POINTS}) p ON p.label = a.segment QUALIFY row_number() OVER (PARTITION BY segment ORDER BY abs(p.id - s0), p.id) <= 12),
+o AS (SELECT n.*, p.id AS m, sqrt(pow(p.x - n.x, 2) + pow(p.y - n.y, 2)) AS away, CAST(p.id = m0 AS INTEGER) + CAST(n.s = s0 AS INTEGER) AS same FROM n JOIN ({POINTS}) p ON p.label = {MAIN} AND sqrt(pow(p.x - n.x, 2) + pow(p.y - n.y, 2)) < 90),
+t AS (SELECT * FROM o WHERE same < 2 QUALIFY row_number() OVER (PARTITION BY segment, s ORDER BY same, gap, away, m) <= 2)
+SELECT segment, s, m, round(away, 6) AS away, CAST(row_number() OVER (PARTITION BY segment ORDER BY same, gap, away, s, m) AS INTEGER) AS place FROM t QUALIFY place <= 4"""
+
+
+@query(CONFIRM)
+def confirming_pairs(spark, d):
+    """The pairs that must match as well if the best candidate of a segment is right."""
+    best = matching.top_per(links(spark, d, all_candidates), "segment", [F.desc("quality"), F.col("s"), F.col("m")], 1)
+    anchors = best.select("segment", F.col("s").alias("s0"), F.col("m").alias("m0"), "theta", "tx", "ty")
+    p = points(spark, d)
+    main = F.broadcast(p.groupBy("label").count().orderBy(F.desc("count"), "label").limit(1).select("label"))
+    found = linking.confirming(anchors, p.withColumnRenamed("label", "segment"), p.join(main, "label", "left_semi"), 90.0)
+    return found.select("segment", "s", "m", r6("away").alias("away"), "place")
+
+
+GAP = f"""WITH e AS (SELECT label, id, x, y, row_number() OVER (PARTITION BY label ORDER BY id) AS k, row_number() OVER (PARTITION BY label ORDER BY id DESC) AS back FROM ({POINTS})),
+v AS (SELECT label, (arg_max(x, id) - arg_min(x, id)) / greatest(max(id) - min(id), 1) AS vx, (arg_max(y, id) - arg_min(y, id)) / greatest(max(id) - min(id), 1) AS vy FROM e WHERE back <= 4 GROUP BY label),
+l AS (SELECT e.*, vx, vy FROM e JOIN v USING (label)), ends AS (SELECT * FROM l WHERE back = 1), firsts AS (SELECT * FROM e WHERE k = 1)
+SELECT a.id AS i, b.id AS j, round(z.x + z.vx * 2 + b.x - f.x - a.x, 6) AS dx, round(z.y + z.vy * 2 + b.y - f.y - a.y, 6) AS dy FROM l a JOIN ends z ON z.label = a.label JOIN e b ON b.label = a.label + 1 JOIN firsts f ON f.label = b.label
+WHERE a.back <= 3 AND b.k <= 3 AND sqrt(pow(z.x + z.vx * 2 + b.x - f.x - a.x, 2) + pow(z.y + z.vy * 2 + b.y - f.y - a.y, 2)) - 0.5 * sqrt(pow(z.vx * 2, 2) + pow(z.vy * 2, 2)) <= 400"""
+
+
+@query(GAP)
+def gap_pairs(spark, d):
+    """Last and first keyframes of neighbouring segments, where the motion before the gap puts them within reach."""
+    return linking.over_gaps(points(spark, d), "label", 2.0, 400.0).select("i", "j", r6("dx").alias("dx"), r6("dy").alias("dy"))
+
+
 # Streams and kernels, on events and on synthetic frames: no SQL says these
 
 @query(f"""WITH RECURSIVE f AS ({FRAMES}), k AS (

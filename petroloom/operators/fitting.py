@@ -19,12 +19,17 @@ def circle(points: DataFrame, key: list[str]) -> DataFrame:
     return sums.select(*key, (a + F.col("mx")).alias("cx"), (b + F.col("my")).alias("cy"), F.sqrt(a * a + b * b + (F.col("uu") + F.col("vv")) / F.col("n")).alias("radius"))
 
 
-def circle_refit(points: DataFrame, key: list[str], floor: float = 2.0) -> DataFrame:
-    """A second fit on the points whose residual is below the larger of floor and three medians."""
+def inliers(points: DataFrame, key: list[str], floor: float = 2.0, medians: float = 3.0) -> DataFrame:
+    """The points whose residual (_r) in the first fit is below the larger of floor and some medians."""
     first = circle(points, key)
     r = points.join(first, key).withColumn("_r", F.abs(F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")) - F.col("radius")))
-    limit = r.groupBy(*key).agg(F.greatest(F.lit(floor), 3 * F.percentile("_r", 0.5)).alias("_limit"))
-    return circle(r.join(limit, key).filter("_r < _limit").select(*key, "x", "y"), key)
+    limit = r.groupBy(*key).agg(F.greatest(F.lit(floor), medians * F.percentile("_r", 0.5)).alias("_limit"))
+    return r.join(limit, key).filter("_r < _limit").select(*key, "x", "y", "_r")
+
+
+def circle_refit(points: DataFrame, key: list[str], floor: float = 2.0) -> DataFrame:
+    """A second fit on the points near the first."""
+    return circle(inliers(points, key, floor), key)
 
 
 def otsu(df: DataFrame, level: str, levels: int = 256) -> DataFrame:

@@ -103,9 +103,13 @@ def frame_quality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(mean, "id", "left").select("id", F.coalesce("quality", F.lit(0.0)).alias("quality"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def status(component: str = "component"):
+def status(component: str = "component", merged: dict[int, str] | None = None):
+    """The report's word for a component; merged: those for attached ones."""
     c = F.col(component)
-    return F.when(c == 0, "used").when(c > 0, "unlinked").otherwise("dropped")
+    word = F.when(c == 0, "used")
+    for k, name in (merged or {}).items():
+        word = word.when(c == k, name)
+    return word.when(c > 0, "unlinked").otherwise("dropped")
 
 
 def chain(edges: DataFrame, segment: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from petroloom.functions import geometry as g
 
@@ -30,3 +30,38 @@ def apart(ids: str) -> Column:
     start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("long").alias("last"))
     step = lambda a, x: F.when(a["last"].isNull() | (x - a["last"] >= 2), F.struct((a["n"] + 1).alias("n"), x.cast("long").alias("last"))).otherwise(a)
     return F.aggregate(F.array_sort(F.array_distinct(F.col(ids))), start, step, lambda a: a["n"])
+
+
+def confirming(anchors: DataFrame, frames: DataFrame, main: DataFrame, reach: float, most: int = 4) -> DataFrame:
+    """Pairs that a right anchor must match as well. anchors: one row (segment, s0, m0, theta, tx, ty) for each
+    segment; frames: (segment, id, x, y); main: (id, x, y). Of the frames nearest to the anchor's in time,
+    each has two main frames at most; those that share no frame with the anchor come first."""
+    place = lambda *by: F.row_number().over(Window.partitionBy("segment").orderBy(*by))
+    x, y = g.rotate(F.col("theta"), F.col("x"), F.col("y"))
+    near = frames.join(F.broadcast(anchors), "segment").withColumn("gap", F.abs(F.col("id") - F.col("s0"))).withColumn("_p", place("gap", "id")).filter(F.col("_p") <= 3 * most)
+    near = near.select("segment", "s0", "m0", "gap", F.col("id").alias("s"), (x + F.col("tx")).alias("x"), (y + F.col("ty")).alias("y"))
+    cell = lambda c: F.floor(F.col(c) / reach).cast("long")
+    # main frames in the nine cells around, by an equi-join
+    around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
+    asked = near.withColumn("_cx", around("x")).withColumn("_cy", around("y"))
+    there = main.select(F.col("id").alias("m"), F.col("x").alias("mx"), F.col("y").alias("my"), cell("x").alias("_cx"), cell("y").alias("_cy"))
+    away = F.hypot(F.col("mx") - F.col("x"), F.col("my") - F.col("y"))
+    same = (F.col("m") == F.col("m0")).cast("int") + (F.col("s") == F.col("s0")).cast("int")
+    pairs = asked.join(there, ["_cx", "_cy"]).withColumn("away", away).withColumn("same", same).filter((F.col("away") < reach) & (F.col("same") < 2))
+    two = F.row_number().over(Window.partitionBy("segment", "s").orderBy("same", "gap", "away", "m"))
+    return pairs.withColumn("_k", two).filter("_k <= 2").withColumn("place", place("same", "gap", "away", "s", "m")).filter(F.col("place") <= most)
+
+
+def over_gaps(poses: DataFrame, segment: str, gap: float, reach: float, keyframes: int = 3, tail: int = 4) -> DataFrame:
+    """Pairs (i, j, dx, dy) of the last keyframes of a segment (numbered) and the first of the next, where the
+    motion over its last `tail` ones, carried on for `gap`, puts them within reach."""
+    w = Window.partitionBy(segment)
+    e = poses.withColumn("_k", F.row_number().over(w.orderBy("id"))).withColumn("_back", F.row_number().over(w.orderBy(F.desc("id"))))
+    speed = lambda c: (F.max_by(c, "id") - F.min_by(c, "id")) / F.greatest(F.max("id") - F.min("id"), F.lit(1))
+    last = e.filter(F.col("_back") <= tail).groupBy(segment).agg(speed("x").alias("vx"), speed("y").alias("vy"), F.max_by("x", "id").alias("zx"), F.max_by("y", "id").alias("zy"))
+    ends = e.filter(F.col("_back") <= keyframes).join(last, segment).select((F.col(segment) + 1).alias(segment), F.col("id").alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay"), "vx", "vy", "zx", "zy")
+    first = e.filter("_k = 1").select(segment, F.col("x").alias("fx"), F.col("y").alias("fy"))
+    starts = e.filter(F.col("_k") <= keyframes).join(first, segment).select(segment, F.col("id").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"), "fx", "fy")
+    d = lambda c: F.col(f"z{c}") + F.col(f"v{c}") * gap + F.col(f"b{c}") - F.col(f"f{c}") - F.col(f"a{c}")
+    pairs = ends.join(starts, segment).withColumn("dx", d("x")).withColumn("dy", d("y"))
+    return pairs.filter(F.hypot("dx", "dy") - 0.5 * F.hypot(F.col("vx") * gap, F.col("vy") * gap) <= reach)

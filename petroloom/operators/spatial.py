@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Window, Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def radius_pairs(points: DataFrame, radius: float, key: str = "id") -> DataFrame:
@@ -65,3 +65,9 @@ def attachable(pairs: DataFrame, key: str, most: int = 12) -> DataFrame:
     once = nearest.groupBy(key, "m").agg(F.min(F.struct("distance", "s")).alias("_n")).select(key, "m", "_n.*")
     rank = F.row_number().over(Window.partitionBy(key).orderBy("distance", "m", "s"))
     return once.withColumn("rank", rank).filter(F.col("rank") <= most)
+
+
+def extents(poses: DataFrame, key: list[str], reach: float) -> DataFrame:
+    """Corner and size of the mosaic of each key's poses."""
+    low, high = lambda c: F.floor(F.min(c) - reach), lambda c: F.ceil(F.max(c) + reach)
+    return poses.groupBy(*key).agg(low("x").alias("x0"), low("y").alias("y0"), (high("x") - low("x") + 1).alias("width"), (high("y") - low("y") + 1).alias("height"))
