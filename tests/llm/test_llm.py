@@ -226,6 +226,85 @@ def test_media_round_trip():
     assert media.feature(*together[3]) == media.feature(*media.decode([files[3]])[0])
 
 
+def jvm_progressive(spark, pixels, quality=0.9):
+    """A progressive file of [height, width] or [height, width, 3] samples by the JVM's encoder, and what
+    its decoder makes of it."""
+    jvm, kind = spark._jvm, spark._jvm.java.awt.image.BufferedImage
+    h, w = pixels.shape[:2]
+    gray = pixels.ndim == 2
+    img = jvm.java.awt.image.BufferedImage(w, h, kind.TYPE_BYTE_GRAY if gray else kind.TYPE_INT_RGB)
+    for y in range(h):
+        for x in range(w):
+            if gray:
+                img.getRaster().setSample(x, y, 0, int(pixels[y, x]))
+            else:
+                img.setRGB(x, y, int(pixels[y, x] @ np.array([65536, 256, 1])))
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpeg").next()
+    params = writer.getDefaultWriteParam()
+    params.setProgressiveMode(jvm.javax.imageio.ImageWriteParam.MODE_DEFAULT)
+    params.setCompressionMode(jvm.javax.imageio.ImageWriteParam.MODE_EXPLICIT)
+    params.setCompressionQuality(quality)
+    held = jvm.java.io.ByteArrayOutputStream()
+    out = jvm.javax.imageio.ImageIO.createImageOutputStream(held)
+    writer.setOutput(out)
+    writer.write(None, jvm.javax.imageio.IIOImage(img, None, None), params)
+    out.close()
+    data = bytes(held.toByteArray())
+    back = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(data))
+    read = np.array([[[back.getRaster().getSample(x, y, b) for b in range(1 if gray else 3)] for x in range(w)] for y in range(h)])
+    return data, read
+
+
+def test_progressive_files_of_another_encoder(spark):
+    """Tables of many codes, runs of zeros, ends of bands, negative coefficients, refinements, odd sizes."""
+    rng = np.random.default_rng(15)
+    y, x = np.mgrid[:43, :61]
+    wave = 128 + 70 * np.sin(x / 5.0) * np.cos(y / 7.0)
+    for pixels in (wave, np.where((x // 6 + y // 5) % 2, 220.0, 15.0), wave + rng.normal(0, 25, wave.shape), np.full((9, 17), 200.0)):
+        data, read = jvm_progressive(spark, pixels.clip(0, 255).astype(int))
+        assert b"\xff\xc2" in data
+        ((f, planes),) = media.decode([data])
+        assert len(f.scans) > 4 and any(s.high for s in f.scans) and any(s.first for s in f.scans)
+        rgb = np.concatenate(list(media.rgb_bands(f, planes)))
+        assert rgb.shape == (*pixels.shape, 3)
+        assert np.abs(rgb.astype(int) - read).max() <= 2
+        if pixels.std() > 10:
+            assert (planes[0] < 0).any() and (planes[0] > 0).any()
+    colour = np.stack([wave, 255 - wave, 40 + 2 * (x + y)], axis=2).clip(0, 255).astype(int)
+    data, read = jvm_progressive(spark, colour)
+    ((f, planes),) = media.decode([data])
+    rgb = np.concatenate(list(media.rgb_bands(f, planes))).astype(int)
+    # the other decoder smooths chroma as it grows, this one repeats it
+    assert rgb.shape == read.shape and np.abs(rgb - read).mean() < 4
+    stored = spark.createDataFrame([(1, bytearray(data)), (2, None)], "doc_id long, media binary")
+    tensors = {r["doc_id"]: r for r in media.tensors(stored).collect()}
+    assert bytes(tensors[1]["rgb"]) == rgb.astype(np.uint8).tobytes() and tensors[2]["rgb"] is None
+
+
+def test_feature_by_an_independent_transform():
+    """Means and mean squares of the channels, from the coefficients by the definition of the transform."""
+    n = np.arange(8)
+    c = np.array([(np.sqrt(0.5) if k == 0 else 1) / 2 * np.cos((2 * n + 1) * k * np.pi / 16) for k in range(8)])
+    for text in (b"", b"some words " * 40, bytes(range(256)) * 3):
+        ((f, planes),) = media.decode(media.encode([media.padded(text)]))
+        channels = []
+        for k, plane in enumerate(planes):
+            rows, columns, _ = plane.shape
+            natural = np.zeros((rows, columns, 8, 8))
+            for i, (y, x) in enumerate(media.ZIGZAG):
+                natural[:, :, y, x] = plane[:, :, i] * f.quantisers[k][i]
+            block = np.einsum("uy,rcuv,vx->rcyx", c, natural, c)
+            channels.append(np.floor(block + 128.5).clip(0, 255).transpose(0, 2, 1, 3).reshape(8 * rows, 8 * columns))
+        h, v = map(max, zip(*f.sampling))
+        luma, blue, red = (p.repeat(v // q, 0).repeat(h // o, 1)[: f.height, : f.width] - (128 if i else 0) for i, (p, (o, q)) in enumerate(zip(channels, f.sampling)))
+        rgb = np.stack([luma + 1.402 * red, luma - 0.344136 * blue - 0.714136 * red, luma + 1.772 * blue], axis=2).clip(0, 255)
+        size, *pairs = media.feature(f, planes).split()
+        assert size == f"{f.width}x{f.height}"
+        for k, pair in enumerate(pairs):
+            mean, square = (int(q) / 1000 for q in pair.split("/"))
+            assert abs(mean - rgb[..., k].mean()) < 1.5 and abs(square - (rgb[..., k] ** 2).mean()) < 3 * 255
+
+
 def test_inverse_transform():
     rng = np.random.default_rng(3)
     block = rng.integers(-200, 200, (1, 1, 64))
@@ -271,6 +350,50 @@ def test_gradients():
         assert abs((up - down) / (2 * step) - grads[k][at]) < 2e-3
 
 
+def test_network_against_plain_recurrence():
+    net = langid.Network(["a", "b", "c"], hidden=4, seed=3)
+    w, h = {k: v.astype(float) for k, v in net.w.items()}, 4
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(data, d):
+        out, s = [None] * len(data), np.zeros(h)
+        for t in range(len(data)) if d == "f" else range(len(data) - 1, -1, -1):
+            a, g = w[f"in_{d}"][:, data[t]], w[f"rec_{d}"] @ s
+            r, z = sigmoid(a[:h] + g[:h]), sigmoid(a[h : 2 * h] + g[h : 2 * h])
+            c = np.tanh(a[2 * h :] + r * g[2 * h :])
+            s = z * s + (1 - z) * c
+            out[t] = s
+        return out
+
+    def plain(text):
+        total = np.zeros(3)
+        for k in range(0, len(text), langid.STEPS):
+            data = text[k : k + langid.STEPS].ljust(langid.STEPS, b"\0")
+            for byte, f, b in zip(data, states(data, "f"), states(data, "b")):
+                if byte:
+                    p = np.exp(w["out"] @ np.concatenate([f, b]) + w["bias"][:, 0])
+                    total += p / p.sum()
+        return total / max(total.sum(), 1e-12)
+
+    texts = [b"ein kurzer text", b"x", b"", ("longer words of a text that " * 12).encode(), "é中文".encode() * 40]
+    assert np.abs(net.label(texts) - np.array([plain(t) for t in texts])).max() < 1e-4
+
+
+def test_training_samples_are_bounded(spark):
+    rows = [(5, "a" * 3, "en")] * 300 + [(5, "z", "en"), (6, "b", "en"), (7, "c", "de"), (None, "d", "de"), (8, "e", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(tuple(r) for r in langid.sample(docs).collect()) == [(5, "en"), (6, "en"), (7, "de")]
+    net = langid.fit(docs)
+    assert net.labels == ["de", "en"]
+    # windows come from whole texts: two with one beginning do not share their windows
+    import pyarrow as pa
+
+    same = b"q" * 5000
+    texts = [same + bytes(np.random.default_rng(k).integers(97, 123, 60_000).astype(np.uint8)) for k in (1, 2)]
+    found = [{r for batch in langid._windows_of(6, 96)(iter([pa.RecordBatch.from_arrays([pa.array(["x"]), pa.array([t], pa.binary())], names=["lang", "text"])])) for r in [t.index(w) // 96 for w in (x.as_py().rstrip(b"\0") for x in batch.column(1))]} for t in texts]
+    assert found[0] != found[1]
+
+
 def test_language_id(spark, sf, odd, empty):
     rows = langid.op6_language_id(spark, sf).collect()
     docs = {r["doc_id"]: r["lang"] for r in shared.table(spark, sf, "documents").collect()}
@@ -310,6 +433,50 @@ def test_secret_scan(spark, sf, odd, empty):
     assert secretscan.scan(empty, model).count() == 0 and secretscan.scan(odd, model).count() == odd.count()
 
 
+def plain_model(samples):
+    """Chances of transitions for each label, backed off to single characters, as the log ratio of a token."""
+    import math
+
+    n, letters = len(secretscan.ALPHABET), secretscan.ALPHABET
+    if len({k for k, _ in samples}) < 2:
+        return lambda token: -math.inf
+    chance = {}
+    for label in (0, 1):
+        single, pairs, after = Counter(), Counter(), Counter()
+        for k, token in samples:
+            for part in re.split("[^A-Za-z0-9+/_=-]+", token) if k == label else ():
+                for a, b in zip(" " + part, part):
+                    single[b] += 1
+                    pairs[a, b] += 1
+                    after[a] += 1
+        total = sum(single.values()) + 0.5 * n
+        chance[label] = {(a, b): (pairs[a, b] + secretscan.BACKED * (single[b] + 0.5) / total) / (after[a] + secretscan.BACKED) for a in " " + letters for b in letters}
+    step = {k: round(secretscan.SCALE * (math.log(chance[1][k]) - math.log(chance[0][k]))) for k in chance[0]}
+    return lambda token: sum(step[a, b] for a, b in zip(" " + token, token))
+
+
+def plain_spans(text, ratio):
+    order = list(secretscan.KINDS)
+    found = [(*m.span(), kind) for kind, (rule, group, least) in KINDS.items() for m in rule.finditer(text) if len(m[group]) >= least]
+    base = sorted((s, order.index(k), e) for s, e, k in found)
+    every = sorted([*base, *((m.start(), 3, m.end()) for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text) if ratio(m[0]) >= secretscan.MARGIN * secretscan.SCALE)])
+    return tuple(",".join(f"{order[k]}:{s}:{e}" for s, k, e in some) for some in (base, every))
+
+
+def test_secret_query_against_plain_code(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")  # the smallest table with secrets
+    docs = shared.table(spark, sf, "documents")
+    rows = {r["doc_id"]: r for r in secretscan.op7_secret_scan(spark, sf).collect()}
+    samples = [(r["label"], r["token"]) for r in secretscan.labelled(docs).collect()]
+    assert {k for k, _ in samples} == {0, 1}
+    ratio = plain_model(samples)
+    for r in docs.collect():
+        base, every = plain_spans(r["text"] or "", ratio)
+        got = rows[r["doc_id"]]
+        assert got["spans"] == every and got["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        assert [got[f"n_{k}"] for k in KINDS] == [sum(x.startswith(k) for x in base.split(",")) for k in KINDS]
+
+
 def test_markov_models(spark):
     few = spark.createDataFrame([(0, "user_name"), (0, "fileSize"), (0, "the_value_of_things"), (1, "x8Kq2ZpW9rT4vB7nM3sL"), (1, "Qz7Rk2Lw9Xv4Jt8Np3Ym"), (None, "x"), (1, None)], "label int, token string")
     model = secretscan.train(few)
@@ -458,6 +625,56 @@ def test_decoder_of_doubled_and_spread_letters():
         assert meant in toxicity.Words(decoder, lambda w: w).values_of(b"you " + written + b" now"), written
 
 
+def test_viterbi_against_all_paths():
+    from itertools import product
+
+    rng = np.random.default_rng(12)
+    decoder = toxicity.Decoder(rng.integers(0, 50, toxicity._CELLS))
+    def cost(path):
+        w = [0, 0, *(0 if c == " " else ord(c) - 96 for t, _ in path for c in t), 0]
+        return sum(c for _, c in path) + sum(decoder.cost[x][y][z] for x, y, z in zip(w, w[1:], w[2:]))
+
+    for written in ("1d10t", "l o $ er", "a.b", "loo0oser", "$!1", "x  y", "aabb", "(+t"):
+        paths = list(product(*decoder.lattice(written)))
+        best = min(map(cost, paths))
+        assert decoder.decode(written) in {"".join(t for t, _ in p) for p in paths if cost(p) < best + 1e-9}, written
+
+
+def test_toxicity_against_plain_code(spark):
+    """Trigrams, features, weights, evidence and scores, one document at a time."""
+    rng = np.random.default_rng(13)
+    fine, foul = ["garden", "morning", "window", "paper", "river", "simple"], ["scoundrel", "nitwit"]
+    texts = [(i, " ".join([*rng.choice(fine, 12), *(["sc0undrel" if i % 2 else "n i t w i t,"] if i % 3 == 0 else [])])) for i in range(60)]
+    texts += [(100, None), (101, ""), (102, "scoundrel " * 3000), (103, "paper"), (103, "paper")]
+    labels = [(i, int(i % 3 == 0)) for i in range(48)]
+    rows = toxicity.score(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    counts = np.zeros(toxicity._CELLS, np.int64)
+    stream = [0, 0]
+    for _, t in texts:
+        stream += [27 if b >= 128 else b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 0 for b in (t or "").encode()] + [0, 0]
+    for x, y, z in zip(stream, stream[1:], stream[2:]):
+        counts[(x * 28 + y) * 28 + z] += 1
+    decoder = toxicity.Decoder(counts + 0)
+    assert decoder.decode("sc0undrel") == "scoundrel"
+    words = lambda t: toxicity.Words(decoder, lambda w: w).values_of((t or "").encode())
+    known, seen = dict(labels), {0: Counter(), 1: Counter()}
+    for d, t in texts:
+        if d in known:
+            seen[known[d]].update({f for w in words(t) for f in toxicity.features(w)})
+    toxic = sum(known.values())
+    ratio = {f: np.log((n + 0.1) / toxic) - np.log((seen[0][f] + 0.5) / (len(known) - toxic)) for f, n in seen[1].items() if n >= toxicity.LEAST_DOCS}
+    weight = {f: int(r * toxicity.UNIT) for f, r in ratio.items() if r >= toxicity.LEAST_RATIO}
+    evidence = lambda t: sum(max((weight.get(f, 0) for f in toxicity.features(w)), default=0) for w in words(t))
+    assert Counter((r["doc_id"], r["evidence"]) for r in rows) == Counter((d, evidence(t)) for d, t in texts)
+    x, y = np.array([evidence(t) for d, t in texts if d in known]) / toxicity.UNIT, np.array([known[d] for d, _ in texts if d in known], float)
+    slope, intercept = toxicity.logistic(x, y)
+    gradient = [((1 / (1 + np.exp(-(slope * x + intercept))) - y) * v).sum() for v in (x, 1.0)]
+    assert abs(gradient[0] + 1e-2 * slope) < 1e-6 and abs(gradient[1] + 1e-4 * intercept) < 1e-6
+    for r in rows:
+        assert abs(r["score"] - 1 / (1 + np.exp(-(slope * r["evidence"] / toxicity.UNIT + intercept)))) < 1e-9
+    assert {r["doc_id"] for r in rows if r["score"] >= 0.7} == {d for d, t in texts if evidence(t)}
+
+
 def test_toxicity(spark, sf, odd, empty):
     rows = toxicity.op2_toxicity(spark, sf).collect()
     assert all(0 <= r["score"] <= 1 and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
@@ -500,6 +717,61 @@ def test_mixing(spark, sf, odd, empty):
     assert once.count() == odd.count() and once.columns == odd.columns
 
 
+def plain_budgets(held, total, weights, epochs):
+    """Shares in exact fractions: the children whose bound is lowest for their weight are filled first."""
+    from fractions import Fraction
+
+    def down(path, leaves, budget):
+        if len(path) == 3:
+            return {leaves[0]: budget}
+        names = sorted({x[len(path)] for x in leaves}, key=lambda x: (x is None, str(x)))
+        of = {n: [x for x in leaves if x[len(path)] == n] for n in names}
+        most = {n: Fraction(sum(held[x] for x in of[n]) * epochs) for n in names}
+        want = {n: Fraction(weights.get((*path, n), 1.0)) for n in names}
+        budget, left, out = min(budget, sum(most.values())), sum(want.values()), {}
+        for n in sorted(names, key=lambda n: most[n] / want[n]):
+            got = min(most[n], budget * want[n] / left)
+            out |= down((*path, n), of[n], got)
+            budget, left = budget - got, left - want[n]
+        return out
+
+    return down((), list(held), Fraction(total))
+
+
+@pytest.mark.parametrize(("share", "epochs", "seed"), [(0.5, 2, 0), (0.9, 1, 3), (1.7, 3, 1), (5.0, 2, 0)])
+def test_mixing_against_plain_code(spark, odd, share, epochs, seed):
+    rng = np.random.default_rng(14)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 30))) + "\n", rng.choice(["en", "de"]), f"src{int(rng.integers(0, 6))}", None, "n", 1, "g", "l") for i in range(200)]
+    docs = odd.unionByName(spark.createDataFrame([tuple(x.item() if hasattr(x, "item") else x for x in r) for r in rows] + [rows[3]] * 2, DOCS)).filter("doc_id IS NOT NULL")
+    docs = shared.materialize(docs.selectExpr("*", "doc_id AS _m_order", "lang AS _before")).repartition(3)
+    every = [(r["doc_id"], mixing_leaf(r), len([w for w in re.split("[ \n]+", r["text"] or "") if w]) + 1) for r in docs.collect()]
+    held = Counter()
+    for _, leaf, n in every:
+        held[leaf] += n
+    got = plain_budgets(held, share * sum(held.values()), mixing.WEIGHTS, epochs)
+    want = Counter()
+    for leaf, budget in got.items():
+        whole, rest = divmod(int(budget + 1e-6), held[leaf])
+        mine = [(d, n) for d, x, n in every if x == leaf]
+        key = {r["d"]: r["k"] for r in spark.createDataFrame([(d,) for d, _ in mine], "d long").select("d", F.xxhash64(F.lit(seed), F.lit(int(whole)), "d").alias("k")).collect()}
+        at, ids = 0, []
+        for d, n in sorted(mine, key=lambda x: (key[x[0]], x[0])):
+            at += n
+            if at > rest:
+                break
+            ids.append(d)
+        for d, n in mine:
+            for e in range(whole + (d in ids)):
+                want[d, leaf, n, e] += 1
+    found = mixing.mix(docs, share=share, epochs=epochs, seed=seed).collect()
+    assert Counter((r["doc_id"], (r["domain"], r["lang"], r["source"]), r["tokens"], r["epoch"]) for r in found) == want
+
+
+def mixing_leaf(r):
+    number = re.search("([0-9]+)$", r["source"]) if r["source"] is not None else None
+    return ("domain" + str(int(number[1]) % 4 if number else 4), r["lang"], r["source"])
+
+
 # Near duplicates
 
 def brute_components(texts, percent, width):
@@ -616,6 +888,81 @@ def test_pipeline(spark, sf):
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.collect()}
 
 
+def plain_redact(text, ratio):
+    for rule, group, least in (*KINDS.values(), (re.compile("[A-Za-z0-9+/_=-]{20,}"), 0, None)):
+        text = rule.sub(lambda m: "<secret>" if (ratio(m[0]) >= secretscan.MARGIN * secretscan.SCALE if least is None else len(m[group]) >= least) else m[0], text)
+    return text
+
+
+def test_pipeline_against_plain_code(spark, sf):
+    """All five stages over a whole table, each redone by plain code from the rows alone."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    docs = shared.table(spark, sf, "documents")
+    labels = {r["doc_id"]: r["quality"] for r in shared.table(spark, sf, "labels").collect() if r["quality"] is not None}
+    noise = {r["doc_id"]: r["n"] for r in docs.select("doc_id", quality.noise(0).alias("n")).collect()}
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    weight = Counter()
+    for o in quality.ORDERS:
+        raw, target = np.full(quality.BUCKETS[o], 0.5), np.full(quality.BUCKETS[o], 0.5)
+        each = {d: np.array(grams_of((r["text"] or "").encode(), o), int) for d, r in rows.items()}
+        for d, found in each.items():
+            raw += np.bincount(found, minlength=len(raw))
+            if labels.get(d) == 1:
+                target += np.bincount(found, minlength=len(raw))
+        target = target + raw * (0.02 * target.sum() / raw.sum())
+        ratio = np.rint((np.log(target / target.sum()) - np.log(raw / raw.sum())) * 65536).astype(int)
+        for d, found in each.items():
+            weight[d] += int(ratio[found].sum()) * quality.TEMPERED // max(1, len(found))
+    k = round(sum(q == 1 for q in labels.values()) / len(labels) * len(rows))
+    kept = sorted(rows, key=lambda d: (-(weight[d] + noise[d]), d))[:k]
+    kept = sorted({c for _, _, c in brute_components([(d, rows[d]["text"]) for d in kept], 80, 5)})
+    left = spark.createDataFrame([rows[d] for d in kept], docs.schema)
+    ratio = plain_model([(r["label"], r["token"]) for r in secretscan.labelled(left).collect()])
+    texts = {d: plain_redact(rows[d]["text"] or "", ratio) for d in kept}
+    leaf = {d: mixing_leaf(rows[d]) for d in kept}
+    tokens = {d: len([w for w in re.split("[ \n]+", texts[d]) if w]) + 1 for d in kept}
+    held = Counter()
+    for d in kept:
+        held[leaf[d]] += tokens[d]
+    taken = []
+    for x, budget in plain_budgets(held, 0.9 * sum(held.values()), mixing.WEIGHTS, 1).items():
+        whole, rest = divmod(int(budget + 1e-6), held[x])
+        mine = [d for d in kept if leaf[d] == x]
+        key = {r["d"]: r["k"] for r in spark.createDataFrame([(d,) for d in mine], "d long").select("d", F.xxhash64(F.lit(0), F.lit(int(whole)), "d").alias("k")).collect()}
+        at = 0
+        for d in sorted(mine, key=lambda d: (key[d], d)):
+            at += tokens[d]
+            if whole or at <= rest:
+                taken.append(d)
+            if at > rest and not whole:
+                break
+    tokenizer, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), Counter()
+    for d in taken:
+        ids = [*tokenizer.encode(texts[d], add_special_tokens=False).ids, 1]
+        for k in range(0, len(ids), 4096):
+            part = ids[k : k + 4096]
+            want[d, k // 4096, k, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part))] += 1
+    got = corpus_pipeline.run(spark, sf).collect()
+    check_packing(got, 4096)
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+
+
+def test_a_run_leaves_only_what_its_result_reads(spark, sf, tmp_path):
+    import os
+
+    import corpus_pipeline
+
+    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+    one, two = corpus_pipeline.run(spark, sf), corpus_pipeline.run(spark, sf)
+    left = set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) - before
+    assert sum(x.startswith("stage-") for x in left) == 2 and len(left) < 14
+    assert one.count() == two.count() > 0
+
+
 def test_stages_on_odd_and_empty_input(spark, sf, odd, empty):
     import corpus_pipeline
 
