@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from petroloom.functions import imaging as im
+from petroloom.functions import blend, fov, imaging as im
 from petroloom.functions.fov import FieldOfView, brightest, detect, kasa, otsu
 from petroloom.functions.registration import MaskedCorrelation, Registrar, smooth_size
 from petroloom.settings import Settings
@@ -99,3 +99,41 @@ def test_specimen_mask(scene):
     assert reg.specimen(reg.prepare(fov.crop(synthetic.view(img, fov, 450, 350)))).content > 0.8
     blurred = synthetic.view(np.stack([im.blur(img[..., k], 4) for k in range(3)], axis=2), fov, 450, 350)
     assert reg.prepare(fov.crop(blurred)).sharpness < reg.prepare(fov.crop(synthetic.view(img, fov, 450, 350))).sharpness
+
+
+def test_enclosing_circle():
+    rng = np.random.default_rng(20)
+    for n in (1, 2, 3, 5, 40):
+        points = rng.normal(0, 10, (n, 2)).round(2)
+        cx, cy, r = fov.enclosing(points)
+        away = np.hypot(points[:, 0] - cx, points[:, 1] - cy)
+        assert away.max() <= r + 1e-6
+        # no smaller circle around any centre near by holds them
+        for dx, dy in rng.normal(0, 0.5, (200, 2)):
+            assert np.hypot(points[:, 0] - cx - dx, points[:, 1] - cy - dy).max() >= r - 1e-6
+
+
+def test_a_rim_with_dents_and_few_points():
+    y, x = np.mgrid[:480, :640]
+    full = np.where(np.hypot(x - 320, y - 240) <= 170, 200.0, 0.0)
+    full[230:262, 470:640] = 0  # a dent in the rim
+    found = fov.detect(full)
+    assert abs(found.cx - 320) < 2 and abs(found.cy - 240) < 2 and abs(found.radius - 170) < 3
+    wide = np.full((480, 640), 200.0)
+    wide[:60, :60] = 0
+    found = fov.detect(wide)  # its outline lies on the frame's edge: the circle around it
+    assert found.radius > 350
+    nothing = fov.detect(np.zeros((480, 640)))
+    assert (nothing.cx, nothing.cy, nothing.radius) == (320.0, 240.0, 400.0)
+
+
+def test_lanczos_keeps_pixels_and_smooth_waves():
+    rng = np.random.default_rng(21)
+    img = rng.uniform(0, 255, (30, 30, 3)).astype(np.float32)
+    xs, ys = map(np.ravel, np.meshgrid(np.arange(30.0), np.arange(30.0)))
+    for taps in blend.TAPS.values():
+        assert np.abs(blend._sampled(img, xs, ys, taps) - img[ys.astype(int), xs.astype(int)]).max() < 1e-2
+    wave = np.repeat(np.sin(np.arange(60) / 2.5)[None, :, None], 60, axis=0).repeat(3, axis=2).astype(np.float32)
+    at = np.linspace(12, 45, 200)
+    errors = {k: float(np.abs(blend._sampled(wave, at, np.full(200, 30.3), t)[:, 0] - np.sin(at / 2.5)).max()) for k, t in blend.TAPS.items()}
+    assert errors["lanczos"] < errors["cubic"] < 0.05

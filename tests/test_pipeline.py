@@ -238,3 +238,31 @@ def test_command_line():
     args = cli.parser().parse_args(["x", "--tile-size", "512", "--flat-field", "false"])
     s = cli.settings(args)
     assert s.tile_size == 512 and s.flat_field is False
+
+
+def test_cached_crops_go_or_stay(spark, tmp_path):
+    import os
+
+    from petroloom.plans import pipeline
+    from petroloom.settings import Settings
+
+    crops = spark.createDataFrame([(1, 2, 2, bytearray(12))], "id long, width int, height int, data binary")
+    read, at = pipeline.cached(crops, Settings(cache_dir=str(tmp_path)))
+    assert at.startswith(str(tmp_path)) and read.count() == 1
+    pipeline.dropped(spark, at)
+    assert not os.path.exists(at)
+
+
+def test_samples_are_screened_against_all_main_frames(spark):
+    from petroloom.functions.fov import FieldOfView
+    from petroloom.plans.matching import SparkMatcher
+    from petroloom.settings import Settings
+    from petroloom.sources import synthetic
+
+    img, fov = synthetic.specimen(500, 400, 1, 150), FieldOfView(120.3, 90.1, 80, 240, 180)
+    places = [(200, 180), (212, 186), (225, 178), (300, 240), (206, 190)]
+    views = [np.ascontiguousarray(fov.crop(synthetic.view(img, fov, x, y, seed=k))) for k, (x, y) in enumerate(places)]
+    crops = spark.createDataFrame([(k, v.shape[1], v.shape[0], bytearray(v.tobytes())) for k, v in enumerate(views)], "id long, width int, height int, data binary")
+    settings = Settings(work_diameter=160, coarse_diameter=80, link_min_content=0.0)
+    found = SparkMatcher(crops, fov, settings).screen([0, 1, 2, 3], [4])
+    assert {"i", "j", "ncc"} <= set(found.columns) and set(found["j"]) <= {4} and len(found) <= 3
