@@ -170,9 +170,10 @@ def segment_peak_ratio(spark, d):
     return matching.peak_ratio(best, "vec_id", "ncc")
 
 
-SAMPLES = "SELECT vec_id FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS r, count(*) OVER () AS n FROM embeddings WHERE label = 0) WHERE r IN (SELECT CAST(floor(k * (n - 1) / 11) AS BIGINT) FROM range(12) t(k))"
-CANDIDATES = f"""SELECT * FROM (SELECT a.vec_id AS s, b.vec_id AS m, {NCC} AS ncc, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY {NCC} DESC, b.vec_id) AS INTEGER) AS rank
-FROM ({CENTRED}) a JOIN ({CENTRED}) b ON a.vec_id IN ({SAMPLES}) AND b.label = 1) WHERE rank <= 3"""
+MAIN = "(SELECT label FROM embeddings GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)"
+SAMPLES = f"SELECT vec_id FROM (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings WHERE label <> {MAIN}) WHERE r IN (SELECT CAST(floor(k * (n - 1) / 11) AS BIGINT) FROM range(12) t(k))"
+CANDIDATES = f"""SELECT * FROM (SELECT a.label AS segment, a.vec_id AS s, b.vec_id AS m, {NCC} AS ncc, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY {NCC} DESC, b.vec_id) AS INTEGER) AS rank
+FROM ({CENTRED}) a JOIN ({CENTRED}) b ON a.vec_id IN ({SAMPLES}) AND b.label = {MAIN}) WHERE rank <= 3"""
 
 
 def matched(e: DataFrame, segments: DataFrame, main: DataFrame) -> DataFrame:
@@ -186,22 +187,16 @@ def matched(e: DataFrame, segments: DataFrame, main: DataFrame) -> DataFrame:
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Twelve samples of segment 0 against all of segment 1, as the SQL has it; segment_candidates takes all."""
-    e = descriptors(spark, d)
-    return matched(e, e.filter("label = 0"), e.filter("label = 1"))
-
-
-def all_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Twelve samples of each segment but the largest, against all of the largest."""
     e = descriptors(spark, d)
     main = F.broadcast(e.groupBy("label").count().orderBy(F.desc("count"), "label").limit(1).select("label"))
     return matched(e, e.join(main, "label", "left_anti"), e.join(main, "label", "left_semi"))
 
 
-@query(f"SELECT s, m, ncc, rank FROM ({CANDIDATES})")
+@query(f"SELECT segment, s, m, ncc, rank FROM ({CANDIDATES})")
 def top_candidates(spark, d):
-    """The three best matches of each sample."""
-    return candidates(spark, d).select("s", "m", "ncc", "rank")
+    """The three best matches in the largest segment of each sample of every other one."""
+    return candidates(spark, d).select("segment", "s", "m", "ncc", "rank")
 
 
 # Places, radius joins and graphs
@@ -314,40 +309,40 @@ def integrate_poses(spark, d):
 
 # Linking
 
-LINK = f"""SELECT c.s, c.m, c.ncc AS quality, pm.x AS xm, pm.y AS ym, 0.001 * (c.m % 10)::DOUBLE AS tm, ps.x AS xs, ps.y AS ys, 0.001 * (c.s % 10)::DOUBLE AS ts,
+LINK = f"""SELECT c.segment, c.s, c.m, c.ncc AS quality, pm.x AS xm, pm.y AS ym, 0.001 * (c.m % 10)::DOUBLE AS tm, ps.x AS xs, ps.y AS ys, 0.001 * (c.s % 10)::DOUBLE AS ts,
 5 * c.rank::DOUBLE AS dx, 3 * c.rank::DOUBLE AS dy, 0.0005 * c.rank::DOUBLE AS phi FROM ({CANDIDATES}) c JOIN ({POINTS}) pm ON pm.id = c.m JOIN ({POINTS}) ps ON ps.id = c.s"""
 TURNED = f"SELECT *, tm + phi - ts AS theta, xm + cos(tm) * dx - sin(tm) * dy AS ox, ym + sin(tm) * dx + cos(tm) * dy AS oy FROM ({LINK})"
 IMPLIED = f"SELECT *, ox - (cos(theta) * xs - sin(theta) * ys) AS tx, oy - (sin(theta) * xs + cos(theta) * ys) AS ty FROM ({TURNED})"
 
 
-def links(spark: SparkSession, d: str, of: Query = candidates) -> DataFrame:
+def links(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d)
     pose = lambda x: p.select(F.col("id").alias(x), F.col("x").alias(f"x{x}"), F.col("y").alias(f"y{x}"), (F.lit(0.001) * (F.col("id") % 10)).alias(f"t{x}"))
-    c = of(spark, d).join(pose("m"), "m").join(pose("s"), "s")
+    c = candidates(spark, d).join(pose("m"), "m").join(pose("s"), "s")
     k = F.col("rank").cast("double")
     c = c.select("segment", "s", "m", F.col("ncc").alias("quality"), "xm", "ym", "tm", "xs", "ys", "ts", (5 * k).alias("dx"), (3 * k).alias("dy"), (F.lit(0.0005) * k).alias("phi"))
     tx, ty, theta = g.implied(tuple(map(F.col, ("xm", "ym", "tm"))), tuple(map(F.col, ("xs", "ys", "ts"))), F.col("dx"), F.col("dy"), F.col("phi"))
     return c.withColumn("theta", theta).withColumn("tx", tx).withColumn("ty", ty)
 
 
-@query(f"SELECT s, m, round(tx, 6) AS tx, round(ty, 6) AS ty, round(theta, 6) AS theta FROM ({IMPLIED})")
+@query(f"SELECT segment, s, m, round(tx, 6) AS tx, round(ty, 6) AS ty, round(theta, 6) AS theta FROM ({IMPLIED})")
 def implied_transform(spark, d):
     """The transform from segment to main frame that each candidate implies."""
-    return links(spark, d).select("s", "m", *[r6(c).alias(c) for c in ("tx", "ty", "theta")])
+    return links(spark, d).select("segment", "s", "m", *[r6(c).alias(c) for c in ("tx", "ty", "theta")])
 
 
-MAPPED = f"SELECT s, m, s * 1000000 + m AS k, quality, theta, cos(theta) * 10 - sin(theta) * 20 + tx AS mx, sin(theta) * 10 + cos(theta) * 20 + ty AS my FROM ({IMPLIED})"
-AGREE = f"SELECT a.k, b.m, b.s, b.quality FROM ({MAPPED}) a JOIN ({MAPPED}) b ON abs(a.theta - b.theta) < radians(1) AND sqrt(pow(a.mx - b.mx, 2) + pow(a.my - b.my, 2)) < 150"
+MAPPED = f"SELECT segment, s, m, s * 1000000 + m AS k, quality, theta, cos(theta) * 10 - sin(theta) * 20 + tx AS mx, sin(theta) * 10 + cos(theta) * 20 + ty AS my FROM ({IMPLIED})"
+AGREE = f"SELECT a.k, b.m, b.s, b.quality FROM ({MAPPED}) a JOIN ({MAPPED}) b ON a.segment = b.segment AND abs(a.theta - b.theta) < radians(1) AND sqrt(pow(a.mx - b.mx, 2) + pow(a.my - b.my, 2)) < 150"
 APART = "SELECT k, CAST(sum((n + 1) // 2) AS INTEGER) AS n FROM (SELECT k, island, count(*) AS n FROM (SELECT k, id - row_number() OVER (PARTITION BY k ORDER BY id) AS island FROM (SELECT DISTINCT k, {0} AS id FROM a)) GROUP BY k, island) GROUP BY k"
 
 
 @query(f"""WITH a AS ({AGREE}), t AS (SELECT k, count(*) AS agree, round(sum(quality), 6) AS quality FROM a GROUP BY k), m AS ({APART.format("m")}), s AS ({APART.format("s")})
-SELECT t.k, t.agree, t.quality, least(m.n, s.n) AS support FROM t JOIN m USING (k) JOIN s USING (k)""")
+SELECT e.label AS segment, t.k, t.agree, t.quality, least(m.n, s.n) AS support FROM t JOIN m USING (k) JOIN s USING (k) JOIN embeddings e ON e.vec_id = t.k // 1000000""")
 def consensus(spark, d):
-    """For each candidate those that agree with it, and how many of them are independent."""
+    """For each candidate of every segment those of its segment that agree with it; a segment is an attempt."""
     x, y = linking.mapped(F.col("theta"), F.col("tx"), F.col("ty"), F.lit(10.0), F.lit(20.0))
-    c = links(spark, d).select(F.lit(0).alias("attempt"), "s", "m", (F.col("s") * 1000000 + F.col("m")).alias("k"), "quality", "theta", x.alias("mx"), y.alias("my"))
-    return linking.agreeing(c, "attempt", 150.0).select("k", "agree", r6("quality").alias("quality"), "support")
+    c = links(spark, d).select("segment", "s", "m", (F.col("s") * 1000000 + F.col("m")).alias("k"), "quality", "theta", x.alias("mx"), y.alias("my"))
+    return linking.agreeing(graph.cut(c), "segment", 150.0).select("segment", "k", "agree", r6("quality").alias("quality"), "support")
 
 
 @query("""WITH a AS (SELECT user_id AS k, CAST(floor(value) AS BIGINT) AS id FROM events),
@@ -359,56 +354,12 @@ def independent_support(spark, d):
     return ids.select("user_id", linking.apart("ids").alias("support"))
 
 
-@query(f"""SELECT s, m, status, CAST(row_number() OVER (ORDER BY s % 3, CASE status WHEN 'accepted' THEN 0 WHEN 'outlier' THEN 1 ELSE 2 END, quality DESC, s, m) AS INTEGER) AS line
+@query(f"""SELECT segment, s, m, status, CAST(row_number() OVER (ORDER BY segment, CASE status WHEN 'accepted' THEN 0 WHEN 'outlier' THEN 1 ELSE 2 END, quality DESC, s, m) AS INTEGER) AS line
 FROM (SELECT *, CASE WHEN quality > 0.3 THEN 'accepted' WHEN quality > 0.25 THEN 'outlier' ELSE 'rejected' END AS status FROM ({LINK}))""")
 def diagnostics_order(spark, d):
-    """Link records in the order of the diagnostics file: some dozens of rows."""
-    q = F.col("quality")
-    named = links(spark, d).withColumn("status", F.when(q > 0.3, "accepted").when(q > 0.25, "outlier").otherwise("rejected"))
-    rank = F.when(F.col("status") == "accepted", 0).when(F.col("status") == "outlier", 1).otherwise(2)
-    line = F.row_number().over(Window.orderBy(F.col("s") % 3, rank, F.desc("quality"), "s", "m"))
-    return named.select("s", "m", "status", line.alias("line"))
-
-
-# Linking of every segment: the four queries above, not of segments 0 and 1 only
-
-MAIN = "(SELECT label FROM embeddings GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)"
-ALL_SAMPLES = f"SELECT vec_id FROM (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings WHERE label <> {MAIN}) WHERE r IN (SELECT CAST(floor(k * (n - 1) / 11) AS BIGINT) FROM range(12) t(k))"
-ALL_CANDIDATES = f"""SELECT * FROM (SELECT a.label AS segment, a.vec_id AS s, b.vec_id AS m, {NCC} AS ncc, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY {NCC} DESC, b.vec_id) AS INTEGER) AS rank
-FROM ({CENTRED}) a JOIN ({CENTRED}) b ON a.vec_id IN ({ALL_SAMPLES}) AND b.label = {MAIN}) WHERE rank <= 3"""
-ALL_LINK = LINK.replace(CANDIDATES, ALL_CANDIDATES).replace("SELECT c.s,", "SELECT c.segment, c.s,", 1)
-ALL_IMPLIED = IMPLIED.replace(LINK, ALL_LINK)
-ALL_MAPPED = MAPPED.replace(IMPLIED, ALL_IMPLIED).replace("SELECT s,", "SELECT segment, s,", 1)
-ALL_AGREE = f"{AGREE.replace(MAPPED, ALL_MAPPED)} AND a.segment = b.segment"
-
-
-@query(f"SELECT segment, s, m, ncc, rank FROM ({ALL_CANDIDATES})")
-def segment_candidates(spark, d):
-    """The three best matches in the largest segment of each sample of every other one."""
-    return all_candidates(spark, d).select("segment", "s", "m", "ncc", "rank")
-
-
-@query(f"SELECT segment, s, m, round(tx, 6) AS tx, round(ty, 6) AS ty, round(theta, 6) AS theta FROM ({ALL_IMPLIED})")
-def segment_transforms(spark, d):
-    """The transform to the largest segment that each candidate of every other one implies."""
-    return links(spark, d, all_candidates).select("segment", "s", "m", *[r6(c).alias(c) for c in ("tx", "ty", "theta")])
-
-
-@query(f"""WITH a AS ({ALL_AGREE}), t AS (SELECT k, count(*) AS agree, round(sum(quality), 6) AS quality FROM a GROUP BY k), m AS ({APART.format("m")}), s AS ({APART.format("s")})
-SELECT e.label AS segment, t.k, t.agree, t.quality, least(m.n, s.n) AS support FROM t JOIN m USING (k) JOIN s USING (k) JOIN embeddings e ON e.vec_id = t.k // 1000000""")
-def segment_consensus(spark, d):
-    """For each candidate of every segment those of its segment that agree with it; a segment is an attempt."""
-    x, y = linking.mapped(F.col("theta"), F.col("tx"), F.col("ty"), F.lit(10.0), F.lit(20.0))
-    c = links(spark, d, all_candidates).select("segment", "s", "m", (F.col("s") * 1000000 + F.col("m")).alias("k"), "quality", "theta", x.alias("mx"), y.alias("my"))
-    return linking.agreeing(c, "segment", 150.0).select("segment", "k", "agree", r6("quality").alias("quality"), "support")
-
-
-@query(f"""SELECT segment, s, m, status, CAST(row_number() OVER (ORDER BY segment, CASE status WHEN 'accepted' THEN 0 WHEN 'outlier' THEN 1 ELSE 2 END, quality DESC, s, m) AS INTEGER) AS line
-FROM (SELECT *, CASE WHEN quality > 0.3 THEN 'accepted' WHEN quality > 0.25 THEN 'outlier' ELSE 'rejected' END AS status FROM ({ALL_LINK}))""")
-def segment_diagnostics(spark, d):
     """Link records of every segment in the order of the diagnostics file: 36 rows at most of each."""
     q = F.col("quality")
-    named = links(spark, d, all_candidates).withColumn("status", F.when(q > 0.3, "accepted").when(q > 0.25, "outlier").otherwise("rejected"))
+    named = links(spark, d).withColumn("status", F.when(q > 0.3, "accepted").when(q > 0.25, "outlier").otherwise("rejected"))
     rank = F.when(F.col("status") == "accepted", 0).when(F.col("status") == "outlier", 1).otherwise(2)
     line = F.row_number().over(Window.orderBy("segment", rank, F.desc("quality"), "s", "m"))
     return named.select("segment", "s", "m", "status", line.alias("line"))
@@ -678,14 +629,14 @@ def merged_positions(spark, d):
     return ranked.select(F.col("id").alias("keyframe"), named(F.format_string("%.1f", "x")).alias("x"), named(c.cast("string")).alias("component"), graph.status(merged={1: "merged", 2: "merged-manual"}).alias("status"))
 
 
-@query(f"""SELECT segment, s, m, CAST(row_number() OVER (PARTITION BY segment ORDER BY ncc * greatest(ncc, 0.01) DESC, s, m) AS INTEGER) AS place FROM ({ALL_CANDIDATES}) QUALIFY place <= 6""")
+@query(f"""SELECT segment, s, m, CAST(row_number() OVER (PARTITION BY segment ORDER BY ncc * greatest(ncc, 0.01) DESC, s, m) AS INTEGER) AS place FROM ({CANDIDATES}) QUALIFY place <= 6""")
 def link_anchors(spark, d):
     """The six best candidates of each segment, by which it is tried to be linked alone."""
     worth = F.col("ncc") * F.greatest("ncc", F.lit(0.01))
-    return matching.top_per(all_candidates(spark, d).drop("rank"), "segment", [F.desc(worth), F.col("s"), F.col("m")], 6).select("segment", "s", "m", F.col("rank").alias("place"))
+    return matching.top_per(candidates(spark, d).drop("rank"), "segment", [F.desc(worth), F.col("s"), F.col("m")], 6).select("segment", "s", "m", F.col("rank").alias("place"))
 
 
-ANCHOR = f"SELECT segment, s AS s0, m AS m0, theta, tx, ty FROM ({ALL_IMPLIED}) QUALIFY row_number() OVER (PARTITION BY segment ORDER BY quality DESC, s, m) = 1"
+ANCHOR = f"SELECT segment, s AS s0, m AS m0, theta, tx, ty FROM ({IMPLIED}) QUALIFY row_number() OVER (PARTITION BY segment ORDER BY quality DESC, s, m) = 1"
 CONFIRM = f"""WITH a AS ({ANCHOR}), n AS (SELECT a.*, p.id AS s, abs(p.id - s0) AS gap, cos(theta) * p.x - sin(theta) * p.y + tx AS x, sin(theta) * p.x + cos(theta) * p.y + ty AS y
 FROM a JOIN ({POINTS}) p ON p.label = a.segment QUALIFY row_number() OVER (PARTITION BY segment ORDER BY abs(p.id - s0), p.id) <= 12),
 o AS (SELECT n.*, p.id AS m, sqrt(pow(p.x - n.x, 2) + pow(p.y - n.y, 2)) AS away, CAST(p.id = m0 AS INTEGER) + CAST(n.s = s0 AS INTEGER) AS same FROM n JOIN ({POINTS}) p ON p.label = {MAIN} AND sqrt(pow(p.x - n.x, 2) + pow(p.y - n.y, 2)) < 90),
@@ -696,7 +647,7 @@ SELECT segment, s, m, round(away, 6) AS away, CAST(row_number() OVER (PARTITION
 @query(CONFIRM)
 def confirming_pairs(spark, d):
     """The pairs that must match as well if the best candidate of a segment is right."""
-    best = matching.top_per(links(spark, d, all_candidates), "segment", [F.desc("quality"), F.col("s"), F.col("m")], 1)
+    best = matching.top_per(links(spark, d), "segment", [F.desc("quality"), F.col("s"), F.col("m")], 1)
     anchors = best.select("segment", F.col("s").alias("s0"), F.col("m").alias("m0"), "theta", "tx", "ty")
     p = points(spark, d)
     main = F.broadcast(p.groupBy("label").count().orderBy(F.desc("count"), "label").limit(1).select("label"))

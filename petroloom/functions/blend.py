@@ -59,16 +59,22 @@ def edge_weight(mask: np.ndarray) -> np.ndarray:
 
 
 def warp(img: np.ndarray, weight: np.ndarray, pose: tuple[float, float, float], centre: tuple[float, float], x0: int, y0: int, w: int, h: int, kernel: str = "cubic") -> tuple[np.ndarray, np.ndarray]:
-    """A frame's crop and weight over the tile [x0, x0 + w) x [y0, y0 + h) of the mosaic."""
-    xs, ys = np.meshgrid(np.arange(x0, x0 + w) - pose[0], np.arange(y0, y0 + h) - pose[1])
+    """A frame's crop and weight over the tile [x0, x0 + w) x [y0, y0 + h) of the mosaic. Only the part of the
+    tile that the crop's corners can reach is sampled."""
+    out, wt = np.zeros((h, w, 3), np.float32), np.zeros((h, w), np.float32)
+    reach = float(np.hypot(max(centre[0], img.shape[1] - centre[0]), max(centre[1], img.shape[0] - centre[1]))) + 1
+    (left, right), (top, bottom) = ((max(0, int(np.floor(p - reach - o))), min(n, int(np.ceil(p + reach - o)) + 1)) for p, o, n in ((pose[0], x0, w), (pose[1], y0, h)))
+    if left >= right or top >= bottom:
+        return out, wt
+    xs, ys = np.meshgrid(np.arange(x0 + left, x0 + right) - pose[0], np.arange(y0 + top, y0 + bottom) - pose[1])
     c, s = np.cos(pose[2]), np.sin(pose[2])
     u, v = c * xs + s * ys + centre[0], c * ys - s * xs + centre[1]
-    wt = im.sample(weight, u, v)
-    out = np.zeros((h, w, 3), np.float32)
-    seen = wt > 0
+    wt[top:bottom, left:right] = near = im.sample(weight, u, v)
+    seen = near > 0
     if seen.any():
-        out[seen] = (im.sample if kernel == "linear" else _sampled)(img.astype(np.float32), u[seen], v[seen], *(() if kernel == "linear" else (TAPS[kernel],)))
-    return out, wt.astype(np.float32)
+        pixels = img.astype(np.float32), u[seen], v[seen]
+        out[top:bottom, left:right][seen] = im.sample(*pixels) if kernel == "linear" else _sampled(*pixels, TAPS[kernel])
+    return out, wt
 
 
 def _cubic(t: np.ndarray) -> list[np.ndarray]:

@@ -60,7 +60,9 @@ def integrate(n: int, edges: pd.DataFrame, root: int, known: np.ndarray | None =
 class Blocks:
     """A symmetric positive system with a k x k block for each node and each linked pair. Nodes are
     eliminated in order of fewest neighbours, so work and memory follow the fill of the graph, not the
-    square of its nodes."""
+    square of its nodes; the last IN_ONE rows, which are full by then, are solved as one matrix."""
+
+    IN_ONE = 2400  # 46 MB
 
     def __init__(self, diagonal: np.ndarray, i: np.ndarray, j: np.ndarray, off: np.ndarray) -> None:
         """off[e]: the block in row i[e] and column j[e]; blocks of one pair add up."""
@@ -77,7 +79,7 @@ class Blocks:
         waiting = [(len(x), v) for v, x in enumerate(beside)]
         heapify(waiting)
         gone = np.zeros(len(diagonal), bool)
-        while waiting:
+        while (len(diagonal) - len(steps)) * right.shape[1] > self.IN_ONE:
             degree, v = heappop(waiting)
             if gone[v] or degree != len(beside[v]):
                 continue  # an entry of before its neighbours went
@@ -99,7 +101,16 @@ class Blocks:
                 steps.append((v, inverse, names, blocks))
             else:
                 steps.append((v, inverse, names, None))
-        out = np.zeros_like(right)
+        out, k = np.zeros_like(right), right.shape[1]
+        left = np.flatnonzero(~gone)
+        if len(left):
+            at = {v: x for x, v in enumerate(left.tolist())}
+            full = np.zeros((len(left), k, len(left), k))
+            for v, x in at.items():
+                full[x, :, x] = diagonal[v]
+                for u, block in beside[v].items():
+                    full[x, :, at[u]] = block
+            out[left] = np.linalg.solve(full.reshape(len(left) * k, -1), right[left].ravel()).reshape(-1, k)
         for v, inverse, names, blocks in reversed(steps):
             out[v] = inverse @ (right[v] - (blocks @ out[names][:, :, None]).sum(axis=0)[:, 0] if names else right[v])
         return out
