@@ -453,10 +453,7 @@ k AS (SELECT unnest(acc, recursive := true) FROM (SELECT acc FROM g ORDER BY r D
 SELECT p.i, p.j, round(p.distance, 6) AS distance FROM p JOIN k ON k.i = p.i AND k.j = p.j""")
 def capped_neighbours(spark, d):
     """Near pairs, nearest first, while neither keyframe has its fill; one task for each component."""
-    pairs = near(spark, d)
-    of = labels(spark, d)
-    grouped = pairs.join(of.select(F.col("id").alias("i"), F.col("label").alias("component")), "i")
-    return spatial.capped(grouped, by="component").select("i", "j", r6("distance").alias("distance"))
+    return spatial.capped(near(spark, d)).select("i", "j", r6("distance").alias("distance"))
 
 
 # Images: each vector of embeddings is a picture of 8 x 8 pixels, its segment a video

@@ -76,11 +76,12 @@ def ranked(labels: DataFrame, least: int = 3) -> DataFrame:
     """(id, label, component): 0 for the largest, 1 and on for others of `least` nodes or more, by size and
     then label; -1 for what is left out."""
     sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
-    # one row for each component, so a single ordering of them is small
-    order = Window.orderBy(F.desc("size"), "label")
-    sizes = sizes.withColumn("_r", F.row_number().over(order) - 1)
-    kept = sizes.withColumn("component", F.when((F.col("_r") == 0) | (F.col("size") >= least), F.col("_r")).otherwise(-1).cast("int"))
-    return labels.join(kept.select("label", "component"), "label").select("id", "label", "component")
+    order = F.desc("size"), F.col("label")
+    top = sizes.orderBy(*order).limit(1)
+    # only the components that are kept are ordered in one place
+    kept = sizes.filter(F.col("size") >= least).unionByName(top.filter(F.col("size") < least))
+    kept = kept.withColumn("component", (F.row_number().over(Window.orderBy(*order)) - 1).cast("int"))
+    return labels.join(kept.select("label", "component"), "label", "left").select("id", "label", F.coalesce("component", F.lit(-1)).alias("component"))
 
 
 def residuals(edges: DataFrame, poses: DataFrame) -> DataFrame:

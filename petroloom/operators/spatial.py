@@ -5,6 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from petroloom.operators.graph import components
+
 
 def radius_pairs(points: DataFrame, radius: float, key: str = "id") -> DataFrame:
     """Pairs i < j of points (key, x, y) nearer than radius: an equi-join on grid cells, to nine of
@@ -24,8 +26,13 @@ def untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
 
 def capped(pairs: DataFrame, near: int = 2, far: int = 8, by: str | None = None) -> DataFrame:
     """Pairs taken in order of distance while neither end has its fill: `near` of ids at most 3 apart,
-    `far` of others. What is taken depends on all before it, so each group of `by` (a component, whose
-    pairs share no ends with others') is one task."""
+    `far` of others. What is taken depends on all before it, so each group of `by` is one task; by
+    default those are the components, whose pairs share no ends with others'."""
+    if by is None:
+        ids = pairs.select(F.col("i").alias("id")).unionByName(pairs.select(F.col("j").alias("id"))).distinct()
+        of = components(ids, pairs).select(F.col("id").alias("i"), F.col("label").alias("_component"))
+        pairs, by = pairs.join(of, "i"), "_component"
+
     def take(pdf: pd.DataFrame) -> pd.DataFrame:
         counts: tuple[dict, dict] = ({}, {})
         keep = []
@@ -36,8 +43,7 @@ def capped(pairs: DataFrame, near: int = 2, far: int = 8, by: str | None = None)
                 keep.append((i, j))
         return pd.DataFrame(keep, columns=["i", "j"]).merge(pdf[["i", "j", "distance"]], on=["i", "j"])
 
-    key = by or "_all"
-    return pairs.withColumn("_all", F.lit(0)).select(key, "i", "j", "distance").groupBy(key).applyInPandas(take, "i long, j long, distance double")
+    return pairs.select(by, "i", "j", "distance").groupBy(by).applyInPandas(take, "i long, j long, distance double")
 
 
 def covered_tiles(boxes: DataFrame, tile: float) -> DataFrame:

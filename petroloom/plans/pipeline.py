@@ -152,7 +152,7 @@ def run(frames: DataFrame, out: str, settings: Settings = Settings(), fov: fv.Fi
     crops, cache = cached(crops_of(frames, keyframes, fov), settings)
     try:
         tell(0.45, "pose graph")
-        graph = PoseGraph(keyframes, edges, SparkMatcher(crops, fov, settings), settings, fov.diameter).run()
+        graph = PoseGraph(keyframes, edges, SparkMatcher(crops, fov, settings), settings, fov.diameter, cancelled=cancelled).run()
         if not (graph.component == 0).any():
             raise ValueError("no frame could be placed")
         poses = levelled(graph.poses, graph.component)
@@ -162,6 +162,7 @@ def run(frames: DataFrame, out: str, settings: Settings = Settings(), fov: fv.Fi
         tell(0.6, "rendering")
         table = keyframes.assign(x=poses[:, 0], y=poses[:, 1], theta=poses[:, 2], component=graph.component)
         for c in sorted(set(graph.component[graph.component >= 0].tolist())):
+            tell(0.6, "rendering")
             render_component(result, crops, table, int(c), settings, gain)
         quality, links = graph.frame_quality()
         origins = {c: m["origin"] for c, m in result.mosaics.items()}

@@ -16,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from petroloom.functions.fov import FieldOfView
 from petroloom.functions.registration import Registrar
 from petroloom.operators.tracking import Gate
-from petroloom.plans.keyframes import EVENTS, Tracker, image, rows
+from petroloom.plans.keyframes import EVENTS, Tracker, cropped, image, rows
 from petroloom.settings import Settings
 
 
@@ -51,8 +51,8 @@ def track(stream: DataFrame, fov: FieldOfView, settings: Settings) -> DataFrame:
         for f in pd.concat(list(pdfs)).sort_values("frame_index").itertuples(index=False):
             if f.frame_index > seen:
                 seen = int(f.frame_index)
-                out += tracker.step(seen, f.time_s, fov.crop(image(f.data, f.width, f.height)))
+                out += tracker.step(seen, f.time_s, image(f.data, f.width, f.height))
         state.update((pickle.dumps({k: v for k, v in tracker.__dict__.items() if k != "registrar"}), seen))
         yield rows(key[0], out)
 
-    return stream.groupBy("video_id").applyInPandasWithState(fold, EVENTS, "tracker binary, seen long", "append", GroupStateTimeout.NoTimeout)
+    return cropped(stream, fov).groupBy("video_id").applyInPandasWithState(fold, EVENTS, "tracker binary, seen long", "append", GroupStateTimeout.NoTimeout)
