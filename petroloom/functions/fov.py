@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -155,30 +155,55 @@ def rim(blob: np.ndarray, reach: float = 1.5) -> tuple[np.ndarray, np.ndarray]:
     return points[depth.min(axis=1) <= reach], corners
 
 
+# Fixed values of detection, in pixels of the small image or levels: the least level above black and above
+# the 5th percentile, the width of the frame's edge, the points a fit needs, the least tolerance of a fit.
+DARK, ABOVE, EDGE, POINTS, TOLERANCE = 12.0, 8.0, 3, 20, 2.0
+
+
+def steady_circle(points: np.ndarray, rounds: int = 40) -> tuple[float, float, float]:
+    """The circle that most points lie on, by distance: Gauss-Newton steps on the distances themselves, in which
+    a point's weight falls smoothly to nothing (Tukey's biweight) as it lies farther from the circle."""
+    x, y = points.T
+    found = np.array(kasa(x, y))
+    for _ in range(rounds):
+        away = points - found[:2]
+        length = np.maximum(np.hypot(*away.T), 1e-9)
+        error = length - found[2]
+        reach = max(TOLERANCE, 4.685 * 1.4826 * float(np.median(np.abs(error))))
+        weight = np.clip(1 - (error / reach) ** 2, 0, None)
+        slopes = np.column_stack([-away / length[:, None], -np.ones(len(points))])
+        step = np.linalg.lstsq(slopes * weight[:, None], -error * weight, rcond=None)[0]
+        found = found + step
+        if np.abs(step).max() < 1e-6:
+            break
+    return tuple(map(float, found))
+
+
+def lit(small: np.ndarray) -> np.ndarray | None:
+    """The largest region brighter than the background, smoothed; None if there is none."""
+    floor = max(DARK, float(np.percentile(small, 5)) + ABOVE, float(otsu(small)))
+    opened = im.dilate(im.erode(small > floor, 4), 4)
+    label, sizes = im.blobs(im.erode(im.dilate(opened, 4), 4))
+    return label == 1 + int(np.argmax(sizes[1:])) if len(sizes) > 1 else None
+
+
+def circle_of(blob: np.ndarray) -> tuple[float, float, float] | None:
+    """The circle of a region whose rim the frame may cut: points at the frame's edge are no rim. Where too few
+    others are left, the circle around the region."""
+    points, corners = rim(blob)
+    if len(corners) < 3:
+        return None
+    clear = np.minimum(points, np.array(blob.shape[::-1]) - 1 - points).min(axis=1) > EDGE
+    return steady_circle(points[clear]) if clear.sum() >= POINTS else enclosing(corners)
+
+
 def detect(most: np.ndarray, margin: float = 0.04, working: int = 800) -> FieldOfView:
     """The circle of a brightest image; the circle around the frame if none stands out."""
     h, w = most.shape
-    whole = FieldOfView(w / 2, h / 2, float(np.hypot(w, h) / 2), w, h, margin)
     scale = min(1.0, working / max(h, w))
-    small = im.resize(most, scale)
-    m = small > max(otsu(small), 12.0, float(np.percentile(small, 5)) + 8)
-    m = im.dilate(im.erode(m, 4), 4)
-    m = im.erode(im.dilate(m, 4), 4)
-    label, sizes = im.blobs(m)
-    if len(sizes) < 2:
-        return whole
-    points, corners = rim(label == 1 + int(np.argmax(sizes[1:])))
-    if len(corners) < 3:
-        return whole
-    # the frame's edge is no rim
-    inside = (points > 3).all(axis=1) & (points[:, 0] < small.shape[1] - 4) & (points[:, 1] < small.shape[0] - 4)
-    free = points[inside]
-    if len(free) >= 20:
-        cx, cy, r = kasa(*free.T)
-        off = np.abs(np.hypot(free[:, 0] - cx, free[:, 1] - cy) - r)
-        near = free[off < max(2.0, 3 * float(np.median(off)))]
-        if len(near) >= 20:
-            cx, cy, r = kasa(*near.T)
-    else:
-        cx, cy, r = enclosing(corners)
-    return replace(whole, cx=(cx + 0.5) / scale - 0.5, cy=(cy + 0.5) / scale - 0.5, radius=r / scale)
+    blob = lit(im.resize(most, scale))
+    circle = None if blob is None else circle_of(blob)
+    if circle is None:
+        return FieldOfView(w / 2, h / 2, float(np.hypot(w, h) / 2), w, h, margin)
+    x, y, r = circle
+    return FieldOfView((x + 0.5) / scale - 0.5, (y + 0.5) / scale - 0.5, r / scale, w, h, margin)

@@ -137,3 +137,11 @@ def test_lanczos_keeps_pixels_and_smooth_waves():
     at = np.linspace(12, 45, 200)
     errors = {k: float(np.abs(blend._sampled(wave, at, np.full(200, 30.3), t)[:, 0] - np.sin(at / 2.5)).max()) for k, t in blend.TAPS.items()}
     assert errors["lanczos"] < errors["cubic"] < 0.05
+
+
+def test_circle_fit_passes_over_points_that_lie_off():
+    rng = np.random.default_rng(24)
+    t = rng.uniform(0.4, 4.5, 300)  # an arc
+    points = np.stack([50 + 80 * np.cos(t), 60 + 80 * np.sin(t)], axis=1) + rng.normal(0, 0.4, (300, 2))
+    points[:60] -= (points[:60] - [50, 60]) * rng.uniform(0.1, 0.4, (60, 1))  # dents
+    assert np.abs(np.array(fov.steady_circle(points)) - [50, 60, 80]).max() < 1
