@@ -323,7 +323,7 @@ def _members(docs: DataFrame, percent: int, width: int) -> DataFrame:
     with shared.working(spark):
         texts = _texts(docs)
         kinds = ", ".join(f"{c} long" for c in _SETS) + ", " + shared.VECTORS
-        found = shared.materialize(texts.mapInArrow(_sets(width, BITS), kinds), "sets")
+        found = shared.materialize(texts.mapInArrow(shared.lean(_sets(width, BITS)), kinds), "sets")
         order = Order(shared.sum_vectors(found.filter("counts IS NOT NULL").select("name", "slice", "fan", "counts"), {"sketch": CELLS})["sketch"], HOT)
         sets = found.filter("counts IS NULL")
         nodes = shared.materialize(sets.filter("high IS NOT NULL").groupBy("high", "low").agg(F.min("key").alias("key"), F.count("*").alias("n"), F.first("n_shingles").alias("size"), *[F.first(b).alias(b) for b in _MAPS]), "nodes")
@@ -346,8 +346,8 @@ def _members(docs: DataFrame, percent: int, width: int) -> DataFrame:
 
 def _labels(texts: DataFrame, nodes: DataFrame, percent: int, width: int, order: Order, clashes: frozenset[int]) -> DataFrame | None:
     """(node, label) of all nodes that are linked; None if there are none."""
-    postings = texts.select("text").mapInArrow(_prefixes(width, percent, order, clashes, BITS), "gram long, part int, node long, size int, at int")
-    runs = postings.repartition("gram", "part").sortWithinPartitions("gram", "part", "at", "node").mapInArrow(_runs(percent, SHORT), "gram long, a long, b long, size long, at long")
+    postings = texts.select("text").mapInArrow(shared.lean(_prefixes(width, percent, order, clashes, BITS)), "gram long, part int, node long, size int, at int")
+    runs = postings.repartition("gram", "part").sortWithinPartitions("gram", "part", "at", "node").mapInArrow(shared.lean(_runs(percent, SHORT)), "gram long, a long, b long, size long, at long")
     runs = shared.materialize(runs, "runs")
     rows = shared.materialize(runs.filter("gram IS NOT NULL").select("gram", F.col("a").alias("node"), F.col("b").alias("hub"), "size", "at"), "postings")
     # how many n-grams of short lists two sets share, and at most how many of long ones
@@ -436,7 +436,7 @@ class Segments:
         n = wanted.count()
         if n or self.table is None:
             by = F.broadcast(wanted) if n <= SEND else wanted  # else both sides shuffle
-            found = shared.materialize(self.texts.join(by, "key").select("text", "node").mapInArrow(self.cut, "node long, fragment int, grams binary"), "segments")
+            found = shared.materialize(self.texts.join(by, "key").select("text", "node").mapInArrow(shared.lean(self.cut), "node long, fragment int, grams binary"), "segments")
             self.table = found if self.table is None else self.table.unionByName(found)
             self.fetched = wanted.select("node") if self.fetched is None else self.fetched.unionByName(wanted.select("node"))
         named = named.select("node")
@@ -447,7 +447,7 @@ def _verify(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked: overlaps counted fragment by fragment, summed by pair."""
     one, two = (segments.select(F.col("node").alias(x), "fragment", F.col("grams").alias(f"grams_{x}")) for x in "ab")
     met = pairs.join(one, "a").join(two, ["b", "fragment"]).select("a", "b", "size_a", "size_b", "fragment", "grams_a", "grams_b")
-    parts = met.mapInArrow(_overlaps, "a long, b long, size_a int, size_b int, fragment int, n long").groupBy("a", "b", "size_a", "size_b", "fragment").agg(F.max("n").alias("n"))
+    parts = met.mapInArrow(shared.lean(_overlaps), "a long, b long, size_a int, size_b int, fragment int, n long").groupBy("a", "b", "size_a", "size_b", "fragment").agg(F.max("n").alias("n"))
     sums = parts.groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"))
     return sums.filter(F.col("n") * 100 >= (F.col("size_a") + F.col("size_b") - F.col("n")) * percent).select("a", "b")
 

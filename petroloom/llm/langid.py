@@ -199,7 +199,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 0) -> Net
     chosen = sample(docs, per_language, seed)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.empty_if_null().cast("binary").alias("text"))
     once = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # of rows with one id, the least text
-    rows = once.select("lang", "text").mapInArrow(_windows_of(WINDOWS, STEPS), "lang string, bytes binary").collect()  # bounded by languages x per_language x WINDOWS
+    rows = once.select("lang", "text").mapInArrow(shared.lean(_windows_of(WINDOWS, STEPS)), "lang string, bytes binary").collect()  # bounded by languages x per_language x WINDOWS
     rows = sorted((r["lang"], bytes(r["bytes"])) for r in rows)
     labels = sorted({lang for lang, _ in rows})
     if not labels:
@@ -230,7 +230,7 @@ def _label(net: Network | None) -> shared.Mapper:
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     """docs (doc_id, text): doc_id, lang_pred, score."""
     shared.bound_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.empty_if_null().alias("text")).mapInArrow(_label(net), "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.empty_if_null().alias("text")).mapInArrow(shared.lean(_label(net)), "doc_id long, lang_pred string, score double")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

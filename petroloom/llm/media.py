@@ -463,7 +463,7 @@ def store(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     shared.bound_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), shared.empty_if_null().alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long"), shared.empty_if_null().alias("text")).mapInArrow(shared.lean(run), "doc_id long, n_bytes long, media binary")
 
 
 def tensors(media: DataFrame) -> DataFrame:
@@ -478,7 +478,7 @@ def tensors(media: DataFrame) -> DataFrame:
                     shape, rgb = (f.height, f.width), b"".join(b.tobytes() for b in rgb_bands(f, planes))
                 yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array(shape[:1], pa.int32()), pa.array(shape[1:], pa.int32()), pa.array([rgb], pa.binary())], names=["doc_id", "height", "width", "rgb"])
 
-    return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(run, "doc_id long, height int, width int, rgb binary")
+    return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(shared.lean(run), "doc_id long, height int, width int, rgb binary")
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -499,7 +499,7 @@ def digests(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in DIGEST.split(", ")])
 
     shared.bound_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), shared.empty_if_null().alias("text")).mapInArrow(run, DIGEST)
+    return docs.select(F.col("doc_id").cast("long"), shared.empty_if_null().alias("text")).mapInArrow(shared.lean(run), DIGEST)
 
 
 def op4_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -252,7 +252,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     piece of a document. Only documents that are longer than a sequence are cut."""
     spark = docs.sparkSession
     shared.bound_batches(spark)
-    pieces = shared.materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pieces(tokenizer_path, capacity, end_id), PIECES), "pieces")
+    pieces = shared.materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(shared.lean(_pieces(tokenizer_path, capacity, end_id)), PIECES), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for r in pieces.groupBy("length").count().collect():  # a row for each length
         counts[r["length"]] = r["count"]
@@ -267,7 +267,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
             found = (at["sequence"][i] + over // at["run"][i], at["offset"][i] + over % at["run"][i] * length)
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], *map(pa.array, found)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "_before").mapInArrow(place, PACKED)
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "_before").mapInArrow(shared.lean(place), PACKED)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Ratio
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.empty_if_null().cast("binary").alias("text"))
     marked = marked.join(F.broadcast(spark.createDataFrame(few, "doc_id long, label int")), "doc_id", "left")
     marked = marked.select("text", (F.coalesce("label", F.lit(0)) == 1).alias("good"))
-    counts = shared.sum_vectors(marked.mapInArrow(_count, shared.VECTORS), {f"{k}{o}": BUCKETS[o] for k in ("raw", "good") for o in ORDERS})
+    counts = shared.sum_vectors(marked.mapInArrow(shared.lean(_count), shared.VECTORS), {f"{k}{o}": BUCKETS[o] for k in ("raw", "good") for o in ORDERS})
     return Ratios(counts), good / len(few)
 
 
@@ -196,7 +196,7 @@ def weigh(docs: DataFrame, ratios: Ratios, seed: int = 0, names: Names | None =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weight), pa.array(n)], names=[*batch.schema.names, names.weight, names.grams])
 
     shared.bound_batches(docs.sparkSession)
-    return docs.mapInArrow(run, extra).withColumn(names.key, F.col(names.weight) + noise(seed))
+    return docs.mapInArrow(shared.lean(run), extra).withColumn(names.key, F.col(names.weight) + noise(seed))
 
 
 def noise(seed: int) -> Column:

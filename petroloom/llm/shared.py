@@ -4,6 +4,7 @@ distributed order, sums of count vectors and bounded samples of labelled rows.""
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -103,6 +104,23 @@ def batches(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.Record
         yield batch.slice(start)
 
 
+Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def lean(run: Mapper) -> Mapper:
+    """run, after which the worker gives back to the system what it no longer uses. Spark keeps a worker
+    for the tasks of all later stages, and the allocators would keep the most that any of them took."""
+    def then_trim(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(rows)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc alone
+                trim(0)
+
+    return then_trim
+
+
 def part_count(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -129,7 +147,7 @@ def running_totals(df: DataFrame, order: list[str], value: str, label: str = "ra
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(values), part, np.int32)), pa.array(ends - values)], names=[*batch.schema.names, "_part", "_local"])
 
     placed = df.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(part_count(spark), *order, "_place").sortWithinPartitions(*order, "_place")
-    dealt = materialize(placed.drop("_place").mapInArrow(add_up, schema), label)
+    dealt = materialize(placed.drop("_place").mapInArrow(lean(add_up), schema), label)
     sums = sorted((r["_part"], r["s"]) for r in dealt.groupBy("_part").agg(F.sum(value).alias("s")).collect())
     starts, total = [], 0
     for part, s in sums:
@@ -182,8 +200,8 @@ def sum_vectors(df: DataFrame, sizes: dict[str, int]) -> dict[str, np.ndarray]:
             yield _vector_batch([(name, part, 0, _packed(v))])
 
     out = {k: np.zeros(n, np.int64) for k, n in sizes.items()}
-    first = df.repartition("name", "slice", "fan").mapInArrow(add_up, VECTORS)
-    for r in first.repartition("name", "slice").mapInArrow(add_up, VECTORS).collect():
+    first = df.repartition("name", "slice", "fan").mapInArrow(lean(add_up), VECTORS)
+    for r in first.repartition("name", "slice").mapInArrow(lean(add_up), VECTORS).collect():
         v = _unpacked(bytes(r["counts"]))
         out[r["name"]][r["slice"] * SLICE : r["slice"] * SLICE + len(v)] = v
     return out
@@ -223,6 +241,3 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, hot: list) -> DataFram
     few = F.broadcast(left.sparkSession.createDataFrame([(k,) for k in hot], f"{key} {left.schema[key].dataType.simpleString()}"))
     cold = left.join(few, key, "left_anti").join(right, key)  # no row of a hot key reaches the shuffle
     return cold.unionByName(left.join(few, key, "left_semi").join(F.broadcast(right.join(few, key, "left_semi")), key))
-
-
-Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]

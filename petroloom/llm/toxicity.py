@@ -224,7 +224,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     spark = docs.sparkSession
     shared.bound_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.empty_if_null().cast("binary").alias("text"))
-    counts = shared.sum_vectors(texts.select("text").mapInArrow(_trigrams, shared.VECTORS), {"trigrams": _CELLS})["trigrams"]
+    counts = shared.sum_vectors(texts.select("text").mapInArrow(shared.lean(_trigrams), shared.VECTORS), {"trigrams": _CELLS})["trigrams"]
     decoder = Decoder(counts)
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     few = spark.createDataFrame([tuple(r) for r in shared.bounded_rows(known, "doc_id", sample).collect()], "doc_id long, toxic int")
@@ -235,13 +235,13 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     weights: dict[int, int] = {}
     slope, intercept = 0.0, math.log((toxic + 1e-9) / (clean + 1e-9)) if toxic + clean else -30.0
     if clean and toxic:
-        by = marked.mapInArrow(_counted(decoder), "feature long, toxic int, docs long").groupBy("feature").agg(F.sum(F.col("docs") * F.col("toxic")).alias("t"), F.sum(F.col("docs") * (1 - F.col("toxic"))).alias("c"))
+        by = marked.mapInArrow(shared.lean(_counted(decoder)), "feature long, toxic int, docs long").groupBy("feature").agg(F.sum(F.col("docs") * F.col("toxic")).alias("t"), F.sum(F.col("docs") * (1 - F.col("toxic"))).alias("c"))
         ratio = F.log((F.col("t") + 0.1) / toxic) - F.log((F.col("c") + 0.5) / clean)
         told = by.withColumn("ratio", ratio).filter((F.col("t") >= LEAST_DOCS) & (F.col("ratio") >= LEAST_RATIO))
         weights = {r["feature"]: int(r["ratio"] * UNIT) for r in told.collect()}
-        fitted = marked.select(F.col("toxic").cast("long").alias("doc_id"), "text").mapInArrow(_evidence(decoder, weights), "doc_id long, evidence long").collect()  # a row for each of the sample
+        fitted = marked.select(F.col("toxic").cast("long").alias("doc_id"), "text").mapInArrow(shared.lean(_evidence(decoder, weights)), "doc_id long, evidence long").collect()  # a row for each of the sample
         slope, intercept = logistic(np.array([r["evidence"] / UNIT for r in fitted]), np.array([r["doc_id"] for r in fitted], float))
-    found = texts.mapInArrow(_evidence(decoder, weights), "doc_id long, evidence long")
+    found = texts.mapInArrow(shared.lean(_evidence(decoder, weights)), "doc_id long, evidence long")
     return found.withColumn("score", 1 / (1 + F.exp(-(F.col("evidence") / UNIT * slope + intercept))))
 
 
