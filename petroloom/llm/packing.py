@@ -49,8 +49,8 @@ def _byte_letters() -> list[str]:
 class _Words(dict):
     """Ids of white-space separated chunks, as little-endian bytes. Chunks are composed from
     their pieces, and only pieces not met before reach the tokenizer's model. Either table starts
-    anew when full, and what is still asked for moves over from the one before, so a worker's
-    memory is bounded."""
+    anew when full, so a worker's memory is bounded; pieces still asked for move over from the table
+    before, chunks are composed again."""
 
     def __init__(self, path: str, chunks: int = 250_000, pieces: int = 450_000) -> None:
         from tokenizers import Tokenizer
@@ -58,7 +58,6 @@ class _Words(dict):
         super().__init__()
         self.tokenizer, self.chunks, self.pieces = Tokenizer.from_file(path), chunks, pieces
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.old: dict[str, bytes] = {}
         self.seen: dict[str, bytes] = {}
         self.old_seen: dict[str, bytes] = {}
         self.split = re.compile(_PIECE).findall
@@ -77,17 +76,14 @@ class _Words(dict):
         return ids
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.old.get(chunk)
-        if ids is None:
-            if len(chunk) > 48 or "<|" in chunk or not _PLAIN.fullmatch(chunk):
-                return self._encode(chunk)
-            seen, lower = self.seen, chunk.lower()
-            if lower.isalpha():
-                ids = seen.get(lower) or self._piece(lower)
-            else:
-                ids = b"".join([seen.get(x) or self._piece(x) for x in self.split(lower)])
+        if len(chunk) > 48 or "<|" in chunk or not _PLAIN.fullmatch(chunk):
+            return self._encode(chunk)
+        seen, lower = self.seen, chunk.lower()
+        if lower.isalpha():
+            ids = seen.get(lower) or self._piece(lower)
+        else:
+            ids = b"".join([seen.get(x) or self._piece(x) for x in self.split(lower)])
         if len(self) >= self.chunks:
-            self.old = dict(self)
             self.clear()
         self[chunk] = ids
         return ids
