@@ -972,3 +972,18 @@ def test_stages_on_odd_and_empty_input(spark, sf, odd, empty):
             docs = shared.materialize(stage(spark, docs, sf), hold=True)
             assert docs.columns == columns
         check_packing(corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect(), 4096)
+
+
+def test_lean_passes_rows_and_errors_on():
+    def twice(rows):
+        for x in rows:
+            yield 2 * x
+
+    def broken(rows):
+        yield from rows
+        raise ValueError("from the mapper")
+
+    assert list(shared.lean(twice)(iter([1, 2, 3]))) == [2, 4, 6]
+    assert list(shared.lean(twice)(iter([]))) == []
+    with pytest.raises(ValueError, match="from the mapper"):
+        list(shared.lean(broken)(iter([1])))
