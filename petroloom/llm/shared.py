@@ -157,6 +157,65 @@ def running_totals(df: DataFrame, order: list[str], value: str, label: str = "ra
     return dealt.join(F.broadcast(offsets), "_part").withColumn("_before", F.col("_local") + F.col("_start")).drop("_part", "_local", "_start"), total
 
 
+def _along(values: np.ndarray, starts: np.ndarray, carry: int, fold: np.ufunc) -> tuple[np.ndarray, int]:
+    """Running sums (np.add) or exclusive ors (np.bitwise_xor) that begin anew where a key starts. starts: for
+    each value the place of its key's first one, -1 if that came in a batch before."""
+    undo = np.subtract if fold is np.add else np.bitwise_xor
+    ran = fold(fold.accumulate(values), carry)
+    before = np.where(starts >= 0, undo(ran, values)[np.maximum(starts, 0)], 0)
+    made = undo(ran, before)
+    return made, int(made[-1])
+
+
+def running_by_key(df: DataFrame, key: str, order: list[Column], sums: list[str], xors: list[str] = (), label: str = "along") -> DataFrame:
+    """df with `<name>_run` for each of sums and xors (long, no nulls): the sum or exclusive or over the rows
+    of the same key (long, no nulls) up to and with this one, in `order`.
+
+    A range shuffle sorts the rows by key and order, so a key that holds a third of all rows lies in many
+    partitions. Each adds up its own rows; only the first and the last key's state of each partition meet
+    on the driver and go back as what a partition's first key has gathered before it. Rows alike in all
+    of `order` are told apart by their place in df. df is read twice: pass a table."""
+    from pyspark.sql import types as T
+
+    kinds = [(c, np.add) for c in sums] + [(c, np.bitwise_xor) for c in xors]
+    added = [f"{c}_run" for c, _ in kinds]
+    schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.LongType()) for c in added], T.StructField("_part", T.IntegerType()), T.StructField("_nth", T.LongType()), T.StructField("_open", T.BooleanType())])
+
+    def add_up(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n, first, last, carry = TaskContext.get().partitionId(), 0, None, None, [0] * len(kinds)
+        for batch in rows:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(key).to_numpy(zero_copy_only=False)
+            new = np.concatenate([[last is None or keys[0] != last], keys[1:] != keys[:-1]])
+            starts = np.maximum.accumulate(np.where(new, np.arange(len(keys)), -1))
+            first, last = int(keys[0]) if first is None else first, int(keys[-1])
+            made = []
+            for k, (c, fold) in enumerate(kinds):
+                run, carry[k] = _along(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64), starts, carry[k], fold)
+                made.append(pa.array(run))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made, pa.array(np.full(len(keys), part, np.int32)), pa.array(np.arange(n, n + len(keys))), pa.array(keys == first)], names=schema.names)
+            n += len(keys)
+
+    placed = df.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(part_count(df.sparkSession), key, *order, "_place").sortWithinPartitions(key, *order, "_place")
+    dealt = materialize(placed.drop("_place").mapInArrow(lean(add_up), schema), label)
+    ends = dealt.groupBy("_part").agg(F.min_by(key, "_nth").alias("first"), F.max_by(key, "_nth").alias("last"), *[F.max_by(c, "_nth").alias(c) for c in added]).collect()
+    held, carries = (None, [0] * len(kinds)), []
+    for r in sorted(ends, key=lambda r: r["_part"]):
+        before = held[1] if held[0] == r["first"] else [0] * len(kinds)
+        carries.append((r["_part"], *before))
+        after = [r[c] for c in added]
+        if r["last"] == r["first"]:
+            after = [a + b if fold is np.add else a ^ b for a, b, (_, fold) in zip(after, before, kinds, strict=True)]
+        held = (r["last"], after)
+    carried = df.sparkSession.createDataFrame(carries or [(0, *[0] * len(kinds))], ", ".join(["_part int", *[f"_c{k} long" for k in range(len(kinds))]]))  # a row for each partition
+    out = dealt.join(F.broadcast(carried), "_part")
+    for k, (c, fold) in enumerate(kinds):
+        more = F.when(F.col("_open"), F.col(f"_c{k}")).otherwise(F.lit(0))
+        out = out.withColumn(f"{c}_run", F.col(f"{c}_run") + more if fold is np.add else F.col(f"{c}_run").bitwiseXOR(more))
+    return out.select(*df.columns, *added)
+
+
 SLICE = 1 << 16
 FAN = 16
 VECTORS = "name string, slice int, fan int, counts binary"
