@@ -105,12 +105,12 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, block: int = BLOCK
     return best(found, "query_id").select("query_id", "rank", "vec_id", "score")
 
 
-def whole_vectors(embeddings: DataFrame, scale: float = SCALE) -> DataFrame:
-    """embeddings (vec_id, embedding): (vec_id, v), v the components times `scale`, rounded down. Null ids,
-    and vectors that are null or hold null or non-finite components, take no part."""
+def whole_vectors(embeddings: DataFrame, scale: float = SCALE, more: list[str] = ()) -> DataFrame:
+    """embeddings (vec_id, embedding): (vec_id, v), v the components times `scale`, rounded down, and the columns
+    of `more`. Null ids, and vectors that are null or hold null or non-finite components, take no part."""
     good = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double"))
-    return embeddings.filter(F.coalesce(good, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v"))
+    return embeddings.filter(F.coalesce(good, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v"), *more)
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
