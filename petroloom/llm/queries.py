@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from petroloom.llm import hardneg, jaccard, langid, media, mixing, packing, quality, secretscan, sharding, topk, toxicity, trie
+from petroloom.llm import hardneg, jaccard, langid, media, mixing, packing, pii, quality, secretscan, sharding, topk, toxicity, trie
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (packing.op1_best_fit_packing, toxicity.op2_toxicity, mixing.op3_mixing, media.op4_progressive_jpeg, topk.op5_exact_top_k, langid.op6_language_id, secretscan.op7_secret_scan, quality.op8_importance_resampling, jaccard.op9_ngram_jaccard, sharding.op10_kd_sharding, trie.op11_prefix_trie, hardneg.op13_hard_negatives)
+    found = (packing.op1_best_fit_packing, toxicity.op2_toxicity, mixing.op3_mixing, media.op4_progressive_jpeg, topk.op5_exact_top_k, langid.op6_language_id, secretscan.op7_secret_scan, quality.op8_importance_resampling, jaccard.op9_ngram_jaccard, sharding.op10_kd_sharding, trie.op11_prefix_trie, pii.op12_personal_data, hardneg.op13_hard_negatives)
     return {f.__name__: f for f in found}
 
 
