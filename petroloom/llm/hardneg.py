@@ -36,8 +36,9 @@ FOUND = "anchor_id long, place int, id long, score long, shard int"
 
 
 class BallTree:
-    """Nodes of a balanced tree over rows of v; children of node k are 2 k + 1 and 2 k + 2. Rows are halved along
-    the dimension in which they spread most; equal rows may lie on both sides."""
+    """Nodes of a tree over rows of v; children of node k are 2 k + 1 and 2 k + 2. A row goes to the nearer of two
+    rows that lie far apart; where that leaves less than a tenth on one side, rows are halved in their order
+    between the two, so equal rows may lie on both sides and the depth stays logarithmic."""
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, v: np.ndarray, leaf: int = LEAF) -> None:
         self.ids, self.labels, self.v = ids, labels, v
@@ -57,9 +58,14 @@ class BallTree:
             if len(at) <= leaf:
                 self.rows[node] = at[np.argsort(ids[at], kind="stable")]
                 continue
-            along = int(np.argmax(some.max(axis=0) - some.min(axis=0)))
-            order = at[np.argpartition(some[:, along], len(at) // 2)]
-            waiting += [(2 * node + 1, order[: len(at) // 2]), (2 * node + 2, order[len(at) // 2 :])]
+            one = some[int(np.argmax(((some - centre) ** 2).sum(axis=1)))]
+            two = some[int(np.argmax(((some - one) ** 2).sum(axis=1)))]
+            along = some @ (two - one)
+            near = along <= ((one + two) / 2) @ (two - one)
+            if not 0.1 <= near.mean() <= 0.9:
+                near = np.zeros(len(at), bool)
+                near[np.argpartition(along, len(at) // 2)[: len(at) // 2]] = True
+            waiting += [(2 * node + 1, at[near]), (2 * node + 2, at[~near])]
 
     def bounds(self, node: int, q: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         middle, off = q @ self.centre[node], length * self.radius[node]
