@@ -330,9 +330,10 @@ def _members(docs: DataFrame, percent: int, width: int) -> DataFrame:
         # sets that differ but share 64 bits: N * N / 2^65 are expected of N, some hundred of 1e11
         clashes = frozenset(r["high"] for r in nodes.groupBy("high").agg(F.count("*").alias("n")).filter("n > 1").collect())
         if clashes:
-            named = F.udf(lambda high, low: _ident((high, low), clashes), "long")
-            nodes = nodes.withColumn("node", F.when(F.col("high").isin(*clashes), named("high", "low")).otherwise(F.col("high")))
-            sets = sets.withColumn("node", F.when(F.col("high").isin(*clashes), named("high", "low")).otherwise(F.col("high")))
+            few = nodes.filter(F.col("high").isin(*clashes)).select("high", "low").collect()
+            named = F.broadcast(docs.sparkSession.createDataFrame([(r["high"], r["low"], _ident((r["high"], r["low"]), clashes)) for r in few], "high long, low long, other long"))
+            by_name = lambda df: df.join(named, ["high", "low"], "left").select(*df.columns, F.coalesce("other", "high").alias("node"))
+            nodes, sets = by_name(nodes), by_name(sets)
         else:
             nodes, sets = nodes.withColumn("node", F.col("high")), sets.withColumn("node", F.col("high"))
         labels = _labels(texts, nodes, percent, width, order, clashes)
@@ -472,9 +473,8 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> Dat
     """One row of each component, with the columns of docs: the one with the smallest id (a null id only
     where no other is), and of several texts under that id the one with the smallest hash; of repeated
     rows one stays. Rows without a set are linked with nothing and all stay."""
+    docs, back = shared.set_aside(docs, ["doc_id", "text"])
     key = "_j_key"
-    while key in {c.lower() for c in docs.columns}:
-        key += "_"
     members = _members(docs, percent, width).filter("label IS NOT NULL")
     with shared.working(docs.sparkSession):
         rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
@@ -494,4 +494,4 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> Dat
     kept = split(marked, gone, "left_anti")
     if again.limit(1).count():
         kept = split(kept, again, "left_anti").unionByName(split(kept, again, "left_semi").dropDuplicates(["doc_id", key]))
-    return kept.select(*docs.columns)
+    return back(kept)

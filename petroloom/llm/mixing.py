@@ -8,13 +8,14 @@ order seeded by epoch, whose tokens fit its budget: whole epochs first, then par
 
 The tree has a node for each domain, language and source that occurs, and its shares are worked out
 on the driver; documents are ordered by one range shuffle of ids and token counts over the cluster,
-so a source that holds a third of all rows is many partitions. A document that would cross its
-leaf's budget, and all after it, are not taken.
+so a source that holds a third of all rows is many partitions. mix() cuts the document that would cross its
+leaf's budget at its token; select(), which keeps rows whole, leaves it and all after it out.
 
 Tokens are runs between spaces or line ends, and one for the end. Nulls: a null text has one
-token, a null language or source is a leaf of its own (shown as null). Rows with one id stand and fall
-together, by the first of them. Weights that are missing are 1. An empty table gives no rows. Other
-columns are kept by select() and play no part; names that start with `_m_` are this module's.
+token, a null language or source is a leaf of its own (shown as null), null ids are ordered by their texts.
+Every row is taken by itself, repeated rows and rows that share an id too; of rows alike in id and
+text as many are taken as fit. Weights that are missing are 1. An empty table gives no rows. Other
+columns, whatever their names, are kept by select() and play no part.
 """
 
 from __future__ import annotations
@@ -79,61 +80,72 @@ def budgets(held: dict[Leaf, int], total: float, weights: dict[tuple, float], ep
     return down((), list(held), float(total)) if held else {}
 
 
-def plan(docs: DataFrame, domain: str = DOMAIN, weights: dict[tuple, float] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = 0) -> tuple[DataFrame, DataFrame, Callable[[], Column]]:
-    """Documents without texts (doc_id, domain, lang, source, _m_tokens, _m_order); one row for each leaf
-    with its whole epochs and the last order and id it takes of one more; and the condition, for
-    rows of the first joined with the second on domain, lang and source (null-safe), that a row is
-    taken in that part epoch."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(domain).alias("domain"), "lang", "source", tokens().alias("_m_tokens"))
-    rows = shared.materialize(rows, "mix")
-    held = {(r["domain"], r["lang"], r["source"]): int(r["n"]) for r in rows.groupBy("domain", "lang", "source").agg(F.sum("_m_tokens").alias("n")).collect()}  # a row for each leaf
-    got = budgets(held, share * sum(held.values()), weights, epochs)
-    schema = "domain string, lang string, source string, _m_whole int, _m_rest long, _m_id long"
-    whole = {x: (b // held[x], b % held[x]) for x, b in got.items()}
-    order = F.xxhash64(F.lit(seed), "_m_whole", "doc_id")
-    leaves = spark.createDataFrame([(*x, int(w), int(r), k) for k, (x, (w, r)) in enumerate(sorted(whole.items(), key=str))], schema)
-    keys = ["domain", "lang", "source"]
-    same = lambda a, b: (a["domain"].eqNullSafe(b["domain"])) & (a["lang"].eqNullSafe(b["lang"])) & (a["source"].eqNullSafe(b["source"]))
-    placed = rows.join(F.broadcast(leaves), same(rows, leaves)).select(*[rows[k] for k in keys], rows["doc_id"], rows["_m_tokens"], leaves["_m_whole"], leaves["_m_rest"], leaves["_m_id"])
-    placed = shared.materialize(placed.withColumn("_m_order", order), "mix")
-    ranked, _ = shared.running_totals(placed, ["_m_id", "_m_order", "doc_id"], "_m_tokens", "mix")
-    starts = ranked.groupBy("_m_id").agg(F.min("_before").alias("_m_start"))  # a row for each leaf
-    fits = F.col("_before") - F.col("_m_start") + F.col("_m_tokens") <= F.col("_m_rest")
-    ends = ranked.join(F.broadcast(starts), "_m_id").filter(fits).groupBy("_m_id").agg(F.max(F.struct("_m_order", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"))).alias("_m_last"))
-    ends = [(r["_m_id"], r["_m_last"]["_m_order"], r["_m_last"]["id"]) for r in ends.collect()]
-    edge = spark.createDataFrame(ends, "_m_id long, _m_edge long, _m_edge_id long")
-    leaves = leaves.join(F.broadcast(edge), "_m_id", "left").drop("_m_id", "_m_rest")
+KEYS = ("domain", "lang", "source")
+RANK = ("_m_order", "doc_id", "_m_text")  # the order of a leaf's documents
+
 
-    def partly() -> Column:
-        at = F.xxhash64(F.lit(seed), "_m_whole", "doc_id")
-        return F.coalesce((at < F.col("_m_edge")) | ((at == F.col("_m_edge")) & (F.coalesce("doc_id", F.lit(-(2**63))) <= F.col("_m_edge_id"))), F.lit(False))
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["domain"].eqNullSafe(b["domain"]) & a["lang"].eqNullSafe(b["lang"]) & a["source"].eqNullSafe(b["source"])
 
-    return rows, leaves, partly
 
+def _order(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "_m_whole", "doc_id", "_m_text")
 
-def _with_leaf(rows: DataFrame, leaves: DataFrame) -> DataFrame:
-    named = leaves.select(F.col("domain").alias("_m_d"), F.col("lang").alias("_m_l"), F.col("source").alias("_m_s"), "_m_whole", "_m_edge", "_m_edge_id")
-    return rows.join(F.broadcast(named), F.col("domain").eqNullSafe(F.col("_m_d")) & F.col("lang").eqNullSafe(F.col("_m_l")) & F.col("source").eqNullSafe(F.col("_m_s"))).drop("_m_d", "_m_l", "_m_s")
+
+def plan(docs: DataFrame, weights: dict[tuple, float] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """docs: (doc_id, text, domain, lang, source). Documents without texts in their leaf's order, with the whole
+    epochs of the leaf (_m_whole), the tokens it takes of one more (_m_rest) and those before a row in
+    that (_m_at); and one row for each leaf: domain, lang, source, _m_leaf, _m_whole, _m_rest."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *KEYS, tokens().alias("_m_tokens"), F.xxhash64("text").alias("_m_text"))
+    rows = shared.materialize(rows, "mix")
+    held = {tuple(r[k] for k in KEYS): int(r["n"]) for r in rows.groupBy(*KEYS).agg(F.sum("_m_tokens").alias("n")).collect()}  # a row for each leaf
+    got = budgets(held, share * sum(held.values()), weights, epochs)
+    whole = {x: (b // held[x], b % held[x]) for x, b in got.items()}
+    leaves = spark.createDataFrame([(*x, int(w), int(r), k) for k, (x, (w, r)) in enumerate(sorted(whole.items(), key=str))], "domain string, lang string, source string, _m_whole int, _m_rest long, _m_leaf long")
+    placed = rows.join(F.broadcast(leaves), _same(rows, leaves)).select(*[rows[c] for c in rows.columns], *[leaves[c] for c in ("_m_whole", "_m_rest", "_m_leaf")])
+    placed = shared.materialize(placed.withColumn("_m_order", _order(seed)), "mix")
+    ranked, _ = shared.running_totals(placed, ["_m_leaf", *RANK], "_m_tokens", "mix")
+    starts = ranked.groupBy("_m_leaf").agg(F.min("_before").alias("_m_start"))  # a row for each leaf
+    return ranked.join(F.broadcast(starts), "_m_leaf").withColumn("_m_at", F.col("_before") - F.col("_m_start")).drop("_before", "_m_start"), leaves
 
 
 def select(docs: DataFrame, domain: str = DOMAIN, weights: dict[tuple, float] = WEIGHTS, share: float = SHARE, seed: int = 0) -> DataFrame:
-    """The rows of docs that the mixture takes, each once, with the columns of docs. Texts stay where
-    they are: only each leaf's last place is sent to them."""
-    _, leaves, partly = plan(docs, domain, weights, share, 1, seed)
-    hidden = docs.select("*", F.expr(domain).alias("_m_domain"))
-    named = leaves.select(F.col("domain").alias("_m_d"), F.col("lang").alias("_m_l"), F.col("source").alias("_m_s"), "_m_whole", "_m_edge", "_m_edge_id")
-    joined = hidden.join(F.broadcast(named), F.col("_m_domain").eqNullSafe(F.col("_m_d")) & F.col("lang").eqNullSafe(F.col("_m_l")) & F.col("source").eqNullSafe(F.col("_m_s")))
-    return joined.filter((F.col("_m_whole") >= 1) | partly()).select(*docs.columns)
+    """The rows of docs that the mixture takes, each once and whole, with the columns of docs: a row that would
+    cross its leaf's budget, and those after it, are left out. Texts stay where they are: only the last row
+    that each leaf takes is sent to them, with how many of its copies are taken; only rows like that one are
+    numbered."""
+    frame, back = shared.set_aside(docs, ["doc_id", "text", "lang", "source"], domain=F.expr(domain))
+    ranked, leaves = plan(frame, weights, share, 1, seed)
+    fit = ranked.filter(F.col("_m_at") + F.col("_m_tokens") <= F.col("_m_rest"))
+    last = fit.groupBy("_m_leaf").agg(F.max(F.struct(*_ranks())).alias("_m_last"))  # a row for each leaf
+    times = fit.join(F.broadcast(last), "_m_leaf").filter(F.struct(*_ranks()) == F.col("_m_last")).groupBy("_m_leaf").agg(F.count("*").alias("_m_copies"))
+    ends = shared.materialize(leaves.join(last, "_m_leaf", "left").join(times, "_m_leaf", "left"), "ends")
+    named = ends.select(*[F.col(k).alias(f"_m_{k}") for k in KEYS], "_m_leaf", "_m_whole", "_m_last", "_m_copies")
+    same = [F.col(k).eqNullSafe(F.col(f"_m_{k}")) for k in KEYS]
+    joined = frame.join(F.broadcast(named), same[0] & same[1] & same[2]).withColumn("_m_text", F.xxhash64("text")).withColumn("_m_order", _order(seed)).withColumn("_m_rank", F.struct(*_ranks()))
+    before = joined.filter((F.col("_m_whole") >= 1) | F.coalesce(F.col("_m_rank") < F.col("_m_last"), F.lit(False)))
+    at = joined.filter((F.col("_m_whole") < 1) & F.coalesce(F.col("_m_rank") == F.col("_m_last"), F.lit(False))).withColumn("_m_one", F.lit(1).cast("long"))
+    numbered = shared.running_by_key(shared.materialize(at, "last"), "_m_leaf", [], ["_m_one"], label="last").filter("_m_one_run <= _m_copies")
+    return back(before).unionByName(back(numbered))
+
+
+def _ranks() -> list[Column]:
+    return [F.col("_m_order"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_m_id"), F.col("_m_text")]
 
 
 def mix(docs: DataFrame, domain: str = DOMAIN, weights: dict[tuple, float] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = 0) -> DataFrame:
-    """A row for each time that a document is taken: doc_id, domain, lang, source, tokens, epoch."""
-    rows, leaves, partly = plan(docs, domain, weights, share, epochs, seed)
-    times = F.col("_m_whole") + partly().cast("int")
-    return _with_leaf(rows, leaves).withColumn("_m_times", times).filter("_m_times > 0").select("doc_id", "domain", "lang", "source", F.col("_m_tokens").alias("tokens"), F.explode(F.expr("sequence(0, _m_times - 1)")).alias("epoch"))
+    """A row for each time that a document is taken: doc_id, domain, lang, source, tokens (how many of its first
+    ones), epoch. The document that crosses its leaf's budget is cut there, so every budget is spent to the token."""
+    frame, _ = shared.set_aside(docs, ["doc_id", "text", "lang", "source"], domain=F.expr(domain))
+    ranked, _ = plan(frame, weights, share, epochs, seed)
+    more = F.greatest(F.lit(0).cast("long"), F.least("_m_tokens", F.col("_m_rest") - F.col("_m_at")))
+    taken = ranked.withColumn("_m_more", more).withColumn("_m_times", F.col("_m_whole") + (F.col("_m_more") > 0).cast("int")).filter("_m_times > 0")
+    each = taken.withColumn("epoch", F.explode(F.expr("sequence(0, _m_times - 1)")))
+    return each.select("doc_id", *KEYS, F.when(F.col("epoch") < F.col("_m_whole"), F.col("_m_tokens")).otherwise(F.col("_m_more")).alias("tokens"), "epoch")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half as many tokens as all documents have, mixed by the weights of domains."""
-    return mix(shared.table(spark, sf_dir, "documents"))
+    with shared.working(spark):
+        return shared.materialize(mix(shared.table(spark, sf_dir, "documents")), "mixed", hold=True)

@@ -229,7 +229,8 @@ def draw(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 0
 
 def keep(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 0) -> DataFrame:
     """The documents that are drawn, with the columns of docs."""
-    return draw(docs, labels, k, seed)[0].select(*docs.columns)
+    frame, back = shared.set_aside(docs, ["doc_id", "text"])
+    return back(draw(frame, labels, k, seed)[0])
 
 
 def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

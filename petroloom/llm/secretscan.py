@@ -13,7 +13,7 @@ exclusive. `markov` spans may overlap those of rules, which stay as they are.
 
 Nulls: a null text is an empty one and has no spans. Equal texts have equal spans, repeated rows
 each have a row. Training samples without one of the classes add no spans. An empty table gives no
-rows. Columns of the input that are named like this module's (they start with `_s_`) are not kept.
+rows. redact() keeps all other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,8 +28,10 @@ from petroloom.llm import shared
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-#: Runs that the Markov models judge.
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+#: Runs that the Markov models judge: those of 8 key characters and more that hold a digit or a capital after a
+#: small letter, and all of 20 and more; margin and length decide. What is left out are plain words.
+_KEY = "[A-Za-z0-9+/_=-]"
+RUN = rf"(?<!{_KEY})(?:(?={_KEY}*[0-9])|(?={_KEY}*[a-z][A-Z])|(?={_KEY}{{20}})){_KEY}{{8,}}"
 KINDS = ("assign", "access", "hex", "markov")
 LEAST_VALUE = 8
 
@@ -157,14 +159,17 @@ def _listed(kinds: tuple[str, ...]) -> Column:
 
 def redact(docs: DataFrame, model: Model, margin: float = MARGIN) -> DataFrame:
     """docs with every secret of `text` replaced, and n_chars (if there is one) counted anew."""
-    df, columns = docs.withColumn("_s_text", F.col("text")), docs.columns
+    frame, back = shared.set_aside(docs, ["text", "n_chars"])
+    df = frame.withColumn("_s_text", F.col("text"))
     swap = f"'{REDACTED}'"
     for rule, part, test in ((ASSIGN, 2, f"length(v) >= {LEAST_VALUE}"), (ACCESS, 0, "true"), (HEX, 0, "true"), (RUN, 0, f"{model.ratio('v')} >= {round(margin * SCALE)}")):
         has = F.coalesce(F.col("_s_text").rlike(rule), F.lit(False))
         df = df.withColumn("_s_has", has).withColumn("_s_whole", F.when(F.col("_s_has"), F.regexp_extract_all("_s_text", F.lit(rule), F.lit(0)))).withColumn("_s_part", F.when(F.col("_s_has"), F.regexp_extract_all("_s_text", F.lit(rule), F.lit(part)))).withColumn("_s_pieces", F.when(F.col("_s_has"), F.split("_s_text", rule, -1)))
         filled = F.expr(f"array_join(zip_with(_s_pieces, concat(zip_with(_s_whole, _s_part, (m, v) -> IF({test}, {swap}, m)), array('')), (p, m) -> concat(p, m)), '')")
         df = df.withColumn("_s_text", F.when(F.col("_s_has"), filled).otherwise(F.col("_s_text"))).drop("_s_has", "_s_whole", "_s_part", "_s_pieces")
-    return df.select(*[F.col("_s_text").alias("text") if c == "text" else F.when(F.col("_s_text") == F.col("text"), F.col("n_chars")).otherwise(F.length("_s_text").cast(docs.schema[c].dataType)).alias("n_chars") if c == "n_chars" else F.col(c) for c in columns])
+    if "n_chars" in frame.columns:
+        df = df.withColumn("n_chars", F.when(F.col("_s_text").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length("_s_text").cast(frame.schema["n_chars"].dataType)))
+    return back(df.withColumn("text", F.col("_s_text")))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

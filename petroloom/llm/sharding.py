@@ -41,12 +41,25 @@ def _widest(nodes: DataFrame, dims: list[str]) -> dict[int, str]:
 
 def kd_shards(rows: DataFrame, shards: int | None = SHARDS, target_bytes: int | None = None, dimensions: dict[str, str] = DIMENSIONS) -> DataFrame:
     """rows: (doc_id, size, ...and the columns that dimensions name). Adds shard (0 on) and slot
-    (0 on within each shard, without gaps)."""
-    dims = list(dimensions)
-    table = rows.sparkSession.createDataFrame  # of a row for each node: as many as shards
-    extra = [c for c in rows.columns if c not in (*dims, "_node", "_tie", "shard", "slot")]
-    nodes = rows.select(*extra, *[F.coalesce(F.expr(e).cast("double"), F.lit(-1.0)).alias(d) for d, e in dimensions.items()], F.xxhash64("doc_id", "size").alias("_tie"), F.lit(0).alias("_node"))
-    nodes = shared.materialize(nodes, "kd")
+    (0 on within each shard, without gaps), in place of columns of these names."""
+    dims = [f"_d{k}" for k in range(len(dimensions))]
+    rows = rows.drop("shard", "slot")
+    along = {d: F.coalesce(F.expr(e).cast("double"), F.lit(-1.0)) for d, e in zip(dims, dimensions.values(), strict=True)}
+    frame, back = shared.set_aside(rows, ["doc_id", "size"], **along)
+    extra = [c for c in frame.columns if c not in dims]
+    with shared.working(rows.sparkSession):
+        leaves = _leaves(frame, dims, shards, target_bytes).select(*extra, "_tie", "shard", F.lit(1).cast("long").alias("_one"))
+        ranked, _ = shared.running_totals(shared.materialize(leaves, "kd"), ["shard", "_tie", "doc_id"], "_one", "kd")
+        firsts = ranked.groupBy("shard").agg(F.min("_before").alias("_first"))  # a row for each shard
+        placed = shared.materialize(ranked.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("_before") - F.col("_first")), "sharded", hold=True)
+    return back(placed, "shard", "slot")
+
+
+def _leaves(frame: DataFrame, dims: list[str], shards: int | None, target_bytes: int | None) -> DataFrame:
+    """frame with its shard."""
+    table = frame.sparkSession.createDataFrame  # of a row for each node: as many as shards
+    extra = [c for c in frame.columns if c not in dims]
+    nodes = shared.materialize(frame.select(*extra, *dims, F.xxhash64("doc_id", "size").alias("_tie"), F.lit(0).alias("_node")), "kd")
     if shards is None:
         total = nodes.agg(F.sum("size")).first()[0] or 0
         shards = max(1, -(-total // max(1, target_bytes or 1)))
@@ -67,11 +80,7 @@ def kd_shards(rows: DataFrame, shards: int | None = SHARDS, target_bytes: int |
         cut = ordered.join(F.broadcast(table(cuts, "_node int, _cut double")), "_node").withColumn("_node", (2 * F.col("_node") + side).cast("int"))
         nodes, parts = shared.materialize(cut.drop("_before", "_along", "_cut"), "kd"), after
     named = table([(node, k) for k, node in enumerate(sorted(parts))], "_node int, shard int")
-    nodes = nodes.join(F.broadcast(named), "_node")
-    leaves = nodes.select(*extra, "_tie", "shard", F.lit(1).cast("long").alias("_one"))
-    ranked, _ = shared.running_totals(shared.materialize(leaves, "kd"), ["shard", "_tie", "doc_id"], "_one", "kd")
-    firsts = ranked.groupBy("shard").agg(F.min("_before").alias("_first"))  # a row for each shard
-    return ranked.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("_before") - F.col("_first")).drop("_before", "_first", "_one", "_tie")
+    return nodes.join(F.broadcast(named), "_node")
 
 
 def op10_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,6 +79,16 @@ def release(spark: SparkSession, paths: Iterable[str]) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def set_aside(df: DataFrame, used: list[str], **more: Column) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """df with the columns of `used` under these names and all others as kept0, kept1 ..., so that no name of
+    theirs can meet one that an operator makes; with further columns from expressions over df as it was. And the
+    function that gives a frame the columns of df back, under their names and in their order, then others named."""
+    own = {c: c.lower() if c.lower() in used else f"kept{k}" for k, c in enumerate(df.columns)}
+    at = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    frame = df.select(*[at(c).alias(name) for c, name in own.items()], *[x.alias(name) for name, x in more.items()])
+    return frame, lambda made, *others: made.select(*[F.col(name).alias(c) for c, name in own.items()], *others)
+
+
 BATCH = 8 << 20  # bytes of a batch for Python, at most, but for a row that is longer by itself
 
 
