@@ -307,6 +307,40 @@ def integrate_poses(spark, d):
     return out.select("label", "id", *[r6(c).alias(c) for c in ("x", "y", "theta")])
 
 
+TURNING = f"SELECT i, j, dx, dy, 0.001::DOUBLE * ((i * 3 + j) % 7 - 3) AS phi, quality FROM ({EDGES})"
+KNOWN = f"SELECT id, x, y, 0.001::DOUBLE * (id % 10) AS theta FROM ({POINTS}) WHERE id % 40 = 7"
+WALKED = """WITH RECURSIVE l AS ({labels}), e AS (SELECT i AS u, j AS v, 0 AS back, dx, dy, phi FROM ({edges}) UNION ALL SELECT j, i, 1, dx, dy, phi FROM ({edges})), known AS ({known}),
+b AS (SELECT l.id, 0 AS level, 0 AS round, coalesce(k.x, 0::DOUBLE) AS x, coalesce(k.y, 0::DOUBLE) AS y, coalesce(k.theta, 0::DOUBLE) AS theta FROM l LEFT JOIN known k ON k.id = l.id WHERE l.id = l.label
+UNION ALL (WITH w AS (SELECT v, min(struct_pack(u := u, back := back, dx := dx, dy := dy, phi := phi, x := x, y := y, theta := theta)) AS w, any_value(round) AS round FROM b JOIN e ON e.u = b.id WHERE level = round GROUP BY v),
+n AS (SELECT v, w, round, w.theta + CASE WHEN w.back = 1 THEN -w.phi ELSE w.phi END AS t FROM w WHERE v NOT IN (SELECT id FROM b)),
+c AS (SELECT *, CASE WHEN w.back = 1 THEN t ELSE w.theta END AS a, CASE WHEN w.back = 1 THEN -1 ELSE 1 END AS sign FROM n)
+SELECT id, level, round + 1, x, y, theta FROM b WHERE level = round UNION ALL
+SELECT v, round + 1, round + 1, coalesce(k.x, w.x + sign * (cos(a) * w.dx - sin(a) * w.dy)), coalesce(k.y, w.y + sign * (sin(a) * w.dx + cos(a) * w.dy)), coalesce(k.theta, t) FROM c LEFT JOIN known k ON k.id = v))
+SELECT id, level, round(x, 6) AS x, round(y, 6) AS y, round(theta, 6) AS theta FROM b WHERE level = round"""
+
+
+def turning(spark: SparkSession, d: str) -> DataFrame:
+    return edges(spark, d).withColumn("phi", F.lit(0.001) * ((F.col("i") * 3 + F.col("j")) % 7 - 3))
+
+
+def walked(spark: SparkSession, d: str, known: DataFrame | None = None) -> DataFrame:
+    found = graph.integrate(points(spark, d), turning(spark, d), known=known)
+    return found.select("id", "level", *[r6(c).alias(c) for c in ("x", "y", "theta")])
+
+
+@query(WALKED.format(labels=LABELS, edges=TURNING, known=f"SELECT * FROM ({KNOWN}) WHERE false"))
+def integrate_graph(spark, d):
+    """Poses composed breadth first over the graph of near keyframes, each component from its smallest id."""
+    return walked(spark, d)
+
+
+@query(WALKED.format(labels=LABELS, edges=TURNING, known=KNOWN))
+def integrate_known(spark, d):
+    """As integrate_graph, where every fortieth keyframe has a pose already, keeps it and hands it on."""
+    known = points(spark, d).filter("id % 40 = 7").select("id", "x", "y", (F.lit(0.001) * (F.col("id") % 10)).alias("theta"))
+    return walked(spark, d, known)
+
+
 # Linking
 
 LINK = f"""SELECT c.segment, c.s, c.m, c.ncc AS quality, pm.x AS xm, pm.y AS ym, 0.001 * (c.m % 10)::DOUBLE AS tm, ps.x AS xs, ps.y AS ys, 0.001 * (c.s % 10)::DOUBLE AS ts,

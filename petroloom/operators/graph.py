@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from petroloom.functions import geometry as g
 
@@ -123,6 +124,59 @@ def chain(edges: DataFrame, segment: str) -> DataFrame:
     return turned.select(segment, F.col("j").alias("id"), F.sum("_x").over(w).alias("x"), F.sum("_y").over(w).alias("y"), "theta")
 
 
+def both_ways(edges: DataFrame) -> DataFrame:
+    """(u, v, back, dx, dy, phi): each edge as it is and, with back = 1, from its end to its start."""
+    kept = [F.col(c).cast("double").alias(c) for c in ("dx", "dy", "phi")]
+    way = lambda u, v, back: edges.select(F.col(u).alias("u"), F.col(v).alias("v"), F.lit(back).alias("back"), *kept)
+    return way("i", "j", 0).unionByName(way("j", "i", 1))
+
+
+def composed(u: tuple[Column, Column, Column], back: Column, dx: Column, dy: Column, phi: Column) -> tuple[Column, Column, Column]:
+    """The pose at the far end of an edge that is walked from pose u."""
+    theta = u[2] + F.when(back == 1, -phi).otherwise(phi)
+    x, y = g.rotate(F.when(back == 1, theta).otherwise(u[2]), dx, dy)
+    sign = F.when(back == 1, -1.0).otherwise(1.0)
+    return u[0] + sign * x, u[1] + sign * y, theta
+
+
+def integrate(nodes: DataFrame, edges: DataFrame, roots: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """(id, x, y, theta, level): poses composed breadth first along edges (i, j, dx, dy, phi) of either direction.
+
+    All components are walked at once, from roots (id; by default the smallest id of each), which
+    lie at the origin. Of several ways into a node the smallest parent's wins, then the edge as it is before
+    one walked backwards, then the smallest edge. A node of known (id, x, y, theta) keeps that pose and hands it
+    on. Nodes that no root reaches have no row.
+
+    A round takes one level: neighbours of a level lie in it, before it or after it, so only the last two
+    levels are looked at, and every level is written to the shared folder, which ends its lineage.
+    There are as many rounds as the graph is deep."""
+    spark = nodes.sparkSession
+    both = cut(both_ways(edges))
+    if roots is None:
+        roots = components(nodes, edges).filter("id = label")
+    at = f"{shared_folder(spark)}/levels-{uuid.uuid4().hex}"
+    schema = "id long, x double, y double, theta double"
+
+    def written(df: DataFrame, level: int) -> DataFrame:
+        if known is not None:
+            own = known.select(F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(f"_{c}") for c in ("x", "y", "theta")])
+            df = df.join(own, "id", "left").select("id", *[F.coalesce(f"_{c}", c).alias(c) for c in ("x", "y", "theta")])
+        df.write.parquet(f"{at}/level={level}")
+        return spark.read.schema(schema).parquet(f"{at}/level={level}")
+
+    before, level = spark.createDataFrame([], schema), 0
+    front = written(roots.select(F.col("id").cast("long").alias("id")).distinct().select("id", *[F.lit(0.0).alias(c) for c in ("x", "y", "theta")]), 0)
+    while front.limit(1).count():
+        ways = both.join(front, both["u"] == front["id"]).groupBy(F.col("v").cast("long").alias("v")).agg(F.min(F.struct("u", "back", "dx", "dy", "phi", "x", "y", "theta")).alias("w"))
+        met = front.select("id").unionByName(before.select("id"))
+        w = lambda c: F.col(f"w.{c}")
+        x, y, theta = composed((w("x"), w("y"), w("theta")), w("back"), w("dx"), w("dy"), w("phi"))
+        new = ways.join(met, ways["v"] == met["id"], "left_anti").select(F.col("v").alias("id"), x.alias("x"), y.alias("y"), theta.alias("theta"))
+        before, level = front, level + 1
+        front = written(new, level)
+    return spark.read.schema(f"{schema}, level int").parquet(at)
+
+
 def levelled(poses: DataFrame, key: str) -> DataFrame:
     """Poses (key, id, x, y, theta), each key's turned by its mean angle so that it stands upright."""
     mean = poses.groupBy(key).agg(F.avg("theta").alias("_mean"))
