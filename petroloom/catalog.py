@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from petroloom.functions import geometry as g
-from petroloom.operators import fitting, frames, graph, linking, matching, pixels, spatial, tracking
+from petroloom.operators import fitting, frames, graph, linking, matching, pixels, selection, spatial, tracking
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -721,6 +721,57 @@ def stream_keyframes(spark, d):
     return spark.read.schema("user_id long, frame_index long, late long").parquet(f"{at}/out").select("user_id", "frame_index")
 
 
+SELECTING = selection.Along(window=12.0, reach=60.0, strict_reach=35.0, fits=55.0, moved=2.0, replaces=30.0)
+GATED = selection.Rules(least=20.0)
+SELECTED = f"""WITH RECURSIVE f AS (SELECT user_id, frame_index, value, value < 0.6 * med AS blurred FROM ({MEDIAN})),
+k AS (SELECT user_id, frame_index, CASE WHEN blurred THEN 'blurred' ELSE 'first' END AS outcome, CASE WHEN blurred THEN NULL ELSE value END AS key, CAST(NULL AS DOUBLE) AS held, CAST(NULL AS BIGINT) AS held_index,
+0::DOUBLE AS shift, 0::DOUBLE AS velocity, 0 AS segment, 0 AS missed, CASE WHEN blurred THEN 0 ELSE 1 END AS keyframes, CAST(NULL AS BIGINT) AS promoted FROM f WHERE frame_index = 0
+UNION ALL (WITH a AS (SELECT k.*, f.value, f.blurred, f.frame_index AS i, f.value - k.key AS s FROM k JOIN f ON f.user_id = k.user_id AND f.frame_index = k.frame_index + 1),
+b AS (SELECT *, abs(s - (shift + velocity)) <= 12 OR abs(s) <= 35 AS direct FROM a),
+c AS (SELECT *, NOT direct AND held IS NOT NULL AND abs(held) BETWEEN 2 AND 30 AS turned FROM b),
+d AS (SELECT *, CASE WHEN turned THEN key + held ELSE key END AS key2, CASE WHEN turned THEN value - (key + held) ELSE s END AS s2, CASE WHEN turned THEN 0 ELSE shift END AS shift2, CASE WHEN direct THEN held END AS held2,
+CASE WHEN direct THEN held_index END AS held_index2, direct OR (turned AND abs(value - (key + held)) <= 60) AS found FROM c),
+o AS (SELECT *, CASE WHEN blurred THEN 'blurred' WHEN key IS NULL THEN 'first' WHEN NOT found AND missed + 1 >= 3 THEN 'lost' WHEN NOT found THEN 'missed' WHEN abs(s2) < 20 THEN 'near' WHEN abs(s2) <= 55 THEN 'keyframe' ELSE 'unfit' END AS now FROM d)
+SELECT user_id, i, now, CASE WHEN now = 'blurred' THEN key WHEN now IN ('first', 'lost', 'keyframe') THEN value ELSE key2 END,
+CASE now WHEN 'blurred' THEN held WHEN 'near' THEN s2 WHEN 'unfit' THEN held2 END, CASE now WHEN 'blurred' THEN held_index WHEN 'near' THEN i WHEN 'unfit' THEN held_index2 END,
+CASE WHEN now = 'blurred' THEN shift WHEN now IN ('first', 'lost', 'keyframe') THEN 0 WHEN now = 'missed' THEN shift2 ELSE s2 END,
+CASE WHEN now IN ('near', 'keyframe', 'unfit') THEN (velocity + (s2 - shift2)) / 2 WHEN now = 'lost' THEN 0 ELSE velocity END,
+segment + CAST(now = 'lost' AS INTEGER), CASE WHEN now = 'blurred' THEN missed WHEN now = 'missed' THEN missed + 1 ELSE 0 END,
+keyframes + CAST(now IN ('first', 'lost', 'keyframe') AS INTEGER) + CAST(now <> 'blurred' AND coalesce(turned, false) AS INTEGER), CASE WHEN now <> 'blurred' AND turned THEN held_index END FROM o))
+SELECT user_id, CAST(frame_index AS BIGINT) AS frame_index, outcome, segment, CAST(keyframes - 1 AS BIGINT) AS keyframe, promoted, round(velocity + 1e-9::DOUBLE, 6) AS velocity FROM k"""
+
+
+@query(SELECTED)
+def keyframe_selection(spark, d):
+    """What became of each frame: blur filter, prediction, candidate, promotion, loss and segments in one pass."""
+    found = selection.outcomes(stream(spark, d), "user_id", "value", "value", SELECTING, GATED)
+    return found.withColumn("velocity", r6(F.col("velocity") + 1e-9))  # halves of halves: no ties in rounding
+
+
+@query(SELECTED)
+def stream_selection(spark, d):
+    """keyframe_selection as a stateful stream over the event frames, run until all are read."""
+    import uuid
+
+    from petroloom.operators.graph import shared_folder
+    from petroloom.streaming import keyframes
+
+    at, key = f"{shared_folder(spark)}/selection-{uuid.uuid4().hex}", "spark.sql.streaming.stateStore.providerClass"
+    source = stream(spark, d).select("user_id", "frame_index", "value")
+    source.write.parquet(f"{at}/in")
+    live = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{at}/in")
+    found = keyframes.selection(live, "user_id", "value", "value", SELECTING, GATED)
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, keyframes.ROCKS)
+    try:
+        writer = found.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{at}/state")
+        writer.trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+    out = spark.read.schema(found.schema).parquet(f"{at}/out")
+    return out.drop("late").withColumn("velocity", r6(F.col("velocity") + 1e-9))
+
+
 @query()
 def pose_solve(spark, d):
     """Robust poses of each component of near keyframes, one task for each component."""

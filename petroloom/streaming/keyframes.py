@@ -11,10 +11,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from petroloom.functions.fov import FieldOfView
 from petroloom.functions.registration import Registrar
+from petroloom.operators.frames import analysis_step
+from petroloom.operators.selection import OUTCOMES, Along, Line, Rules
 from petroloom.operators.tracking import Gate
 from petroloom.plans.keyframes import EVENTS, Tracker, cropped, image, rows
 from petroloom.settings import Settings
@@ -40,11 +43,47 @@ def gate(stream: DataFrame, video: str, position: str, least: float) -> DataFram
     return stream.select(video, "frame_index", position).groupBy(video).applyInPandasWithState(fold, f"{video} {kind}, frame_index long, late long", "last double, seen long, late long", "append", GroupStateTimeout.NoTimeout)
 
 
-def track(stream: DataFrame, fov: FieldOfView, settings: Settings) -> DataFrame:
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Selecting(StatefulProcessor):
+    """Keyframe selection of one video: a record as value state, the sharpness of the last frames as list state."""
+
+    def __init__(self, video: str, matcher: Along, rules: Rules) -> None:
+        self.video, self.matcher, self.rules = video, matcher, rules
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.record = handle.getValueState("record", Line.RECORD)
+        self.recent = handle.getListState("recent", "sharpness double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        line = Line(self.matcher, self.rules, self.record.get() if self.record.exists() else None, [r[0] for r in self.recent.get()])
+        frames = pd.concat(list(rows)).sort_values("frame_index", kind="stable")
+        columns = [c.split()[0] for c in OUTCOMES.split(", ")]
+        out = pd.DataFrame(line.steps(frames[["frame_index", "p", "s"]]), columns=columns)
+        self.record.update(line.record())
+        self.recent.put([(x,) for x in line.recent])
+        yield out.assign(**{self.video: key[0], "late": line.late})[[self.video, *columns, "late"]]
+
+    def close(self) -> None:
+        pass
+
+
+def selection(stream: DataFrame, video: str, position: str, sharpness: str, matcher: Along, rules: Rules) -> DataFrame:
+    """(video, ...OUTCOMES, late): operators.selection.outcomes() over a stream. late counts the frames of a video
+    that came too late so far. The session's state store must be RocksDB (ROCKS)."""
+    kind = dict(stream.dtypes)[video]
+    frames = stream.selectExpr(video, "cast(frame_index AS bigint) AS frame_index", f"cast({position} AS double) AS p", f"cast({sharpness} AS double) AS s")
+    return frames.groupBy(video).transformWithStateInPandas(Selecting(video, matcher, rules), f"{video} {kind}, {OUTCOMES}, late long", "Append", "None")
+
+
+def track(stream: DataFrame, fov: FieldOfView, settings: Settings, fps: float = 30.0) -> DataFrame:
     """Keyframe and edge events of streams of frames (schema.FRAMES)."""
+    step = analysis_step(fps, settings.analysis_fps)
+
     def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         blob, seen = state.get if state.exists else (None, -1)
-        tracker = Tracker(Registrar(fov, settings))
+        tracker = Tracker(Registrar(fov, settings), step)
         if blob is not None:
             tracker.__dict__ |= pickle.loads(blob)
         out: list[dict] = []
@@ -55,4 +94,4 @@ def track(stream: DataFrame, fov: FieldOfView, settings: Settings) -> DataFrame:
         state.update((pickle.dumps({k: v for k, v in tracker.__dict__.items() if k != "registrar"}), seen))
         yield rows(key[0], out)
 
-    return cropped(stream, fov).groupBy("video_id").applyInPandasWithState(fold, EVENTS, "tracker binary, seen long", "append", GroupStateTimeout.NoTimeout)
+    return cropped(stream.filter(stream["frame_index"] % step == 0), fov).groupBy("video_id").applyInPandasWithState(fold, EVENTS, "tracker binary, seen long", "append", GroupStateTimeout.NoTimeout)
