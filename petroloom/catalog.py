@@ -388,17 +388,6 @@ def independent_support(spark, d):
     return ids.select("user_id", linking.apart("ids").alias("support"))
 
 
-@query(f"""SELECT segment, s, m, status, CAST(row_number() OVER (ORDER BY segment, CASE status WHEN 'accepted' THEN 0 WHEN 'outlier' THEN 1 ELSE 2 END, quality DESC, s, m) AS INTEGER) AS line
-FROM (SELECT *, CASE WHEN quality > 0.3 THEN 'accepted' WHEN quality > 0.25 THEN 'outlier' ELSE 'rejected' END AS status FROM ({LINK}))""")
-def diagnostics_order(spark, d):
-    """Link records of every segment in the order of the diagnostics file: 36 rows at most of each."""
-    q = F.col("quality")
-    named = links(spark, d).withColumn("status", F.when(q > 0.3, "accepted").when(q > 0.25, "outlier").otherwise("rejected"))
-    rank = F.when(F.col("status") == "accepted", 0).when(F.col("status") == "outlier", 1).otherwise(2)
-    line = F.row_number().over(Window.orderBy("segment", rank, F.desc("quality"), "s", "m"))
-    return named.select("segment", "s", "m", "status", line.alias("line"))
-
-
 # Tiles
 
 BOX, TILE = 60.0, 64.0
@@ -686,6 +675,90 @@ def confirming_pairs(spark, d):
     return found.select("segment", "s", "m", r6("away").alias("away"), "place")
 
 
+# Decisions over all segments at once: a segment is an attempt
+
+TOL, NEED, HOLDS = 60.0, 4, 30.0
+AGREES = f"abs({{0}}.theta - {{1}}.theta) < radians(1) AND sqrt(pow({{0}}.mx - {{1}}.mx, 2) + pow({{0}}.my - {{1}}.my, 2)) < {TOL}"
+TURN = "sqrt(pow({0}.mx + cos({0}.theta) * u - sin({0}.theta) * v - c.mx - (cos(c.theta) * u - sin(c.theta) * v), 2) + pow({0}.my + sin({0}.theta) * u + cos({0}.theta) * v - c.my - (sin(c.theta) * u + cos(c.theta) * v), 2))"
+GROUPS = """{0}p AS (SELECT a.segment, a.k AS a, b.m, b.s, b.quality FROM {1} a JOIN {1} b ON a.segment = b.segment AND """ + AGREES.format("a", "b") + """),
+{0}n AS (SELECT segment, a, least(m, s) AS support FROM (SELECT segment, a, sum((n + 1) // 2) AS m FROM (SELECT segment, a, i, count(*) AS n FROM (SELECT segment, a, m - row_number() OVER (PARTITION BY segment, a ORDER BY m) AS i FROM (SELECT DISTINCT segment, a, m FROM {0}p)) GROUP BY ALL) GROUP BY ALL)
+JOIN (SELECT segment, a, sum((n + 1) // 2) AS s FROM (SELECT segment, a, i, count(*) AS n FROM (SELECT segment, a, s - row_number() OVER (PARTITION BY segment, a ORDER BY s) AS i FROM (SELECT DISTINCT segment, a, s FROM {0}p)) GROUP BY ALL) GROUP BY ALL) USING (segment, a)),
+{0}q AS (SELECT segment, a, support, round(quality, 6) AS quality FROM {0}n JOIN (SELECT segment, a, sum(quality) AS quality FROM {0}p GROUP BY ALL) USING (segment, a))"""
+DECIDED = f"""WITH c AS MATERIALIZED (SELECT *, cos(theta) * cx - sin(theta) * cy + tx AS mx, sin(theta) * cx + cos(theta) * cy + ty AS my, xs - cx AS u, ys - cy AS v
+FROM (SELECT *, s * 1000000 + m AS k FROM ({IMPLIED})) JOIN (SELECT label AS segment, avg(x) AS cx, avg(y) AS cy FROM ({POINTS}) GROUP BY label) USING (segment)),
+{GROUPS.format("a", "c")},
+best AS (SELECT segment, a AS k FROM aq QUALIFY row_number() OVER (PARTITION BY segment ORDER BY support DESC, quality DESC, a) = 1),
+leader AS (SELECT c.* FROM c JOIN best USING (segment, k)), grp AS (SELECT c.* FROM c JOIN leader l ON l.segment = c.segment AND {AGREES.format("c", "l")}),
+mean AS (SELECT segment, avg(theta) AS theta, avg(mx) AS mx, avg(my) AS my FROM grp GROUP BY segment),
+r AS MATERIALIZED (SELECT c.*, {TURN.format("mean")} AS residual, c.k IN (SELECT k FROM grp) AND {TURN.format("mean")} <= {TOL} AS inside FROM c JOIN mean USING (segment)),
+rest AS (SELECT * FROM r WHERE NOT inside), held_in AS (SELECT * FROM r WHERE inside),
+{GROUPS.format("b", "rest")},
+ms AS (SELECT segment, sum((n + 1) // 2) AS m FROM (SELECT segment, i, count(*) AS n FROM (SELECT segment, m - row_number() OVER (PARTITION BY segment ORDER BY m) AS i FROM (SELECT DISTINCT segment, m FROM held_in)) GROUP BY ALL) GROUP BY ALL),
+ss AS (SELECT segment, sum((n + 1) // 2) AS s FROM (SELECT segment, i, count(*) AS n FROM (SELECT segment, s - row_number() OVER (PARTITION BY segment ORDER BY s) AS i FROM (SELECT DISTINCT segment, s FROM held_in)) GROUP BY ALL) GROUP BY ALL),
+said AS (SELECT segment, CAST(coalesce(least(m, s), 0) AS INTEGER) AS support, CAST(coalesce(rival, 0) AS INTEGER) AS rival FROM (SELECT DISTINCT segment FROM c) LEFT JOIN ms USING (segment) LEFT JOIN ss USING (segment) LEFT JOIN (SELECT segment, max(support) AS rival FROM bq GROUP BY segment) USING (segment)),
+anchor AS (SELECT c.*, CAST(row_number() OVER (PARTITION BY segment ORDER BY quality * greatest(quality, 0.01) DESC, k) AS INTEGER) AS rank FROM c WHERE segment IN (SELECT segment FROM said WHERE NOT (support >= {NEED} AND rival < {NEED})) QUALIFY rank <= 6),
+near_in_time AS (SELECT a.segment, a.k, a.s AS s0, a.m AS m0, a.theta, a.tx, a.ty, p.id AS s, abs(p.id - a.s) AS gap, cos(theta) * p.x - sin(theta) * p.y + tx AS x, sin(theta) * p.x + cos(theta) * p.y + ty AS y
+FROM anchor a JOIN ({POINTS}) p ON p.label = a.segment QUALIFY row_number() OVER (PARTITION BY a.segment, a.k ORDER BY abs(p.id - a.s), p.id) <= 12),
+asked AS (SELECT n.segment, n.k, n.s, p.id AS m, gap, sqrt(pow(p.x - n.x, 2) + pow(p.y - n.y, 2)) AS away, CAST(p.id = m0 AS INTEGER) + CAST(n.s = s0 AS INTEGER) AS same FROM near_in_time n JOIN ({POINTS}) p ON p.label = {MAIN} AND sqrt(pow(p.x - n.x, 2) + pow(p.y - n.y, 2)) < 90),
+two AS (SELECT * FROM asked WHERE same < 2 QUALIFY row_number() OVER (PARTITION BY segment, k, s ORDER BY same, gap, away, m) <= 2),
+tests AS (SELECT segment, k, s, m, away AS residual FROM two QUALIFY row_number() OVER (PARTITION BY segment, k ORDER BY same, gap, away, s, m) <= 4),
+passes AS (SELECT a.*, coalesce(t.ok >= 2 AND 2 * t.ok >= t.n, false) AS passes FROM anchor a LEFT JOIN (SELECT segment, k, count(*) AS n, count(*) FILTER (residual <= {HOLDS}) AS ok FROM tests GROUP BY segment, k) t USING (segment, k)),
+fold AS (SELECT segment, rank, k, true AS tried, passes AS holds, CASE WHEN passes THEN [struct_pack(theta := theta, mx := mx, my := my)] ELSE [] END AS held FROM passes WHERE rank = 1
+UNION ALL SELECT segment, rank, k, NOT same, NOT same AND passes, CASE WHEN NOT same AND passes THEN list_append(held, struct_pack(theta := theta, mx := mx, my := my)) ELSE held END
+FROM (SELECT p.*, f.held, len(list_filter(f.held, lambda h: {AGREES.format("h", "p")})) > 0 AS same FROM fold f JOIN passes p ON p.segment = f.segment AND p.rank = f.rank + 1)),
+ends AS (SELECT segment, support, rival, CAST(coalesce(n, 0) AS INTEGER) AS held, anchor, CASE WHEN support >= {NEED} AND rival < {NEED} THEN 'consensus' WHEN n = 1 THEN 'anchor' WHEN n > 1 THEN 'ambiguous anchors' WHEN rival >= {NEED} THEN 'ambiguous groups' ELSE 'rejected' END AS outcome
+FROM said LEFT JOIN (SELECT segment, count(*) FILTER (holds) AS n, max(CASE WHEN holds THEN k END) AS anchor FROM fold GROUP BY segment) USING (segment)),
+lead AS (SELECT c.segment, c.theta, c.mx, c.my FROM c JOIN ends e ON e.segment = c.segment AND e.anchor = c.k AND e.outcome = 'anchor'),
+beside AS (SELECT c.segment, c.k, {TURN.format("lead")} AS residual FROM c JOIN lead ON lead.segment = c.segment AND {AGREES.format("c", "lead")}),
+rows AS (SELECT r.segment, 'global' AS source, r.s, r.m, r.quality, CASE WHEN outcome = 'consensus' AND inside OR outcome = 'anchor' AND coalesce(b.residual <= {TOL}, false) THEN 'accepted' WHEN outcome IN ('consensus', 'anchor') THEN 'outlier' ELSE 'rejected' END AS status,
+CASE WHEN outcome = 'anchor' THEN b.residual ELSE r.residual END AS residual FROM r JOIN ends USING (segment) LEFT JOIN beside b USING (segment, k)
+UNION ALL SELECT t.segment, 'verify', t.s, t.m, NULL, CASE WHEN outcome = 'anchor' AND t.k = anchor AND t.residual <= {HOLDS} THEN 'accepted' ELSE 'verify-failed' END, t.residual FROM tests t JOIN fold f ON f.segment = t.segment AND f.k = t.k AND f.tried JOIN ends e ON e.segment = t.segment WHERE outcome <> 'consensus')
+"""
+DECIDED = DECIDED.replace("WITH c AS", "WITH RECURSIVE c AS", 1)
+
+
+def decisions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The rows and outcomes of linking.decided() for every segment but the largest. A test's residual is how far its
+    main frame lies from where the anchor puts the segment's frame."""
+    p = points(spark, d)
+    centre = p.groupBy(F.col("label").alias("segment")).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    c = links(spark, d).withColumn("k", F.col("s") * 1000000 + F.col("m")).join(centre, "segment")
+    c = graph.cut(linking.with_centres(c.select(F.col("segment").alias("attempt"), "k", "s", "m", "quality", F.col("quality").alias("ncc"), "theta", "tx", "ty", F.col("xs").alias("px"), F.col("ys").alias("py"), "cx", "cy")))
+    c, said = (graph.cut(x) for x in linking.consensus(c, TOL, NEED))
+    anchors = graph.cut(linking.anchors_of(c.join(said.filter("NOT accepted").select("attempt"), "attempt", "left_semi")))
+    asked = anchors.select(F.col("attempt").alias("segment"), "k", F.col("s").alias("s0"), F.col("m").alias("m0"), "theta", "tx", "ty")
+    main = p.groupBy("label").count().orderBy(F.desc("count"), "label").limit(1).select("label")
+    tests = linking.confirming(asked, p.withColumnRenamed("label", "segment"), p.join(main, "label", "left_semi"), 90.0, by=("segment", "k"))
+    tests = graph.cut(tests.select(F.col("segment").alias("attempt"), "k", "s", "m", F.col("away").alias("residual")))
+    judged = graph.cut(linking.hypotheses(anchors, tests, TOL, test_tol=HOLDS))
+    rows, ends = linking.decided(c, said, judged, tests, TOL, test_tol=HOLDS)
+    return rows.withColumnRenamed("attempt", "segment"), ends.withColumnRenamed("attempt", "segment")
+
+
+@query(f"{DECIDED} SELECT segment, source, s, m, status, round(residual, 6) AS residual, count(*) AS times FROM rows GROUP BY ALL")
+def link_decisions(spark, d):
+    """What becomes of each candidate of every segment and of each pair that an anchor was tested on."""
+    rows, _ = decisions(spark, d)
+    return rows.withColumn("residual", r6("residual")).groupBy("segment", "source", "s", "m", "status", "residual").agg(F.count("*").alias("times"))
+
+
+@query(f"{DECIDED} SELECT segment, outcome, support, rival, held FROM ends")
+def link_outcomes(spark, d):
+    """How the attempt to link each segment ends."""
+    return decisions(spark, d)[1]
+
+
+@query(f"""{DECIDED} SELECT segment, s, m, source, status, CAST(row_number() OVER (PARTITION BY segment ORDER BY CASE status WHEN 'accepted' THEN 0 WHEN 'outlier' THEN 1 WHEN 'rejected' THEN 2 ELSE 3 END, residual, s, m) AS INTEGER) AS line
+FROM (SELECT segment, source, s, m, status, min(round(residual, 6)) AS residual FROM rows GROUP BY ALL)""")
+def diagnostics_order(spark, d):
+    """Link records of every segment in the order of the diagnostics file, each attempt's numbered by itself."""
+    rows, _ = decisions(spark, d)
+    rows = rows.groupBy("segment", "source", "s", "m", "status").agg(F.min(r6("residual")).alias("residual"))
+    rank = F.when(F.col("status") == "accepted", 0).when(F.col("status") == "outlier", 1).when(F.col("status") == "rejected", 2).otherwise(3)
+    line = F.row_number().over(Window.partitionBy("segment").orderBy(rank, F.col("residual").asc_nulls_last(), "s", "m"))
+    return rows.select("segment", "s", "m", "source", "status", line.alias("line"))
+
+
 GAP = f"""WITH e AS (SELECT label, id, x, y, row_number() OVER (PARTITION BY label ORDER BY id) AS k, row_number() OVER (PARTITION BY label ORDER BY id DESC) AS back FROM ({POINTS})),
 v AS (SELECT label, (arg_max(x, id) - arg_min(x, id)) / greatest(max(id) - min(id), 1) AS vx, (arg_max(y, id) - arg_min(y, id)) / greatest(max(id) - min(id), 1) AS vy FROM e WHERE back <= 4 GROUP BY label),
 l AS (SELECT e.*, vx, vy FROM e JOIN v USING (label)), ends AS (SELECT * FROM l WHERE back = 1), firsts AS (SELECT * FROM e WHERE k = 1)
