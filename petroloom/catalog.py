@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from petroloom.functions import geometry as g
-from petroloom.operators import fitting, frames, graph, linking, matching, pixels, selection, spatial, tracking
+from petroloom.operators import fitting, frames, graph, linking, matching, pixels, selection, solver, spatial, tracking
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -341,6 +341,58 @@ def integrate_known(spark, d):
     return walked(spark, d, known)
 
 
+def solving(steps: int, name: str, edges: str, poses: str, fixed: str) -> str:
+    """SQL: CTEs that end in <name>, poses after one round of solver.solve() with that many steps. edges: (i, j, dx, dy,
+    quality), poses: (id, x, y), fixed: (id); angles stay 0 and the loss has scale 1."""
+    n = name
+    at = [f"{n}e AS MATERIALIZED (SELECT e.i, e.j, w, rx, ry, w * w / sqrt(1 + pow(w * rx, 2)) AS sx, w * w / sqrt(1 + pow(w * ry, 2)) AS sy FROM (SELECT e.i, e.j, greatest(0.2, e.quality) AS w, b.x - a.x - e.dx AS rx, b.y - a.y - e.dy AS ry FROM {edges} e JOIN {poses} a ON a.id = e.i JOIN {poses} b ON b.id = e.j) e)"]
+    at.append(f"{n}v0 AS MATERIALIZED (SELECT id, sum(rx) AS rx, sum(ry) AS ry, sum(gx) AS gx, sum(gy) AS gy, 0::DOUBLE AS cx, 0::DOUBLE AS cy, sum(rx) / sum(gx) AS px, sum(ry) / sum(gy) AS py FROM (SELECT i AS id, sx * rx AS rx, sy * ry AS ry, sx AS gx, sy AS gy FROM {n}e UNION ALL SELECT j, -sx * rx, -sy * ry, sx, sy FROM {n}e) WHERE id NOT IN (SELECT id FROM {fixed}) GROUP BY id)")
+    rz = "(SELECT sum(rx * rx / gx + ry * ry / gy) FROM {0})"
+    for k in range(steps):
+        v = f"{n}v{k}"
+        at.append(f"{n}t{k} AS (SELECT e.i, e.j, sx * (coalesce(b.px, 0) - coalesce(a.px, 0)) AS ux, sy * (coalesce(b.py, 0) - coalesce(a.py, 0)) AS uy FROM {n}e e LEFT JOIN {v} a ON a.id = e.i LEFT JOIN {v} b ON b.id = e.j)")
+        at.append(f"{n}q{k} AS MATERIALIZED (SELECT v.*, qx, qy FROM {v} v JOIN (SELECT id, sum(qx) AS qx, sum(qy) AS qy FROM (SELECT i AS id, -ux AS qx, -uy AS qy FROM {n}t{k} UNION ALL SELECT j, ux, uy FROM {n}t{k}) GROUP BY id) USING (id))")
+        at.append(f"{n}a{k} AS MATERIALIZED (SELECT {rz.format(v)} / (SELECT sum(px * qx + py * qy) FROM {n}q{k}) AS alpha)")
+        at.append(f"{n}m{k} AS MATERIALIZED (SELECT id, gx, gy, px, py, cx + alpha * px AS cx, cy + alpha * py AS cy, rx - alpha * qx AS rx, ry - alpha * qy AS ry FROM {n}q{k}, {n}a{k})")
+        at.append(f"{n}b{k} AS MATERIALIZED (SELECT {rz.format(f'{n}m{k}')} / {rz.format(v)} AS beta)")
+        at.append(f"{n}v{k + 1} AS MATERIALIZED (SELECT id, rx, ry, gx, gy, cx, cy, rx / gx + beta * px AS px, ry / gy + beta * py AS py FROM {n}m{k}, {n}b{k})")
+    at.append(f"{n} AS MATERIALIZED (SELECT p.id, p.x + coalesce(v.cx, 0) AS x, p.y + coalesce(v.cy, 0) AS y FROM {poses} p LEFT JOIN {n}v{steps} v USING (id))")
+    return ", ".join(at)
+
+
+def flat(spark: SparkSession, d: str) -> DataFrame:
+    return edges(spark, d).withColumn("phi", F.lit(0.0))
+
+
+@query(f"""WITH RECURSIVE g AS MATERIALIZED ({EDGES}), l AS MATERIALIZED ({LABELS}), f AS (SELECT id FROM l WHERE id = label), p AS MATERIALIZED (SELECT id, x, y FROM ({POINTS})),
+{solving(3, "one", "g", "p", "f")}, {solving(3, "two", "one_edges", "one", "f").replace("one_edges", "g")} SELECT id, round(x, 6) AS x, round(y, 6) AS y FROM two""")
+def solved_poses(spark, d):
+    """Robust poses of all components at once: two rounds of three steps of conjugate gradients, from the keyframes' places."""
+    start = points(spark, d).select("id", "x", "y", F.lit(0.0).alias("theta"))
+    roots = labels(spark, d).filter("id = label").select("id")
+    found = solver.solve(solver.problem(start, graph.stored(flat(spark, d)), roots, 100.0, False), rounds=2, steps=3, tolerance=0.0)
+    return found.select("id", r6("x").alias("x"), r6("y").alias("y"))
+
+
+def reached(edges: str) -> str:
+    return f"(WITH RECURSIVE b AS (SELECT i, j FROM {edges} UNION ALL SELECT j, i FROM {edges}), r AS (SELECT vec_id AS id, vec_id AS r FROM embeddings UNION SELECT b.j, r.r FROM r JOIN b ON b.i = r.id) SELECT id, min(r) AS label FROM r GROUP BY id)"
+
+
+LEFT = "SELECT e.* FROM {e} e JOIN {r} USING (i, j), (SELECT max(residual) AS most FROM {r}) WHERE NOT (most > 1 AND residual > greatest(1, most / 2))"
+OFF = "SELECT e.i, e.j, sqrt(pow(b.x - a.x - e.dx, 2) + pow(b.y - a.y - e.dy, 2)) AS residual FROM {e} e JOIN {p} a ON a.id = e.i JOIN {p} b ON b.id = e.j"
+
+
+@query(f"""WITH g AS MATERIALIZED ({EDGES}), l1 AS MATERIALIZED ({reached("g")}), f1 AS (SELECT id FROM l1 WHERE id = label), p AS MATERIALIZED (SELECT id, x, y FROM ({POINTS})), {solving(2, "one", "g", "p", "f1")},
+r1 AS MATERIALIZED ({OFF.format(e="g", p="one")}), g2 AS MATERIALIZED ({LEFT.format(e="g", r="r1")}), l2 AS MATERIALIZED ({reached("g2")}), f2 AS (SELECT id FROM l2 WHERE id = label), {solving(2, "two", "g2", "one", "f2")},
+z AS (SELECT label, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, label) - 1 AS r FROM l2 GROUP BY label), c AS (SELECT id, CAST(CASE WHEN r = 0 OR size >= 3 THEN r ELSE -1 END AS INTEGER) AS component FROM l2 JOIN z USING (label))
+SELECT id, component, CASE WHEN component >= 0 THEN round(x, 6) END AS x, CASE WHEN component >= 0 THEN round(y, 6) END AS y FROM two JOIN c USING (id)""")
+def optimised_poses(spark, d):
+    """Two turns of optimisation: solve, drop the edges that stay off, find components anew, solve, and number them."""
+    start = points(spark, d).select("id", "x", "y", F.lit(0.0).alias("theta"))
+    found, _ = solver.optimise(start.select("id"), graph.stored(flat(spark, d)), 100.0, False, 1.0, start, most=2, rounds=1, steps=2, tolerance=0.0)
+    return found.select("id", "component", r6("x").alias("x"), r6("y").alias("y"))
+
+
 # Linking
 
 LINK = f"""SELECT c.segment, c.s, c.m, c.ncc AS quality, pm.x AS xm, pm.y AS ym, 0.001 * (c.m % 10)::DOUBLE AS tm, ps.x AS xs, ps.y AS ys, 0.001 * (c.s % 10)::DOUBLE AS ts,

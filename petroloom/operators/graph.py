@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_stored: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: made once, and its lineage ends there."""
+    spark, at = df.sparkSession, f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    made = spark.read.schema(df.schema).parquet(at)
+    _stored[made] = at
+    return made
+
+
+def kept_with(df: DataFrame, table: DataFrame) -> DataFrame:
+    """df, a few expressions over a stored table, to be forgotten with it."""
+    _stored[df] = _stored[table]
+    return df
+
+
+def forget(made: DataFrame) -> None:
+    """Deletes a stored table. Frames that read it end here."""
+    spark, at = made.sparkSession, made.sparkSession._jvm.org.apache.hadoop.fs.Path(_stored[made])
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _reach(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, label) of the nodes of all edges, which one task holds."""
     held = [np.stack([c.to_numpy() for c in batch.columns]) for batch in rows]
