@@ -527,7 +527,7 @@ SELECT p.r, CASE WHEN greatest({MET.format("p.i")}, {MET.format("p.j")}) < CASE
 k AS (SELECT unnest(acc, recursive := true) FROM (SELECT acc FROM g ORDER BY r DESC LIMIT 1))
 SELECT p.i, p.j, round(p.distance, 6) AS distance FROM p JOIN k ON k.i = p.i AND k.j = p.j""")
 def capped_neighbours(spark, d):
-    """Near pairs, nearest first, while neither keyframe has its fill; one task for each component."""
+    """Near pairs, nearest first, while neither keyframe has its fill."""
     return spatial.capped(near(spark, d)).select("i", "j", r6("distance").alias("distance"))
 
 
@@ -811,6 +811,27 @@ def diagnostics_order(spark, d):
     return rows.select("segment", "s", "m", "source", "status", line.alias("line"))
 
 
+LINKS_AT = 40
+
+
+@query(f"""WITH RECURSIVE z AS (SELECT label, count(*) AS size FROM embeddings GROUP BY label), e AS MATERIALIZED (SELECT li, lj FROM ({NEAR}) WHERE li <> lj), n AS MATERIALIZED (SELECT a, b, count(*) AS n FROM (SELECT li AS a, lj AS b FROM e UNION ALL SELECT lj, li FROM e) GROUP BY ALL),
+w AS (SELECT label, size, label = {MAIN} AS main, 0::BIGINT AS tried, 0 AS round, false AS attempted, false AS linked, 0::BIGINT AS score, 0::BIGINT AS main_size FROM z
+UNION ALL (WITH s AS (SELECT w.label, coalesce(sum(n.n) FILTER (m.main), 0) AS sc FROM w LEFT JOIN n ON n.a = w.label LEFT JOIN w m ON m.label = n.b GROUP BY w.label),
+o AS (SELECT w.label, w.size, w.main, w.tried, w.round, s.sc, t.whole, NOT w.main AND w.tried <> t.whole AS open FROM w JOIN s USING (label), (SELECT CAST(sum(size) AS BIGINT) AS whole FROM w WHERE main) t),
+f AS (SELECT max(struct_pack(size := size, l := -label)) AS f FROM o WHERE open AND 100 * sc >= {LINKS_AT} * size)
+SELECT label, size, main OR coalesce(struct_pack(size := size, l := -label) = f AND open, false), CASE WHEN open AND (f IS NULL OR struct_pack(size := size, l := -label) >= f) THEN whole ELSE tried END, round + 1, open AND (f IS NULL OR struct_pack(size := size, l := -label) >= f),
+coalesce(open AND struct_pack(size := size, l := -label) = f, false), CAST(sc AS BIGINT), whole FROM o, f WHERE EXISTS (SELECT 1 FROM o WHERE open)))
+SELECT round, label, size, main_size, score AS matches, linked FROM w WHERE attempted""")
+def link_order(spark, d):
+    """Attempts to link segments to the main one, in rounds: a segment links by its near pairs with all that have joined."""
+    p = points(spark, d)
+    of = lambda k, name: p.select(F.col("id").alias(k), F.col("label").alias(name))
+    pairs = near(spark, d).select("i", "j").join(of("i", "a"), "i").join(of("j", "b"), "j").filter("a != b")
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    counts = graph.stored(both.groupBy("a", "b").agg(F.count("*").alias("n")))
+    return linking.worklist(p.groupBy("label").agg(F.count("*").alias("size")), counts, LINKS_AT)
+
+
 GAP = f"""WITH e AS (SELECT label, id, x, y, row_number() OVER (PARTITION BY label ORDER BY id) AS k, row_number() OVER (PARTITION BY label ORDER BY id DESC) AS back FROM ({POINTS})),
 v AS (SELECT label, (arg_max(x, id) - arg_min(x, id)) / greatest(max(id) - min(id), 1) AS vx, (arg_max(y, id) - arg_min(y, id)) / greatest(max(id) - min(id), 1) AS vy FROM e WHERE back <= 4 GROUP BY label),
 l AS (SELECT e.*, vx, vy FROM e JOIN v USING (label)), ends AS (SELECT * FROM l WHERE back = 1), firsts AS (SELECT * FROM e WHERE k = 1)

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from petroloom.functions import geometry as g
+from petroloom.operators import graph
 
 
 def mapped(theta: Column, tx: Column, ty: Column, cx: Column, cy: Column) -> tuple[Column, Column]:
@@ -144,6 +145,37 @@ def decided(candidates: DataFrame, said: DataFrame, judged: DataFrame, tests: Da
     return rows.unionByName(checks), ends.select("attempt", "outcome", "support", "rival", F.col("held").cast("int").alias("held"))
 
 
+def worklist(sizes: DataFrame, matches: DataFrame, percent: int) -> DataFrame:
+    """Attempts to link components (label, size) to the largest, which grows by each that links.
+
+    matches: (a, b, n), both ways, how many matches components have with one another; one links if those with all that have
+    joined so far are `percent` hundredths of its size. Each round scores all components that were not tried against the main one as
+    it is, at once. The first that links, the largest and of equals the smallest label, joins; those before it
+    have failed and are open again only because the main one has grown. The rounds end when none is open.
+    Returns (round, label, size, main_size, matches, linked), a row for each attempt."""
+    order = F.struct("size", (-F.col("label")).alias("_l"))
+    top = sizes.agg(F.max(order).alias("t"))
+    state = graph.stored(sizes.join(F.broadcast(top), F.lit(True)).select("label", "size", (order == F.col("t")).alias("main"), F.lit(0).cast("long").alias("tried")))
+    done, number = None, 0
+    while True:
+        whole = state.filter("main").agg(F.sum("size")).first()[0] or 0
+        number += 1
+        joined = state.filter("main").select(F.col("label").alias("b"))
+        score = matches.join(joined, "b").groupBy(F.col("a").alias("label")).agg(F.sum("n").cast("long").alias("matches"))
+        open_ = state.filter(~F.col("main") & (F.col("tried") != whole)).join(score, "label", "left").na.fill(0, ["matches"]).withColumn("fits", 100 * F.col("matches") >= percent * F.col("size"))
+        open_ = graph.stored(open_)
+        if not open_.limit(1).count():
+            break
+        first = open_.filter("fits").agg(F.max(order).alias("f"))  # one row
+        made = open_.join(F.broadcast(first), F.lit(True)).filter(F.col("f").isNull() | (order >= F.col("f")))
+        made = graph.stored(made.select(F.lit(number).alias("round"), "label", "size", F.lit(whole).cast("long").alias("main_size"), "matches", F.coalesce(order == F.col("f"), F.lit(False)).alias("linked")))
+        done = made if done is None else done.unionByName(made)
+        after = state.join(made.select("label", "linked"), "label", "left")
+        state = graph.stored(after.select("label", "size", (F.col("main") | F.coalesce("linked", F.lit(False))).alias("main"), F.when(F.col("linked").isNotNull(), F.lit(whole)).otherwise(F.col("tried")).cast("long").alias("tried")))
+    empty = state.limit(0).select(F.lit(0).alias("round"), "label", "size", F.col("tried").alias("main_size"), F.col("tried").alias("matches"), F.col("main").alias("linked"))
+    return empty if done is None else done
+
+
 def over_gaps(poses: DataFrame, segment: str, gap: float, reach: float, keyframes: int = 3, tail: int = 4) -> DataFrame:
     """Pairs (i, j, dx, dy) of the last keyframes of a segment (numbered) and the first of the next, where the
     motion over its last `tail` ones, carried on for `gap`, puts them within reach."""

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from petroloom.operators.graph import components
+from petroloom.operators.graph import stored
 
 
 def radius_pairs(points: DataFrame, radius: float, key: str = "id") -> DataFrame:
@@ -24,26 +23,32 @@ def untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
     return pairs.join(tested.select("i", "j"), ["i", "j"], "left_anti")
 
 
-def capped(pairs: DataFrame, near: int = 2, far: int = 8, by: str | None = None) -> DataFrame:
-    """Pairs taken in order of distance while neither end has its fill: `near` of ids at most 3 apart,
-    `far` of others. What is taken depends on all before it, so each group of `by` is one task; by
-    default those are the components, whose pairs share no ends with others'."""
-    if by is None:
-        ids = pairs.select(F.col("i").alias("id")).unionByName(pairs.select(F.col("j").alias("id"))).distinct()
-        of = components(ids, pairs).select(F.col("id").alias("i"), F.col("label").alias("_component"))
-        pairs, by = pairs.join(of, "i"), "_component"
-
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts: tuple[dict, dict] = ({}, {})
-        keep = []
-        for i, j in pdf.sort_values(["distance", "i", "j"])[["i", "j"]].itertuples(index=False):
-            c, most = (counts[0], near) if abs(i - j) <= 3 else (counts[1], far)
-            if c.get(i, 0) < most and c.get(j, 0) < most:
-                c[i], c[j] = c.get(i, 0) + 1, c.get(j, 0) + 1
-                keep.append((i, j))
-        return pd.DataFrame(keep, columns=["i", "j"]).merge(pdf[["i", "j", "distance"]], on=["i", "j"])
-
-    return pairs.select(by, "i", "j", "distance").groupBy(by).applyInPandas(take, "i long, j long, distance double")
+def capped(pairs: DataFrame, near: int = 2, far: int = 8) -> DataFrame:
+    """Pairs (i, j, distance) taken in order of distance while neither end has its fill: `near` of ids at most 3
+    apart, `far` of others.
+
+    What is taken depends only on pairs before it that share an end. So in each round every pair is taken that is
+    among the first of both its ends that these still have room for, and pairs of full ends go; the nearest
+    pair left is always one of those taken. A round is two shuffles by end, and no task holds more than an end's
+    pairs."""
+    kind = (F.abs(F.col("i") - F.col("j")) <= 3).cast("int")
+    left = stored(pairs.select("i", "j", "distance", kind.alias("close")).withColumn("room_i", F.when(F.col("close") == 1, near).otherwise(far)).withColumn("room_j", F.col("room_i")))
+    taken = None
+    while left.limit(1).count():
+        end = lambda e: F.struct(F.col(e).alias("end"), F.col(f"room_{e}").alias("room"))
+        ends = left.select("i", "j", "distance", "close", F.explode(F.array(end("i"), end("j"))).alias("e")).select("i", "j", "distance", "close", "e.*")
+        place = F.row_number().over(Window.partitionBy("end", "close").orderBy("distance", "i", "j"))
+        fits = ends.withColumn("fits", place <= F.col("room")).groupBy("i", "j").agg(F.min("fits").alias("fits"))
+        marked = stored(left.join(fits, ["i", "j"]))
+        new = marked.filter("fits")
+        used = new.select("close", F.explode(F.array("i", "j")).alias("end")).groupBy("end", "close").agg(F.count("*").alias("n"))
+        rest = marked.filter("NOT fits").drop("fits")
+        for e in "ij":
+            rest = rest.join(used.select(F.col("end").alias(e), "close", F.col("n").alias("_n")), [e, "close"], "left").withColumn(f"room_{e}", F.col(f"room_{e}") - F.coalesce("_n", F.lit(0))).drop("_n")
+        new = new.select("i", "j", "distance")
+        taken = new if taken is None else taken.unionByName(new)
+        left = stored(rest.filter("room_i > 0 AND room_j > 0").select("i", "j", "distance", "close", "room_i", "room_j"))
+    return pairs.select("i", "j", "distance").limit(0) if taken is None else taken
 
 
 def covered_tiles(boxes: DataFrame, tile: float) -> DataFrame:
