@@ -832,6 +832,57 @@ def link_order(spark, d):
     return linking.worklist(p.groupBy("label").agg(F.count("*").alias("size")), counts, LINKS_AT)
 
 
+# Two rounds of pairing: each segment but the largest begins a little off its place
+
+def pairing(n: str, at: str, reach: float) -> str:
+    """SQL: CTEs that end in <n>m, the matches of the frames of {at} (segment, theta, tx, ty) within reach of main ones."""
+    return f"""{n}w AS (SELECT p.label AS segment, p.id AS s, p.x, p.y, t.theta AS t, cos(t.theta) * p.x - sin(t.theta) * p.y + t.tx AS wx, sin(t.theta) * p.x + cos(t.theta) * p.y + t.ty AS wy FROM ({POINTS}) p JOIN {at} t ON t.segment = p.label),
+{n}d AS (SELECT w.*, q.id AS m, q.x AS qx, q.y AS qy, sqrt(pow(q.x - wx, 2) + pow(q.y - wy, 2)) AS distance FROM {n}w w JOIN ({POINTS}) q ON q.label = {MAIN} AND sqrt(pow(q.x - wx, 2) + pow(q.y - wy, 2)) < {reach}),
+{n}n AS (SELECT * FROM {n}d QUALIFY row_number() OVER (PARTITION BY segment, s ORDER BY distance, m) = 1), {n}o AS (SELECT * FROM {n}n QUALIFY row_number() OVER (PARTITION BY segment, m ORDER BY distance, s) = 1),
+{n}p AS (SELECT *, t + 0.002::DOUBLE * ((s + m) % 7 - 3) AS theta, qx + 3 * ((s * 3 + m) % 9 - 4) AS gx, qy + 3 * ((s + m * 2) % 9 - 4) AS gy FROM {n}o QUALIFY row_number() OVER (PARTITION BY segment ORDER BY distance, m, s) <= 12),
+{n}i AS (SELECT segment, s, m, s * 1000000 + m AS k, 1 / (1 + distance) AS quality, theta, gx - (cos(theta) * x - sin(theta) * y) AS tx, gy - (sin(theta) * x + cos(theta) * y) AS ty FROM {n}p),
+{n}m AS MATERIALIZED (SELECT t.*, cos(theta) * cx - sin(theta) * cy + tx AS mx, sin(theta) * cx + cos(theta) * cy + ty AS my FROM {n}i t JOIN z USING (segment))"""
+
+
+BESIDE_MEAN = "abs({0}.theta - {1}.theta) < radians(2) AND sqrt(pow({0}.mx - {1}.mx, 2) + pow({0}.my - {1}.my, 2)) < 15"
+TO = "SELECT segment, theta, mx - (cos(theta) * cx - sin(theta) * cy) AS tx, my - (sin(theta) * cx + cos(theta) * cy) AS ty FROM {0} JOIN z USING (segment)"
+
+
+@query(f"""WITH z AS (SELECT label AS segment, avg(x) AS cx, avg(y) AS cy FROM ({POINTS}) WHERE label <> {MAIN} GROUP BY label), t0 AS (SELECT segment, 0.001::DOUBLE * segment AS theta, 4::DOUBLE AS tx, -3::DOUBLE AS ty FROM z),
+{pairing("a", "t0", 90.0)}, g AS (SELECT a.segment, a.k, count(*) AS agree, round(sum(b.quality), 6) AS quality FROM am a JOIN am b ON a.segment = b.segment AND {BESIDE_MEAN.format("a", "b")} GROUP BY ALL),
+l AS (SELECT am.* FROM am JOIN (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY segment ORDER BY agree DESC, quality DESC, k) = 1) USING (segment, k)),
+one AS MATERIALIZED (SELECT a.segment, avg(a.theta) AS theta, avg(a.mx) AS mx, avg(a.my) AS my FROM am a JOIN l ON l.segment = a.segment AND {BESIDE_MEAN.format("a", "l")} GROUP BY a.segment), t1 AS MATERIALIZED ({TO.format("one")}),
+{pairing("b", "t1", 40.0)}, two AS MATERIALIZED (SELECT one.segment, coalesce(k.theta, one.theta) AS theta, coalesce(k.mx, one.mx) AS mx, coalesce(k.my, one.my) AS my FROM one LEFT JOIN (SELECT b.segment, avg(b.theta) AS theta, avg(b.mx) AS mx, avg(b.my) AS my FROM bm b JOIN one ON one.segment = b.segment AND {BESIDE_MEAN.format("b", "one")} GROUP BY b.segment) k USING (segment)),
+c AS (SELECT b.segment, count(*) AS matched, count(*) FILTER ({BESIDE_MEAN.format("b", "two")}) AS consistent FROM bm b JOIN two ON two.segment = b.segment GROUP BY b.segment)
+SELECT segment, round(theta, 6) AS theta, round(tx, 6) AS tx, round(ty, 6) AS ty, coalesce(matched, 0) AS matched, coalesce(consistent, 0) AS consistent, coalesce(consistent, 0) >= 2 AND 2 * coalesce(consistent, 0) >= coalesce(matched, 0) AS confirmed FROM ({TO.format("two")}) LEFT JOIN c USING (segment)""")
+def realigned_segments(spark, d):
+    """The transform of each segment after a wide and a narrow round of matches with the largest one. A match puts the
+    segment's frame a few units beside its main frame."""
+    p = points(spark, d)
+    main = p.groupBy("label").count().orderBy(F.desc("count"), "label").limit(1).select("label")
+    of, rest = p.join(main, "label", "left_semi"), p.join(main, "label", "left_anti").withColumnRenamed("label", "component")
+
+    def pairs(transforms: DataFrame, reach: float) -> DataFrame:
+        w = rest.join(transforms, "component")
+        x, y = linking.mapped(F.col("theta"), F.col("tx"), F.col("ty"), F.col("x"), F.col("y"))
+        w = w.select("component", F.col("id").alias("s"), F.col("x").alias("px"), F.col("y").alias("py"), "theta", x.alias("x"), y.alias("y"))
+        # ids tell both sides apart in one radius join
+        both = w.select(F.col("s").alias("id"), "x", "y").unionByName(of.select("id", "x", "y"))
+        near_main = spatial.radius_pairs(both, reach).select("i", "j", "distance")
+        either = near_main.unionByName(near_main.select(F.col("j").alias("i"), F.col("i").alias("j"), "distance"))
+        found = either.join(w.select(F.col("s").alias("i"), "component"), "i").join(of.select(F.col("id").alias("j")), "j").select("component", F.col("i").alias("s"), F.col("j").alias("m"), "distance")
+        few = spatial.attachable(found, "component").join(w.select("s", "px", "py", "theta"), "s").join(of.select(F.col("id").alias("m"), F.col("x").alias("qx"), F.col("y").alias("qy")), "m")
+        s, m = F.col("s"), F.col("m")
+        few = few.withColumn("theta", F.col("theta") + F.lit(0.002) * ((s + m) % 7 - 3))
+        rx, ry = g.rotate(F.col("theta"), F.col("px"), F.col("py"))
+        return few.select("component", "s", "m", (1 / (1 + F.col("distance"))).alias("quality"), "theta", (F.col("qx") + 3 * ((s * 3 + m) % 9 - 4) - rx).alias("tx"), (F.col("qy") + 3 * ((s + m * 2) % 9 - 4) - ry).alias("ty"))
+
+    centres = graph.stored(rest.groupBy("component").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy")))
+    start = centres.select("component", (F.lit(0.001) * F.col("component")).alias("theta"), F.lit(4.0).alias("tx"), F.lit(-3.0).alias("ty"))
+    found = linking.realigned(pairs, start, centres, 90.0, 40.0, 15.0)
+    return found.select(F.col("component").alias("segment"), *[r6(c).alias(c) for c in ("theta", "tx", "ty")], "matched", "consistent", "confirmed")
+
+
 GAP = f"""WITH e AS (SELECT label, id, x, y, row_number() OVER (PARTITION BY label ORDER BY id) AS k, row_number() OVER (PARTITION BY label ORDER BY id DESC) AS back FROM ({POINTS})),
 v AS (SELECT label, (arg_max(x, id) - arg_min(x, id)) / greatest(max(id) - min(id), 1) AS vx, (arg_max(y, id) - arg_min(y, id)) / greatest(max(id) - min(id), 1) AS vy FROM e WHERE back <= 4 GROUP BY label),
 l AS (SELECT e.*, vx, vy FROM e JOIN v USING (label)), ends AS (SELECT * FROM l WHERE back = 1), firsts AS (SELECT * FROM e WHERE k = 1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -145,6 +146,44 @@ def decided(candidates: DataFrame, said: DataFrame, judged: DataFrame, tests: Da
     return rows.unionByName(checks), ends.select("attempt", "outcome", "support", "rival", F.col("held").cast("int").alias("held"))
 
 
+def realigned(pairs: Callable[[DataFrame, float], DataFrame], start: DataFrame, centres: DataFrame, wide: float, narrow: float, tol: float, least: int = 2, rotation_deg: float = 2.0) -> DataFrame:
+    """Better transforms of components from two rounds of matches, for all of them at once.
+
+    start: (component, theta, tx, ty); centres: (component, cx, cy). pairs(transforms, reach) pairs frames under
+    transforms and matches them: (component, s, m, quality, theta, tx, ty). The wide round takes the mean of the
+    largest group that agrees; the narrow one pairs anew under that mean, keeps what agrees with it and means those.
+    Confirmed if `least` matches and half of them lie within tol of the result. Returns (component, theta, tx, ty, matched,
+    consistent, confirmed); components without a wide match have no row."""
+    def matches(transforms: DataFrame, reach: float) -> DataFrame:
+        found = pairs(transforms, reach).join(centres, "component").withColumn("k", F.col("s") * 1000000 + F.col("m"))
+        return graph.stored(with_centres(found))
+
+    def mean(group: DataFrame) -> DataFrame:
+        """(component, g_theta, g_mx, g_my)"""
+        return group.groupBy("component").agg(*[F.avg(c).alias(f"g_{c}") for c in ("theta", "mx", "my")])
+
+    def beside(found: DataFrame, at: DataFrame) -> DataFrame:
+        near = (F.abs(F.col("theta") - F.col("g_theta")) < math.radians(rotation_deg)) & (F.hypot(F.col("mx") - F.col("g_mx"), F.col("my") - F.col("g_my")) < tol)
+        return found.join(at, "component").withColumn("agrees", near)
+
+    def transform(at: DataFrame) -> DataFrame:
+        x, y = g.rotate(F.col("g_theta"), F.col("cx"), F.col("cy"))
+        return at.join(centres, "component").select("component", F.col("g_theta").alias("theta"), (F.col("g_mx") - x).alias("tx"), (F.col("g_my") - y).alias("ty"))
+
+    first = matches(start, wide)
+    groups = agreeing(first, "component", tol, rotation_deg)
+    order = Window.partitionBy("component").orderBy(F.desc("agree"), F.desc(F.round("quality", 6)), "k")
+    best = groups.withColumn("_r", F.row_number().over(order)).filter("_r = 1").select("component", "k")
+    lead = first.join(best, ["component", "k"]).select("component", F.col("theta").alias("g_theta"), F.col("mx").alias("g_mx"), F.col("my").alias("g_my"))
+    one = graph.stored(mean(beside(first, lead).filter("agrees")))
+    second = matches(transform(one), narrow)
+    kept = mean(beside(second, one).filter("agrees"))
+    two = graph.stored(one.select("component", *[F.col(f"g_{c}").alias(f"_{c}") for c in ("theta", "mx", "my")]).join(kept, "component", "left").select("component", *[F.coalesce(f"g_{c}", f"_{c}").alias(f"g_{c}") for c in ("theta", "mx", "my")]))
+    counts = beside(second, two).groupBy("component").agg(F.count("*").alias("matched"), F.count_if("agrees").alias("consistent"))
+    out = transform(two).join(counts, "component", "left").na.fill(0, ["matched", "consistent"])
+    return out.withColumn("confirmed", (F.col("consistent") >= least) & (2 * F.col("consistent") >= F.col("matched")))
+
+
 def worklist(sizes: DataFrame, matches: DataFrame, percent: int) -> DataFrame:
     """Attempts to link components (label, size) to the largest, which grows by each that links.
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import math
 import os
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -14,7 +16,7 @@ from petroloom.functions import posegraph as pg
 from petroloom.functions.fov import FieldOfView
 from petroloom.plans import pipeline
 from petroloom.plans.matching import SparkMatcher
-from petroloom.plans.posegraph import Candidates
+from petroloom.plans.posegraph import MATCH, Candidates
 from petroloom.settings import Settings
 
 Transform = tuple[float, float, float]  # shift and angle, from a component's frame to the main one
@@ -35,6 +37,23 @@ def from_points(pairs: list[tuple[tuple[float, float], tuple[float, float]]]) ->
     return t, float(np.sqrt(((apply(t, u) - v) ** 2).sum(axis=1).mean()))
 
 
+class Alignment(NamedTuple):
+    """transform: the best found, also where it is not confirmed; counts of pairs asked for, matched and consistent;
+    mean quality and root mean square residual of the consistent ones; how far the component's centre moved; the
+    matches with `residual` and `consistent`; a sentence for the user."""
+
+    transform: Transform
+    confirmed: bool
+    tested: int
+    matched: int
+    consistent: int
+    quality: float
+    rms: float
+    moved: float
+    pairs: pd.DataFrame
+    message: str
+
+
 class MergeSession:
     def __init__(self, spark: SparkSession, out: str) -> None:
         self.spark, self.out, self.folder = spark, out, f"{out}/merge"
@@ -55,6 +74,20 @@ class MergeSession:
         how = {m["component"]: m["method"] for m in self.state["merges"]}
         return "used" if c == 0 else "dropped" if c < 0 else {"registered": "merged", "manual": "merged-manual"}.get(how.get(c), "unlinked")
 
+    def output(self, c: int = 0) -> dict:
+        """The mosaic of a component: its files, origin and size."""
+        return self.state["outputs"][str(c)]
+
+    def preview_scale(self, c: int = 0) -> float:
+        """Pixels of the preview for one of the mosaic."""
+        return min(1.0, self.settings.preview_max_size / max(self.output(c)["size"]))
+
+    def frame_info(self, c: int) -> pd.DataFrame:
+        """The frames of a component with their places in its mosaic."""
+        ox, oy = self.output(c)["origin"]
+        mine = self.table[self.table["component"] == c]
+        return mine.assign(x=mine["x"] - ox, y=mine["y"] - oy)
+
     def world(self) -> pd.DataFrame:
         """Poses of the main component and all that was merged, in the main frame."""
         parts = [self.table[self.table["component"] == 0]]
@@ -80,44 +113,70 @@ class MergeSession:
                 out.append((int(row["id"]), int(seg.iloc[k]["id"]), *off, seg.iloc[k]["theta"] + t[2] - row["theta"]))
         return pd.DataFrame(out, columns=["i", "j", "dx", "dy", "phi"])
 
-    def refine(self, c: int, t: Transform, radius: float = 0.3) -> tuple[Transform | None, int, int]:
-        """A better transform from registrations near the given one, wide and then narrow; with how many
-        matches agree, and how many there were. None if too few agree."""
-        st, d, matched, group = self.settings, self.fov.diameter, 0, []
-        for r, far in ((radius, (0.85 + radius) * d), (max(st.link_tolerance, 0.02), 0.85 * d)):
-            pairs = self.pairs(c, t, far)
-            found = SparkMatcher(self.crops, self.fov, st).local(pairs, r) if len(pairs) else pairs
-            if not len(found):
-                return None, 0, 0
-            poses = np.full((int(self.table["id"].max()) + 1, 3), np.nan)
-            world = pd.concat([self.world(), self.table[self.table["component"] == c]])
-            poses[world["id"].to_numpy(int)] = world[["x", "y", "theta"]].to_numpy(float)
-            centre = self.table[self.table["component"] == c][["x", "y"]].to_numpy(float).mean(axis=0)
-            cands = Candidates.of(found, poses, "manual", centre)
-            agree = cands.agreement(st.link_tolerance * d, math.radians(max(1.0, st.max_rotation_deg, 2.0)))
-            group = max((np.flatnonzero(row) for row in agree), key=lambda g: (len(g), float(cands.table.loc[g, "quality"].sum())))
-            matched = len(found)
-            theta = float(cands.table.loc[group, "theta"].mean())
-            shift = cands.mapped()[group].mean(axis=0) - pg.turn(theta) @ centre
-            t = (float(shift[0]), float(shift[1]), theta)
-        good = len(group) >= st.manual_min_pairs and 2 * len(group) >= matched
-        return (t if good else None), len(group), matched
+    def _matches(self, c: int, t: Transform, window: float, far: float) -> tuple[Candidates, int]:
+        """Registrations of the component's pairs near t, and how many pairs there were."""
+        pairs, world = self.pairs(c, t, far), pd.concat([self.world(), self.table[self.table["component"] == c]])
+        found = SparkMatcher(self.crops, self.fov, self.settings).local(pairs, window) if len(pairs) else pd.DataFrame(columns=MATCH)
+        poses = np.full((int(self.table["id"].max()) + 1, 3), np.nan)
+        poses[world["id"].to_numpy(int)] = world[["x", "y", "theta"]].to_numpy(float)
+        return Candidates.of(found, poses, "manual", self._centre(c)), len(pairs)
+
+    def _centre(self, c: int) -> np.ndarray:
+        return self.table[self.table["component"] == c][["x", "y"]].to_numpy(float).mean(axis=0)
+
+    def refine(self, c: int, t: Transform, radius: float = 0.3) -> Alignment:
+        """A better transform from registrations near the given one. A wide round takes the mean of the largest group
+        that agrees; a narrow one pairs frames anew under that mean and keeps what agrees with it."""
+        st, d = self.settings, self.fov.diameter
+        tol, turn, centre = st.link_tolerance * d, math.radians(max(1.0, st.max_rotation_deg, 2.0)), self._centre(c)
+
+        def mean(of: Candidates, rows: np.ndarray) -> Transform:
+            theta = float(of.table.loc[rows, "theta"].mean())
+            x, y = of.mapped()[rows].mean(axis=0) - pg.turn(theta) @ centre
+            return float(x), float(y), theta
+
+        def beside(of: Candidates, at: Transform) -> tuple[np.ndarray, np.ndarray]:
+            """How far each puts the centre from where `at` does, and whether it agrees with it."""
+            off = np.linalg.norm(of.mapped() - apply(at, centre), axis=1)
+            return off, (off < tol) & (np.abs(of.table["theta"].to_numpy(float) - at[2]) < turn)
+
+        wide, n = self._matches(c, t, radius, (0.85 + radius) * d)
+        if wide.table.empty:
+            return Alignment(t, False, n, 0, 0, 0.0, 0.0, 0.0, wide.table, "no pair could be registered within the window" if n else "the component does not overlap the main mosaic there")
+        agree = wide.agreement(tol, turn)
+        one = mean(wide, max((np.flatnonzero(row) for row in agree), key=lambda g: (len(g), float(wide.table.loc[g, "quality"].sum()))))
+        narrow, n = self._matches(c, one, max(st.link_tolerance, 0.02), 0.85 * d)
+        kept = np.flatnonzero(beside(narrow, one)[1]) if len(narrow.table) else np.zeros(0, int)
+        two = mean(narrow, kept) if len(kept) else one
+        off, good = beside(narrow, two) if len(narrow.table) else (np.zeros(0), np.zeros(0, bool))
+        few = max(1, st.manual_min_pairs)
+        confirmed = good.sum() >= max(few, len(good) / 2)
+        quality = float(narrow.table.loc[good, "quality"].mean()) if good.any() else 0.0
+        rms = float(np.sqrt((off[good] ** 2).mean())) if good.any() else 0.0
+        said = "confirmed" if confirmed else f"not confirmed: {int(good.sum())} of {len(good)} matched pairs agree, {few} and a majority are asked for"
+        moved = float(np.linalg.norm(apply(two, centre) - apply(t, centre)))
+        return Alignment(two, bool(confirmed), n, len(good), int(good.sum()), quality, rms, moved, narrow.table.assign(residual=off, consistent=good), said)
 
     def merge(self, c: int, t: Transform, method: str = "registered") -> None:
         """Renders the main mosaic anew with the component in it; on any error nothing changes."""
         if c not in self.unlinked():
             raise ValueError(f"component {c} is not an unlinked one")
         self.state["merges"].append({"component": c, "transform": list(t), "method": method})
+        new = [f"{self.out}/mosaic_merged.tif.part", f"{self.out}/preview_merged.part.jpg"]
         try:
             result = pipeline.Result(self.out, self.fov, self.table, None, None)
             world = self.world().assign(component=0)
             result.mosaics = {}
             mosaic_out = pipeline.mosaic.tiles(self.crops, world, self.fov, self.settings, self.gain)
-            pipeline.mosaic.save(mosaic_out, f"{self.out}/mosaic_merged.tif.part", self.settings, f"{self.out}/preview_merged.jpg")
+            pipeline.mosaic.save(mosaic_out, new[0], self.settings, new[1])
         except BaseException:
             self.state["merges"].pop()
+            for path in new:
+                with contextlib.suppress(FileNotFoundError):
+                    os.remove(path)
             raise
-        os.replace(f"{self.out}/mosaic_merged.tif.part", f"{self.out}/mosaic_merged.tif")
+        os.replace(new[0], f"{self.out}/mosaic_merged.tif")
+        os.replace(new[1], f"{self.out}/preview_merged.jpg")
         pipeline.write_state(self.folder, self.state)
         self._report(world)
         with open(f"{self.out}/merge_log.txt", "a") as f:

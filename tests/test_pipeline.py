@@ -80,8 +80,23 @@ def test_confirming_round(spark, result, monkeypatch):
     pairs, local = session.pairs, merge.SparkMatcher.local
     monkeypatch.setattr(session, "pairs", lambda c, t, d: far.append(d) or pairs(c, t, d))
     monkeypatch.setattr(merge.SparkMatcher, "local", lambda self, p, r: near.append(r) or local(self, p, r))
-    session.refine(1, (0.0, 0.0, 0.0), 0.2)
-    assert far == pytest.approx([1.05 * session.fov.diameter, 0.85 * session.fov.diameter]) and near == [0.2, 0.05]
+    found = session.refine(1, (0.0, 0.0, 0.0), 0.2)
+    assert found.confirmed and far == pytest.approx([1.05 * session.fov.diameter, 0.85 * session.fov.diameter]) and near == [0.2, 0.05]
+
+
+def test_a_failure_leaves_nothing_behind(spark, result, monkeypatch):
+    session = merge.MergeSession(spark, result.out)
+    session.table.loc[len(session.table) // 2 :, "component"] = 1
+    before = sorted(os.listdir(result.out))
+
+    def broken(tiles, path, settings, preview):
+        open(path, "wb").close()
+        raise OSError("disk full")
+
+    monkeypatch.setattr(merge.pipeline.mosaic, "save", broken)
+    with pytest.raises(OSError):
+        session.merge(1, (0.0, 0.0, 0.0))
+    assert sorted(os.listdir(result.out)) == before and session.unlinked() == [1]
 
 
 def test_attaching_by_hand(spark, result):
@@ -99,13 +114,18 @@ def test_attaching_by_hand(spark, result):
     back = (-(c * 30.0 + s * -12.0), -(-s * 30.0 + c * -12.0), -turned[2])
     session.settings = SETTINGS.replace(max_rotation_deg=3.0)
     start = (back[0] + 0.06 * FOV.diameter, back[1] - 0.04 * FOV.diameter, back[2] + math.radians(0.5))
-    got, agree, matched = session.refine(1, start, 0.2)
-    assert got and agree >= 2 and agree <= matched
+    found = session.refine(1, start, 0.2)
+    got = found.transform
+    assert found.confirmed and 2 <= found.consistent <= found.matched <= found.tested and found.message == "confirmed"
+    assert found.pairs["consistent"].sum() == found.consistent and found.rms < 3 and found.quality > 0.5 and found.moved > 5
+    away = session.refine(1, (9e5, 0.0, 0.0), 0.2)
+    assert not away.confirmed and away.tested == 0 and "overlap" in away.message
     centre = session.table.loc[mine, ["x", "y"]].to_numpy().mean(axis=0)
     assert np.hypot(*(merge.apply(got, centre) - merge.apply(back, centre))) < 1.0
     before = open(f"{result.out}/mosaic.tif", "rb").read()
     session.merge(1, got)
     assert open(f"{result.out}/mosaic.tif", "rb").read() == before and os.path.exists(f"{result.out}/mosaic_merged.tif")
+    assert session.preview_scale() <= 1 and len(session.frame_info(0)) == (session.table["component"] == 0).sum()
     again = merge.MergeSession(spark, result.out)
     assert again.unlinked() == [] and again.status(1) == "merged"
     report = pd.read_csv(f"{result.out}/frame_positions_merged.csv")
