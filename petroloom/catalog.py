@@ -564,6 +564,66 @@ def flat_field_pixels(spark, d):
     return found.select("label", "py", "px", "n", r6("middle").alias("middle"))
 
 
+NEXT = "SELECT vec_id AS i, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS j FROM embeddings"
+FILLED = f"SELECT vec_id, px, py, CASE WHEN level >= 0 THEN level END AS level FROM ({PIXELS})"
+
+
+@query(f"""WITH p AS MATERIALIZED (SELECT vec_id, px, py, level FROM ({PIXELS}) WHERE level > -0.1),
+s AS (SELECT i, j, a.px - b.px AS sx, a.py - b.py AS sy, count(*) AS n, sum(a.level) AS f, sum(b.level) AS g, sum(a.level * a.level) AS ff, sum(b.level * b.level) AS gg, sum(a.level * b.level) AS fg FROM ({NEXT}) n JOIN p a ON a.vec_id = n.i JOIN p b ON b.vec_id = n.j GROUP BY ALL HAVING count(*) >= 10),
+v AS (SELECT i, j, sx, sy, (ff - f * f / n) * (gg - g * g / n) AS den, fg - f * g / n AS num FROM s),
+c AS MATERIALIZED (SELECT i, j, sx, sy, round(CASE WHEN den > 1e-12 THEN least(1, greatest(-1, num / sqrt(den))) ELSE 0 END, 9) AS ncc FROM v),
+t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY i, j ORDER BY ncc DESC, sy, sx) = 1),
+o AS (SELECT t.i, t.j, greatest(0, coalesce(max(c.ncc) FILTER (pow(c.sx - t.sx, 2) + pow(c.sy - t.sy, 2) > 9), 0)) AS second, max(c.ncc) FILTER (c.sx = t.sx - 1 AND c.sy = t.sy) AS l, max(c.ncc) FILTER (c.sx = t.sx + 1 AND c.sy = t.sy) AS r,
+max(c.ncc) FILTER (c.sy = t.sy - 1 AND c.sx = t.sx) AS u, max(c.ncc) FILTER (c.sy = t.sy + 1 AND c.sx = t.sx) AS d FROM t JOIN c USING (i, j) GROUP BY t.i, t.j)
+SELECT i, j, round(sx + CASE WHEN l - 2 * ncc + r < 0 THEN least(0.5, greatest(-0.5, 0.5 * (l - r) / (l - 2 * ncc + r))) ELSE 0 END, 6) AS sx, round(sy + CASE WHEN u - 2 * ncc + d < 0 THEN least(0.5, greatest(-0.5, 0.5 * (u - d) / (u - 2 * ncc + d))) ELSE 0 END, 6) AS sy,
+round(ncc, 6) AS peak, round(second, 6) AS second FROM t JOIN o USING (i, j)""")
+def masked_correlation(spark, d):
+    """The shift between each picture and the next of its video: masked correlation over all shifts, its peak to a part
+    of a pixel, and the second peak away from it."""
+    p = pictures(spark, d)
+    after = F.lead("vec_id").over(Window.partitionBy("label").orderBy("vec_id"))
+    pairs = p.select(F.col("vec_id").alias("i"), after.alias("j")).filter("j IS NOT NULL")
+    seen = pixels.exploded(p, "embedding", SIDE, "vec_id").filter("level > -0.1")
+    scores = pixels.shifts(pairs, seen, "vec_id", 10).withColumn("ncc", F.round("ncc", 9))
+    found = pixels.peaks(scores, 3.0)
+    return found.select("i", "j", *[r6(c).alias(c) for c in ("sx", "sy", "peak", "second")])
+
+
+def halved(n: str, of: str) -> str:
+    return f"{n} AS MATERIALIZED (SELECT vec_id, px // 2 AS px, py // 2 AS py, avg(level) AS level FROM {of} GROUP BY ALL)"
+
+
+def pulled(n: str, own: str, coarse: str) -> str:
+    return f"{n} AS MATERIALIZED (SELECT o.vec_id, o.px, o.py, coalesce(o.level, c.level) AS level FROM {own} o JOIN {coarse} c ON c.vec_id = o.vec_id AND c.px = o.px // 2 AND c.py = o.py // 2)"
+
+
+@query(f"""WITH a AS MATERIALIZED ({FILLED}), {halved("b", "a")}, {halved("c", "b")}, {halved("e", "c")}, {pulled("c2", "c", "e")}, {pulled("b2", "b", "c2")}, {pulled("a2", "a", "b2")}
+SELECT vec_id, px, py, round(level, 6) AS level FROM a2""")
+def filled_pixels(spark, d):
+    """Pictures whose holes (dark pixels) are filled from coarser and coarser means."""
+    seen = pixels.exploded(pictures(spark, d), "embedding", SIDE, "vec_id").withColumn("level", F.when(F.col("level") >= 0, F.col("level")))
+    return pixels.filled(seen, "vec_id", 3).select("vec_id", "px", "py", r6("level").alias("level"))
+
+
+TERMS = [(a, b) for a in range(5) for b in range(5 - a)]
+ROW = "[" + ", ".join(f"pow(x, {a}) * pow(y, {b})" for a, b in TERMS) + "]"
+
+
+@query(f"""WITH RECURSIVE f AS MATERIALIZED (SELECT label, px / 3.5::DOUBLE - 1 AS x, py / 3.5::DOUBLE - 1 AS y, median(level) AS z FROM ({PIXELS}) WHERE level >= 0 GROUP BY label, px, py HAVING count(*) >= 5),
+t AS (SELECT label, {ROW} AS r, z FROM f), q AS (SELECT label, r.i, c.j, sum(t.r[r.i] * CASE WHEN c.j = 16 THEN z ELSE t.r[c.j] END) AS v FROM t, range(1, 16) r(i), range(1, 17) c(j) GROUP BY ALL),
+m AS (SELECT label, list(row ORDER BY i) AS m FROM (SELECT label, i, list(v ORDER BY j) AS row FROM q GROUP BY label, i) GROUP BY label),
+s AS (SELECT label, 1 AS k, m FROM m UNION ALL SELECT label, k + 1, [CASE WHEN r = k THEN m[r] ELSE [m[r][c] - m[r][k] / m[k][k] * m[k][c] for c in range(1, 17)] END for r in range(1, 16)] FROM s WHERE k <= 15)
+SELECT label, CAST(r - 1 AS INTEGER) AS term, round(m[r][16] / m[r][r], 6) AS coefficient FROM s, range(1, 16) t(r) WHERE k = 16""")
+def flat_field_polynomial(spark, d):
+    """The illumination of each video as a polynomial of degree four, fitted to the medians of its pixels."""
+    seen = pixels.exploded(pictures(spark, d), "embedding", SIDE, "label").filter("level >= 0")
+    at = lambda c: (F.col(c) / 3.5 - 1).alias(c[1])
+    middle = seen.groupBy("label", "px", "py").agg(F.percentile("level", 0.5).alias("z"), F.count("*").alias("n")).filter("n >= 5").select("label", at("px"), at("py"), "z")
+    terms = [F.pow("x", F.lit(float(a))) * F.pow("y", F.lit(float(b))) for a, b in TERMS]
+    found = fitting.linear(middle, ["label"], terms, F.col("z"))
+    return found.select("label", F.posexplode("solution").alias("term", "coefficient")).withColumn("coefficient", r6("coefficient"))
+
+
 FINE = COVER.replace(f"/ {TILE}", "/ 16.0")
 FINE_WEIGHT = WEIGHT.replace(f"* {TILE}", "* 16.0")
 

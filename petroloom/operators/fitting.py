@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def circle(points: DataFrame, key: list[str]) -> DataFrame:
@@ -55,3 +55,26 @@ def rigid(points: DataFrame, key: list[str]) -> DataFrame:
     sums = sums.withColumn("theta", t)
     c, s = F.cos("theta"), F.sin("theta")
     return sums.select(*key, "theta", (F.col("m_vx") - (c * F.col("m_ux") - s * F.col("m_uy"))).alias("tx"), (F.col("m_vy") - (s * F.col("m_ux") + c * F.col("m_uy"))).alias("ty"))
+
+
+def linear(df: DataFrame, key: list[str], terms: list[Column], value: Column) -> DataFrame:
+    """(key, solution): the least squares coefficients of terms for value. Each key's normal equations are sums, gathered
+    with partial aggregation, and solved by elimination inside the row; the matrix is positive, so no rows change
+    places."""
+    n = len(terms)
+    wide = df.select(*key, F.array(*terms).alias("_t"), value.alias("_v"))
+    sums = [F.sum(F.col("_t")[i] * (F.col("_t")[j] if j < n else F.col("_v"))) for i in range(n) for j in range(n + 1)]
+    made = wide.groupBy(*key).agg(*[c.alias(f"_{k}") for k, c in enumerate(sums)])
+    rows = F.array(*[F.array(*[F.col(f"_{i * (n + 1) + j}") for j in range(n + 1)]) for i in range(n)])
+
+    def eliminate(m: Column, k: Column) -> Column:
+        lead = F.element_at(m, k + 1)
+
+        def clear(row: Column, r: Column) -> Column:
+            by = F.element_at(row, k + 1) / F.element_at(lead, k + 1)
+            return F.when(r == k, row).otherwise(F.zip_with(row, lead, lambda a, b: a - by * b))
+
+        return F.transform(m, clear)
+
+    solved = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), rows, eliminate)
+    return made.select(*key, F.transform(solved, lambda row, r: F.element_at(row, n + 1) / F.element_at(row, r + 1)).alias("solution"))

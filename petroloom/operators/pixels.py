@@ -33,3 +33,48 @@ def laplacian_variance(image: str, width: int, height: int) -> Column:
     # the list of differences is bound once
     varied = F.transform(F.array(at), lambda a: total(F.transform(F.transform(a, lambda x: x - total(a) / len(inner)), lambda d: d * d)) / len(inner))
     return F.element_at(varied, 1)
+
+
+def shifts(pairs: DataFrame, seen: DataFrame, key: str, least: int) -> DataFrame:
+    """(i, j, sx, sy, ncc): the correlation of pictures i and j under each shift at which `least` pixels that both show lie
+    upon each other (a pixel of i is one of j plus the shift). seen: (key, px, py, level), the pixels that are
+    not masked. The six sums of a shift are aggregated where the pixels of a pair meet."""
+    side = lambda e: seen.select(F.col(key).alias(e), *[F.col(c).alias(f"{c}_{e}") for c in ("px", "py", "level")])
+    f, g = F.col("level_i"), F.col("level_j")
+    both = pairs.join(side("i"), "i").join(side("j"), "j")
+    sums = both.groupBy("i", "j", (F.col("px_i") - F.col("px_j")).alias("sx"), (F.col("py_i") - F.col("py_j")).alias("sy")).agg(F.count("*").alias("n"), F.sum(f).alias("f"), F.sum(g).alias("g"), F.sum(f * f).alias("ff"), F.sum(g * g).alias("gg"), F.sum(f * g).alias("fg")).filter(F.col("n") >= least)
+    spread = (F.col("ff") - F.col("f") * F.col("f") / F.col("n")) * (F.col("gg") - F.col("g") * F.col("g") / F.col("n"))
+    shared = F.col("fg") - F.col("f") * F.col("g") / F.col("n")
+    return sums.select("i", "j", "sx", "sy", F.when(spread > 1e-12, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), shared / F.sqrt(spread)))).otherwise(0.0).alias("ncc"))
+
+
+def peaks(scores: DataFrame, radius: float) -> DataFrame:
+    """(i, j, sx, sy, peak, second): the best shift of each pair, moved by a parabola through its neighbours by half a
+    pixel at most, and the best score further than radius from it, 0 at least."""
+    top = scores.groupBy("i", "j").agg(F.max(F.struct("ncc", (-F.col("sy")).alias("y"), (-F.col("sx")).alias("x"))).alias("t"))
+    top = top.select("i", "j", F.col("t.ncc").alias("peak"), (-F.col("t.x")).alias("tx"), (-F.col("t.y")).alias("ty"))
+    both = scores.join(top, ["i", "j"]).withColumn("dx", F.col("sx") - F.col("tx")).withColumn("dy", F.col("sy") - F.col("ty"))
+    beside = lambda x, y: F.max(F.when((F.col("dx") == x) & (F.col("dy") == y), F.col("ncc")))
+    away = F.max(F.when(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") > radius * radius, F.col("ncc")))
+    found = both.groupBy("i", "j", "tx", "ty", "peak").agg(F.greatest(F.lit(0.0), F.coalesce(away, F.lit(0.0))).alias("second"), beside(-1, 0).alias("l"), beside(1, 0).alias("r"), beside(0, -1).alias("u"), beside(0, 1).alias("d"))
+
+    def part(a: str, b: str) -> Column:
+        bend = F.col(a) - 2 * F.col("peak") + F.col(b)
+        return F.when(bend < 0, F.least(F.lit(0.5), F.greatest(F.lit(-0.5), 0.5 * (F.col(a) - F.col(b)) / bend))).otherwise(0.0)
+
+    return found.select("i", "j", (F.col("tx") + part("l", "r")).alias("sx"), (F.col("ty") + part("u", "d")).alias("sy"), "peak", "second")
+
+
+def filled(seen: DataFrame, key: str, levels: int) -> DataFrame:
+    """seen (key, px, py, level or null for a hole) with holes filled: means of two by two pixels without holes make each
+    coarser level, and from the coarsest down a hole takes what lies over it."""
+    pyramid = [seen.select(key, "px", "py", "level")]
+    half = lambda c: F.floor(F.col(c) / 2).cast("int").alias(c)
+    for _ in range(levels):
+        pyramid.append(pyramid[-1].groupBy(key, half("px"), half("py")).agg(F.avg("level").alias("level")))
+    whole = pyramid.pop()
+    for own in reversed(pyramid):
+        over = whole.select(key, F.col("px").alias("_x"), F.col("py").alias("_y"), F.col("level").alias("_over"))
+        there = own.withColumn("_x", half("px")).withColumn("_y", half("py"))
+        whole = there.join(over, [key, "_x", "_y"]).select(key, "px", "py", F.coalesce("level", "_over").alias("level"))
+    return whole

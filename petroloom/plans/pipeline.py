@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from petroloom.functions import blend, draw, fov as fv, imaging as im
 from petroloom.operators.graph import cut, shared_folder
 from petroloom.plans import keyframes as kf, mosaic
+from petroloom.plans.control import cancellable
 from petroloom.plans.matching import SparkMatcher
 from petroloom.plans.posegraph import MATCH, PoseGraph
 from petroloom.settings import Settings
@@ -130,7 +131,13 @@ def positions(keyframes: pd.DataFrame, poses: np.ndarray, component: np.ndarray,
 
 
 def run(frames: DataFrame, out: str, settings: Settings = Settings(), fov: fv.FieldOfView | None = None, fps: float = 30.0, progress: Callable[[float, str], None] | None = None, cancelled: Callable[[], bool] | None = None) -> Result:
-    """Builds the mosaics of one video's frames (schema.FRAMES) in the folder out."""
+    """Builds the mosaics of one video's frames (schema.FRAMES) in the folder out. Once cancelled() says so, the jobs
+    that run are interrupted and InterruptedError is raised."""
+    with cancellable(frames.sparkSession, cancelled):
+        return _run(frames, out, settings, fov, fps, progress, cancelled)
+
+
+def _run(frames: DataFrame, out: str, settings: Settings, fov: fv.FieldOfView | None, fps: float, progress: Callable[[float, str], None] | None, cancelled: Callable[[], bool] | None) -> Result:
     def tell(share: float, what: str) -> None:
         if cancelled and cancelled():
             raise InterruptedError(what)

@@ -83,3 +83,21 @@ def test_stream_goes_on_from_its_checkpoint(spark, sf, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert {tuple(r[:-1]) for r in rows} == want and len(rows) == len(want)
     assert max(r["late"] for r in rows) == 2
+
+
+def test_cancel_stops_running_jobs(spark):
+    import time
+
+    from petroloom.plans.control import cancellable
+
+    def slow(pdfs):
+        for pdf in pdfs:
+            time.sleep(60)
+            yield pdf
+
+    start = time.time()
+    with pytest.raises(InterruptedError), cancellable(spark, lambda: time.time() - start > 2):
+        spark.range(4).repartition(2).mapInPandas(slow, "id long").collect()
+    assert time.time() - start < 30
+    with cancellable(spark, lambda: False):
+        assert spark.range(3).count() == 3
