@@ -624,6 +624,36 @@ def flat_field_polynomial(spark, d):
     return found.select("label", F.posexplode("solution").alias("term", "coefficient")).withColumn("coefficient", r6("coefficient"))
 
 
+GROWN = f"SELECT DISTINCT vec_id, px + x AS px, py + y AS py FROM ({PIXELS}), (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) m(x, y) WHERE level > 0.2 AND px + x BETWEEN 0 AND {SIDE - 1} AND py + y BETWEEN 0 AND {SIDE - 1}"
+REGION = f"""g AS MATERIALIZED ({GROWN}), c AS MATERIALIZED (SELECT vec_id, px, py, vec_id * {SIDE * SIDE} + py * {SIDE} + px AS id FROM g WHERE NOT EXISTS (SELECT 1 FROM (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) m(x, y)
+WHERE g.px + x BETWEEN 0 AND {SIDE - 1} AND g.py + y BETWEEN 0 AND {SIDE - 1} AND (g.vec_id, g.px + x, g.py + y) NOT IN (SELECT (vec_id, px, py) FROM g))),
+e AS MATERIALIZED (SELECT a.id AS i, b.id AS j FROM c a JOIN c b ON a.vec_id = b.vec_id AND abs(a.px - b.px) + abs(a.py - b.py) = 1), r AS (SELECT id, id AS r FROM c UNION SELECT e.j, r.r FROM r JOIN e ON e.i = r.id),
+l AS (SELECT id, min(r) AS blob FROM r GROUP BY id), z AS (SELECT vec_id, blob, count(*) AS size FROM c JOIN l USING (id) GROUP BY ALL), t AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY size DESC, blob) = 1),
+s AS MATERIALIZED (SELECT c.vec_id, c.px, c.py, t.size FROM c JOIN l USING (id) JOIN t ON t.vec_id = c.vec_id AND t.blob = l.blob)"""
+
+
+def region(spark: SparkSession, d: str) -> DataFrame:
+    """The pixels of the largest blob of each picture, once its bright pixels are closed."""
+    bright = pixels.exploded(pictures(spark, d), "embedding", SIDE, "vec_id").filter("level > 0.2").select("vec_id", "px", "py")
+    found = graph.stored(pixels.blobs(pixels.closed(bright, "vec_id", SIDE, SIDE), "vec_id", SIDE, SIDE))
+    top = found.groupBy("vec_id").agg(F.max(F.struct("size", (-F.col("blob")).alias("b"))).alias("t")).select("vec_id", (-F.col("t.b")).alias("blob"))
+    return found.join(top, ["vec_id", "blob"])
+
+
+@query(f"WITH RECURSIVE {REGION} SELECT vec_id, size, count(*) AS pixels, min(px) AS x0, min(py) AS y0, max(px) AS x1, max(py) AS y1 FROM s GROUP BY vec_id, size")
+def largest_blob(spark, d):
+    """Size and box of the largest bright region of each picture, as the field of view is looked for."""
+    box = [f(c).alias(f"{c[1]}{k}") for k, f in ((0, F.min), (1, F.max)) for c in ("px", "py")]
+    return region(spark, d).groupBy("vec_id", "size").agg(F.count("*").alias("pixels"), *box)
+
+
+@query(f"""WITH RECURSIVE {REGION}, n AS (SELECT vec_id, py, -1 AS side, min(px) AS px FROM s GROUP BY vec_id, py UNION ALL SELECT vec_id, py, 1, max(px) FROM s GROUP BY vec_id, py)
+SELECT vec_id, side, px, py FROM n a WHERE NOT EXISTS (SELECT 1 FROM n b JOIN n c ON b.vec_id = a.vec_id AND c.vec_id = a.vec_id AND b.side = a.side AND c.side = a.side AND b.py < a.py AND c.py > a.py AND (b.px - a.px) * (c.py - a.py) * a.side + (c.px - a.px) * (a.py - b.py) * a.side >= 0)""")
+def hull_corners(spark, d):
+    """Corners of the convex hull of each picture's largest region."""
+    return pixels.hull_corners(region(spark, d), "vec_id")
+
+
 FINE = COVER.replace(f"/ {TILE}", "/ 16.0")
 FINE_WEIGHT = WEIGHT.replace(f"* {TILE}", "* 16.0")
 

@@ -3,7 +3,7 @@ fields do, as column expressions and aggregates."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def exploded(frames: DataFrame, image: str, width: int, *keys: str) -> DataFrame:
@@ -78,3 +78,51 @@ def filled(seen: DataFrame, key: str, levels: int) -> DataFrame:
         there = own.withColumn("_x", half("px")).withColumn("_y", half("py"))
         whole = there.join(over, [key, "_x", "_y"]).select(key, "px", "py", F.coalesce("level", "_over").alias("level"))
     return whole
+
+
+CROSS = [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)]
+
+
+def _around(seen: DataFrame, key: str, width: int, height: int) -> DataFrame:
+    """(key, px, py): each pixel of seen and its four neighbours within the picture, as often as they occur."""
+    moves = F.array(*[F.struct((F.col("px") + x).cast("int").alias("px"), (F.col("py") + y).cast("int").alias("py")) for x, y in CROSS])
+    at = seen.select(key, F.explode(moves).alias("_m")).select(key, "_m.px", "_m.py")
+    return at.filter(F.col("px").between(0, width - 1) & F.col("py").between(0, height - 1))
+
+
+def closed(seen: DataFrame, key: str, width: int, height: int) -> DataFrame:
+    """The pixels (key, px, py) of seen, grown by a cross and worn by one again; pixels outside the picture count for
+    neither."""
+    grown = _around(seen, key, width, height).distinct()
+    least = 5 - F.col("px").isin(0, width - 1).cast("int") - F.col("py").isin(0, height - 1).cast("int")
+    return _around(grown, key, width, height).groupBy(key, "px", "py").agg(F.count("*").alias("n")).filter(F.col("n") == least).drop("n")
+
+
+def blobs(seen: DataFrame, key: str, width: int, height: int) -> DataFrame:
+    """seen (key, px, py) with `blob`, the smallest name of the pixels that are linked over sides, key * width * height +
+    place; and `size`. Runs of a row are intervals; overlapping ones of neighbouring rows are linked, so the graph has
+    a node for each run, not for each pixel."""
+    from petroloom.operators import graph
+
+    row = Window.partitionBy(key, "py").orderBy("px")
+    runs = seen.withColumn("_run", F.col("px") - F.row_number().over(row)).groupBy(key, "py", "_run").agg(F.min("px").alias("x0"), F.max("px").alias("x1"))
+    name = F.col(key) * (width * height) + F.col("py") * width + F.col("x0")
+    runs = graph.stored(runs.select(key, "py", "x0", "x1", name.cast("long").alias("id")))
+    below = runs.select(F.col(key), (F.col("py") - 1).alias("py"), F.col("x0").alias("y0"), F.col("x1").alias("y1"), F.col("id").alias("j"))
+    links = runs.join(below, [key, "py"]).filter((F.col("x0") <= F.col("y1")) & (F.col("y0") <= F.col("x1"))).select(F.col("id").alias("i"), "j")
+    labels = graph.components(runs.select("id"), links)
+    named = runs.join(labels, "id").select(key, "py", "x0", "x1", F.col("label").alias("blob"))
+    size = named.groupBy("blob").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("size"))
+    return named.join(size, "blob").select(key, "blob", "size", "py", F.explode(F.sequence("x0", "x1")).alias("px"))
+
+
+def hull_corners(shape: DataFrame, key: str) -> DataFrame:
+    """(key, side, px, py): the corners of the convex hull of each key's pixels, on its left (-1) and right (1) side. Of a
+    row only the ends can be corners: those towards which the side's edge turns, by the steepest slopes from the
+    rows before and to those after."""
+    ends = shape.groupBy(key, "py").agg(F.min("px").alias("l"), F.max("px").alias("r"))
+    side = ends.select(key, "py", F.explode(F.array(F.struct(F.lit(-1).alias("side"), F.col("l").alias("px")), F.struct(F.lit(1).alias("side"), F.col("r").alias("px")))).alias("_e")).select(key, "_e.side", "_e.px", "py")
+    other = side.select(key, "side", F.col("px").alias("_x"), F.col("py").alias("_y"))
+    pairs = side.join(other, [key, "side"], "left").withColumn("_d", F.when(F.col("_y") != F.col("py"), -F.col("side") * (F.col("_x") - F.col("px")) / (F.col("_y") - F.col("py"))))
+    by = pairs.groupBy(key, "side", "px", "py").agg(F.max(F.when(F.col("_y") < F.col("py"), F.col("_d"))).alias("before"), F.min(F.when(F.col("_y") > F.col("py"), F.col("_d"))).alias("after"))
+    return by.filter(F.col("before").isNull() | F.col("after").isNull() | (F.col("before") < F.col("after"))).select(key, "side", "px", "py")
