@@ -951,7 +951,8 @@ def test_pipeline_against_plain_code(spark, sf):
     for x, budget in plain_budgets(held, 0.9 * sum(held.values()), mixing.WEIGHTS, 1).items():
         whole, rest = divmod(int(budget + 1e-6), held[x])
         mine = [d for d in kept if leaf[d] == x]
-        key = {r["d"]: r["k"] for r in spark.createDataFrame([(d,) for d in mine], "d long").select("d", F.xxhash64(F.lit(0), F.lit(int(whole)), "d").alias("k")).collect()}
+        keyed = spark.createDataFrame([(d, texts[d]) for d in mine], "d long, t string")
+        key = {r["d"]: r["k"] for r in keyed.select("d", F.xxhash64(F.lit(0), F.lit(int(whole)), "d", F.xxhash64("t")).alias("k")).collect()}
         at = 0
         for d in sorted(mine, key=lambda d: (key[d], d)):
             at += tokens[d]
