@@ -1027,3 +1027,16 @@ def test_any_column_name_passes_all_stages(spark, sf):
     placed = sharding.kd_shards(rows, 4)
     assert placed.columns == [c for c in rows.columns if c != "shard"] + ["shard", "slot"]
     assert all([r[c] for c in RESERVED] == [f"{k}:{r['doc_id']}" for k in range(len(RESERVED))] and r["shard"] in range(4) for r in placed.collect())
+
+
+def test_secret_scan_of_long_texts(spark):
+    """Runs of a million characters, without and with a digit or capital, and many short runs, in linear time."""
+    rng = np.random.default_rng(8)
+    key = "".join(rng.choice(list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"), 15))
+    texts = ["a" * 1_000_000, "a" * 1_000_000 + "B", "word " * 200_000 + key + " end", "ab1 " * 200_000]
+    names = [(0, w) for w in ("identifier", "function_name", "configuration", "parameter", "documents", "background") * 20]
+    secret = [(1, "".join(rng.choice(list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"), 24))) for _ in range(120)]
+    model = secretscan.train(spark.createDataFrame(names + secret, "label int, token string"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(x["s"], x["e"]) for x in r["markov"]] for r in secretscan.scan(docs, model).collect()}
+    assert got[2] == [(1_000_000, 1_000_015)] and got[3] == [] and len(got) == 4
