@@ -1,22 +1,21 @@
 """Rendering of mosaics, tile by tile.
 
 Frames are joined to the tiles that they touch; each tile is blended by one task, which holds the few frames
-that overlap there. Tiles come back compressed and are streamed into the file in any order."""
+that overlap there. Compressed tiles are a table, whose tasks write them into the file at their places."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from petroloom.functions import blend, imaging as im
 from petroloom.functions.fov import FieldOfView
+from petroloom.operators import graph
 from petroloom.operators.spatial import covered_tiles
 from petroloom.plans.keyframes import image
 from petroloom.settings import Settings
-from petroloom.sources import tiff
+from petroloom.sources import mosaic_file, tiff
 
 CELL = 256
 TILES = "number long, x long, y long, data binary, small binary, sw int, sh int"
@@ -74,22 +73,21 @@ def tiles(crops: DataFrame, poses: pd.DataFrame, fov: FieldOfView, settings: Set
 
 
 def save(rendered: tuple[DataFrame, int, int], path: str, settings: Settings, preview: str | None = None) -> tuple[int, int]:
-    """Streams the tiles into a TIFF file and, smaller, into a JPEG file."""
+    """Writes the tiles into a TIFF file, each by the task that holds it, and smaller ones into a JPEG file of bounded
+    size. Tiles are rendered once, into a table of the shared folder."""
     df, width, height = rendered
-    share = min(1.0, settings.preview_max_size / max(width, height))
-    small = np.zeros((max(1, int(np.ceil(height * share))) + CELL, max(1, int(np.ceil(width * share))) + CELL, 3), np.uint8) if preview else None
-
-    def stream() -> Iterator[tuple[int, bytes]]:
-        for t in df.toLocalIterator():
-            if small is not None:
+    kept = graph.stored(df)
+    try:
+        mosaic_file.write(kept.select("number", "data"), path, width, height, CELL, settings.tiff_compression == "zlib")
+        if preview:
+            share = min(1.0, settings.preview_max_size / max(width, height))
+            small = np.zeros((max(1, int(np.ceil(height * share))) + CELL, max(1, int(np.ceil(width * share))) + CELL, 3), np.uint8)
+            for t in kept.select("x", "y", "small", "sw", "sh").toLocalIterator():
                 y, x = round(t["y"] * share), round(t["x"] * share)
                 small[y : y + t["sh"], x : x + t["sw"]] = np.frombuffer(t["small"], np.uint8).reshape(t["sh"], t["sw"], 3)
-            yield t["number"], bytes(t["data"])
-
-    with open(path, "wb") as out:
-        tiff.write(out, width, height, stream(), CELL, settings.tiff_compression == "zlib")
-    if small is not None:
-        jpeg(df.sparkSession, small[: max(1, int(height * share)), : max(1, int(width * share))], preview, settings.jpeg_quality)
+            jpeg(df.sparkSession, small[: max(1, int(height * share)), : max(1, int(width * share))], preview, settings.jpeg_quality)
+    finally:
+        graph.forget(kept)
     return width, height
 
 

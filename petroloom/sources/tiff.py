@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterable
+from dataclasses import dataclass
 from typing import BinaryIO
 
 import numpy as np
@@ -12,43 +13,94 @@ import numpy as np
 BIG = 1 << 31
 
 
+@dataclass(frozen=True)
+class Layout:
+    """Where the parts of a file lie: a head, then the tiles without gaps, their index, the directory."""
+
+    width: int
+    height: int
+    tile: int = 256
+    compress: bool = True
+    big: bool = False
+
+    @property
+    def count(self) -> int:
+        return -(-self.width // self.tile) * -(-self.height // self.tile)
+
+    @property
+    def word(self) -> str:
+        return "Q" if self.big else "I"
+
+    @property
+    def room(self) -> int:
+        """Bytes of a place, and of a value in the directory."""
+        return 8 if self.big else 4
+
+    @property
+    def first(self) -> int:
+        """Where the tiles begin."""
+        return 16 if self.big else 8
+
+    def head(self, end: int) -> bytes:
+        """The head of a file whose tiles end there."""
+        start = self.spots(end)["directory"]
+        return struct.pack("<2sHHHQ", b"II", 43, 8, 0, start) if self.big else struct.pack("<2sHI", b"II", 42, start)
+
+    def spots(self, end: int) -> dict[str, int]:
+        """What lies behind tiles that end there, and where; values that fit into the directory lie there."""
+        out = {}
+        for name, length in (("bits", 6), ("at", self.count * self.room), ("sizes", self.count * self.room)):
+            if length > self.room:
+                out[name] = end + end % 2
+                end = out[name] + length
+        return out | {"directory": end + end % 2}
+
+    def blank(self) -> bytes:
+        """A black tile, which stands for all that are missing."""
+        return packed(np.zeros((self.tile, self.tile, 3), np.uint8), self.compress)
+
+    def closing(self, end: int, only: tuple[int, int]) -> list[tuple[int, bytes]]:
+        """What is written when the tiles and their index are: (place, bytes). `only`: place and size of tile 0, which
+        the directory of a file with one tile holds."""
+        spots, bits = self.spots(end), struct.pack("<3H", 8, 8, 8)
+        value = lambda name, inline: struct.pack(f"<{self.word}", spots[name]) if name in spots else inline.ljust(self.room, b"\0")
+        at, sizes = (value(name, struct.pack(f"<{self.word}", x)) for name, x in zip(("at", "sizes"), only, strict=True))
+        # fixed values: tags and kinds of the format
+        entries = [(256, 4, 1, self.width), (257, 4, 1, self.height), (258, 3, 3, value("bits", bits)), (259, 3, 1, 8 if self.compress else 1), (262, 3, 1, 2), (277, 3, 1, 3), (284, 3, 1, 1), (322, 4, 1, self.tile), (323, 4, 1, self.tile), (324, 16 if self.big else 4, self.count, at), (325, 16 if self.big else 4, self.count, sizes)]
+        body = struct.pack("<Q" if self.big else "<H", len(entries))
+        for tag, kind, n, v in entries:
+            v = v if isinstance(v, bytes) else struct.pack("<H" if kind == 3 else "<I", v).ljust(self.room, b"\0")
+            body += struct.pack("<HH" + self.word, tag, kind, n) + v
+        body += struct.pack(f"<{self.word}", 0)
+        return [(0, self.head(end)), *([(spots["bits"], bits)] if "bits" in spots else []), (spots["directory"], body)]
+
+
+def layout(width: int, height: int, tile: int = 256, compress: bool = True, big: bool | None = None) -> Layout:
+    """`big` defaults to files whose pixels pass 2^31 bytes."""
+    return Layout(width, height, tile, compress, width * height * 3 > BIG if big is None else big)
+
+
 def write(out: BinaryIO, width: int, height: int, tiles: Iterable[tuple[int, bytes]], tile: int = 256, compress: bool = True, big: bool | None = None) -> None:
     """tiles: (number, row by row; compressed RGB of tile x tile pixels) in any order, streamed through.
-    Missing tiles are black. `big` defaults to files whose pixels pass 2^31 bytes."""
-    big = width * height * 3 > BIG if big is None else big
-    count = -(-width // tile) * -(-height // tile)
-    size = "Q" if big else "I"
-    out.write(struct.pack("<2sHHHQ", b"II", 43, 8, 0, 0) if big else struct.pack("<2sHI", b"II", 42, 0))
-    places: dict[int, tuple[int, int]] = {}
+    Missing tiles are black. For a mosaic whose tiles are a table, sources/mosaic_file.py writes in parallel."""
+    made = layout(width, height, tile, compress, big)
+    index, end = np.zeros((2, made.count), f"<u{made.room}"), made.first
+    out.write(b"\0" * end)
     for number, data in tiles:
-        places[number] = (out.tell(), len(data))
+        index[:, number] = end, len(data)
+        end += out.write(data)
+    if not index[1].all():
+        blank = made.blank()
+        index[:, index[1] == 0] = [[end], [len(blank)]]
+        end += out.write(blank)
+    spots = made.spots(end)
+    for name, row in zip(("at", "sizes"), index, strict=True):
+        if name in spots:
+            out.seek(spots[name])
+            out.write(row.tobytes())
+    for place, data in made.closing(end, (int(index[0, 0]), int(index[1, 0]))):
+        out.seek(place)
         out.write(data)
-    if len(places) < count:
-        blank = packed(np.zeros((tile, tile, 3), np.uint8), compress)
-        at = out.tell()
-        out.write(blank)
-        places |= {n: (at, len(blank)) for n in range(count) if n not in places}
-    extra = {}
-    for name, values, code in (("bits", [8, 8, 8], "H"), ("at", [places[n][0] for n in range(count)], size), ("sizes", [places[n][1] for n in range(count)], size)):
-        body = struct.pack(f"<{len(values)}{code}", *values)
-        room = 8 if big else 4
-        if len(body) > room:
-            out.write(b"\0" * (out.tell() % 2))
-            extra[name] = struct.pack(f"<{size}", out.tell())
-            out.write(body)
-        else:
-            extra[name] = body.ljust(room, b"\0")
-    long = 16 if big else 4
-    entries = [(256, 4, 1, width), (257, 4, 1, height), (258, 3, 3, extra["bits"]), (259, 3, 1, 8 if compress else 1), (262, 3, 1, 2), (277, 3, 1, 3), (284, 3, 1, 1), (322, 4, 1, tile), (323, 4, 1, tile), (324, long, count, extra["at"]), (325, long, count, extra["sizes"])]
-    out.write(b"\0" * (out.tell() % 2))
-    start = out.tell()
-    out.write(struct.pack("<Q" if big else "<H", len(entries)))
-    for tag, kind, n, value in entries:
-        body = value if isinstance(value, bytes) else struct.pack("<H" if kind == 3 else "<I", value).ljust(8 if big else 4, b"\0")
-        out.write(struct.pack("<HH" + size, tag, kind, n) + body)
-    out.write(struct.pack(f"<{size}", 0))
-    out.seek(8 if big else 4)
-    out.write(struct.pack(f"<{size}", start))
 
 
 def packed(rgb: np.ndarray, compress: bool = True) -> bytes:

@@ -9,12 +9,13 @@ import os
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from petroloom.functions import blend
 from petroloom.functions.fov import FieldOfView
-from petroloom.plans import keyframes as kf, merge, pipeline
+from petroloom.plans import keyframes as kf, merge, mosaic, pipeline
 from petroloom.settings import Settings
-from petroloom.sources import images, synthetic, tiff
+from petroloom.sources import images, mosaic_file, synthetic, tiff
 
 FOV = FieldOfView(160.3, 119.1, 105, 320, 240)
 SETTINGS = Settings(analysis_fps=30.0, tile_size=256, work_diameter=320, coarse_diameter=128)
@@ -214,6 +215,48 @@ def test_tiff(big):
     assert (back[:32] == img[:32]).all() and (back[32:64, :64] == img[32:64, :64]).all() and not back[64:].any()
 
 
+@pytest.mark.parametrize(("size", "gone", "big"), [((2300, 1500), (0, 3, 40), False), ((2300, 1500), (), True), ((250, 200), (), False), ((250, 200), (), True), ((700, 300), range(6), False)])
+def test_tiles_written_by_tasks(spark, tmp_path, size, gone, big, monkeypatch):
+    """The bytes are those of one writer that takes the tiles in order; several runs of numbers in the first case."""
+    monkeypatch.setattr(mosaic_file, "RUN", 16)
+    rng = np.random.default_rng(5)
+    count = -(-size[0] // 256) * -(-size[1] // 256)
+    tiles = [(k, tiff.packed(np.repeat(rng.integers(0, 256, (256, 64, 3)), 4, axis=1).astype(np.uint8))) for k in range(count) if k not in gone]
+    want = io.BytesIO()
+    tiff.write(want, *size, tiles, 256, True, big)
+    df = spark.createDataFrame([(k, bytearray(t)) for k, t in tiles[::-1]], "number long, data binary").repartition(3)
+    mosaic_file.write(df, str(tmp_path / "m.tif"), *size, 256, True, big)
+    assert (tmp_path / "m.tif").read_bytes() == want.getvalue() and os.listdir(tmp_path) == ["m.tif"]
+    assert tiff.read(want.getvalue()).shape == (size[1], size[0], 3)
+
+
+def test_failed_tile_leaves_no_file(spark, tmp_path):
+    (tmp_path / "m.tif").write_bytes(b"before")
+    data = spark.range(4).withColumnRenamed("id", "number")
+    torn = data.withColumn("data", F.expr("if(number = 2, cast(raise_error('torn') as binary), cast('abc' as binary))"))
+    placed = data.select("number", (8 + 3 * F.col("number")).alias("at"), F.lit(3).cast("long").alias("size")).join(torn, "number")
+    spark.dataSource.register(mosaic_file.MosaicFile)
+    options = {"path": str(tmp_path / "m.tif"), "width": 512, "height": 512, "tile": 256, "compress": 1, "big": 0, "end": 20, "blank": 0}
+    for bad in (placed, placed.withColumn("data", F.lit(b"abcd")), placed.filter("number < 3").withColumn("data", F.lit(b"abc"))):
+        with pytest.raises(Exception, match="torn|another size|tiles are missing"):
+            bad.write.format("mosaic_file").mode("append").options(**options).save()
+        assert os.listdir(tmp_path) == ["m.tif"] and (tmp_path / "m.tif").read_bytes() == b"before"
+
+
+def test_image_sequence(spark, tmp_path):
+    """Frames are numbered by name; what is no image is left out; a rate without sense is 30."""
+    rng = np.random.default_rng(3)
+    want = [np.repeat(np.repeat(rng.integers(0, 256, (3, 4, 3)), 8, 0), 8, 1).astype(np.uint8) for _ in range(5)]
+    for k, img in enumerate(want):
+        mosaic.jpeg(spark, img, str(tmp_path / f"f{k:03}.jpg"), 100)
+    (tmp_path / "f002a.jpg").write_bytes(b"no image")
+    got = images.image_sequence(spark, str(tmp_path), "v", fps=float("nan")).orderBy("frame_index").collect()
+    assert [(r["video_id"], r["frame_index"], r["width"], r["height"]) for r in got] == [("v", k, 32, 24) for k in range(5)]
+    assert [r["time_s"] for r in got] == [k / 30 for k in range(5)]
+    for r, img in zip(got, want, strict=True):
+        assert np.abs(kf.image(r["data"], 32, 24).astype(int) - img).mean() < 8  # JPEG
+
+
 def test_streams(spark, sf, tmp_path):
     """Two batches, the second also with frames that were read before: those are late."""
     from petroloom.catalog import stream
