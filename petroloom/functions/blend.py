@@ -48,14 +48,25 @@ def gain_of(valid: np.ndarray, middle: np.ndarray, mask: np.ndarray) -> np.ndarr
     return (1 / np.clip(light, 0.3, 3)).astype(np.float32)
 
 
+def edge_distance(mask: np.ndarray) -> np.ndarray:
+    """The exact distance from each pixel of a mask to the nearest one outside it; beyond the picture lies nothing. All
+    infinite in a mask without an outside."""
+    y = np.arange(len(mask), dtype=np.float64)[:, None]
+    above = np.maximum.accumulate(np.where(mask, -np.inf, y), axis=0)
+    below = np.minimum.accumulate(np.where(mask, np.inf, y)[::-1], axis=0)[::-1]
+    square = np.minimum(y - above, below - y) ** 2  # within columns
+    best, k = square.copy(), 1
+    while k < mask.shape[1] and k * k < best.max():
+        np.minimum(best[:, k:], square[:, :-k] + k * k, out=best[:, k:])
+        np.minimum(best[:, :-k], square[:, k:] + k * k, out=best[:, :-k])
+        k += 1
+    return np.sqrt(best)
+
+
 def edge_weight(mask: np.ndarray) -> np.ndarray:
-    """Chessboard-free distance to the mask's edge for a disc-like mask: from its centre, 1 there, 0 outside."""
-    y, x = np.nonzero(mask)
-    cy, cx = y.mean(), x.mean()
-    r = np.sqrt(mask.sum() / np.pi) + 1
-    ys, xs = np.mgrid[: mask.shape[0], : mask.shape[1]]
-    edges = np.minimum(np.minimum(xs + 1, mask.shape[1] - xs), np.minimum(ys + 1, mask.shape[0] - ys)) / r
-    return np.where(mask, np.minimum(np.clip(1 - np.hypot(xs - cx, ys - cy) / r, 1e-3, 1), edges), 0).astype(np.float32)
+    """The distance to the mask's edge as a share of the largest one."""
+    distance = edge_distance(mask)
+    return (mask if np.isinf(distance).any() else distance / max(float(distance.max()), 1e-6)).astype(np.float32)
 
 
 def warp(img: np.ndarray, weight: np.ndarray, pose: tuple[float, float, float], centre: tuple[float, float], x0: int, y0: int, w: int, h: int, kernel: str = "cubic") -> tuple[np.ndarray, np.ndarray]:

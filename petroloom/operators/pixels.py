@@ -126,3 +126,17 @@ def hull_corners(shape: DataFrame, key: str) -> DataFrame:
     pairs = side.join(other, [key, "side"], "left").withColumn("_d", F.when(F.col("_y") != F.col("py"), -F.col("side") * (F.col("_x") - F.col("px")) / (F.col("_y") - F.col("py"))))
     by = pairs.groupBy(key, "side", "px", "py").agg(F.max(F.when(F.col("_y") < F.col("py"), F.col("_d"))).alias("before"), F.min(F.when(F.col("_y") > F.col("py"), F.col("_d"))).alias("after"))
     return by.filter(F.col("before").isNull() | F.col("after").isNull() | (F.col("before") < F.col("after"))).select(key, "side", "px", "py")
+
+
+def edge_distances(pixels: DataFrame, key: str) -> DataFrame:
+    """pixels (key, px, py, seen) with `distance` from each seen pixel to the nearest other one of its picture: 0 for those,
+    null without any. The nearest of a pixel's own column comes from two windows, the nearest of all from the columns
+    of its row, which are held together, so no pairs of pixels are made."""
+    up = Window.partitionBy(key, "px").orderBy("py")
+    edge = F.when(~F.col("seen"), F.col("py"))
+    above = F.last(edge, True).over(up.rowsBetween(Window.unboundedPreceding, 0))
+    below = F.first(edge, True).over(up.rowsBetween(0, Window.unboundedFollowing))
+    column = pixels.select(key, "px", "py", F.least(F.col("py") - above, below - F.col("py")).alias("_d"))
+    rows = column.groupBy(key, "py").agg(F.collect_list("px").alias("_x"), F.collect_list(F.when(F.col("_d").isNotNull(), F.struct("px", (F.col("_d") * F.col("_d")).alias("s")))).alias("_c"))
+    nearest = F.transform("_x", lambda x: F.struct(x.alias("px"), F.array_min(F.transform("_c", lambda c: c["s"] + (c["px"] - x) * (c["px"] - x))).alias("s")))
+    return rows.select(key, "py", F.explode(nearest).alias("_n")).select(key, "_n.px", "py", F.sqrt("_n.s").alias("distance"))

@@ -23,7 +23,7 @@ TILES = "number long, x long, y long, data binary, small binary, sw int, sh int"
 
 def extent(poses: pd.DataFrame, fov: FieldOfView) -> tuple[int, int, int, int]:
     """Origin and size of the mosaic of poses (x, y)."""
-    r = fov.r_eff
+    r = fov.r_eff + 2
     x0, y0 = int(np.floor(poses["x"].min() - r)), int(np.floor(poses["y"].min() - r))
     return x0, y0, int(np.ceil(poses["x"].max() + r)) - x0 + 1, int(np.ceil(poses["y"].max() + r)) - y0 + 1
 
@@ -36,8 +36,7 @@ def tiles(crops: DataFrame, poses: pd.DataFrame, fov: FieldOfView, settings: Set
     pad = 4 * 2**settings.blend_levels if settings.blending == "multiband" else 0
     across, r = -(-width // CELL), fov.r_eff
     share = min(1.0, settings.preview_max_size / max(width, height))
-    mask, centre = fov.mask(), fov.centre()
-    weight = blend.edge_weight(mask)
+    weight, centre = blend.edge_weight(fov.mask(shrink=2)), fov.centre()
 
     def render(pdf: pd.DataFrame) -> pd.DataFrame:
         tx, ty = int(pdf["tile_x"].iloc[0]) * step, int(pdf["tile_y"].iloc[0]) * step

@@ -8,6 +8,7 @@ import pytest
 from petroloom.functions import blend, fov, imaging as im
 from petroloom.functions.fov import FieldOfView, brightest, detect, kasa, otsu
 from petroloom.functions.registration import MaskedCorrelation, Registrar, smooth_size
+from petroloom.operators import pixels
 from petroloom.settings import Settings
 from petroloom.sources import synthetic
 
@@ -145,3 +146,20 @@ def test_circle_fit_passes_over_points_that_lie_off():
     points = np.stack([50 + 80 * np.cos(t), 60 + 80 * np.sin(t)], axis=1) + rng.normal(0, 0.4, (300, 2))
     points[:60] -= (points[:60] - [50, 60]) * rng.uniform(0.1, 0.4, (60, 1))  # dents
     assert np.abs(np.array(fov.steady_circle(points)) - [50, 60, 80]).max() < 1
+
+
+@pytest.mark.parametrize("kind", ["disc", "noise", "full", "none"])
+def test_edge_distance(spark, kind):
+    """Against all pairs of pixels; the table form gives the same."""
+    rng = np.random.default_rng(7)
+    y, x = np.mgrid[:23, :31]
+    mask = {"disc": (x - 14.2) ** 2 + (y - 9) ** 2 <= 90, "noise": rng.random((23, 31)) < 0.9, "full": x >= 0, "none": x < 0}[kind]
+    out = np.argwhere(~mask)
+    got = blend.edge_distance(mask)
+    want = np.sqrt(((np.argwhere(mask >= 0)[:, None] - out[None]) ** 2).sum(axis=2).min(axis=1)).reshape(mask.shape) if len(out) else np.full(mask.shape, np.inf)
+    assert np.array_equal(got, want)
+    weight = blend.edge_weight(mask)
+    assert weight.max() == (0 if kind == "none" else 1) and ((weight > 0) == mask).all()
+    df = spark.createDataFrame([(1, int(a), int(b), bool(mask[b, a])) for b in range(23) for a in range(31)], "id long, px int, py int, seen boolean")
+    rows = {(r["px"], r["py"]): r["distance"] for r in pixels.edge_distances(df, "id").collect()}
+    assert len(rows) == mask.size and all((np.inf if d is None else d) == want[q, p] for (p, q), d in rows.items())
