@@ -438,15 +438,20 @@ def payload(f: File, planes: list[np.ndarray]) -> bytes:
     return (np.concatenate(flat) - 256).astype(np.uint8).tobytes()[: struct.unpack(">Q", f.comment)[0]]
 
 
-def feature(f: File, planes: list[np.ndarray]) -> str:
-    """Size, and the mean and mean square of each channel as whole numbers."""
-    n, total, squares = 0, np.zeros(3, np.int64), np.zeros(3, np.int64)
-    for band in rgb_bands(f, planes):
-        flat = band.reshape(-1, 3).astype(np.float64)
-        n += len(flat)
-        total += flat.sum(axis=0).astype(np.int64)  # whole numbers below 2^53
-        squares += (flat * flat).sum(axis=0).astype(np.int64)
-    return f"{f.width}x{f.height} " + " ".join(f"{1000 * int(a) // n}/{1000 * int(b) // n}" for a, b in zip(total, squares, strict=True))
+def tensor(f: File, planes: list[np.ndarray]) -> bytes:
+    """Full-resolution RGB as rows of uint8 triples."""
+    return b"".join(band.tobytes() for band in rgb_bands(f, planes))
+
+
+def feature(height: int, width: int, rgb) -> str:
+    """Size, and the mean and mean square of each channel of an RGB tensor as whole numbers."""
+    flat, total, squares = np.frombuffer(rgb, np.uint8).reshape(-1, 3), np.zeros(3, np.int64), np.zeros(3, np.int64)
+    for at in range(0, len(flat), BAND):
+        some = flat[at : at + BAND].astype(np.float64)
+        total += some.sum(axis=0).astype(np.int64)  # whole numbers below 2^53
+        squares += (some * some).sum(axis=0).astype(np.int64)
+    n = len(flat)
+    return f"{width}x{height} " + " ".join(f"{1000 * int(a) // n}/{1000 * int(b) // n}" for a, b in zip(total, squares, strict=True))
 
 
 def padded(text: bytes) -> bytes:
@@ -475,17 +480,18 @@ def tensors(media: DataFrame) -> DataFrame:
                 shape, rgb = (None, None), None
                 if m is not None:
                     ((f, planes),) = decode([m])
-                    shape, rgb = (f.height, f.width), b"".join(b.tobytes() for b in rgb_bands(f, planes))
+                    shape, rgb = (f.height, f.width), tensor(f, planes)
                 yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array(shape[:1], pa.int32()), pa.array(shape[1:], pa.int32()), pa.array([rgb], pa.binary())], names=["doc_id", "height", "width", "rgb"])
 
     return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(shared.lean(run), "doc_id long, height int, width int, rgb binary")
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+TENSORS = DIGEST + ", height int, width int, rgb binary"
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """Stores each text, reads the stored bytes back and describes both."""
+def images(docs: DataFrame) -> DataFrame:
+    """Stores each text as a file, reads that back, and gives its digests and its RGB tensor (TENSORS)."""
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for some in shared.batches(batch, "text", BATCH):
@@ -494,14 +500,31 @@ def digests(docs: DataFrame) -> DataFrame:
                 out = []
                 for doc_id, text, m, (f, planes) in zip(some.column(0).to_pylist(), texts, media, decode(media), strict=True):
                     back = payload(f, planes)
-                    out.append((doc_id, len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(f, planes)))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in DIGEST.split(", ")])
+                    out.append((doc_id, len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(m), hashlib.sha256(m).hexdigest(), f.height, f.width, tensor(f, planes)))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in TENSORS.split(", ")])
 
     shared.bound_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), shared.empty_if_null().alias("text")).mapInArrow(shared.lean(run), DIGEST)
+    return docs.select(F.col("doc_id").cast("long"), shared.empty_if_null().alias("text")).mapInArrow(shared.lean(run), TENSORS)
+
+
+def described(stored: DataFrame) -> DataFrame:
+    """A stored table of images() with `feature`, computed from its tensors, in their place."""
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            found = [feature(h, w, rgb.as_buffer()) for h, w, rgb in zip(batch.column("height").to_pylist(), batch.column("width").to_pylist(), batch.column("rgb"), strict=True)]
+            kept = [c for c in batch.schema.names if c not in ("height", "width", "rgb")]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(found, pa.string())], names=[*kept, "feature"])
+
+    shared.bound_batches(stored.sparkSession)
+    return stored.mapInArrow(shared.lean(run), DIGEST + ", feature string")
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """Stores the texts as images, and these as tensors in a table of the shared folder; describes what is read back."""
+    return described(shared.materialize(images(docs), "tensors"))
 
 
 def op4_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All texts as progressive JPEG files, read back."""
+    """All texts as progressive JPEG files, read back; their features come from the stored tensors."""
     return digests(shared.table(spark, sf_dir, "documents"))

@@ -223,7 +223,7 @@ def test_media_round_trip():
         for s in f.scans:
             media._general(f, s, slow)
         assert all((a == b).all() for a, b in zip(planes, slow))
-    assert media.feature(*together[3]) == media.feature(*media.decode([files[3]])[0])
+    assert media.tensor(*together[3]) == media.tensor(*media.decode([files[3]])[0])
 
 
 def jvm_progressive(spark, pixels, quality=0.9):
@@ -298,7 +298,7 @@ def test_feature_by_an_independent_transform():
         h, v = map(max, zip(*f.sampling))
         luma, blue, red = (p.repeat(v // q, 0).repeat(h // o, 1)[: f.height, : f.width] - (128 if i else 0) for i, (p, (o, q)) in enumerate(zip(channels, f.sampling)))
         rgb = np.stack([luma + 1.402 * red, luma - 0.344136 * blue - 0.714136 * red, luma + 1.772 * blue], axis=2).clip(0, 255)
-        size, *pairs = media.feature(f, planes).split()
+        size, *pairs = media.feature(f.height, f.width, media.tensor(f, planes)).split()
         assert size == f"{f.width}x{f.height}"
         for k, pair in enumerate(pairs):
             mean, square = (int(q) / 1000 for q in pair.split("/"))
@@ -327,6 +327,23 @@ def test_media_query(spark, odd, empty):
     stored = media.store(odd)
     pixels = media.tensors(stored).collect()
     assert all(len(p["rgb"]) == 3 * p["height"] * p["width"] for p in pixels)
+    assert Counter((p["doc_id"], media.feature(p["height"], p["width"], p["rgb"])) for p in pixels) == Counter((r["doc_id"], r["feature"]) for r in rows)
+
+
+def test_media_stores_tensors(spark):
+    """The query's features are those of the tensors in its table; a text of megabytes is one tensor."""
+    texts = [None, "", "word " * 600_000, "é" * 191, "word " * 40, "word " * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    with shared.working(spark):
+        stored = shared.materialize(media.images(df), "tensors")
+        found = {r["doc_id"]: r for r in media.described(stored).collect()}
+        for r in stored.collect():
+            rgb = np.frombuffer(r["rgb"], np.uint8).reshape(r["height"], r["width"], 3).astype(np.int64)
+            size, *pairs = found[r["doc_id"]]["feature"].split()
+            assert size == f"{r['width']}x{r['height']}" and rgb.shape[0] * rgb.shape[1] >= r["payload_bytes"] // 3
+            assert [tuple(map(int, p.split("/"))) for p in pairs] == [(1000 * int(c.sum()) // c.size, 1000 * int((c * c).sum()) // c.size) for c in np.moveaxis(rgb, 2, 0)]
+    assert found[2]["payload_sha256"] == hashlib.sha256(media.padded(texts[2].encode())).hexdigest()
+    assert found[4]["feature"] == found[5]["feature"] and found[0]["feature"] == found[1]["feature"]
 
 
 # Language identification
