@@ -508,23 +508,24 @@ def images(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), shared.empty_if_null().alias("text")).mapInArrow(shared.lean(run), TENSORS)
 
 
-def described(stored: DataFrame) -> DataFrame:
-    """A stored table of images() with `feature`, computed from its tensors, in their place."""
+def described(made: DataFrame) -> DataFrame:
+    """images(), or a stored table of them, with `feature`, computed from the tensors, in their place."""
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             found = [feature(h, w, rgb.as_buffer()) for h, w, rgb in zip(batch.column("height").to_pylist(), batch.column("width").to_pylist(), batch.column("rgb"), strict=True)]
             kept = [c for c in batch.schema.names if c not in ("height", "width", "rgb")]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(found, pa.string())], names=[*kept, "feature"])
 
-    shared.bound_batches(stored.sparkSession)
-    return stored.mapInArrow(shared.lean(run), DIGEST + ", feature string")
+    shared.bound_batches(made.sparkSession)
+    return made.mapInArrow(shared.lean(run), DIGEST + ", feature string")
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Stores the texts as images, and these as tensors in a table of the shared folder; describes what is read back."""
-    return described(shared.materialize(images(docs), "tensors"))
+    """Describes texts by their images and tensors. The tensors are a column on their way and in no table: they would take
+    four times the room of the texts' table. A caller who wants them stored writes images()."""
+    return described(images(docs))
 
 
 def op4_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All texts as progressive JPEG files, read back; their features come from the stored tensors."""
+    """All texts as progressive JPEG files, read back; their features come from the tensors."""
     return digests(shared.table(spark, sf_dir, "documents"))

@@ -331,12 +331,13 @@ def test_media_query(spark, odd, empty):
 
 
 def test_media_stores_tensors(spark):
-    """The query's features are those of the tensors in its table; a text of megabytes is one tensor."""
+    """Tensors written to a table and read back give the query's features; a text of megabytes is one tensor."""
     texts = [None, "", "word " * 600_000, "é" * 191, "word " * 40, "word " * 40]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     with shared.working(spark):
         stored = shared.materialize(media.images(df), "tensors")
         found = {r["doc_id"]: r for r in media.described(stored).collect()}
+        assert {r["doc_id"]: r for r in media.digests(df).collect()} == found
         for r in stored.collect():
             rgb = np.frombuffer(r["rgb"], np.uint8).reshape(r["height"], r["width"], 3).astype(np.int64)
             size, *pairs = found[r["doc_id"]]["feature"].split()
