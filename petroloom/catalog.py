@@ -610,7 +610,8 @@ d AS (SELECT p.vec_id, p.px, p.py, sqrt(min(CASE WHEN o.px IS NOT NULL THEN pow(
 SELECT vec_id, px, py, round(distance, 6) AS distance, round(CASE WHEN m IS NULL THEN 1 ELSE distance / greatest(m, 1e-6) END, 6) AS weight FROM (SELECT *, max(distance) OVER (PARTITION BY vec_id) AS m FROM d)""")
 def edge_weights(spark, d):
     """How far each bright pixel lies within the bright part of its picture: the weights by which frames are blended."""
-    seen = pixels.exploded(pictures(spark, d), "embedding", SIDE, "vec_id").withColumn("seen", F.col("level") > -0.05)
+    whole = pictures(spark, d).repartition("vec_id")  # what follows keeps a picture's pixels together: no shuffle of pixels
+    seen = pixels.exploded(whole, "embedding", SIDE, "vec_id").withColumn("seen", F.col("level") > -0.05)
     found = pixels.edge_distances(seen, "vec_id").withColumn("most", F.max("distance").over(Window.partitionBy("vec_id")))
     weight = F.when(F.col("most").isNull(), 1.0).otherwise(F.col("distance") / F.greatest("most", F.lit(1e-6)))
     return found.select("vec_id", "px", "py", r6("distance").alias("distance"), r6(weight).alias("weight"))
