@@ -754,6 +754,18 @@ def circle_inliers(spark, d):
     return near_first.groupBy("label").agg(F.count("*").alias("points"), F.round(F.avg("_r"), 2).alias("mean_off"))
 
 
+def fitted(of: str) -> str:
+    return SQL["circle_fit"].replace(f"({POINTS})", of).replace("round(a + mx, 6)", "a + mx").replace("round(b + my, 6)", "b + my").replace("(uu + vv) / n), 6)", "(uu + vv) / n))").replace("round(sqrt", "(sqrt")
+
+
+@query(f"""WITH a AS MATERIALIZED ({POINTS}), f AS MATERIALIZED ({fitted("a")}), q AS (SELECT a.label, a.x, a.y, abs(sqrt(pow(a.x - f.cx, 2) + pow(a.y - f.cy, 2)) - f.radius) AS off FROM a JOIN f USING (label)),
+l AS (SELECT label, greatest(2, 3 * median(off)) AS most FROM q GROUP BY label), k AS MATERIALIZED (SELECT q.* FROM q JOIN l USING (label) WHERE off < most QUALIFY count(*) OVER (PARTITION BY label) >= 20), g AS ({fitted("k")})
+SELECT label, round(coalesce(g.cx, f.cx), 4) AS cx, round(coalesce(g.cy, f.cy), 4) AS cy, round(coalesce(g.radius, f.radius), 4) AS radius FROM f LEFT JOIN g USING (label)""")
+def circle_refit(spark, d):
+    """Circles of the places of each segment, fitted once more without those that are far from the first fit."""
+    return fitting.circle_refit(points(spark, d), ["label"]).select("label", *[F.round(c, 4).alias(c) for c in ("cx", "cy", "radius")])
+
+
 # Attachment by hand
 
 ATTACHED = f"SELECT label, id, cos(0.02 * label) * x - sin(0.02 * label) * y + 10 * label AS x, sin(0.02 * label) * x + cos(0.02 * label) * y - 5 * label AS y FROM ({POINTS})"

@@ -27,9 +27,13 @@ def inliers(points: DataFrame, key: list[str], floor: float = 2.0, medians: floa
     return r.join(limit, key).filter("_r < _limit").select(*key, "x", "y", "_r")
 
 
-def circle_refit(points: DataFrame, key: list[str], floor: float = 2.0) -> DataFrame:
-    """A second fit on the points near the first."""
-    return circle(inliers(points, key, floor), key)
+def circle_refit(points: DataFrame, key: list[str], floor: float = 2.0, medians: float = 3.0, least: int = 20) -> DataFrame:
+    """A second fit on the points near the first; the first one where fewer than `least` are near."""
+    near = inliers(points, key, floor, medians)
+    enough = near.groupBy(*key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
+    again = circle(near.join(enough, key, "left_semi"), key).select(*key, F.struct("cx", "cy", "radius").alias("_again"))
+    first = circle(points, key).join(again, key, "left")
+    return first.select(*key, *[F.coalesce(f"_again.{c}", c).alias(c) for c in ("cx", "cy", "radius")])
 
 
 def otsu(df: DataFrame, level: str, levels: int = 256) -> DataFrame:

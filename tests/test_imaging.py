@@ -8,7 +8,7 @@ import pytest
 from petroloom.functions import blend, fov, imaging as im
 from petroloom.functions.fov import FieldOfView, brightest, detect, kasa, otsu
 from petroloom.functions.registration import MaskedCorrelation, Registrar, smooth_size
-from petroloom.operators import pixels
+from petroloom.operators import fitting, pixels
 from petroloom.settings import Settings
 from petroloom.sources import synthetic
 
@@ -163,3 +163,21 @@ def test_edge_distance(spark, kind):
     df = spark.createDataFrame([(1, int(a), int(b), bool(mask[b, a])) for b in range(23) for a in range(31)], "id long, px int, py int, seen boolean")
     rows = {(r["px"], r["py"]): r["distance"] for r in pixels.edge_distances(df, "id").collect()}
     assert len(rows) == mask.size and all((np.inf if d is None else d) == want[q, p] for (p, q), d in rows.items())
+
+
+def test_circle_refit(spark):
+    """A circle with outliers is found by the second fit; of too few points, or none far away, the first one stays."""
+    rng = np.random.default_rng(2)
+    t = rng.uniform(0, 2 * np.pi, 200)
+    good = np.stack([40 + 30 * np.cos(t), -7 + 30 * np.sin(t)], axis=1) + rng.normal(0, 0.05, (200, 2))
+    far = rng.uniform(-20, 20, (12, 2)) + [90, 60]
+    groups = {1: np.concatenate([good, far]), 2: np.concatenate([good[:15], far[:2]]), 3: good[:30]}
+    df = spark.createDataFrame([(k, float(x), float(y)) for k, p in groups.items() for x, y in p], "key int, x double, y double")
+    got = {r["key"]: (r["cx"], r["cy"], r["radius"]) for r in fitting.circle_refit(df, ["key"]).collect()}
+    for k, p in groups.items():
+        first = kasa(p[:, 0], p[:, 1])
+        off = np.abs(np.hypot(p[:, 0] - first[0], p[:, 1] - first[1]) - first[2])
+        near = p[off < max(2, 3 * np.median(off))]
+        want = kasa(near[:, 0], near[:, 1]) if len(near) >= 20 else first
+        assert np.allclose(got[k], want, atol=1e-6)
+    assert abs(got[1][2] - 30) < abs(kasa(*groups[1].T)[2] - 30)
